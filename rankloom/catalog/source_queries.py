@@ -104,15 +104,16 @@ def _(spark, sf):
 
 
 def sitemap_files(spark, sf):
-    """One sitemap per site: each page once, and once more with a slash."""
+    """Sitemap files of each site, as many as its pages fill: each page once, and once more with a slash."""
     pages = view(spark, sf, "fx_pages").select("site", "url", "k")
     entry = F.concat(F.lit("<url><loc> "), "url", F.lit("/ </loc></url><url><LOC>"), "url", F.lit("</LOC></url>"))
-    parts = pages.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("k", entry.alias("e")))).alias("l"))
+    part = F.concat_ws("/", "site", F.floor(F.col("k") / 1000).cast("string"))
+    parts = pages.groupBy(part.alias("sitemap")).agg(F.array_sort(F.collect_list(F.struct("k", entry.alias("e")))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["e"]), "")
-    return parts.select(F.col("site").alias("sitemap"), F.concat(F.lit("<urlset>"), body, F.lit("</urlset>")).alias("content"))
+    return parts.select("sitemap", F.concat(F.lit("<urlset>"), body, F.lit("</urlset>")).alias("content"))
 
 
-@query("src_04_sitemap_urls", P, "WITH f AS (select site, rtrim(url, '/') as url, min(k) as k from fx_pages group by 1, 2) select site as sitemap, cast(row_number() over (partition by site order by k) as int) as pos, url from f")
+@query("src_04_sitemap_urls", P, "WITH f AS (select concat(site, '/', k // 1000) as sitemap, rtrim(url, '/') as url, min(k) as k from fx_pages group by 1, 2) select sitemap, cast(row_number() over (partition by sitemap order by k) as int) as pos, url from f")
 def _(spark, sf):
     return SM.sitemap_urls(sitemap_files(spark, sf))
 
@@ -179,10 +180,10 @@ def _(spark, sf):
     return SPEED.flatten_reports(speed_reports(spark, sf)).select("url", "perf_score", "seo_score", "lcp_ms", "inp_ms", "cls", "lcp_status", "cls_status")
 
 
-@query("src_06_web_vitals", P, "select url, case when k % 10 <> 0 then round(response_time_ms * 2 / cast(1000 as double), 4) end as lcp_s, round((k % 5) / cast(10 as double), 4) as cls, round(response_time_ms / cast(4000 as double), 4) as inp_s from fx_pages")
+@query("src_06_web_vitals", P, "select url, case when k % 10 <> 0 then round(response_time_ms * 2 / cast(1000 as double), 6) end as lcp_s, round((k % 5) / cast(10 as double), 6) as cls, round(response_time_ms / cast(4000 as double), 6) as inp_s from fx_pages")
 def _(spark, sf):
     out = SPEED.web_vitals(speed_reports(spark, sf))
-    return out.select("url", *[F.round(c, 4).alias(c) for c in ("lcp_s", "cls", "inp_s")])
+    return out.select("url", *[F.round(c, 6).alias(c) for c in ("lcp_s", "cls", "inp_s")])
 
 
 _ITEMS = "it AS (select url, i, round(i * cast(10.04 as double), 1) as wasted_ms from (select url, unnest(range(1, k % 13 + 2)) as i from fx_pages) t)"

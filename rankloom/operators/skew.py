@@ -18,11 +18,11 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     The result has at most ``MAX_HOT_KEYS`` rows, so it can be broadcast whatever the input size; a
     key that does not make the list holds less than 1/MAX_HOT_KEYS of the rows.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.least(F.ceil(F.col("_n") / hot_rows).cast("int"), F.lit(MAX_SALTS))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows"))
+    parts = F.least(F.ceil(F.col("_key_rows") / hot_rows).cast("int"), F.lit(MAX_SALTS))
     return (
-        counted.where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
+        counted.where(F.col("_key_rows") > hot_rows)
+        .orderBy(F.desc("_key_rows"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(*keys, parts.alias("_parts"))
     )
