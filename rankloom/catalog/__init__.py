@@ -4,7 +4,9 @@ from rankloom.catalog import registry
 from rankloom.catalog.registry import ORACLES, QUERIES
 
 _LOADED = False
-MODULES = ["page_queries", "link_queries", "site_queries", "text_queries", "rank_queries", "source_queries", "audit_queries"]
+MODULES = [
+    "page_queries", "link_queries", "site_queries", "text_queries", "rank_queries", "source_queries", "audit_queries", "benchmark_queries",
+]
 
 
 def load() -> None:

@@ -151,3 +151,187 @@ def _(spark, sf):
 def _(spark, sf):
     scores = RA.page_cluster_scores(fx_pages(spark, sf), audit_issues(spark, sf))
     return RA.site_summary(scores, audit_issues(spark, sf))
+
+
+# --- site audit -------------------------------------------------------------------------------------------------------
+
+from rankloom.catalog.page_queries import ALL_HEADERS, DUP_SQL, INDEX_SQL, NOINDEX, PAGE_SCORE, _MM, _TT, _len_status  # noqa: E402
+from rankloom.catalog.site_queries import LABELS_CTE, labelled  # noqa: E402
+from rankloom.operators import cross_page as CP, site_audit as SA  # noqa: E402
+
+
+def counts(spark, sf):
+    return once(spark, sf, "audit-counts", lambda: SA.audit_counts(labelled(spark, sf)))
+
+
+_C = {
+    "sig_status_ok": "status_code between 200 and 399", "sig_canonical": "canonical <> ''", "sig_title": "title <> ''", "sig_meta_description": "meta_description <> ''", "sig_h1": "len(h1) > 0",
+    "sig_viewport": "viewport <> ''", "sig_https": "url like 'https://%'", "sig_all_security_headers": ALL_HEADERS, "indexable": f"{INDEX_SQL} in ('indexable', 'likely_indexable')",
+    "error_status": "status_code >= 400", "noindex": NOINDEX, "s4": "status_code // 100 = 4", "s5": "status_code // 100 = 5", "long_title": "length(title) > 60", "long_meta": "length(meta_description) > 160",
+    "dup_title": "list_contains(ls, 'Duplicate Title')", "dup_meta": "list_contains(ls, 'Duplicate Meta Description')", "http": "url like 'http://%'", "no_viewport": "viewport = ''", "locked": "contains(viewport, 'user-scalable=no')",
+    "good_viewport": "contains(viewport, 'width=device-width') and not contains(viewport, 'user-scalable=no')", "image_pages": "img_total > 2", "good_lazy": "img_total > 2 and img_lazy_pct >= 50", "heavy": "resource_count > 100",
+    "oversized": "html_size_kb > 2048", "legacy_images": "img_non_modern_count > 0", "slow": "response_time_ms > 2500", "undim": "img_total > 0 and img_missing_dims > 0", "all_lazy": "img_total > 0 and img_lazy_count > 0 and img_lazy_pct = 100",
+    "legacy_tls": f"tls_version in {_sql_list(L.WEAK_TLS)}", "weak_tls": "try_cast(regexp_extract(tls_version, '(\\d+\\.\\d+)', 1) as double) < 1.2", "mixed": "len(mixed_resources) > 0",
+    **{f"w_{h.replace('-', '_')}": f"map_contains(response_headers, '{h}')" for h in L.SECURITY_HEADERS},
+}
+COUNTS = f"""{LABELS_CTE}, ct AS (select count(*) as pages, count(*) filter (not is_error) as n, count(*) filter ({_len_status(_TT, 30, 60, 580)} <> 'ok') as title_issues, count(*) filter ({_len_status(_MM, 120, 160, 920)} <> 'ok') as meta_issues,
+ {', '.join(f'count(*) filter (not is_error and ({c})) as {k}' for k, c in _C.items())}, cast(coalesce(sum(img_missing_dims) filter (not is_error), 0) as bigint) as undimensioned_total, cast(coalesce(sum(img_non_modern_count) filter (not is_error), 0) as bigint) as legacy_total,
+ count(*) filter (not is_error and response_time_ms > 0) as timed, coalesce(sum(response_time_ms) filter (not is_error), 0) as time_total from lp)"""
+
+
+def _sh(c):
+    return f"round(cast(100 as double) * {c} / greatest(n, 1), 1)"
+
+
+COVER = COUNTS + ", cov AS (" + " UNION ALL ".join(
+    f"select '{c}' as cluster, '{s}' as signal, '{sev}' as severity, {t} as threshold_pct, {_sh('sig_' + s) if t > 0 else 'cast(100 as double)'} as coverage_pct, {f'n - sig_{s}' if t > 0 else '0'} as lost from ct"
+    for c, s, t, sev in L.CLUSTER_SIGNALS) + ")"
+
+
+@query("aud_01_signal_coverage", P, f"WITH {COVER} select cluster, signal, severity, threshold_pct, coverage_pct, coverage_pct < threshold_pct as missing from cov")
+def _(spark, sf):
+    return SA.signal_coverage(counts(spark, sf))
+
+
+def _b(c, f):
+    return f"greatest(0, 100 - round({f} * cast({c} as double) / n, 0))"
+
+
+_RAW = {
+    "indexability": "round(100 * cast(indexable as double) / n, 0) - round(30 * cast(error_status as double) / n, 0)",
+    "on_page": f"least(100, round(0.35 * {_sh('sig_title')} + 0.25 * {_sh('sig_meta_description')} + 0.25 * {_sh('sig_h1')} + 0.15 * {_sh('sig_canonical')} - 0.3 * (cast(title_issues + meta_issues as double) / (2 * n) * 100), 0))",
+    "technical": "round((40 * cast(n - no_viewport as double) + 40 * sig_https + 20 * good_viewport) / n, 0)",
+    "performance": f"round(0.35 * (case when image_pages > 0 then round(100 * cast(good_lazy as double) / image_pages, 0) else 100 end) + 0.30 * {_b('heavy', 100)} + 0.20 * {_b('oversized', 100)} + 0.15 * {_b('legacy_images', 60)}, 0)",
+    "security": "round(100 * cast(sig_all_security_headers as double) / n, 0)",
+}
+SCORES = COVER + ", raw AS (" + " UNION ALL ".join(f"select '{c}' as cluster, cast(greatest(0, {x}) as int) as raw_score from ct" for c, x in _RAW.items()) + """),
+ sc AS (select raw.cluster, raw_score, coalesce(m.crit, false) as critical_signal_missing, coalesce(m.crit, false) and raw_score > 85 as capped_at_85, case when coalesce(m.crit, false) and raw_score > 85 then 85 else raw_score end as score
+ from raw left join (select cluster, bool_or(severity = 'CRITICAL' and coverage_pct < threshold_pct) as crit from cov group by 1) m using (cluster))"""
+
+
+@query("aud_02_cluster_scores", P, f"WITH {SCORES} select * from sc")
+def _(spark, sf):
+    return SA.cluster_scores(counts(spark, sf))
+
+
+def _entries(items):
+    return " UNION ALL ".join(f"select '{g}' as cluster, '{t}' as type, '{s}' as severity, cast({c} as bigint) as pages from ct where {c} > 0" for g, t, s, c in items)
+
+
+_CI = [
+    ("indexability", "5xx_pages", "CRITICAL", "s5"), ("indexability", "4xx_pages", "CRITICAL", "s4"), ("indexability", "noindex_pages", "CRITICAL", "noindex"), ("on_page", "duplicate_titles", "HIGH", "dup_title"),
+    ("on_page", "duplicate_meta", "HIGH", "dup_meta"), ("on_page", "title_too_long", "MEDIUM", "long_title"), ("on_page", "meta_too_long", "MEDIUM", "long_meta"), ("technical", "http_pages", "CRITICAL", "http"),
+    ("technical", "missing_viewport", "CRITICAL", "no_viewport"), ("technical", "restrictive_viewport", "HIGH", "locked"), ("performance", "slow_response_time", "HIGH", "slow"),
+    ("performance", "excessive_resource_requests", "HIGH", "heavy"), ("performance", "oversized_html", "HIGH", "oversized"), ("performance", "legacy_image_formats", "MEDIUM", "legacy_images"),
+    *[("security", f"missing_header:{h}", "CRITICAL" if h == "strict-transport-security" else "HIGH", f"(n - w_{h.replace('-', '_')})") for h in L.SECURITY_HEADERS], ("security", "legacy_tls", "CRITICAL", "legacy_tls")]
+CISS = SCORES + f", ci AS (select cluster, concat('missing_signal:', signal) as type, severity, cast(lost as bigint) as pages from cov where coverage_pct < threshold_pct UNION ALL {_entries(_CI)})"
+
+
+@query("aud_03_cluster_issues", P, f"WITH {CISS} select * from ci")
+def _(spark, sf):
+    return SA.cluster_issues(counts(spark, sf))
+
+
+@query("aud_04_gap_list", P, f"WITH {COVER} select cluster, signal, severity, threshold_pct, coverage_pct, round(threshold_pct - coverage_pct, 1) as gap from cov where coverage_pct < threshold_pct")
+def _(spark, sf):
+    return SA.gap_list(counts(spark, sf))
+
+
+def violations(spark, sf):
+    """One row per violation of the four consistency checks."""
+    pages = fx_pages(spark, sf)
+    sm = CP.sitemap_conflicts(pages, sitemap(spark, sf)).where("type in ('sitemap_noindex', 'sitemap_error_page')")
+    parts = [
+        (sm, "sitemap_indexability"), (CP.canonical_and_noindex(pages.where("not is_error")), "canonical_noindex"),
+        (CP.hreflang_not_returned(pages), "hreflang_reciprocity"), (CP.broken_links(CP.link_rows(pages), pages), "links_status")]
+    out = None
+    for rows, name in parts:
+        named = rows.select(F.lit(name).alias("check"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+@query("aud_05_consistency", P, f"""WITH {SITEMAP}, s AS (select distinct rtrim(url, '/') as k from sm), c AS (select rtrim(url, '/') as k, bool_or(robots_noindex or contains(robots_meta, 'noindex')) as ni, bool_or(is_error or status_code >= 400) as er from fx_pages group by 1),
+ tg AS (select rtrim(url, '/') as src, t.lang as lang, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from fx_pages) a), li AS (select url, rtrim(unnest(links), '/') as d from fx_pages where not is_error), pk AS (select rtrim(url, '/') as k, min(status_code) as st from fx_pages group by 1),
+ v AS (select 'sitemap_indexability' as "check", (select count(*) from s join c using (k) where ni) + (select count(*) from s join c using (k) where er) as violations UNION ALL select 'canonical_noindex', count(*) from fx_pages where not is_error and canonical <> '' and rtrim(canonical, '/') <> rtrim(url, '/') and (robots_noindex or contains(robots_meta, 'noindex') or contains(x_robots_tag, 'noindex'))
+ UNION ALL select 'hreflang_reciprocity', count(*) from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src) UNION ALL select 'links_status', count(*) from li join pk on pk.k = li.d where st >= 400)
+ select "check", violations, case when violations > 0 then 'issues_found' else 'ok' end as status from v""")
+def _(spark, sf):
+    return SA.consistency(violations(spark, sf))
+
+
+_RARE = [("strict-transport-security", "hsts_missing", "HIGH", 80), ("content-security-policy", "csp_missing", "HIGH", 50), ("x-frame-options", "x_frame_options_missing", "MEDIUM", 80),
+         ("x-content-type-options", "x_content_type_missing", "MEDIUM", 80), ("referrer-policy", "referrer_policy_missing", "HIGH", 80), ("permissions-policy", "permissions_policy_missing", "HIGH", 80)]
+_SI = [("security", "http_pages", "CRITICAL", "http"), ("security", "mixed_content", "HIGH", "mixed"), ("security", "weak_tls", "CRITICAL", "weak_tls"),
+       *[("security", kind, sev, f"(case when {_sh('w_' + h.replace('-', '_'))} < {least} then n - w_{h.replace('-', '_')} else 0 end)") for h, kind, sev, least in _RARE]]
+_PI = [("performance", "slow_server_response", "HIGH", "slow"), ("performance", "cls_risk_undimensioned_images", "MEDIUM", "undim"), ("performance", "lcp_risk_all_images_lazy", "MEDIUM", "all_lazy"),
+       ("performance", "excessive_resource_requests", "HIGH", "heavy"), ("performance", "oversized_html_response", "HIGH", "oversized"), ("performance", "legacy_image_formats", "MEDIUM", "legacy_images"), ("performance", "missing_viewport", "HIGH", "no_viewport")]
+
+
+@query("aud_06_security_issues", P, f"WITH {COUNTS} {_entries(_SI)}")
+def _(spark, sf):
+    return SA.security_issues(counts(spark, sf))
+
+
+@query("aud_06_security_summary", P, f"""WITH {COUNTS} select {', '.join(f"{_sh('w_' + h.replace('-', '_'))} as {h.replace('-', '_')}_pct" for h in L.SECURITY_HEADERS)}, {_sh('sig_https')} as https_pct, {_sh('sig_all_security_headers')} as all_headers_pct,
+ case when {_sh('sig_all_security_headers')} >= 80 and http = 0 then 'secure' else 'needs_work' end as status from ct""")
+def _(spark, sf):
+    return SA.security_summary(counts(spark, sf))
+
+
+@query("aud_07_performance_issues", P, f"WITH {COUNTS} {_entries(_PI)}")
+def _(spark, sf):
+    return SA.performance_issues(counts(spark, sf))
+
+
+@query("aud_07_performance_summary", P, f"WITH {COUNTS} select slow as slow_pages, timed, cast(round(time_total / cast(timed as double), 0) as int) as avg_response_time_ms, undimensioned_total, legacy_total from ct")
+def _(spark, sf):
+    return SA.performance_summary(counts(spark, sf)).drop("largest_kb")
+
+
+@query("aud_07_web_vital_status", P, """WITH v AS (select url, case when k % 10 <> 0 then response_time_ms * 2 / cast(1000 as double) end as l, (k % 5) / cast(10 as double) as c, response_time_ms / cast(4000 as double) as i from fx_pages where k % 2 = 1)
+ select url, case when coalesce(l > 4, false) or c > cast(0.25 as double) or i > 0.5 then 'poor' when coalesce(l > 2.5, false) or c > cast(0.1 as double) or i > cast(0.2 as double) then 'needs_improvement' else 'good' end as status,
+ concat_ws(',', case when l > 2.5 then 'lcp_s' end, case when c > cast(0.1 as double) then 'cls' end, case when i > cast(0.2 as double) then 'inp_s' end) as exceeded from v""")
+def _(spark, sf):
+    return SA.web_vital_status(vitals(spark, sf)).select("url", "status", F.array_join("exceeded", ",").alias("exceeded"))
+
+
+@query("aud_07_web_vital_proxies", P, "select url, case when response_time_ms < 800 then 'likely_ok' when response_time_ms < 2500 then 'at_risk' else 'likely_poor' end as lcp_est, case when img_missing_dims = 0 then 'likely_ok' when img_missing_dims < 3 then 'at_risk' else 'likely_poor' end as cls_est, 'unknown' as inp_est from fx_pages where not is_error")
+def _(spark, sf):
+    return SA.web_vital_proxies(fx_pages(spark, sf))
+
+
+FINAL = CISS + f""", ai AS (select * from ci UNION ALL {_entries(_SI)} UNION ALL {_entries(_PI)}), fi AS (select cast(round(avg(score), 0) as int) as m, coalesce(string_agg(case when capped_at_85 then cluster end, ',' order by cluster), '') as capped_clusters from sc),
+ fs AS (select case when c > 0 and m > 90 then 90 else m end as site_score, c as critical_issues, case when c > 0 and m > 90 then 'capped at 90: critical issues' when c > 0 then 'critical issues present' else '' end as reason, capped_clusters from fi, (select count(*) filter (severity = 'CRITICAL') as c from ai) x)"""
+
+
+@query("aud_08_final_score", P, f"WITH {FINAL} select *, {SITE.format('site_score')} as site_grade from fs")
+def _(spark, sf):
+    return SA.final_score(counts(spark, sf))
+
+
+@query("aud_09_audit_summary", P, f"""WITH {FINAL}, g AS (select {SITE.format('s')} as name, count(*) as value from (select {PAGE_SCORE} as s from fx_pages where not is_error) t group by 1)
+ select 'size' as section, 'pages_crawled' as name, pages as value from ct UNION ALL select 'size', 'pages_analysed', n from ct UNION ALL select 'size', 'error_pages', pages - n from ct UNION ALL select 'indexability', {INDEX_SQL}, count(*) from fx_pages group by 2
+ UNION ALL select 'severity', severity, count(*) from ai group by 2 UNION ALL select 'cluster_score', cluster, score from sc UNION ALL select 'page_grade', name, value from g UNION ALL select 'final', {SITE.format('site_score')}, site_score from fs""")
+def _(spark, sf):
+    return SA.audit_summary(labelled(spark, sf), counts(spark, sf))
+
+
+def cross_counts(spark, sf):
+    """Violations of the checks that compare pages, with the severity of their bucket."""
+    found = SA.consistency(violations(spark, sf)).where("violations > 0")
+    severity = F.when(F.col("check") == "hreflang_reciprocity", "MEDIUM").otherwise("CRITICAL")
+    return found.select(F.col("check").alias("type"), severity.alias("severity"), F.col("violations").alias("pages"))
+
+
+@query("aud_10_roadmap", P, None)
+def _(spark, sf):
+    return SA.roadmap(counts(spark, sf), cross_counts(spark, sf))
+
+
+@query("aud_11_full_audit_scores", P, f"WITH {FINAL} select 'site' as level, 'site' as name, site_score as score from fs UNION ALL select 'cluster', cluster, score from sc UNION ALL select 'page', url, cast({PAGE_SCORE} as int) from fx_pages where not is_error")
+def _(spark, sf):
+    from rankloom.plans.full_audit import run_full_audit
+
+    result = run_full_audit(fx_pages(spark, sf), sitemap(spark, sf), vitals(spark, sf))
+    return result["scores"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom import lookups as L
 from rankloom.catalog.fixtures import fx_pages, table, view
 from rankloom.catalog.registry import query
+from rankloom.catalog.text_queries import once
 from rankloom.operators import keyword_sets as KS, ranks as RK, summaries as SU, views as VW
 from rankloom.sources.result_pages import organic_results
 
@@ -147,6 +148,11 @@ def _(spark, sf):
 # --- result pages -----------------------------------------------------------------------------------------------------
 
 def result_pages(spark, sf):
+    """Saved result pages, kept as a table."""
+    return once(spark, sf, "result-pages", lambda: _result_pages(spark, sf))
+
+
+def _result_pages(spark, sf):
     """A saved result page per page: redirect link, engine links, direct links, a data link and a cited link."""
     base = view(spark, sf, "fx_pages").select("k", "url", "next_url", "prev_url")
     nxt, prv = F.coalesce("next_url", F.lit("https://first.example.com/")), F.coalesce("prev_url", F.lit("https://last.example.com/"))

@@ -149,6 +149,11 @@ def _(spark, sf):
 # --- page speed -------------------------------------------------------------------------------------------------------
 
 def speed_reports(spark, sf):
+    """Page-speed reports, kept as a table."""
+    return once(spark, sf, "speed-reports", lambda: _speed_reports(spark, sf))
+
+
+def _speed_reports(spark, sf):
     """A page-speed report per page, its numbers taken from the page facts."""
     p = view(spark, sf, "fx_pages")
     k, rt = F.col("k"), F.col("response_time_ms").cast("double")

@@ -208,7 +208,8 @@ def pagination_breaks(pages: DataFrame) -> DataFrame:
     ).where("nxt <> '' or prv <> ''")
     forward = known.select(F.col("key").alias("nxt"), U.strip_slash(F.trim("pagination_prev")).alias("back"), F.lit(True).alias("has_next"))
     backward = known.select(F.col("key").alias("prv"), F.lit(True).alias("has_prev"))
-    joined = salted_join(salted_join(rows, forward, ["nxt"], F.col("source"), "left"), backward, ["prv"], F.col("source"), "left")
+    ahead = salted_join(rows, forward, ["nxt"], F.col("source"), "left")
+    joined = salted_join(ahead, backward, ["prv"], F.col("source"), "left", hot=hot_keys(rows, ["prv"]))
     lost_next = (F.col("nxt") != "") & F.col("has_next").isNull()
     no_return = (F.col("nxt") != "") & F.col("has_next") & (F.col("back") != F.col("source"))
     lost_prev = ~lost_next & (F.col("prv") != "") & F.col("has_prev").isNull()

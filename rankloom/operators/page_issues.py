@@ -63,14 +63,14 @@ def duplicate_key(column: str) -> Column:
 
 def detect_issues(pages: DataFrame) -> DataFrame:
     """Light labels plus the duplicate-title and duplicate-meta labels."""
-    keyed = light_issues(pages).withColumns(
-        {
-            "_title_key": F.when(F.col("is_error"), "").otherwise(duplicate_key("title")),
-            "_meta_key": F.when(F.col("is_error"), "").otherwise(duplicate_key("meta_description")),
-        }
-    )
-    by_meta = with_group_size(keyed, "_meta_key", F.col("url")).withColumnRenamed("n_rows", "_n_meta")
-    both = with_group_size(by_meta, "_title_key", F.col("url")).withColumnRenamed("n_rows", "_n_title")
+    key_columns = {
+        "_title_key": F.when(F.col("is_error"), "").otherwise(duplicate_key("title")),
+        "_meta_key": F.when(F.col("is_error"), "").otherwise(duplicate_key("meta_description")),
+    }
+    keyed = light_issues(pages).withColumns(key_columns)
+    keys = pages.select(*[c.alias(name) for name, c in key_columns.items()])
+    by_meta = with_group_size(keyed, "_meta_key", F.col("url"), source=keys).withColumnRenamed("n_rows", "_n_meta")
+    both = with_group_size(by_meta, "_title_key", F.col("url"), source=keys).withColumnRenamed("n_rows", "_n_title")
     found = labels(
         F.when(F.col("_n_meta").isNotNull(), "Duplicate Meta Description"),
         F.when(F.col("_n_title").isNotNull(), "Duplicate Title"),

@@ -23,9 +23,9 @@ class Rule:
     severity: str | Column
     condition: Column
 
-    def issue(self) -> Column:
+    def issue(self, scope: str) -> Column:
         severity = F.lit(self.severity) if isinstance(self.severity, str) else self.severity
-        return F.when(self.condition, F.struct(F.lit(self.type).alias("type"), F.lit(self.cluster).alias("cluster"), severity.alias("severity")))
+        return F.when(self.condition, F.struct(F.lit(scope).alias("scope"), F.lit(self.type).alias("type"), F.lit(self.cluster).alias("cluster"), severity.alias("severity")))
 
 
 # What to do about the issues of each cluster; a rule's own name says what was found.
@@ -217,13 +217,15 @@ def with_context(pages: DataFrame, sitemap: DataFrame, robots: DataFrame, vitals
     flags = listed.join(linked, "_key", "full_outer").join(blocked, "_key", "full_outer").join(speed, "_key", "full_outer")
     out = base.join(flags, "_key", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_listed", "_linked", "_blocked", "_measured")})
-    out = with_group_size(out, "_t", F.col("url")).withColumnRenamed("n_rows", "_same_title")
-    return with_group_size(out, "_m", F.col("url")).withColumnRenamed("n_rows", "_same_meta")
+    keys = pages.select(F.lower(F.trim("title")).alias("_t"), F.lower(F.trim("meta_description")).alias("_m"))
+    out = with_group_size(out, "_t", F.col("url"), source=keys).withColumnRenamed("n_rows", "_same_title")
+    return with_group_size(out, "_m", F.col("url"), source=keys).withColumnRenamed("n_rows", "_same_meta")
 
 
-def _fired(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    hits = F.filter(F.array(*[r.issue() for r in rules]), lambda i: i.isNotNull())
-    return rows.select("url", F.explode(hits).alias("i")).select("url", "i.*")
+def _fired(rows: DataFrame, rules: dict[str, list[Rule]]) -> DataFrame:
+    """One row per rule that applies, with the scope it is counted for; all rules in one pass."""
+    issues = F.array(*[r.issue(scope) for scope, group in rules.items() for r in group])
+    return rows.select("url", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("i")).select("url", "i.*")
 
 
 def _labelled(rows: DataFrame, kind: str, cluster: str, severity: str | Column) -> DataFrame:
@@ -266,10 +268,11 @@ def rule_audit(pages: DataFrame, sitemap: DataFrame, robots: DataFrame, vitals:
     """All issues of the loaded pages: ``scope`` (page or site), ``url, type, cluster, severity, explanation, fix``."""
     real = pages.where("not is_error")
     context = with_context(real, sitemap, robots, vitals)
-    page = _fired(context, page_rules()).unionByName(joined_page_issues(real)).withColumn("scope", F.lit("page"))
-    site = _fired(context, site_rules()).unionByName(joined_site_issues(real)).withColumn("scope", F.lit("site"))
+    fired = _fired(context, {"page": page_rules(), "site": site_rules()})
+    page = joined_page_issues(real).withColumn("scope", F.lit("page"))
+    site = joined_site_issues(real).withColumn("scope", F.lit("site"))
     fixes = F.create_map(*[F.lit(x) for pair in FIXES.items() for x in pair])
-    return page.unionByName(site).select(
+    return fired.unionByName(page).unionByName(site).select(
         "scope", "url", "type", "cluster", "severity", F.replace("type", F.lit("_"), F.lit(" ")).alias("explanation"),
         F.element_at(fixes, F.col("cluster")).alias("fix"))
 

@@ -64,13 +64,15 @@ def shared_values(rows: DataFrame, key: str) -> DataFrame:
     return counted.where("n_rows > 1")
 
 
-def with_group_size(rows: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_group_size(
+    rows: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS, source: DataFrame | None = None
+) -> DataFrame:
     """Add ``n_rows``, the number of rows that share the row's value of ``key`` (null if unshared).
 
     Counts are aggregated before they are joined back; a value held by very many rows (known from the
-    counts) is handed out by broadcast instead of being gathered in one task.
+    counts) is spread over several tasks. ``source`` may give a cheaper table to count the values in.
     """
-    shared = shared_values(rows, key)
+    shared = shared_values(source if source is not None else rows, key)
     hot = (
         shared.where(F.col("n_rows") > hot_rows)
         .orderBy(F.desc("n_rows"), key)
