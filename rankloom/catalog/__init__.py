@@ -6,6 +6,7 @@ from rankloom.catalog.registry import ORACLES, QUERIES
 _LOADED = False
 MODULES = [
     "page_queries", "link_queries", "site_queries", "text_queries", "rank_queries", "source_queries", "audit_queries", "benchmark_queries",
+    "stream_queries",
 ]
 
 

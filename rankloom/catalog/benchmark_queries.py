@@ -85,7 +85,7 @@ def _(spark, sf):
 
 
 ALL = OK + ", " + ", ".join(f"d_{d} AS ({Q[d]})" for d in L.DIMENSION_WEIGHTS) + ", si AS (select distinct site from fx_pages), ss AS (select si.site, " + ", ".join(f"d_{d}.{d}" for d in L.DIMENSION_WEIGHTS) + " from si " + " ".join(f"left join d_{d} on d_{d}.site = si.site" for d in L.DIMENSION_WEIGHTS) + ")"
-_COMP = "round(" + " + ".join(f"coalesce({d}, 0) * cast({w} as double)" for d, w in L.DIMENSION_WEIGHTS.items()) + ", 1)"
+_COMP = "round(" + " + ".join(f"coalesce({d}, 0) * cast({w} as double)" for d, w in L.DIMENSION_WEIGHTS.items()) + ", 4)"
 
 
 def scores(spark, sf):
@@ -94,7 +94,7 @@ def scores(spark, sf):
 
 @query("cmp_09_composite", P, f"WITH {ALL} select site, {_COMP} as composite from ss")
 def _(spark, sf):
-    return scores(spark, sf).select("site", "composite")
+    return scores(spark, sf).select("site", F.round(BM.weighted_sum(), 4).alias("composite"))
 
 
 @query("cmp_10_dimension_matrix", P, f"WITH {ALL} " + " UNION ALL ".join(f"select site, '{d}' as dimension, coalesce({d}, 0) as score from ss" for d in L.DIMENSION_WEIGHTS))
@@ -109,7 +109,7 @@ def _(spark, sf):
     return BM.action_list(scores(spark, sf), target)
 
 
-@query("cmp_12_benchmark_job", P, f"WITH {ALL} select site, {_COMP} as composite, case when technical is not null then 'crawl' else 'report' end as source from ss where technical is not null")
+@query("cmp_12_benchmark_job", P, f"WITH {ALL} select site, technical, on_page, content, keywords, 'crawl' as source from ss where technical is not null")
 def _(spark, sf):
     from rankloom.plans.competitor_benchmark import run_benchmark
 
@@ -118,7 +118,7 @@ def _(spark, sf):
     flat = flat.join(perf, "url").withColumn("perf_score", F.when(F.col("_x"), None).otherwise(F.col("perf_score"))).drop("_x")
     target = fx_pages(spark, sf).agg(F.min("site")).head()[0]
     result = run_benchmark(scored_pages(spark, sf), flat, target, YEAR, authority(spark, sf))
-    return result["scores"].where("source = 'crawl'").select("site", "composite", "source")
+    return result["scores"].where("source = 'crawl'").select("site", "technical", "on_page", "content", "keywords", "source")
 
 
 # --- composed jobs ----------------------------------------------------------------------------------------------------

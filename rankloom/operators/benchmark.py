@@ -167,12 +167,13 @@ def scores_from_report(reports: DataFrame) -> DataFrame:
     return reports.select("url", *[F.round(F.least(v.cast("double"), F.lit(100.0)), 1).alias(k) for k, v in dims.items()])
 
 
-def composite() -> Column:
-    return F.round(sum((F.coalesce(F.col(d), F.lit(0.0)) * w for d, w in L.DIMENSION_WEIGHTS.items()), F.lit(0.0)), 1)
+def weighted_sum() -> Column:
+    """Weighted sum of the seven scores; a missing score counts as 0."""
+    return sum((F.coalesce(F.col(d), F.lit(0.0)) * w for d, w in L.DIMENSION_WEIGHTS.items()), F.lit(0.0))
 
 
 def with_composite(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("composite", composite())
+    return scores.withColumn("composite", F.round(weighted_sum(), 1))
 
 
 def dimension_matrix(scores: DataFrame) -> DataFrame:
