@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from rankloom import lookups as L
 from rankloom.catalog.fixtures import fx_pages
 from rankloom.catalog.page_queries import DEPTH, P, PATH, SITE, WC, WS, _sql_list, hdr
-from rankloom.catalog.registry import query, union_rows
+from rankloom.catalog.registry import once, query, union_rows
 from rankloom.catalog.site_queries import RULES, SITEMAP, robots_rules, sitemap
 from rankloom.catalog.source_queries import speed_reports
-from rankloom.catalog.text_queries import once
 from rankloom.operators import rule_audit as RA
 from rankloom.sources import page_speed as SPEED
 

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from rankloom import lookups as L
 from rankloom.catalog.fixtures import fx_pages
 from rankloom.catalog.page_queries import P, TECH_SCORE, WC, WS, _sql_list
-from rankloom.catalog.registry import query
+from rankloom.catalog.registry import once, query
 from rankloom.catalog.site_queries import LABELS_CTE, labelled, sitemap
 from rankloom.catalog.source_queries import speed_reports
-from rankloom.catalog.text_queries import once
 from rankloom.operators import benchmark as BM
 from rankloom.sources import page_speed as SPEED
 

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.fixtures import view
-from rankloom.catalog.registry import query
+from rankloom.catalog.registry import once, query
 from rankloom.operators import cross_page as CP, link_graph as GR
+from rankloom.sources.tables import spread
 
 V = ("fx_link_nodes", "fx_links")
 _GRAPHS: dict[tuple[str, str], tuple] = {}
 
 
+def links(spark, sf):
+    """The link table, kept as a crawl would keep it."""
+    return once(spark, sf, "links", lambda: spread(view(spark, sf, "fx_links"), "src", "dst"))
+
+
+def link_nodes(spark, sf):
+    return once(spark, sf, "link-nodes", lambda: view(spark, sf, "fx_link_nodes"))
+
+
 def graph(spark, sf):
     return _parts(spark, sf)[0]
 
@@ -20,7 +30,7 @@ def _parts(spark, sf):
     """Graph, depths and ranks, computed once per application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _GRAPHS:
-        g = GR.build_graph(view(spark, sf, "fx_link_nodes"), view(spark, sf, "fx_links"))
+        g = GR.build_graph(link_nodes(spark, sf), links(spark, sf))
         _GRAPHS[key] = [g, None, None]
     return _GRAPHS[key]
 
@@ -41,12 +51,12 @@ def ranks(spark, sf):
 
 def issue_counts(spark, sf):
     """Issues per page: its broken and redirected links, and its own error status."""
-    rows = CP.bad_targets_by_page(view(spark, sf, "fx_links"), view(spark, sf, "fx_link_nodes"))
+    rows = CP.bad_targets_by_page(links(spark, sf), link_nodes(spark, sf))
     return rows.groupBy(F.col("src").alias("url")).agg(F.sum("n").alias("issue_count"))
 
 
 def issue_lists(spark, sf):
-    rows = CP.bad_targets_by_page(view(spark, sf, "fx_links"), view(spark, sf, "fx_link_nodes"))
+    rows = CP.bad_targets_by_page(links(spark, sf), link_nodes(spark, sf))
     label = F.concat_ws(" ", "kind", F.col("n").cast("string"))
     return rows.groupBy(F.col("src").alias("url")).agg(F.array_sort(F.collect_list(label)).alias("issues"))
 
@@ -143,18 +153,18 @@ def _(spark, sf):
 @query("jon_01_broken_links", V, """select 'broken_internal_link' as type, case when t.status_code >= 500 then 'CRITICAL' else 'HIGH' end as severity, l.src as source, l.dst as target, t.status_code as status
  from fx_links l join fx_link_nodes t on t.url = l.dst where t.status_code >= 400""")
 def _(spark, sf):
-    return CP.broken_links(view(spark, sf, "fx_links"), view(spark, sf, "fx_link_nodes"))
+    return CP.broken_links(links(spark, sf), link_nodes(spark, sf))
 
 
 @query("jon_02_bad_targets_by_page", V, """WITH h AS (select l.src, l.dst, case when t.status_code >= 400 then 'broken' else 'redirect' end as kind from fx_links l join fx_link_nodes t on t.url = l.dst
  where t.status_code >= 400 or t.redirect_hops > 1), k AS (select *, row_number() over (partition by src, kind order by dst) as rn, count(*) over (partition by src, kind) as n from h)
  select src, kind, n, string_agg(dst, ' ' order by dst) as targets from k where rn <= 20 group by src, kind, n""")
 def _(spark, sf):
-    out = CP.bad_targets_by_page(view(spark, sf, "fx_links"), view(spark, sf, "fx_link_nodes"))
+    out = CP.bad_targets_by_page(links(spark, sf), link_nodes(spark, sf))
     return out.select("src", "kind", "n", F.array_join("targets", " ").alias("targets"))
 
 
 @query("jon_03_widely_linked_dead", V, """select l.dst as url, t.status_code as status, count(distinct l.src) as sources from fx_links l join fx_link_nodes t on t.url = l.dst
  where t.status_code >= 400 group by 1, 2 having count(distinct l.src) > 5""")
 def _(spark, sf):
-    return CP.widely_linked_dead(view(spark, sf, "fx_links"), view(spark, sf, "fx_link_nodes"))
+    return CP.widely_linked_dead(links(spark, sf), link_nodes(spark, sf))

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom import lookups as L
 from rankloom.catalog.fixtures import fx_pages, table, view
-from rankloom.catalog.registry import query
-from rankloom.catalog.text_queries import once
+from rankloom.catalog.registry import once, query
 from rankloom.operators import keyword_sets as KS, ranks as RK, summaries as SU, views as VW
 from rankloom.sources.result_pages import organic_results
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.catalog.fixtures import ctes
+from rankloom.sources.tables import kept
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -35,6 +36,17 @@ def query(name: str, views: tuple[str, ...] = (), oracle: str | None = None) ->
     return add
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table several queries read, built and written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = kept(build(), name)
+    return _KEPT[key]
+
+
 def union_rows(source: str, columns: str, rules: list[tuple[str, ...]], fields: tuple[str, ...]) -> str:
     """UNION ALL of one SELECT per rule: (condition, expression per field)."""
     selects = []

@@ -8,21 +8,17 @@ from rankloom.catalog.fixtures import fx_pages, table
 from rankloom.catalog.page_queries import (
     DUP_SQL, INDEX_SQL, LETTER, P, RANKING_CTE, TECH_SCORE, WC, WS, intent_sql,
 )
-from rankloom.catalog.registry import query
+from rankloom.catalog.registry import once, query
 from rankloom.operators import cross_page as CP, page_issues as PI, summaries as SU, technical as TE, views as VW
-from rankloom.sources.tables import kept
-
-_LABELLED: dict[tuple[str, str], object] = {}
-
 
 def labelled(spark, sf):
-    """Pages with light labels, priority and ranking score, kept once per application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LABELLED:
+    """Pages with light labels, priority and ranking score, kept as a table."""
+
+    def build():
         pages = PI.detect_issues(fx_pages(spark, sf))
-        pages = pages.withColumn("priority", PI.priority_label(F.col("issues"))).withColumn("score", TE.ranking_score())
-        _LABELLED[key] = kept(pages, "labelled-pages")
-    return _LABELLED[key]
+        return pages.withColumn("priority", PI.priority_label(F.col("issues"))).withColumn("score", TE.ranking_score())
+
+    return once(spark, sf, "labelled-pages", build)
 
 
 LABELS_CTE = f"""rows AS ({DUP_SQL}), pr AS (select p.url, count(r.issue) as n_issues, case when count(r.issue) = 0 then ''

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.fixtures import table
-from rankloom.catalog.registry import query
-from rankloom.catalog.text_queries import once
+from rankloom.catalog.registry import once, query
 from rankloom.sources.page_facts import extract_pages, mixed_content
 from rankloom.sources.tables import spread
 

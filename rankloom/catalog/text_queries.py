@@ -7,23 +7,11 @@ from pyspark.sql import functions as F
 from rankloom import lookups as L
 from rankloom.catalog.fixtures import fx_docs, fx_pages
 from rankloom.catalog.page_queries import P, _sql_list, competition_sql, intent_sql
-from rankloom.catalog.registry import query
+from rankloom.catalog.registry import once, query
 from rankloom.functions import text as TX
 from rankloom.operators import keyword_sets as KS, near_duplicates as ND, text_mining as TM
-from rankloom.sources.tables import kept
 
 D = ("fx_docs",)
-_KEPT: dict[tuple[str, str, str], object] = {}
-
-
-def once(spark, sf, name, build):
-    """A table several queries read, built once per application."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _KEPT:
-        _KEPT[key] = kept(build(), name)
-    return _KEPT[key]
-
-
 TOK = "tok AS (select doc_id, unnest(regexp_extract_all(body_text, '[a-z]{3,}')) as term from fx_docs), tf AS (select doc_id, term, count(*) as tf from tok group by 1, 2)"
 TFIDF = f"""{TOK}, voc AS (select term, sum(tf) as total, count(*) as df from tf group by 1 order by 2 desc, 1 limit 5000), nd AS (select count(*) as n from fx_docs),
  w AS (select doc_id, term, (1 + ln(cast(tf as double))) * (ln((1.0 + n) / (1.0 + df)) + 1) as w from tf join voc using (term), nd),

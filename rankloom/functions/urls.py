@@ -15,26 +15,46 @@ def match_key(url: Column) -> Column:
     return F.lower(strip_slash(url))
 
 
+def _plain(url: Column) -> Column:
+    """Without query and fragment."""
+    return F.substring_index(F.substring_index(url, "#", 1), "?", 1)
+
+
+def _head(plain: Column) -> Column:
+    """Scheme and host of an absolute URL; plain text functions, as URLs are taken apart for every link."""
+    return F.substring_index(plain, "/", 3)
+
+
+def _absolute(plain: Column) -> Column:
+    return F.contains(plain, F.lit("://"))
+
+
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    plain = _plain(url)
+    return F.when(_absolute(plain), F.lower(F.substring_index(_head(plain), "/", -1))).otherwise("")
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    plain = _plain(url)
+    return F.when(_absolute(plain), F.substr(plain, F.length(_head(plain)) + 1)).otherwise(plain)
 
 
 def query(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    kept = F.substring_index(url, "#", 1)
+    return F.substr(kept, F.length(F.substring_index(kept, "?", 1)) + 2)
 
 
 def scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    plain = _plain(url)
+    return F.when(_absolute(plain), F.lower(F.substring_index(plain, "://", 1))).otherwise("")
 
 
 def node_key(url: Column) -> Column:
     """Graph node: scheme, lower-case host and path, without query, fragment and trailing slashes."""
-    trimmed = strip_slash(path(url))
-    return F.concat(scheme(url), F.lit("://"), host(url), F.when(trimmed == "", "/").otherwise(trimmed))
+    plain = _plain(url)
+    head = _head(plain)
+    rest = strip_slash(F.substr(plain, F.length(head) + 1))
+    return F.concat(F.lower(head), F.when(rest == "", "/").otherwise(rest))
 
 
 def root(url: Column) -> Column:

@@ -39,23 +39,29 @@ def _meta(attribute: str, name: str, exact: bool = False) -> Column:
     return F.trim(_first(F.transform(hits, lambda e: _attr(e, "content"))))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def resolve(base: Column, ref: Column) -> Column:
     """Absolute form of a reference found on the page ``base``."""
-    ref = F.trim(ref)
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    plain = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(U.path(base) == "", F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
-    joined = (
-        F.when(ref == "", F.regexp_replace(base, "#.*$", ""))
-        .when(F.rlike(ref, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), ref)
-        .when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref))
-        .when(F.startswith(ref, F.lit("/")), F.concat(root, ref))
-        .when(F.startswith(ref, F.lit("?")), F.concat(plain, ref))
-        .when(F.startswith(ref, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
-        .otherwise(F.concat(folder, ref))
-    )
-    return _without_dots(joined)
+    plain = F.substring_index(F.substring_index(base, "#", 1), "?", 1)
+    root = F.substring_index(plain, "/", 3)
+    folder = F.when(plain == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
+
+    def join(r: Column) -> Column:
+        return (
+            F.when(r == "", F.substring_index(base, "#", 1))
+            .when(F.rlike(r, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), r)
+            .when(F.startswith(r, F.lit("//")), F.concat(F.substring_index(base, "//", 1), r))
+            .when(F.startswith(r, F.lit("/")), F.concat(root, r))
+            .when(F.startswith(r, F.lit("?")), F.concat(plain, r))
+            .when(F.startswith(r, F.lit("#")), F.concat(F.substring_index(base, "#", 1), r))
+            .otherwise(F.concat(folder, r))
+        )
+
+    return _let(_let(F.trim(ref), join), _without_dots)
 
 
 def _without_dots(url: Column) -> Column:
@@ -69,9 +75,9 @@ def _without_dots(url: Column) -> Column:
     )
     ends = F.rlike(path, F.lit(r"/\.\.?$"))
     clean = F.concat(F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))
-    head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     tail = F.regexp_extract(url, r"([?#].*)$", 1)
-    return F.when(F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)")), F.concat(head, clean, tail)).otherwise(url)
+    dotted = F.contains(url, F.lit("/.")) & F.rlike(path, F.lit(r"(^|/)\.\.?(/|$)"))
+    return F.when(dotted, F.concat(F.substring_index(url, "/", 3), clean, tail)).otherwise(url)
 
 
 _SKIP = r"^(#|mailto:|tel:|javascript:)"
