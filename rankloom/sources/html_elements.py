@@ -80,7 +80,8 @@ class _Elements(HTMLParser):
         self._close(tag)
         if tag == "nav" and self.navs:
             self.navs.pop()
-        if tag == "li":
+        if tag in ("li", "ul", "ol", "nav"):  # a list also ends its last item
+            self._close("li")
             self.item = None
         if tag in self.hidden:
             while self.hidden and self.hidden.pop() != tag:

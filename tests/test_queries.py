@@ -1,4 +1,4 @@
-"""A part of the registered queries against their SQL, on the smallest data set."""
+"""A part of the registered queries against their SQL, on the data set they are checked at."""
 
 import sys
 from pathlib import Path
@@ -13,7 +13,7 @@ import check_oracle as CO  # noqa: E402
 from rankloom import catalog  # noqa: E402
 
 catalog.load()
-SMALL = "/root/testdata/sf0.001"
+SMALL = "/root/testdata/sf0.01"
 NAMES = [
     "iss_02_labels_with_duplicates", "iss_14_page_validator", "tec_17_page_audit", "tec_18_inbound_links", "jon_01_broken_links", "jon_10_pagination_breaks",
     "agg_04_technical_summary", "win_05_rank_drops", "set_01_issue_diff", "txt_01_tfidf_keywords", "txt_07_near_duplicates", "gra_02_pagerank", "src_02i_head_links",

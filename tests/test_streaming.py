@@ -16,7 +16,7 @@ def _day(d, h=0):
 
 def test_alerts_keep_the_last_known_position_and_skip_late_rows(spark, tmp_path):
     first = [("d", "k", 3, _day(1), 1), ("d", "k", None, _day(2), 2), ("d", "j", 5, _day(2), 3)]
-    second = [("d", "k", 9, _day(3), 4), ("d", "k", 1, _day(1, 5), 5), ("d", "k", 16, _day(4), 6), ("d", "j", 7, _day(3), 7)]
+    second = [("d", "k", 9, _day(3), 4), ("d", "k", 1, _day(1) - dt.timedelta(hours=5), 5), ("d", "k", 16, _day(4), 6), ("d", "j", 7, _day(3), 7)]
     source = str(tmp_path / "in")
     rows = None
     for part in (first, second):
