@@ -250,10 +250,13 @@ def violations(spark, sf):
     return out
 
 
-@query("aud_05_consistency", P, f"""WITH {SITEMAP}, s AS (select distinct rtrim(url, '/') as k from sm), c AS (select rtrim(url, '/') as k, bool_or(robots_noindex or contains(robots_meta, 'noindex')) as ni, bool_or(is_error or status_code >= 400) as er from fx_pages group by 1),
+CHECKS = f"""{SITEMAP}, s AS (select distinct rtrim(url, '/') as k from sm), c AS (select rtrim(url, '/') as k, bool_or(robots_noindex or contains(robots_meta, 'noindex')) as ni, bool_or(is_error or status_code >= 400) as er from fx_pages group by 1),
  tg AS (select rtrim(url, '/') as src, t.lang as lang, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from fx_pages) a), li AS (select url, rtrim(unnest(links), '/') as d from fx_pages where not is_error), pk AS (select rtrim(url, '/') as k, min(status_code) as st from fx_pages group by 1),
  v AS (select 'sitemap_indexability' as "check", (select count(*) from s join c using (k) where ni) + (select count(*) from s join c using (k) where er) as violations UNION ALL select 'canonical_noindex', count(*) from fx_pages where not is_error and canonical <> '' and rtrim(canonical, '/') <> rtrim(url, '/') and (robots_noindex or contains(robots_meta, 'noindex') or contains(x_robots_tag, 'noindex'))
- UNION ALL select 'hreflang_reciprocity', count(*) from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src) UNION ALL select 'links_status', count(*) from li join pk on pk.k = li.d where st >= 400)
+ UNION ALL select 'hreflang_reciprocity', count(*) from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src) UNION ALL select 'links_status', count(*) from li join pk on pk.k = li.d where st >= 400)"""
+
+
+@query("aud_05_consistency", P, f"""WITH {CHECKS}
  select "check", violations, case when violations > 0 then 'issues_found' else 'ok' end as status from v""")
 def _(spark, sf):
     return SA.consistency(violations(spark, sf))
@@ -323,7 +326,10 @@ def cross_counts(spark, sf):
     return found.select(F.col("check").alias("type"), severity.alias("severity"), F.col("violations").alias("pages"))
 
 
-@query("aud_10_roadmap", P, None)
+@query("aud_10_roadmap", P, f"""WITH {FINAL}, {CHECKS}, al AS (select 0 as l, type, severity, pages from ({_entries(_SI)}) a UNION ALL select 1, type, severity, pages from ci UNION ALL select 3, type, severity, pages from ({_entries(_PI)}) b
+ UNION ALL select 2, "check", case when "check" = 'hreflang_reciprocity' then 'MEDIUM' else 'CRITICAL' end, violations from v where violations > 0),
+ tx AS (select case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIUM' then 3 else 4 end as priority, concat(pages, ' pages: ', regexp_replace(type, '[_:]', ' ', 'g')) as issue, pages, l from al)
+ select priority, issue, pages from tx qualify row_number() over (partition by priority, lower(trim(substr(issue, 1, 38))) order by l, issue) = 1""")
 def _(spark, sf):
     return SA.roadmap(counts(spark, sf), cross_counts(spark, sf))
 

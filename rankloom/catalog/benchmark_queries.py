@@ -8,7 +8,7 @@ from rankloom import lookups as L
 from rankloom.catalog.fixtures import fx_pages
 from rankloom.catalog.page_queries import P, TECH_SCORE, WC, WS, _sql_list
 from rankloom.catalog.registry import once, query
-from rankloom.catalog.site_queries import LABELS_CTE, labelled, sitemap
+from rankloom.catalog.site_queries import LABELS_CTE, SITEMAP, WALK, labelled, sitemap
 from rankloom.catalog.source_queries import speed_reports
 from rankloom.operators import benchmark as BM
 from rankloom.sources import page_speed as SPEED
@@ -122,7 +122,23 @@ def _(spark, sf):
 
 # --- composed jobs ----------------------------------------------------------------------------------------------------
 
-@query("iss_15_validation_suite", P, None)
+@query("iss_15_validation_suite", P, f"""WITH RECURSIVE {WALK}, d AS (select start, state, case when state = 'left' then path[1:len(path) - 1] else path end as path from w where state <> 'open'), {SITEMAP},
+ li AS (select rtrim(unnest(links), '/') as d from fx_pages where not is_error), pk AS (select rtrim(url, '/') as k, min(status_code) as st, min(pagination_prev) as pv from fx_pages group by 1), tg AS (select rtrim(url, '/') as src, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from fx_pages) a),
+ pg AS (select rtrim(p.url, '/') as source, rtrim(p.pagination_next, '/') as nxt, rtrim(p.pagination_prev, '/') as prv, n.k as nu, rtrim(n.pv, '/') as back, v.k as vu from fx_pages p left join pk n on n.k = rtrim(p.pagination_next, '/') left join pk v on v.k = rtrim(p.pagination_prev, '/') where not p.is_error),
+ cw AS (select rtrim(url, '/') as k, bool_or(robots_noindex or contains(robots_meta, 'noindex')) as ni, bool_or(not is_error) as ok from fx_pages group by 1), sl AS (select distinct rtrim(url, '/') as k from sm),
+ al AS (select 'canonical_loop' as type, 'CRITICAL' as severity from d where state = 'loop' and start = list_min(path[list_position(path, path[len(path)]):len(path)])
+ UNION ALL select 'canonical_chain', 'HIGH' from d where state <> 'loop' and len(path) > 2 and start not in (select nxt from cn)
+ UNION ALL select 'broken_internal_link', case when st >= 500 then 'CRITICAL' else 'HIGH' end from li join pk on pk.k = li.d where st >= 400
+ UNION ALL select 'duplicate_content', 'HIGH' from (select count(*) over (partition by regexp_replace(body_text, '^{WS}|{WS}$', '', 'g')) as n from fx_pages where not is_error and {WC} >= 50) x where n > 1
+ UNION ALL select 'hreflang_missing_reciprocal', 'HIGH' from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src)
+ UNION ALL select 'hreflang_missing_xdefault', 'MEDIUM' from fx_pages where len(hreflang_tags) > 0 and not list_contains(list_transform(hreflang_tags, lambda t: lower(t.lang)), 'x-default')
+ UNION ALL select 'pagination_next_not_crawled', 'HIGH' from pg where nxt <> '' and nu is null UNION ALL select 'pagination_missing_reciprocal', 'HIGH' from pg where nxt <> '' and nu is not null and back <> source
+ UNION ALL select 'pagination_prev_not_crawled', 'MEDIUM' from pg where not (nxt <> '' and nu is null) and prv <> '' and vu is null
+ UNION ALL select 'orphan_page', 'MEDIUM' from fx_pages where not is_error and rtrim(url, '/') not in (select d from li) and rtrim(url, '/') not in (select rtrim(url, '/') from (select url, case when is_error then 0 else len(links) end as n from fx_pages) t order by n desc, url limit 1)
+ UNION ALL select 'duplicate_title', 'HIGH' from (select count(*) over (partition by lower(trim(title))) as n from fx_pages where not is_error and trim(title) <> '') x where n > 1
+ UNION ALL select 'duplicate_meta_description', 'HIGH' from (select count(*) over (partition by lower(trim(meta_description))) as n from fx_pages where not is_error and trim(meta_description) <> '') x where n > 1
+ UNION ALL select 'sitemap_noindex', 'CRITICAL' from sl join cw using (k) where ni UNION ALL select 'sitemap_missing', 'MEDIUM' from sl left join cw using (k) where not coalesce(ok, false))
+ select type, severity, count(*) as n from al group by 1, 2""")
 def _(spark, sf):
     from rankloom.plans.validation_suite import validate_all
 

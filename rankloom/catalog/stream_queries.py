@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.fixtures import fx_pages, table
-from rankloom.catalog.page_queries import DUP_SQL, LETTER, P, RANKING_CTE
+from rankloom.catalog.page_queries import DEPTH, DUP_SQL, INDEX_SQL, LETTER, P, RANKING_CTE, TECH_SCORE, WC, _MM, _TT, _len_status
 from rankloom.catalog.rank_queries import R
 from rankloom.catalog.registry import query
 from rankloom.catalog.site_queries import LABELS_CTE, labelled
@@ -92,11 +92,13 @@ def _(spark, sf):
     return RP.issue_detail(labelled(spark, sf))
 
 
-@query("snk_02_technical_report", P, None)
+@query("snk_02_technical_report", P, f"""select url, {TECH_SCORE} as tech_score, {LETTER.format(TECH_SCORE)} as tech_grade, {INDEX_SQL} as indexability, {_len_status(_TT, 30, 60, 580)} as title, {_len_status(_MM, 120, 160, 920)} as meta,
+ case when canonical = '' then 'missing' when rtrim(canonical, '/') = rtrim(url, '/') then 'self' else 'points_elsewhere' end as canonical, case when len(h1) = 0 then 'missing' when len(h1) > 1 then 'multiple' else 'ok' end as h1,
+ case when og_title <> '' and og_description <> '' and og_image <> '' then 'complete' when og_title <> '' or og_description <> '' then 'partial' else 'missing' end as open_graph, case when {WC} < 300 then 'thin' when {WC} < 800 then 'medium' else 'rich' end as content, cast({DEPTH} as int) as url_depth from fx_pages""")
 def _(spark, sf):
     folder = scratch_path(spark, "technical-report")
     RP.write_tables(RP.technical_tables(labelled(spark, sf)), folder)
-    return spark.read.parquet(f"{folder}/technical")
+    return spark.read.parquet(f"{folder}/technical").drop("issues")
 
 
 @query("snk_03_snapshot_totals", P, f"""WITH {RANKING_CTE}, {LABELS_CTE} select 'p1' as project_id, count(*) as page_count, count(*) filter (n_issues > 0) as issue_count, round(avg(r.score), 1) as health_score from lp join ranked r using (url) where not lp.is_error""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from rankloom import lookups as L
@@ -52,6 +54,11 @@ def expected_ctr(position: Column, intent: Column) -> Column:
     return F.round(base * F.coalesce(F.try_element_at(factors, intent), F.lit(1.0)), 4)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, also where nested functions refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def present(labels: Column) -> Column:
     """Drop the nulls of an array of conditional labels."""
     return F.filter(labels, lambda x: x.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom import lookups as L
 from rankloom.functions import text as TX, urls as U
-from rankloom.functions.scores import labels, present
+from rankloom.functions.scores import labels, let, present
 from rankloom.operators.skew import with_group_size
 
 ISSUE_TYPE = "array<struct<category:string,severity:string,code:string,detail:string>>"
@@ -116,11 +116,19 @@ def _generic(anchor: Column) -> Column:
 
 
 def anchor_counts(anchors: Column) -> Column:
-    """Map of anchor text to its number of uses, counted per page in one pass over the sorted list."""
-    distinct = F.array_distinct(anchors)
-    return F.transform(
-        distinct, lambda a: F.struct(a.alias("anchor"), F.size(F.filter(anchors, lambda x: x == a)).alias("uses"))
-    )
+    """Distinct anchor texts with their uses: runs of the sorted list, so long lists cost no more than the sort."""
+    none = F.array().cast("array<struct<anchor:string,uses:int>>")
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(s, i - 1) != F.get(s, i)))
+        return let(
+            ends,
+            lambda e: F.transform(
+                e, lambda end, k: F.struct(F.get(s, end - 1).alias("anchor"), (end - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("uses"))),
+        )
+
+    return F.when(F.size(anchors) > 0, let(F.array_sort(anchors), runs)).otherwise(none)
 
 
 def with_anchor_quality(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom import lookups as L
 from rankloom.functions import urls as U
+from rankloom.functions.scores import let
 from rankloom.schema import empty_value, lower_keys, normalise_pages, PAGE_SCHEMA
 from rankloom.sources.html_elements import html_elements
 
@@ -39,11 +40,6 @@ def _meta(attribute: str, name: str, exact: bool = False) -> Column:
     return F.trim(_first(F.transform(hits, lambda e: _attr(e, "content"))))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def resolve(base: Column, ref: Column) -> Column:
     """Absolute form of a reference found on the page ``base``."""
     plain = F.substring_index(F.substring_index(base, "#", 1), "?", 1)
@@ -61,7 +57,7 @@ def resolve(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(folder, r))
         )
 
-    return _let(_let(F.trim(ref), join), _without_dots)
+    return let(let(F.trim(ref), join), _without_dots)
 
 
 def _without_dots(url: Column) -> Column:
@@ -97,8 +93,11 @@ def link_columns() -> dict[str, Column]:
     inside = F.transform(
         F.filter(web, lambda a: U.bare_host(a["href"]) == own),
         lambda a: F.struct(F.regexp_replace(a["href"], "#.*$", "").alias("href"), a["text"].alias("text")))
-    hrefs = F.transform(inside, lambda a: a["href"])
-    first = F.filter(inside, lambda a, i: F.array_position(hrefs, a["href"]) == i + 1)
+    numbered = F.array_sort(F.transform(inside, lambda a, i: F.struct(a["href"].alias("href"), i.alias("pos"), a["text"].alias("text"))))
+    # Sorted by address and position, the first anchor of an address follows another address.
+    unique = let(numbered, lambda s: F.filter(s, lambda a, i: (i == 0) | (F.get(s, i - 1)["href"] != a["href"])))
+    in_order = F.array_sort(F.transform(unique, lambda a: F.struct(a["pos"].alias("pos"), a["href"].alias("href"), a["text"].alias("text"))))
+    first = F.transform(in_order, lambda a: F.struct(a["href"].alias("href"), a["text"].alias("text")))
     outside = F.transform(F.filter(web, lambda a: U.bare_host(a["href"]) != own), lambda a: a["href"])
     return {"link_objects": first, "external_links": F.slice(outside, 1, 50)}
 
