@@ -222,10 +222,23 @@ def _(spark, sf):
     return fx_pages(spark, sf).select("url", F.array_join(KS.merge_keywords(F.col("keywords"), F.col("h2"), third), "|").alias("keywords"))
 
 
-@query("txt_09_keyword_enrichment", P, None)
+ENRICHED = f"""ld AS (select *, lower(concat_ws(' ', title, title, title, array_to_string(h1, ' '), array_to_string(h1, ' '), meta_description, array_to_string(h2, ' '), body_text)) as tx from fx_pages where not is_error and status_code = 200 and body_text <> ''),
+ ptf AS (select url, term, count(*) as tf from (select url, unnest(regexp_extract_all(tx, '[a-z]{{3,}}')) as term from ld) t group by 1, 2), pvoc AS (select term, sum(tf) as total, count(*) as df from ptf group by 1 order by 2 desc, 1 limit 5000), pn AS (select count(*) as n from ld),
+ pwt AS (select url, term, (1 + ln(cast(tf as double))) * (ln((1.0 + n) / (1.0 + df)) + 1) as w from ptf join pvoc using (term), pn), pu AS (select url, term, w / sqrt(sum(w * w) over (partition by url)) as weight from pwt),
+ pb AS (select *, row_number() over (partition by url order by round(weight, 9) desc, term) as r from pu qualify r <= 20), pt AS (select url, list(term order by r) as terms from (select *, row_number() over (partition by url order by r) as q from pb where term not in {_sql_list(L.TERM_STOPWORDS)} qualify q <= 10) x group by 1),
+ pl AS (select url, list_filter(regexp_extract_all(lower(body_text), '[a-z]{{3,}}'), lambda w: w not in {_sql_list(L.PHRASE_STOPWORDS)}) as w from ld),
+ pg AS (select url, concat(w[i], ' ', w[i + 1]) as phrase, 2 as k from (select url, w, unnest(range(1, len(w))) as i from pl) a UNION ALL select url, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]), 3 from (select url, w, unnest(range(1, len(w) - 1)) as i from pl where len(w) > 2) b),
+ pc AS (select url, phrase, k, count(*) as n from pg group by 1, 2, 3), pr AS (select *, row_number() over (partition by url order by n desc, phrase) as r from pc qualify r <= 16),
+ pp AS (select url, list(phrase order by r) as phrases from (select *, row_number() over (partition by url order by r) as q from pr where n >= 2 or k = 3 qualify q <= 8) x group by 1),
+ pm AS (select ld.url, list_concat(coalesce(pt.terms, []), coalesce(pp.phrases, []), list_transform(ld.keywords, lambda k: lower(trim(concat(k, ' online'))))) as m from ld left join pt using (url) left join pp using (url)),
+ pk AS (select url, list_filter(list_transform(range(1, len(m) + 1), lambda i: case when list_position(m, m[i]) = i and m[i] <> '' then m[i] end), lambda x: x is not null)[1:15] as ks from pm)"""
+
+
+@query("txt_09_keyword_enrichment", P, f"""WITH {ENRICHED}, {WT}, sc AS (select url, count(*) as n from wt group by 1)
+ select pk.url, array_to_string(ks, '|') as keywords, {competition_sql('ks')} as competition, cast(coalesce(sc.n, 0) as int) as scored from pk left join sc using (url)""")
 def _(spark, sf):
     from rankloom.plans.keyword_enrichment import enrich_keywords
 
     pages = fx_pages(spark, sf)
     out = enrich_keywords(pages, suggestions(pages), positions(pages))
-    return out.select("url", F.array_join("keywords", "|").alias("keywords"), "competition", F.size("keywords_scored").alias("scored"))
+    return out.select("url", F.array_join("keywords", "|").alias("keywords"), "competition", F.coalesce(F.size("keywords_scored"), F.lit(0)).alias("scored"))
