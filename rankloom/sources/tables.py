@@ -8,12 +8,12 @@ from rankloom.session import scratch_path
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores over all cores; larger scans are left alone.
+    """Spread rows that come from fewer files than cores over all cores; larger inputs are left alone.
 
     Rows are placed by a hash of ``keys``, so that a task that runs again gets the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
