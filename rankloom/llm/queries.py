@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, secret_scan, simhash_groups
+from rankloom.llm import decontaminate, pack_two_fit, quality_rules, secret_scan, simhash_groups
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -59,3 +60,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash_groups.hex_print("fp").alias("fingerprint"), "component_id")
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_rules.fit_quality_trees(docs, table(spark, sf_dir, "labels"))
+    rows = quality_rules.quality_verdicts(docs.select("doc_id", "text"), trees)
+    return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "quality_score")
+
+
+@query("op6_best_two_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_two_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -111,8 +111,8 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFrame:
-    """Replace every span (overlapping ones as one) by ``mark``; all other columns stay."""
+def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, length_col: str | None = None) -> DataFrame:
+    """Replace every span (overlapping ones as one) by ``mark``; ``length_col`` of a changed text becomes its new length, all else stays."""
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:
@@ -121,7 +121,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK) -> DataFra
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
                         F.when(fresh | (state["at"] == 0), F.concat(state["out"], F.array(F.concat(gap, F.lit(mark))))).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))  # overlapping spans: the first has put the mark
     clean = F.aggregate("_spans", start, step, lambda st: F.concat(F.array_join(st["out"], ""), F.substring(text, st["at"] + 1, F.length(text))))
     out = secret_spans(docs, text_col, "_spans").withColumn(text_col, F.when(F.size("_spans") == 0, text).otherwise(clean))
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.size("_spans") == 0, F.col(length_col)).otherwise(F.length(text_col).cast("long")))
     return out.select(*docs.columns)
