@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, pack_two_fit, quality_rules, secret_scan, simhash_groups
+from rankloom.llm import decontaminate, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
+from rankloom.llm.labelled import fold
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -73,3 +74,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_two_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_two_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_quality_nbsvm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = quality_nbsvm.fit_quality(docs, table(spark, sf_dir, "labels"))
+    rows = quality_nbsvm.quality_scores(docs, scorer)
+    return rows.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_toxicity_compression")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_zstd.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity_zstd.toxicity_scores(docs, model)
+    return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
