@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
+from rankloom.llm import decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
 from rankloom.llm.labelled import fold
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity_zstd.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     rows = toxicity_zstd.toxicity_scores(docs, model)
     return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_language_crf")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = language_crf.predicted_languages(docs, language_crf.fit_languages(docs))
+    return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_host_consensus_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    winners = simhash_groups.stored(host_consensus.winning_paths(pages), "host-paths")
+    return host_consensus.main_texts(pages, winners, winners.count())
