@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
+from rankloom.llm import backoff_scores, decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
 from rankloom.llm.labelled import fold
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+BACKOFF_SQL = """
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, CASE WHEN k = 1 THEN '' ELSE w[k - 1] END AS c, w[k] AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM t)),
+own AS (SELECT doc_id, c, w, count(*) AS m FROM p GROUP BY ALL),
+pairs AS (SELECT c, w, sum(m) AS n FROM own GROUP BY ALL),
+firsts AS (SELECT c, sum(m) AS n FROM own GROUP BY ALL),
+own_firsts AS (SELECT doc_id, c, sum(m) AS n FROM own GROUP BY ALL),
+words AS (SELECT w, sum(m) AS n FROM own GROUP BY ALL),
+own_words AS (SELECT doc_id, w, sum(m) AS n FROM own GROUP BY ALL),
+total AS (SELECT sum(n) AS n FROM words),
+s AS (SELECT own.doc_id, sum(m) AS n_words, sum(m * CASE WHEN pairs.n > m THEN ln(pairs.n - m) - ln(firsts.n - own_firsts.n)
+        ELSE ln(0.4) + ln(greatest(words.n - own_words.n, 1)) - ln(total.n) END) AS log_score
+      FROM own JOIN pairs USING (c, w) JOIN firsts USING (c) JOIN own_firsts USING (doc_id, c) JOIN words USING (w) JOIN own_words USING (doc_id, w), total
+      GROUP BY own.doc_id)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, round(log_score / n_words, 6) AS score FROM documents LEFT JOIN s USING (doc_id)
+"""
+
+
+@query("op4_stupid_backoff_scores", BACKOFF_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = backoff_scores.backoff_scores(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
 @query("op7_secret_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
