@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.batches import slices, texts_of, words_of
+from rankloom.llm.batches import picked, slices, texts_of, words_of
 from rankloom.llm.simhash_groups import stored
 
 ALPHA = 0.4
@@ -143,7 +143,7 @@ def documents(table: pa.Table) -> np.ndarray:
 
 def per_document(doc: np.ndarray, sums: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at, ids = pd.factorize(doc)
-    return ids, np.bincount(at, weights=sums, minlength=len(ids)), np.bincount(at, weights=words, minlength=len(ids)).astype(np.int64)
+    return ids, np.bincount(at, weights=sums, minlength=len(ids)).astype(float), np.bincount(at, weights=words, minlength=len(ids)).astype(np.int64)
 
 
 def pair_join(table: pa.Table, spread: dict[int, int], buckets: int) -> pa.Table:
@@ -194,7 +194,7 @@ def word_join(blocks: pa.Table, counts: pa.Table, total: int, alpha: float) -> p
 
 def backoff_scores(docs: DataFrame, alpha: float = ALPHA, bucket_words: int = BUCKET_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, log_score, score`` of every document with an id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     counts = stored(word_counts(texts), "word-counts")
     total = counts.where(F.col("word") != START).agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // bucket_words))

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 
@@ -25,6 +27,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start, end - start)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with columns ``c0, c1, ...``, so that no name of a column can clash with those an operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def picked(df: DataFrame, **columns: str) -> DataFrame:
+    """Only some columns, by exact name: ``picked(df, text="body")`` has ``text`` from ``body``."""
+    return numbered(df).select(*[F.col(f"c{df.columns.index(name)}").alias(alias) for alias, name in columns.items()])
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

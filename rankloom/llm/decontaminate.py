@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.batches import numbered, picked
 from rankloom.llm.simhash_groups import stored
 
 SHINGLE = 5
@@ -47,7 +48,7 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``item_id, shingle, h, n_shingles, n_needed, rank``: rank orders the shingles of an item by hash."""
-    words = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), word_array(text_col).alias("words"))
+    words = picked(items, item_id=id_col, text=text_col).where(F.col("item_id").isNotNull()).select("item_id", word_array("text").alias("words"))
     return (
         words.select("item_id", shingle_texts("words").alias("shingles"))
         .groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
@@ -84,7 +85,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     shingles = stored(item_shingles(items, item_col, item_text_col, threshold), "item-shingles")
     sketches = item_sketches(shingles, threshold)
     top = sketches.agg(F.max("h"), F.count("*")).first()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    texts = picked(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
     probes = (
         texts.select("doc_id", "text_key", shingle_hashes_of_text("text").alias("hashes"))
         .select("doc_id", "text_key", F.size("hashes").alias("n"), F.explode(F.filter("hashes", lambda h: h <= F.lit(top[0] or 0))).alias("h"))
@@ -122,6 +123,8 @@ def shingle_hashes_of_text(text: str) -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
     """Documents that contain no item, with all their columns."""
     # contamination depends on the text alone
-    found = contained_items(docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text")), items, **options)
+    found = contained_items(picked(docs, text=text_col).withColumn("doc_id", F.lit(0).cast("long")), items, **options)
     keys = stored(found.select(F.col("text_key").alias("_found")).distinct(), "contaminated-texts")
-    return docs.join(bounded(keys, keys.count()), F.xxhash64(docs[text_col]) == F.col("_found"), "left_anti")
+    inner = numbered(docs)
+    text = F.xxhash64(f"c{docs.columns.index(text_col)}")
+    return inner.join(bounded(keys, keys.count()), text == F.col("_found"), "left_anti").toDF(*docs.columns)

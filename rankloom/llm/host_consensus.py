@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.batches import slices, texts_of
+from rankloom.llm.batches import picked, slices, texts_of
 from rankloom.llm.decontaminate import bounded
 
 TOKEN = re.compile(
@@ -222,7 +222,7 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
             yield pa.RecordBatch.from_arrays([part.column("host"), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.float64())],
                                              names=["host", "path", "score"])
 
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(vote, "host string, path string, score double")
+    rows = picked(pages, url=url_col, html=html_col).select(host_of("url").alias("host"), "html").mapInArrow(vote, "host string, path string, score double")
     votes = rows.where("score > 0").groupBy("host", "path").agg(F.count("*").alias("votes"))
     share = F.col("votes") / F.sum("votes").over(Window.partitionBy("host"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path")))
@@ -239,6 +239,6 @@ def main_texts(pages: DataFrame, winners: DataFrame, n_hosts: int, id_col: str =
                 [part.column("page_id"), part.column("url"), pa.array([f[0] for f in found], pa.string()), pa.array([len(f[0]) for f in found], pa.int64()),
                  pa.array([f[1] for f in found], pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
+    rows = picked(pages, page_id=id_col, url=url_col, html=html_col).withColumns({"page_id": F.col("page_id").cast("long"), "host": host_of("url")})
     joined = rows.join(bounded(winners, n_hosts), "host", "left").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.batches import picked
+
 MAX_LABELLED = 12_000
 
 
@@ -13,6 +15,12 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
+def known_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, label``, one row for each id; the larger label of an id that has several."""
+    rows = picked(labels, doc_id=id_col, label=label).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+    return rows.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_LABELLED, skip_fold: tuple[int, int] | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, label`` of about ``max_rows`` labelled documents, chosen by a hash of the id.
@@ -20,10 +28,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     ``skip_fold`` (folds, left out) keeps a fold of ids out of the sample. The sample is bounded, so it may be broadcast
     for the join and its features may be collected. Rows with a null id or label are not used.
     """
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    rows = known_labels(labels, label, id_col)
     if skip_fold:
         rows = rows.where(fold("doc_id", skip_fold[0]) != skip_fold[1])
     total = rows.count()
     share = min(1.0, max_rows / max(1, total))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_rows)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")

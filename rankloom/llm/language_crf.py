@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.batches import slices, texts_of
+from rankloom.llm.batches import picked, slices, texts_of
 from rankloom.llm.labelled import fold
 
 UND = "und"
@@ -287,6 +287,7 @@ def fit_languages(docs: DataFrame, skip_fold: tuple[int, int] = (4, 2), max_docs
 
     Bounds: about ``max_docs`` documents, ``max_runs`` runs of words for each language, ``max_lexicon`` lexicon entries.
     """
+    docs = picked(docs, doc_id="doc_id", text="text", lang="lang")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", skip_fold[0]) != skip_fold[1]))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -332,7 +333,7 @@ def predicted_languages(docs: DataFrame, model: LanguageModel, id_col: str = "do
             names, score = shared.value.predict(texts_of(part, "text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def labelled_words(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,4 +349,4 @@ def labelled_words(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id"
             lists = pa.array([best[a:b].tolist() for a, b in zip(ends, ends[1:])], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "labels"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, labels array<string>")
+    return picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, labels array<string>")

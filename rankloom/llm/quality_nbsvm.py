@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.batches import slices, texts_of, words_of
-from rankloom.llm.labelled import MAX_LABELLED, fold, labelled_sample
+from rankloom.llm.batches import picked, slices, texts_of, words_of
+from rankloom.llm.labelled import MAX_LABELLED, fold, known_labels, labelled_sample
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -164,9 +164,8 @@ def fit(sample: pd.DataFrame, ratio: np.ndarray, cost: float = 1.0) -> Scorer:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", skip_fold: tuple[int, int] = (3, 1), max_rows: int = MAX_LABELLED) -> Scorer:
     """Learn from labelled documents outside the fold that is left out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", skip_fold[0]) != skip_fold[1]))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    ratio = log_count_ratios(docs.select("doc_id", "text").join(known, "doc_id").select("text", "label"))
+    known = known_labels(labels, label).where(fold("doc_id", skip_fold[0]) != skip_fold[1])
+    ratio = log_count_ratios(picked(docs, doc_id="doc_id", text="text").join(known, "doc_id").select("text", "label"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -187,4 +186,4 @@ def quality_scores(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(texts_of(part, "text")))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")

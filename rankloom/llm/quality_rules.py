@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankloom.llm.batches import rows_per_doc, slices, texts_of, words_of
+from rankloom.llm.batches import numbered, rows_per_doc, slices, texts_of, words_of
 from rankloom.llm.labelled import MAX_LABELLED, labelled_sample
 
 SYMBOLS = "#*$%&|<>"
@@ -186,7 +186,7 @@ def fit_quality_trees(docs: DataFrame, labels: DataFrame, label: str = "quality"
 
 
 def quality_verdicts(docs: DataFrame, trees: Trees, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` (names of the added ones must be free) with the base statistics, ``base_failed``, ``quality_score``, ``kept``."""
+    """All columns of ``docs`` with the base statistics, ``base_failed``, ``quality_score`` and ``kept``, which replace columns of these names."""
     added = {**dict.fromkeys(BASE, "long"), "base_failed": "boolean", "quality_score": "double", "kept": "boolean"}
     keep = [c for c in docs.columns if c not in added]
 
@@ -206,6 +206,6 @@ def quality_verdicts(docs: DataFrame, trees: Trees, threshold: float = 0.5, text
 
 def keep_good(docs: DataFrame, trees: Trees, text_col: str = "text", **options: object) -> DataFrame:
     """The documents that pass, with their columns as they are, whatever their names."""
-    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    inner = numbered(docs)
     scored = quality_verdicts(inner, trees, text_col=f"c{docs.columns.index(text_col)}", **options).where("kept")
     return scored.select(*inner.columns).toDF(*docs.columns)

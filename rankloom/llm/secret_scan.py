@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.batches import numbered
+
 # The written patterns, with the least length of the group that counts.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -96,14 +98,17 @@ def allowed(run: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, text_col: str = "text", column: str = "secret_spans") -> DataFrame:
-    """Add ``column``: the spans of each text, ``array<struct<start, ord, kind, end, found>>`` by start and kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """Add ``column`` (or replace it): the spans of each text, ``array<struct<start, ord, kind, end, found>>`` by start and kind."""
+    inner = numbered(docs)
+    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit(""))
     base = F.concat(spans_of(text, "assign", ASSIGN, 6, 1), spans_of(text, "access", ACCESS, 20), spans_of(text, "hex", HEX, 24))
-    out = docs.withColumn("_base", base)
+    out = inner.withColumn("_base", base)
     free = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
     runs = F.filter(spans_of(text, "entropy", CANDIDATE, WINDOW),
                     lambda r: free(r) & ~allowed(r["found"]) & (window_entropy(r["found"]) >= threshold_of(r["found"])))
-    return out.withColumn(column, F.array_sort(F.concat("_base", runs))).drop("_base")
+    found = out.withColumn("_spans", F.array_sort(F.concat("_base", runs))).drop("_base")
+    kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c != column]
+    return found.select(*[c for c, _ in kept], "_spans").toDF(*[c for _, c in kept], column)
 
 
 def joined(spans: Column) -> Column:
@@ -113,7 +118,9 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, length_col: str | None = None) -> DataFrame:
     """Replace every span (overlapping ones as one) by ``mark``; ``length_col`` of a changed text becomes its new length, all else stays."""
-    text = F.col(text_col)
+    inner = numbered(docs)
+    name = f"c{docs.columns.index(text_col)}"
+    text = F.col(name)
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -123,7 +130,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, length_col
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))  # overlapping spans: the first has put the mark
     clean = F.aggregate("_spans", start, step, lambda st: F.concat(F.array_join(st["out"], ""), F.substring(text, st["at"] + 1, F.length(text))))
-    out = secret_spans(docs, text_col, "_spans").withColumn(text_col, F.when(F.size("_spans") == 0, text).otherwise(clean))
-    if length_col:
-        out = out.withColumn(length_col, F.when(F.size("_spans") == 0, F.col(length_col)).otherwise(F.length(text_col).cast("long")))
-    return out.select(*docs.columns)
+    out = secret_spans(inner, name, "_spans").withColumn(name, F.when(F.size("_spans") == 0, text).otherwise(clean))
+    if length_col in docs.columns:
+        size = f"c{docs.columns.index(length_col)}"
+        out = out.withColumn(size, F.when(F.size("_spans") == 0, F.col(size)).otherwise(F.length(name).cast(docs.schema[length_col].dataType)))
+    return out.select(*inner.columns).toDF(*docs.columns)

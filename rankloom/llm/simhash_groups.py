@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.batches import slices, texts_of
+from rankloom.llm.batches import numbered, picked, slices, texts_of
 from rankloom.session import scratch_path
 
 BITS = 64
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = text_fingerprints(texts_of(part, "text"), shingle, seed)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fp)], names=["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
@@ -200,6 +200,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
     chosen = best.select(F.coalesce("best.doc_id", null_id).alias("_k1"), F.col("best.text_key").alias("_k2")).distinct()
-    keyed = docs.withColumns({"_k1": F.coalesce(F.col(id_col).cast("long"), null_id), "_k2": F.xxhash64(text_col)})
+    inner = numbered(docs)
+    own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    keyed = inner.withColumns({"_k1": F.coalesce(F.col(own_id).cast("long"), null_id), "_k2": F.xxhash64(own_text)})
     alike = Window.partitionBy("_k1", "_k2").orderBy(F.lit(1))
-    return keyed.join(chosen, ["_k1", "_k2"]).withColumn("_n", F.row_number().over(alike)).where("_n = 1").select(*docs.columns)
+    return keyed.join(chosen, ["_k1", "_k2"]).withColumn("_n", F.row_number().over(alike)).where("_n = 1").select(*inner.columns).toDF(*docs.columns)

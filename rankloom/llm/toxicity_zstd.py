@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.batches import rows_per_doc, slices, texts_of, words_of
+from rankloom.llm.batches import picked, rows_per_doc, slices, texts_of, words_of
 from rankloom.llm.labelled import MAX_LABELLED, labelled_sample
 
 LEVEL, MIN_MATCH = 6, 5
@@ -153,7 +153,7 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(((x - self.center) / self.scale) @ self.weights + self.shift, -30, 30)))
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> Curve:
+def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 5.0, rounds: int = 40) -> Curve:
     center, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - center) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
@@ -190,7 +190,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", skip_
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return ToxicityModel(None, None, 1.0 if n1 else 0.0)
-    least = max(2, min(least, n1 // 20))
+    least = max(4, min(least, n1 // 8))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -233,4 +233,4 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(texts_of(part, "text")))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return picked(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
