@@ -15,8 +15,9 @@ from rankloom.sources import page_speed as SPEED
 
 
 def vitals(spark, sf):
-    """Page-speed values for the pages that were measured (those with an odd key)."""
-    return SPEED.web_vitals(speed_reports(spark, sf).where("k % 2 = 1"))
+    """Page-speed values of all reports; those of even keys hold no measure."""
+    rows = SPEED.web_vitals(speed_reports(spark, sf)).join(speed_reports(spark, sf).select("url", "k"), "url")
+    return rows.select("url", *[F.when(F.col("k") % 2 == 1, F.col(c)).alias(c) for c in ("lcp_s", "cls", "inp_s")])
 
 
 def audit_issues(spark, sf):
@@ -48,7 +49,7 @@ PAGE_RULES = [
     ("indexability", "soft_404", "HIGH", "status_code = 200 and n < 50 and regexp_matches(lower(title), 'not found|404|error|doesn''t exist')"),
     ("indexability", "empty_200_page", "HIGH", "status_code = 200 and n < 20 and len(h1) = 0 and title = ''"),
     ("indexability", "redirect_single_hop", "MEDIUM", "redirect_hops = 1"), ("indexability", "redirect_chain", "HIGH", "redirect_hops >= 2"),
-    ("indexability", "sitemap_noindex_conflict", "CRITICAL", f"listed and {_NOIDX}"), ("indexability", "sitemap_error_page", "CRITICAL", "listed and status_code >= 400"),
+    ("indexability", "sitemap_noindex_conflict", "CRITICAL", f"listed and {_NOIDX}"),
     ("indexability", "orphan_page", "HIGH", "listed and not linked"),
     ("on_page", "missing_title", "CRITICAL", f"{_T} = ''"), ("on_page", "title_too_short", "MEDIUM", f"length({_T}) between 1 and 29"), ("on_page", "title_too_long", "MEDIUM", f"length({_T}) > 60"),
     ("on_page", "duplicate_title", "HIGH", f"{_T} <> '' and same_title > 1"), ("on_page", "keyword_absent_from_title", "HIGH", f"{_T} <> '' and {_KW} <> '' and not contains(lower({_T}), {_KW})"),
@@ -105,29 +106,32 @@ _ANCH = f"""an AS (select url, a from (select url, unnest(list_transform(link_ob
 _WALK = """cn AS (select lower(rtrim(url, '/')) as src, min(lower(rtrim(trim(canonical), '/'))) as nxt from rp where rtrim(trim(canonical), '/') <> '' and lower(rtrim(trim(canonical), '/')) <> lower(rtrim(url, '/')) group by 1),
  kn AS (select distinct lower(rtrim(url, '/')) as u from rp), w AS (select src as start, [src, nxt] as path, nxt as cur, case when nxt not in (select u from kn) then 'left' when nxt not in (select src from cn) then 'end' else 'open' end as state from cn
   UNION ALL select w.start, list_append(w.path, c.nxt), c.nxt, case when list_contains(w.path, c.nxt) then 'loop' when c.nxt not in (select u from kn) then 'left' when c.nxt not in (select src from cn) then 'end' else 'open' end
-   from w join cn c on c.src = w.cur where w.state = 'open' and len(w.path) < 8), wz AS (select start, max(case when state = 'loop' then 1 else 0 end) as lp, max(len(path)) as n from w group by 1)"""
+   from w join cn c on c.src = w.cur where w.state = 'open' and len(w.path) < 500), wz AS (select start, max(case when state = 'loop' then 1 else 0 end) as lp, max(len(path)) as n from w group by 1)"""
 AUDIT = f"""rp AS (select * from fx_pages where not is_error), {SITEMAP}, {RULES}, {_ANCH}, lk AS (select distinct lower(rtrim(unnest(links), '/')) as k from rp),
  cx AS (select rp.*, {WC} as n, lower(rtrim(url, '/')) in (select lower(rtrim(url, '/')) from sm) as listed, lower(rtrim(url, '/')) in (select k from lk) as linked,
   exists (select 1 from ru where ru.site = rp.site and starts_with(coalesce(nullif({PATH}, ''), '/'), ru.path)) as blocked, k % 2 = 1 as measured,
   case when k % 2 = 1 and k % 10 <> 0 then response_time_ms * 2 / cast(1000 as double) end as lcp_s, case when k % 2 = 1 then (k % 5) / cast(10 as double) end as cls, case when k % 2 = 1 then response_time_ms / cast(4000 as double) end as inp_s,
-  count(*) over (partition by lower(trim(title))) as same_title, count(*) over (partition by lower(trim(meta_description))) as same_meta,
+  count(*) over (partition by site, lower(trim(title))) as same_title, count(*) over (partition by site, lower(trim(meta_description))) as same_meta,
   case when len(link_objects) = 0 then 100 else greatest(0, 100 - least(40, 8 * coalesce(ag.gn, 0)) - least(30, 10 * coalesce(ao.ok, 0)) - case when len(link_objects) > 5 and coalesce(ao.od, 0) * 1.0 / len(link_objects) < 0.5 then 10 else 0 end) end as anchor_score
   from rp left join ag using (url) left join ao using (url)),
  tg AS (select rtrim(url, '/') as src, t.lang as lang, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from rp) a),
- tb AS (select lower(rtrim(url, '/')) as target, bool_or(robots_noindex or contains(robots_meta, 'noindex') or contains(x_robots_tag, 'noindex')) as ni, max(status_code) as st from rp group by 1),
- li AS (select url, rtrim(unnest(links), '/') as d from rp), pk AS (select rtrim(url, '/') as k, min(status_code) as st, min(redirect_hops) as hops, min(pagination_prev) as pv, min(rtrim(canonical, '/')) as cn from rp group by 1),
+ tb AS (select lower(rtrim(url, '/')) as target, bool_or(robots_noindex or contains(robots_meta, 'noindex') or contains(x_robots_tag, 'noindex')) as ni, max(status_code) as st from fx_pages group by 1),
+ li AS (select url, rtrim(unnest(links), '/') as d from rp), pk AS (select rtrim(url, '/') as k, min(status_code) as st, min_by(redirect_hops, (status_code, redirect_hops)) as hops, min_by(pagination_prev, (status_code, pagination_prev)) as pv, min_by(rtrim(canonical, '/'), (status_code, rtrim(canonical, '/'))) as cn from rp group by 1),
+ pa AS (select rtrim(url, '/') as k, min(status_code) as st, min_by(redirect_hops, (status_code, redirect_hops)) as hops from fx_pages group by 1),
  {_WALK},
  iss AS ({_rows(PAGE_RULES, 'page')}
+ UNION ALL select url, 'page', case when status_code = 404 then 'page_not_found' when status_code = 410 then 'page_gone' else 'server_error' end, 'indexability', case when status_code = 410 then 'HIGH' else 'CRITICAL' end from fx_pages where is_error and (status_code in (404, 410) or status_code >= 500)
+ UNION ALL select url, 'page', 'sitemap_error_page', 'indexability', 'CRITICAL' from fx_pages where is_error and lower(rtrim(url, '/')) in (select lower(rtrim(url, '/')) from sm)
  UNION ALL select rp.url, 'page', case when lp = 1 then 'canonical_loop' else 'canonical_chain' end, 'technical', case when lp = 1 then 'CRITICAL' else 'HIGH' end from wz join rp on lower(rtrim(rp.url, '/')) = wz.start where lp = 1 or wz.n > 2
  UNION ALL select rp.url, 'page', 'canonical_to_noindex', 'indexability', 'CRITICAL' from rp join tb on tb.target = lower(rtrim(canonical, '/')) where canonical <> '' and tb.target <> lower(rtrim(url, '/')) and ni
  UNION ALL select rp.url, 'page', 'canonical_to_error_page', 'indexability', 'CRITICAL' from rp join tb on tb.target = lower(rtrim(canonical, '/')) where canonical <> '' and tb.target <> lower(rtrim(url, '/')) and st >= 400
  UNION ALL select src, 'page', 'hreflang_missing_reciprocal', 'technical', 'HIGH' from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src)
  UNION ALL select rp.url, 'page', 'pagination_non_reciprocal', 'technical', 'MEDIUM' from rp join pk on lower(pk.k) = lower(rtrim(rp.pagination_next, '/')) where rp.pagination_next <> '' and pk.pv <> '' and lower(rtrim(pk.pv, '/')) <> lower(rtrim(rp.url, '/'))
- UNION ALL select distinct li.url, 'page', case when pk.st >= 400 then 'broken_internal_link' else 'internal_link_redirect_chain' end, 'technical', case when pk.st >= 400 then 'HIGH' else 'MEDIUM' end from li join pk on pk.k = li.d where pk.st >= 400 or pk.hops > 1
+ UNION ALL select distinct li.url, 'page', case when pa.st >= 400 then 'broken_internal_link' else 'internal_link_redirect_chain' end, 'technical', case when pa.st >= 400 then 'HIGH' else 'MEDIUM' end from li join pa on pa.k = li.d where pa.st >= 400 or pa.hops > 1
  UNION ALL select url, 'page', 'exact_match_anchor_overuse', 'on_page', 'HIGH' from (select url, a, count(*) as n from an where a <> '' and a not in {_sql_list(L.GENERIC_ANCHORS_AUDIT)} group by 1, 2) x where n > 3
  UNION ALL {_rows(SITE_RULES, 'site')}
  UNION ALL select tg.src, 'site', 'hreflang_non_canonical_target', 'technical', 'HIGH' from tg join pk on pk.k = tg.dst where pk.cn <> '' and pk.cn <> tg.dst
- UNION ALL select li.d, 'site', 'widely_linked_dead_page', 'technical', 'CRITICAL' from li join pk on pk.k = li.d where pk.st >= 400 group by 1 having count(distinct li.url) > 5)"""
+ UNION ALL select li.d, 'site', 'widely_linked_dead_page', 'technical', 'CRITICAL' from li join pa on pa.k = li.d where pa.st >= 400 group by 1 having count(distinct li.url) > 5)"""
 
 
 @query("aud_12_rule_audit", P, f"WITH RECURSIVE {AUDIT} select * from iss")
@@ -328,8 +332,8 @@ def cross_counts(spark, sf):
 
 @query("aud_10_roadmap", P, f"""WITH {FINAL}, {CHECKS}, al AS (select 0 as l, type, severity, pages from ({_entries(_SI)}) a UNION ALL select 1, type, severity, pages from ci UNION ALL select 3, type, severity, pages from ({_entries(_PI)}) b
  UNION ALL select 2, "check", case when "check" = 'hreflang_reciprocity' then 'MEDIUM' else 'CRITICAL' end, violations from v where violations > 0),
- tx AS (select case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIUM' then 3 else 4 end as priority, concat(pages, ' pages: ', regexp_replace(type, '[_:]', ' ', 'g')) as issue, pages, l from al)
- select priority, issue, pages from tx qualify row_number() over (partition by priority, lower(trim(substr(issue, 1, 38))) order by l, issue) = 1""")
+ tx AS (select case severity when 'CRITICAL' then 1 when 'HIGH' then 2 when 'MEDIUM' then 3 else 4 end as priority, concat(pages, ' pages: ', regexp_replace(type, '[_:]', ' ', 'g')) as issue, type, pages, l from al)
+ select priority, issue, pages from tx qualify row_number() over (partition by priority, type order by l, issue) = 1""")
 def _(spark, sf):
     return SA.roadmap(counts(spark, sf), cross_counts(spark, sf))
 

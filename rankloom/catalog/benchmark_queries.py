@@ -34,7 +34,7 @@ def speed(spark, sf):
     return flat.join(sites, "url").select("site", perf.alias("perf_score"), "lcp_ms", "cls")
 
 
-OK = f"{LABELS_CTE}, ok AS (select * from lp where status_code = 200), rk AS (select *, row_number() over (partition by site order by url) as r from ok)"
+OK = f"{LABELS_CTE}, ok AS (select * from lp where status_code = 200)"
 Q = {}
 Q["on_page"] = f"""select site, cast(max((case when title <> '' then 15 else 0 end) + (case when length(title) between 50 and 60 then 10 else 0 end) + (case when meta_description <> '' then 15 else 0 end) + (case when length(meta_description) between 120 and 155 then 10 else 0 end)
  + (case when len(h1) > 0 then 15 else 0 end) + (case when len(h2) > 0 then 10 else 0 end) + (case when canonical <> '' then 10 else 0 end) + (case when n_issues = 0 then 15 else 0 end)) as double) as on_page from ok group by site"""
@@ -42,26 +42,26 @@ _SENT = "list_filter(regexp_split_to_array(body_text, '[.!?]'), lambda s: regexp
 _MEAN = f"(coalesce(list_sum(list_transform({_SENT}, lambda s: len(list_filter(regexp_split_to_array(s, '{WS}'), lambda w: w <> '')))), 0) / cast(greatest(len({_SENT}), 1) as double))"
 _W = f"(case when body_text <> '' then {WC} else len(list_filter(regexp_split_to_array(concat_ws(' ', title, meta_description, array_to_string(h1, ' '), array_to_string(h2, ' ')), '{WS}'), lambda w: w <> '')) end)"
 Q["content"] = f"""select site, round(avg(least(100, (case when w >= 1500 then 30 when w >= 800 then 20 when w >= 300 then 10 when w > 0 then 5 else 0 end) + (case when len(h2) >= 4 then 20 when len(h2) >= 2 then 12 when len(h2) >= 1 then 6 else 0 end)
- + (case when len(h3) >= 3 then 15 when len(h3) >= 1 then 8 else 0 end) + (case when body_text <> '' then (case when m <= 18 then 20 when m <= 25 then 12 else 5 end) + 15 else 0 end))), 1) as content from (select *, {_W} as w, {_MEAN} as m from rk where r <= 10) t group by site"""
+ + (case when len(h3) >= 3 then 15 when len(h3) >= 1 then 8 else 0 end) + (case when body_text <> '' then (case when m <= 18 then 20 when m <= 25 then 12 else 5 end) + 15 else 0 end))), 1) as content from (select *, {_W} as w, {_MEAN} as m from ok) t group by site"""
 _HOSTS, _TLDS = "|".join(d.replace(".", "\\.") for d in L.AUTHORITY_DOMAINS), "|".join(t.replace(".", "\\.") for t in L.AUTHORITY_TLDS)
 _TX = "lower(case when body_text <> '' then body_text else title end)"
 Q["eeat"] = f"""select w.site, least(round(({' + '.join(f"(case when {c} then {p} else 0 end)" for c, p in (('about', 10), ('contact', 10), ('privacy', 8), ('team', 8), ('https', 8), ('byline', 10), ('author', 10), ('review', 8), ('high', 5), ('cited', 7), ('academic', 8), ('words >= 1000', 8)))})
  + case when length(w.site) % 3 <> 0 then round(cast(length(w.site) % 10 as double) * 1.7, 1) else 0 end, 1), 100) as eeat from
  (select site, bool_or(contains(lower(url), 'about')) as about, bool_or(contains(lower(url), 'contact')) as contact, bool_or(regexp_matches(lower(url), 'privacy|policy')) as privacy, bool_or(regexp_matches(lower(url), 'team|people|staff|author')) as team, bool_or(url like 'https://%') as https, avg({_W}) as words from ok group by 1) w
  join (select site, bool_or(regexp_matches({_TX}, 'author|written by|contributor|byline')) as byline, bool_or(schema_author <> '') as author, bool_or(schema_rating is not null) as review, coalesce(avg(schema_rating) >= 4, false) as high,
-  bool_or(len(list_filter(external_links, lambda u: regexp_matches(lower(u), '{_HOSTS}'))) > 0) as cited, bool_or(len(list_filter(external_links, lambda u: regexp_matches(lower(u), '{_TLDS}'))) > 0) as academic from rk where r <= 5 group by 1) t on t.site = w.site"""
+  bool_or(len(list_filter(external_links, lambda u: regexp_matches(lower(u), '{_HOSTS}'))) > 0) as cited, bool_or(len(list_filter(external_links, lambda u: regexp_matches(lower(u), '{_TLDS}'))) > 0) as academic from ok group by 1) t on t.site = w.site"""
 _T = "trim(title)"
 _M = "trim(meta_description)"
 _CTA = " or ".join(f"contains(lower({_M}), '{w}')" for w in L.CTA_WORDS)
 Q["ctr"] = f"""select site, cast(least(100, max((case when length({_T}) between 50 and 60 then 20 when length({_T}) between 40 and 70 then 12 when {_T} <> '' then 5 else 0 end)
  + (case when len(list_filter(regexp_split_to_array(lower({_T}), '{WS}'), lambda w: w in {_sql_list(L.POWER_WORDS)})) > 0 then 15 else 0 end) + (case when regexp_matches({_T}, '\\d') then 15 else 0 end) + (case when regexp_matches({_T}, '{YEAR}|{YEAR - 1}') then 10 else 0 end)
  + (case when regexp_matches({_T}, '[\\[(].{{1,20}}[\\])]') then 10 else 0 end) + (case when {_T} like '%?' or regexp_matches(lower({_T}), '^(how|why|what|when|where|who|which|is|are|can)\\b') then 8 else 0 end) + (case when {_CTA} then 20 else 0 end)
- + (case when length({_M}) between 120 and 155 then 20 when length({_M}) between 100 and 170 then 12 when {_M} <> '' then 5 else 0 end))) as double) as ctr from (select *, row_number() over (partition by site order by url) as q from ok where title <> '') t where q <= 10 group by site"""
+ + (case when length({_M}) between 120 and 155 then 20 when length({_M}) between 100 and 170 then 12 when {_M} <> '' then 5 else 0 end))) as double) as ctr from ok where title <> '' group by site"""
 Q["keywords"] = """select o.site, least(100, round((case when n >= 50 then 40 when n >= 20 then 30 when n >= 10 then 20 when n >= 5 then 10 else 0 end) + 30 * a + 30 * h, 1)) as keywords from
  (select site, avg(cast(len(keywords) > 0 as int)) as a, avg(cast(len(keywords) > 0 and len(h2) >= 3 as int)) as h from ok group by 1) o left join (select site, count(distinct lower(k)) as n from (select site, unnest(keywords) as k from ok) t where k <> '' group by 1) k on k.site = o.site"""
 _LC, _CL = "round(response_time_ms * cast(2 as double), 1)", "((k % 5) / cast(10 as double))"
 Q["page_speed"] = f"""select site, round(avg(case when k % 3 <> 0 then round(cast(k % 100 as double), 1) else greatest(0, least(100, 50 + (case when k % 10 = 0 then 0 when {_LC} < 2500 then 20 when {_LC} < 4000 then 5 else -20 end) + (case when {_CL} < 0.1 then 10 when {_CL} < 0.25 then 0 else -10 end))) end), 1) as page_speed from fx_pages group by site"""
-Q["technical"] = f"select site, round(avg(s), 1) as technical from (select site, {TECH_SCORE} as s from rk where r <= 15) t group by site"
+Q["technical"] = f"select site, round(avg(s), 1) as technical from (select site, {TECH_SCORE} as s from ok) t group by site"
 
 for _name, _dim, _build in [
     ("cmp_01_on_page", "on_page", lambda p, s, a: BM.on_page_scores(p)), ("cmp_02_content", "content", lambda p, s, a: BM.content_scores(p)),
@@ -123,20 +123,20 @@ def _(spark, sf):
 # --- composed jobs ----------------------------------------------------------------------------------------------------
 
 @query("iss_15_validation_suite", P, f"""WITH RECURSIVE {WALK}, d AS (select start, state, case when state = 'left' then path[1:len(path) - 1] else path end as path from w where state <> 'open'), {SITEMAP},
- li AS (select rtrim(unnest(links), '/') as d from fx_pages where not is_error), pk AS (select rtrim(url, '/') as k, min(status_code) as st, min(pagination_prev) as pv from fx_pages group by 1), tg AS (select rtrim(url, '/') as src, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from fx_pages) a),
+ li AS (select rtrim(unnest(links), '/') as d from fx_pages where not is_error), pk AS (select rtrim(url, '/') as k, min(status_code) as st, min_by(pagination_prev, (status_code, pagination_prev)) as pv from fx_pages group by 1), tg AS (select rtrim(url, '/') as src, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from fx_pages) a),
  pg AS (select rtrim(p.url, '/') as source, rtrim(p.pagination_next, '/') as nxt, rtrim(p.pagination_prev, '/') as prv, n.k as nu, rtrim(n.pv, '/') as back, v.k as vu from fx_pages p left join pk n on n.k = rtrim(p.pagination_next, '/') left join pk v on v.k = rtrim(p.pagination_prev, '/') where not p.is_error),
  cw AS (select rtrim(url, '/') as k, bool_or(robots_noindex or contains(robots_meta, 'noindex')) as ni, bool_or(not is_error) as ok from fx_pages group by 1), sl AS (select distinct rtrim(url, '/') as k from sm),
  al AS (select 'canonical_loop' as type, 'CRITICAL' as severity from d where state = 'loop' and start = list_min(path[list_position(path, path[len(path)]):len(path)])
  UNION ALL select 'canonical_chain', 'HIGH' from d where state <> 'loop' and len(path) > 2 and start not in (select nxt from cn)
  UNION ALL select 'broken_internal_link', case when st >= 500 then 'CRITICAL' else 'HIGH' end from li join pk on pk.k = li.d where st >= 400
- UNION ALL select 'duplicate_content', 'HIGH' from (select count(*) over (partition by regexp_replace(body_text, '^{WS}|{WS}$', '', 'g')) as n from fx_pages where not is_error and {WC} >= 50) x where n > 1
+ UNION ALL select 'duplicate_content', 'HIGH' from (select count(*) over (partition by site, regexp_replace(body_text, '^{WS}|{WS}$', '', 'g')) as n from fx_pages where not is_error and {WC} >= 50) x where n > 1
  UNION ALL select 'hreflang_missing_reciprocal', 'HIGH' from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src)
  UNION ALL select 'hreflang_missing_xdefault', 'MEDIUM' from fx_pages where len(hreflang_tags) > 0 and not list_contains(list_transform(hreflang_tags, lambda t: lower(t.lang)), 'x-default')
  UNION ALL select 'pagination_next_not_crawled', 'HIGH' from pg where nxt <> '' and nu is null UNION ALL select 'pagination_missing_reciprocal', 'HIGH' from pg where nxt <> '' and nu is not null and back <> source
  UNION ALL select 'pagination_prev_not_crawled', 'MEDIUM' from pg where not (nxt <> '' and nu is null) and prv <> '' and vu is null
- UNION ALL select 'orphan_page', 'MEDIUM' from fx_pages where not is_error and rtrim(url, '/') not in (select d from li) and rtrim(url, '/') not in (select rtrim(url, '/') from (select url, case when is_error then 0 else len(links) end as n from fx_pages) t order by n desc, url limit 1)
- UNION ALL select 'duplicate_title', 'HIGH' from (select count(*) over (partition by lower(trim(title))) as n from fx_pages where not is_error and trim(title) <> '') x where n > 1
- UNION ALL select 'duplicate_meta_description', 'HIGH' from (select count(*) over (partition by lower(trim(meta_description))) as n from fx_pages where not is_error and trim(meta_description) <> '') x where n > 1
+ UNION ALL select 'orphan_page', 'MEDIUM' from fx_pages where not is_error and rtrim(url, '/') not in (select d from li) and rtrim(url, '/') not in (select rtrim(url, '/') from (select site, url, case when is_error then 0 else len(links) end as n from fx_pages) t qualify row_number() over (partition by site order by n desc, url) = 1)
+ UNION ALL select 'duplicate_title', 'HIGH' from (select count(*) over (partition by site, lower(trim(title))) as n from fx_pages where not is_error and trim(title) <> '') x where n > 1
+ UNION ALL select 'duplicate_meta_description', 'HIGH' from (select count(*) over (partition by site, lower(trim(meta_description))) as n from fx_pages where not is_error and trim(meta_description) <> '') x where n > 1
  UNION ALL select 'sitemap_noindex', 'CRITICAL' from sl join cw using (k) where ni UNION ALL select 'sitemap_missing', 'MEDIUM' from sl left join cw using (k) where not coalesce(ok, false))
  select type, severity, count(*) as n from al group by 1, 2""")
 def _(spark, sf):
@@ -146,9 +146,9 @@ def _(spark, sf):
     return cross.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set_06_issue_union", P, """WITH lab AS (select lower(trim(title)) as t, lower(trim(meta_description)) as m, url from fx_pages where not is_error)
- select 'duplicate_title' as type, url, t as value, cast(null as varchar) as target from (select *, count(*) over (partition by t) as n from lab where t <> '') a where n > 1
- UNION ALL select 'duplicate_meta_description', url, m, null from (select *, count(*) over (partition by m) as n from lab where m <> '') a where n > 1
+@query("set_06_issue_union", P, """WITH lab AS (select site, lower(trim(title)) as t, lower(trim(meta_description)) as m, url from fx_pages where not is_error)
+ select 'duplicate_title' as type, url, t as value, cast(null as varchar) as target from (select *, count(*) over (partition by site, t) as n from lab where t <> '') a where n > 1
+ UNION ALL select 'duplicate_meta_description', url, m, null from (select *, count(*) over (partition by site, m) as n from lab where m <> '') a where n > 1
  UNION ALL select 'hreflang_missing_reciprocal', null, lang, dst from (select rtrim(url, '/') as src, t.lang as lang, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from fx_pages) a) tg
  where src <> dst and dst in (select rtrim(url, '/') from fx_pages) and not exists (select 1 from (select rtrim(url, '/') as src, rtrim(t.href, '/') as dst from (select url, unnest(hreflang_tags) as t from fx_pages) a) b where b.src = tg.dst and b.dst = tg.src)""")
 def _(spark, sf):

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.schema import normalise_pages
-from rankloom.sources.tables import kept, spread
+from rankloom.sources.tables import kept
 
 # Markers in the texts: RX'..' raw pattern, SUBALL(..) replace all matches, LIST(..) array, STRS empty string array,
 # HEADERS(keys, values) map, ROW2(a, x, b, y) struct with two fields.
@@ -220,9 +220,9 @@ def fx_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SHARED:
         rows = normalise_pages(view(spark, sf_dir, "fx_pages"))
-        _SHARED[key] = kept(spread(rows, "url"), "page-facts")
+        _SHARED[key] = kept(rows, "page-facts")
     return _SHARED[key]
 
 
 def fx_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(view(spark, sf_dir, "fx_docs"), "doc_id")
+    return view(spark, sf_dir, "fx_docs")

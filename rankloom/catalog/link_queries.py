@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.catalog.fixtures import view
 from rankloom.catalog.registry import once, query
 from rankloom.operators import cross_page as CP, link_graph as GR
-from rankloom.sources.tables import spread
+
 
 V = ("fx_link_nodes", "fx_links")
 _GRAPHS: dict[tuple[str, str], tuple] = {}
@@ -15,7 +15,7 @@ _GRAPHS: dict[tuple[str, str], tuple] = {}
 
 def links(spark, sf):
     """The link table, kept as a crawl would keep it."""
-    return once(spark, sf, "links", lambda: spread(view(spark, sf, "fx_links"), "src", "dst"))
+    return once(spark, sf, "links", lambda: view(spark, sf, "fx_links"))
 
 
 def link_nodes(spark, sf):

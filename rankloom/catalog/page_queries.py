@@ -46,10 +46,10 @@ _LIGHT = [
 _TRIMMED = "(select * replace (trim(title) as title, trim(meta_description) as meta_description, trim(canonical) as canonical) from fx_pages)"
 LIGHT_SQL = union_rows(_TRIMMED, "url", _LIGHT, ("issue",))
 DUP_SQL = LIGHT_SQL + """
-UNION ALL select url, 'Duplicate Title' as issue from fx_pages where not is_error and lower(trim(title)) in
- (select lower(trim(title)) from fx_pages where not is_error and trim(title) <> '' group by 1 having count(*) > 1)
-UNION ALL select url, 'Duplicate Meta Description' as issue from fx_pages where not is_error and lower(trim(meta_description)) in
- (select lower(trim(meta_description)) from fx_pages where not is_error and trim(meta_description) <> '' group by 1 having count(*) > 1)
+UNION ALL select url, 'Duplicate Title' as issue from fx_pages where not is_error and (site, lower(trim(title))) in
+ (select site, lower(trim(title)) from fx_pages where not is_error and trim(title) <> '' group by 1, 2 having count(*) > 1)
+UNION ALL select url, 'Duplicate Meta Description' as issue from fx_pages where not is_error and (site, lower(trim(meta_description))) in
+ (select site, lower(trim(meta_description)) from fx_pages where not is_error and trim(meta_description) <> '' group by 1, 2 having count(*) > 1)
 """
 
 

@@ -41,7 +41,7 @@ def _(spark, sf):
     return CP.canonical_problems(fx_pages(spark, sf)).withColumn("path", F.array_join("path", " "))
 
 
-@query("jon_05_canonical_status", P, f"""WITH RECURSIVE {WALK}, d AS (select start, state, path, row_number() over (partition by start order by hops desc) as rn from w where hops <= 5)
+@query("jon_05_canonical_status", P, f"""WITH RECURSIVE {WALK}, d AS (select start, state, path, row_number() over (partition by start order by hops desc) as rn from w)
  select p.url, case when d.state = 'loop' then 'loop' when d.state = 'left' then 'broken_target' when d.state = 'open' then 'too_deep' when d.state = 'end' then 'ok'
  when rtrim(trim(p.canonical), '/') = rtrim(p.url, '/') then 'self' else 'ok' end as status, cast(coalesce(len(d.path), 1) as int) as length from fx_pages p left join d on d.start = rtrim(p.url, '/') and d.rn = 1""")
 def _(spark, sf):
@@ -74,12 +74,12 @@ def _(spark, sf):
     return CP.hreflang_not_returned(fx_pages(spark, sf), direct=True)
 
 
-@query("jon_09_hreflang_not_canonical", P, f"WITH {TAGS} select tg.src, tg.lang, tg.dst, p.c as canonical from tg join (select rtrim(url, '/') as k, min(rtrim(canonical, '/')) as c from fx_pages group by 1) p on p.k = tg.dst where p.c <> '' and p.c <> tg.dst")
+@query("jon_09_hreflang_not_canonical", P, f"WITH {TAGS} select tg.src, tg.lang, tg.dst, p.c as canonical from tg join (select rtrim(url, '/') as k, min_by(rtrim(canonical, '/'), (status_code, rtrim(canonical, '/'))) as c from fx_pages group by 1) p on p.k = tg.dst where p.c <> '' and p.c <> tg.dst")
 def _(spark, sf):
     return CP.hreflang_not_canonical(fx_pages(spark, sf))
 
 
-@query("jon_10_pagination_breaks", P, """WITH m AS (select rtrim(url, '/') as url, min(pagination_prev) as pagination_prev from fx_pages group by 1), r AS (select rtrim(p.url, '/') as source, rtrim(p.pagination_next, '/') as nxt, rtrim(p.pagination_prev, '/') as prv, n.url as nu, rtrim(n.pagination_prev, '/') as back, v.url as vu from fx_pages p
+@query("jon_10_pagination_breaks", P, """WITH m AS (select rtrim(url, '/') as url, min_by(pagination_prev, (status_code, pagination_prev)) as pagination_prev from fx_pages group by 1), r AS (select rtrim(p.url, '/') as source, rtrim(p.pagination_next, '/') as nxt, rtrim(p.pagination_prev, '/') as prv, n.url as nu, rtrim(n.pagination_prev, '/') as back, v.url as vu from fx_pages p
   left join m n on n.url = rtrim(p.pagination_next, '/') left join m v on v.url = rtrim(p.pagination_prev, '/') where not p.is_error)
  select 'pagination_next_not_crawled' as type, 'HIGH' as severity, source, nxt as target from r where nxt <> '' and nu is null
  UNION ALL select 'pagination_missing_reciprocal', 'HIGH', source, nxt from r where nxt <> '' and nu is not null and back <> source
@@ -89,7 +89,7 @@ def _(spark, sf):
 
 
 @query("jon_11_orphan_pages", P, """select rtrim(url, '/') as url from fx_pages where not is_error and rtrim(url, '/') not in (select rtrim(unnest(links), '/') from fx_pages where not is_error)
- and rtrim(url, '/') not in (select rtrim(url, '/') from (select url, case when is_error then 0 else len(links) end as n from fx_pages) t order by n desc, url limit 1)""")
+ and rtrim(url, '/') not in (select rtrim(url, '/') from (select site, url, case when is_error then 0 else len(links) end as n from fx_pages) t qualify row_number() over (partition by site order by n desc, url) = 1)""")
 def _(spark, sf):
     return CP.orphan_pages(fx_pages(spark, sf))
 
@@ -139,7 +139,7 @@ def _(spark, sf):
 # --- aggregations -----------------------------------------------------------------------------------------------------
 
 def _dups(key):
-    return f"select {key} as key, url, n as n_rows from (select *, count(*) over (partition by {key}) as n from fx_pages where not is_error and {key} <> '') t where n > 1"
+    return f"select {key} as key, url, n as n_rows from (select *, count(*) over (partition by site, {key}) as n from fx_pages where not is_error and {key} <> '') t where n > 1"
 
 
 @query("agg_01_duplicate_titles", P, _dups("lower(trim(title))"))
@@ -152,8 +152,8 @@ def _(spark, sf):
     return CP.duplicate_descriptions(fx_pages(spark, sf))
 
 
-@query("agg_03_duplicate_content", ("fx_docs",), f"""WITH b AS (select url, regexp_replace(body_text, '^{WS}|{WS}$', '', 'g') as b, len(list_filter(regexp_split_to_array(body_text, '{WS}'), lambda w: w <> '')) as n from fx_docs)
- select url, key, n_rows from (select url, md5(b) as key, count(*) over (partition by md5(b)) as n_rows from b where n >= 50) t where n_rows > 1""")
+@query("agg_03_duplicate_content", ("fx_docs",), f"""WITH b AS (select site, url, regexp_replace(body_text, '^{WS}|{WS}$', '', 'g') as b, len(list_filter(regexp_split_to_array(body_text, '{WS}'), lambda w: w <> '')) as n from fx_docs)
+ select url, key, n_rows from (select url, md5(b) as key, count(*) over (partition by site, md5(b)) as n_rows from b where n >= 50) t where n_rows > 1""")
 def _(spark, sf):
     from rankloom.catalog.fixtures import fx_docs
     return CP.duplicate_content(fx_docs(spark, sf).withColumn("is_error", F.lit(False)))
@@ -245,9 +245,9 @@ def _(spark, sf):
     return SU.intent_distribution(rows, ["site"])
 
 
-@query("agg_14_cannibalised_keywords", P, """WITH k AS (select distinct lower(kw) as keyword, url from (select url, unnest(keywords) as kw from fx_pages where not is_error) t where length(kw) > 3),
- c AS (select keyword, count(*) as page_count from k group by 1 having count(*) >= 2 order by 2 desc, 1 limit 20), r AS (select k.*, row_number() over (partition by keyword order by url) as rn from k)
- select c.keyword, c.page_count, case when c.page_count >= 4 then 'High' else 'Medium' end as risk_level, string_agg(r.url, ' ' order by r.url) as pages from c join r on r.keyword = c.keyword and r.rn <= 6 group by 1, 2, 3""")
+@query("agg_14_cannibalised_keywords", P, """WITH k AS (select distinct site, lower(kw) as keyword, url from (select site, url, unnest(keywords) as kw from fx_pages where not is_error) t where length(kw) > 3),
+ c AS (select site, keyword, count(*) as page_count from k group by 1, 2 having count(*) >= 2 order by 3 desc, 1, 2 limit 20), r AS (select k.*, row_number() over (partition by site, keyword order by url) as rn from k)
+ select c.site, c.keyword, c.page_count, case when c.page_count >= 4 then 'High' else 'Medium' end as risk_level, string_agg(r.url, ' ' order by r.url) as pages from c join r on r.site = c.site and r.keyword = c.keyword and r.rn <= 6 group by 1, 2, 3, 4""")
 def _(spark, sf):
     return SU.cannibalised_keywords(fx_pages(spark, sf)).withColumn("pages", F.array_join("pages", " "))
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from rankloom.catalog.fixtures import table
 from rankloom.catalog.registry import once, query
 from rankloom.sources.page_facts import extract_pages, mixed_content
-from rankloom.sources.tables import spread
 
 
 def raw_pages(spark, sf):
-    return spread(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 def facts(spark, sf):

@@ -24,7 +24,7 @@ def check_stream(spark, sf):
     e = stream_of(spark, sf, "events")
     position = F.when(F.col("value") > 60, None).otherwise(F.floor("value").cast("int") + 1)
     return e.select(F.concat(F.lit("d"), F.col("user_id") % 5, F.lit(".example.com")).alias("domain"), F.concat(F.lit("kw"), "user_id").alias("keyword"),
-                    position.alias("position"), F.col("ts").cast("timestamp").alias("checked_at"))
+                    position.alias("position"), F.col("ts").cast("timestamp").alias("checked_at"), F.col("event_id").alias("check_id"))
 
 
 def _run(spark, stream, name, mode="append"):
@@ -34,14 +34,15 @@ def _run(spark, stream, name, mode="append"):
 @query("str_01_rank_drop_alerts", R, """WITH p AS (select *, last_value(position ignore nulls) over (partition by domain, keyword order by checked_at, check_id rows between unbounded preceding and 1 preceding) as prev from fx_rank_checks)
  select domain, keyword, checked_at, prev as old_position, position as new_position, position - prev as delta from p where position - prev >= 5""")
 def _(spark, sf):
-    alerts = _run(spark, RA.rank_drop_alerts(check_stream(spark, sf)), "rank-alerts")
-    return alerts.withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
+    out = scratch_path(spark, "rank-alerts")
+    RA.start_rank_drop_alerts(check_stream(spark, sf), out, scratch_path(spark, "rank-state"), scratch_path(spark, "rank-alerts-checkpoint")).awaitTermination()
+    return spark.read.parquet(out).drop("epoch").withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
 
 
 _WEEK = "time_bucket(interval 7 day, checked_at, timestamp '1970-01-01')"
 
 
-@query("str_02_weekly_digest", R, f"""WITH l AS (select {_WEEK} as week_start, domain, keyword, arg_max(coalesce(position, -1), checked_at) as p from fx_rank_checks group by 1, 2, 3), m AS (select max(checked_at) - interval 1 day as w from fx_rank_checks)
+@query("str_02_weekly_digest", R, f"""WITH l AS (select {_WEEK} as week_start, domain, keyword, max_by(coalesce(position, -1), (checked_at, check_id)) as p from fx_rank_checks group by 1, 2, 3), m AS (select max(checked_at) - interval 1 day as w from fx_rank_checks)
  select week_start, domain, count(*) as tracked, count(*) filter (p between 1 and 10) as top_10, count(*) filter (p between 11 and 30) as top_30, count(*) filter (p < 0 or p > 30) as rest from l, m where week_start + interval 7 day <= w group by 1, 2""")
 def _(spark, sf):
     digest = _run(spark, RA.weekly_digest(check_stream(spark, sf)), "weekly-digest")
@@ -59,12 +60,13 @@ def _(spark, sf):
     return CF.statuses(spark, path)
 
 
-@query("str_04_crawl_progress", (), "select event_type as job_id, count(*) as crawled, count(*) filter (value > 60) as errors, min(ts) as started_at, max(ts) as last_at from events group by 1")
+@query("str_04_crawl_progress", (), "select event_type as job_id, count(*) as crawled, count(*) filter (value > 60) as errors, min(ts) as started_at, max(ts) as last_at, round(epoch(max(ts)) - epoch(min(ts)), 3) as elapsed_s, greatest(max(user_id) - count(*), 0) as queued from events group by 1")
 def _(spark, sf):
-    e = stream_of(spark, sf, "events").select(F.col("event_type").alias("job_id"), (F.col("value") > 60).alias("is_error"), F.col("ts").alias("arrived_at"))
+    e = stream_of(spark, sf, "events").select(F.col("event_type").alias("job_id"), (F.col("value") > 60).alias("is_error"), F.col("ts").cast("timestamp").alias("arrived_at"), F.col("user_id").alias("known"))
     out = _run(spark, CF.crawl_progress(e), "crawl-progress", "update")
-    last = F.max_by(F.struct("crawled", "errors", "started_at", "last_at"), "epoch")
-    return out.groupBy("job_id").agg(last.alias("s")).select("job_id", "s.*")
+    last = F.max_by(F.struct("crawled", "errors", "started_at", "last_at", "elapsed_s", "queued"), "epoch")
+    rows = out.groupBy("job_id").agg(last.alias("s")).select("job_id", "s.*")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_at")})
 
 
 _TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"

@@ -13,7 +13,7 @@ from rankloom.operators import keyword_sets as KS, near_duplicates as ND, text_m
 
 D = ("fx_docs",)
 TOK = "tok AS (select doc_id, unnest(regexp_extract_all(body_text, '[a-z]{3,}')) as term from fx_docs), tf AS (select doc_id, term, count(*) as tf from tok group by 1, 2)"
-TFIDF = f"""{TOK}, voc AS (select term, sum(tf) as total, count(*) as df from tf group by 1 order by 2 desc, 1 limit 5000), nd AS (select count(*) as n from fx_docs),
+TFIDF = f"""{TOK}, voc AS (select term, sum(tf) as total, count(*) as df from tf group by 1), nd AS (select count(*) as n from fx_docs),
  w AS (select doc_id, term, (1 + ln(cast(tf as double))) * (ln((1.0 + n) / (1.0 + df)) + 1) as w from tf join voc using (term), nd),
  u AS (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from w)"""
 
@@ -152,7 +152,7 @@ def _(spark, sf):
 
 
 @query("txt_08_site_similarity", D, """WITH tf AS (select site, term, count(*) as tf from (select site, unnest(regexp_extract_all(body_text, '[a-z]{3,}')) as term from fx_docs) t group by 1, 2), ns AS (select count(distinct site) as n from fx_docs),
- voc AS (select term, sum(tf) as total, count(*) as df from tf group by 1 order by 2 desc, 1 limit 3000), w AS (select site, term, (1 + ln(cast(tf as double))) * (ln((1.0 + n) / (1.0 + df)) + 1) as w from tf join voc using (term), ns),
+ voc AS (select term, sum(tf) as total, count(*) as df from tf group by 1), w AS (select site, term, (1 + ln(cast(tf as double))) * (ln((1.0 + n) / (1.0 + df)) + 1) as w from tf join voc using (term), ns),
  o AS (select term, w as tw from w where site = 'src0'), q AS (select sqrt(sum(tw * tw)) as q from o) select site, round(100 * sum(w * coalesce(tw, 0)) / (sqrt(sum(w * w)) * any_value(q)), 1) as similarity from w left join o using (term), q where site <> 'src0' group by site""")
 def _(spark, sf):
     return TM.site_similarity(fx_docs(spark, sf), F.col("text"), "src0")
@@ -223,7 +223,7 @@ def _(spark, sf):
 
 
 ENRICHED = f"""ld AS (select *, lower(concat_ws(' ', title, title, title, array_to_string(h1, ' '), array_to_string(h1, ' '), meta_description, array_to_string(h2, ' '), body_text)) as tx from fx_pages where not is_error and status_code = 200 and body_text <> ''),
- ptf AS (select url, term, count(*) as tf from (select url, unnest(regexp_extract_all(tx, '[a-z]{{3,}}')) as term from ld) t group by 1, 2), pvoc AS (select term, sum(tf) as total, count(*) as df from ptf group by 1 order by 2 desc, 1 limit 5000), pn AS (select count(*) as n from ld),
+ ptf AS (select url, term, count(*) as tf from (select url, unnest(regexp_extract_all(tx, '[a-z]{{3,}}')) as term from ld) t group by 1, 2), pvoc AS (select term, sum(tf) as total, count(*) as df from ptf group by 1), pn AS (select count(*) as n from ld),
  pwt AS (select url, term, (1 + ln(cast(tf as double))) * (ln((1.0 + n) / (1.0 + df)) + 1) as w from ptf join pvoc using (term), pn), pu AS (select url, term, w / sqrt(sum(w * w) over (partition by url)) as weight from pwt),
  pb AS (select *, row_number() over (partition by url order by round(weight, 9) desc, term) as r from pu qualify r <= 20), pt AS (select url, list(term order by r) as terms from (select *, row_number() over (partition by url order by r) as q from pb where term not in {_sql_list(L.TERM_STOPWORDS)} qualify q <= 10) x group by 1),
  pl AS (select url, list_filter(regexp_extract_all(lower(body_text), '[a-z]{{3,}}'), lambda w: w not in {_sql_list(L.PHRASE_STOPWORDS)}) as w from ld),

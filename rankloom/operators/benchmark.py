@@ -4,19 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom import lookups as L
 from rankloom.functions import text as TX, urls as U
 from rankloom.operators import technical as TE
 
 
-def first_pages(pages: DataFrame, n: int, order: str = "url") -> DataFrame:
-    """The first ``n`` pages of each site (by crawl order, or by URL)."""
-    rank = F.row_number().over(Window.partitionBy("site").orderBy(order))
-    return pages.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
-
-
 def loaded(pages: DataFrame) -> DataFrame:
     return pages.where("status_code = 200")
 
@@ -47,8 +41,8 @@ def words_or_estimate() -> Column:
     return TX.word_count(F.when(F.col("body_text") != "", F.col("body_text")).otherwise(rest))
 
 
-def content_scores(pages: DataFrame, n: int = 10) -> DataFrame:
-    """Mean depth points of the first pages: words, headings, sentence length."""
+def content_scores(pages: DataFrame) -> DataFrame:
+    """Mean depth points of the pages: words, headings, sentence length."""
     body, h2, h3 = F.col("body_text"), F.size("h2"), F.size("h3")
     sentences = F.filter(F.split(body, "[.!?]"), lambda s: TX.strip(s) != "")
     mean = F.aggregate(sentences, F.lit(0), lambda a, s: a + TX.word_count(s)) / F.greatest(F.size(sentences), F.lit(1))
@@ -56,12 +50,12 @@ def content_scores(pages: DataFrame, n: int = 10) -> DataFrame:
     score = (
         _steps(words, (1500, 30), (800, 20), (300, 10), (1, 5)) + _steps(h2, (4, 20), (2, 12), (1, 6)) + _steps(h3, (3, 15), (1, 8))
         + F.when(body != "", F.when(mean <= 18, 20).when(mean <= 25, 12).otherwise(5) + 15).otherwise(0))
-    rows = first_pages(loaded(pages), n).withColumn("_words", words_or_estimate())
+    rows = loaded(pages).withColumn("_words", words_or_estimate())
     return rows.groupBy("site").agg(F.round(F.avg(F.least(score, F.lit(100))), 1).alias("content"))
 
 
-def trust_scores(pages: DataFrame, authority: DataFrame | None = None, n: int = 5) -> DataFrame:
-    """Trust signals of each site; text, structured-data and link signals come from its first pages.
+def trust_scores(pages: DataFrame, authority: DataFrame | None = None) -> DataFrame:
+    """Trust signals of each site from the addresses, texts, structured data and links of its pages.
 
     ``authority`` has ``site`` and ``authority`` (0 to 10) and adds up to 17 points.
     """
@@ -70,21 +64,18 @@ def trust_scores(pages: DataFrame, authority: DataFrame | None = None, n: int =
     def named(pattern: str) -> Column:
         return F.bool_or(F.rlike(url, F.lit(pattern)))
 
-    ok = loaded(pages).withColumn("_words", words_or_estimate())
-    whole = ok.groupBy("site").agg(
-        named("about").alias("about"), named("contact").alias("contact"), named("privacy|policy").alias("privacy"),
-        named("team|people|staff|author").alias("team"), F.bool_or(F.startswith(url, F.lit("https://"))).alias("https"), F.avg("_words").alias("words"))
     text = F.lower(F.when(F.col("body_text") != "", F.col("body_text")).otherwise(F.col("title")))
     links = F.transform("external_links", F.lower)
     hosts = "|".join(d.replace(".", r"\.") for d in L.AUTHORITY_DOMAINS)
     tlds = "|".join(t.replace(".", r"\.") for t in L.AUTHORITY_TLDS)
-    top = first_pages(ok, n).groupBy("site").agg(
+    rows = loaded(pages).withColumn("_words", words_or_estimate()).groupBy("site").agg(
+        named("about").alias("about"), named("contact").alias("contact"), named("privacy|policy").alias("privacy"),
+        named("team|people|staff|author").alias("team"), F.bool_or(F.startswith(url, F.lit("https://"))).alias("https"), F.avg("_words").alias("words"),
         F.bool_or(F.rlike(text, F.lit("author|written by|contributor|byline"))).alias("byline"),
         F.bool_or((F.col("schema_author") != "") | F.contains(text, F.lit('itemprop="author"'))).alias("author"),
         F.bool_or(F.col("schema_rating").isNotNull() | F.col("schema_review_count").isNotNull() | F.contains(text, F.lit('itemprop="ratingvalue"'))).alias("review"),
         F.coalesce(F.avg("schema_rating") >= 4.0, F.lit(False)).alias("high_rating"),
         F.bool_or(F.exists(links, lambda u: F.rlike(u, F.lit(hosts)))).alias("cited"), F.bool_or(F.exists(links, lambda u: F.rlike(u, F.lit(tlds)))).alias("academic"))
-    rows = whole.join(top, "site")
     bonus = F.lit(0.0)
     if authority is not None:
         rows = rows.join(authority, "site", "left")
@@ -95,8 +86,8 @@ def trust_scores(pages: DataFrame, authority: DataFrame | None = None, n: int =
     return rows.select("site", F.least(F.round(score + bonus, 1), F.lit(100.0)).alias("eeat"))
 
 
-def ctr_scores(pages: DataFrame, year: int, n: int = 10) -> DataFrame:
-    """Best of the first titled pages: length, power word, digit, year, brackets, question, call to action."""
+def ctr_scores(pages: DataFrame, year: int) -> DataFrame:
+    """Best of the titled pages: length, power word, digit, year, brackets, question, call to action."""
     title, meta = F.trim("title"), F.trim("meta_description")
     low, n_title, n_meta = F.lower(title), F.length(title), F.length(meta)
     power = F.arrays_overlap(TX.words(low), F.array(*map(F.lit, L.POWER_WORDS)))
@@ -106,8 +97,7 @@ def ctr_scores(pages: DataFrame, year: int, n: int = 10) -> DataFrame:
         + _points((power, 15), (F.rlike(title, F.lit(r"\d")), 15), (F.rlike(title, F.lit(f"{year}|{year - 1}")), 10),
                   (F.rlike(title, F.lit(r"[\[(].{1,20}[\])]")), 10), (question, 8), (TX.any_phrase(F.lower(meta), L.CTA_WORDS), 20))
         + F.when(n_meta.between(120, 155), 20).when(n_meta.between(100, 170), 12).when(n_meta > 0, 5).otherwise(0))
-    rows = first_pages(loaded(pages).where("title <> ''"), n)
-    return rows.groupBy("site").agg(F.least(F.max(score), F.lit(100)).cast("double").alias("ctr"))
+    return loaded(pages).where("title <> ''").groupBy("site").agg(F.least(F.max(score), F.lit(100)).cast("double").alias("ctr"))
 
 
 def keyword_scores(pages: DataFrame) -> DataFrame:
@@ -138,11 +128,10 @@ def speed_scores(reports: DataFrame) -> DataFrame:
     return reports.groupBy("site").agg(F.round(F.avg(speed_score()), 1).alias("page_speed"))
 
 
-def technical_scores(pages: DataFrame, n: int = 15) -> DataFrame:
-    """Mean technical score of the first pages."""
-    rows = first_pages(loaded(pages), n)
-    audited = TE.audit_pages(rows, parts=[]).select("url", "tech_score")
-    return audited.join(rows.select("url", "site"), "url").groupBy("site").agg(F.round(F.avg("tech_score"), 1).alias("technical"))
+def technical_scores(pages: DataFrame) -> DataFrame:
+    """Mean technical score of the pages."""
+    rows = loaded(pages)
+    return TE.audit_pages(rows, parts=[]).groupBy("site").agg(F.round(F.avg("tech_score"), 1).alias("technical"))
 
 
 def scores_from_report(reports: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions import text as TX, urls as U
 from rankloom.operators.skew import hot_keys, salted_join, with_group_size
@@ -17,9 +18,11 @@ def link_rows(pages: DataFrame) -> DataFrame:
 
 
 def keyed_pages(pages: DataFrame, *columns: str) -> DataFrame:
-    """Pages by URL without trailing slash, one row per key."""
-    cols = [F.min(c).alias(c) for c in columns]
-    return pages.where("url <> ''").groupBy(U.strip_slash(F.col("url")).alias("key")).agg(F.count(F.lit(1)).alias("_c"), *cols).drop("_c")
+    """Pages by URL without trailing slash, one row per key: of several rows, one whole row, that of the smallest status and values."""
+    order = [c for c in ("status_code", *columns) if c in pages.columns]
+    best = F.min(F.struct(*dict.fromkeys(order))).alias("_row")
+    rows = pages.where("url <> ''").groupBy(U.strip_slash(F.col("url")).alias("key")).agg(best)
+    return rows.select("key", *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
 def broken_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -70,39 +73,36 @@ def canonical_walks(pages: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Follow the canonical of every page that names another one.
 
     Result: ``start``, ``path`` (pages walked), ``state``: ``end`` (last page names itself or none), ``left`` (target
-    not crawled), ``loop`` (target already on the path) or ``too_deep`` (``max_hops`` steps and still more to go).
-    One self join per step over the walks still open; the walk stops when none is.
+    not crawled), ``loop`` (target already on the path) or ``too_deep`` (not known after ``max_hops`` steps).
+    Each round appends to an open path the path of its last page, so paths double and a chain of n pages takes about log2(n) rounds.
     """
-    known = pages.where("url <> ''").select(U.strip_slash(F.col("url")).alias("cur")).distinct()
-    step = canonical_targets(pages).withColumnRenamed("src", "cur")
-    lookup = cut_lineage(known.join(step, "cur", "left").withColumn("known", F.lit(True)))
-    start = F.col("cur").alias("start")
-    active = lookup.where("nxt is not null").select(start, F.array("cur", "nxt").alias("path"), F.col("nxt").alias("cur"))
-    done: list[DataFrame] = []
-    hops = 1
-    while True:
-        at = salted_join(active, lookup, ["cur"], F.col("start"), "left", hot=hot_keys(active, ["cur"]))
-        looped = F.col("nxt").isNotNull() & F.array_contains("path", F.col("nxt"))
-        state = (
-            F.when(F.col("known").isNull(), "left").when(F.col("nxt").isNull(), "end").when(looped, "loop")
-            .otherwise("open")
-        )
-        walked = cut_lineage(at.withColumn("state", state))
-        closed = walked.where("state <> 'open'")
-        done.append(
-            closed.select("start", F.when(F.col("state") == "loop", F.concat("path", F.array("nxt"))).otherwise(F.col("path"))
-                          .alias("path"), "state")
-        )
-        active = walked.where("state = 'open'").select(
-            "start", F.concat("path", F.array("nxt")).alias("path"), F.col("nxt").alias("cur")
-        )
-        hops += 1
-        if active.isEmpty():
-            break
-        if max_hops is not None and hops >= max_hops:
-            done.append(active.select("start", "path", F.lit("too_deep").alias("state")))
-            break
-    return reduce(DataFrame.unionByName, done)
+    known = pages.where("url <> ''").select(U.strip_slash(F.col("url")).alias("nxt")).distinct().withColumn("_known", F.lit(True))
+    steps = canonical_targets(pages)
+    first = salted_join(steps, known, ["nxt"], F.col("src"), "left")
+    state = F.when(F.col("_known").isNull(), "left").otherwise("open")
+    walks = cut_lineage(first.select(F.col("src").alias("start"), F.array("src", "nxt").alias("path"), state.alias("state")))
+    # the place of the first repeated page; a walk is cut behind it
+    repeat = F.size(F.array_distinct("path"))
+    while not walks.where("state = 'open'").isEmpty():
+        ahead = walks.select(F.col("start").alias("cur"), F.col("path").alias("_more"), F.col("state").alias("_then"))
+        open_ = walks.where("state = 'open'").withColumn("cur", F.element_at("path", -1))
+        met = salted_join(open_, ahead, ["cur"], F.col("start"), "left").select(
+            "start", F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", F.slice("_more", 2, F.size("_more")))).alias("path"),
+            F.coalesce("_then", F.lit("end")).alias("state"))
+        looped = repeat < F.size("path")
+        met = met.select("start", F.when(looped, F.slice("path", 1, _first_repeat())).otherwise(F.col("path")).alias("path"),
+                         F.when(looped, "loop").otherwise(F.col("state")).alias("state"))
+        walks = cut_lineage(walks.where("state <> 'open'").unionByName(met))
+    if max_hops is None:
+        return walks
+    deep = F.size("path") - F.when(F.col("state") == "loop", 2).otherwise(1) > max_hops - 1
+    return walks.select("start", F.when(deep, F.slice("path", 1, max_hops + 1)).otherwise(F.col("path")).alias("path"),
+                        F.when(deep, "too_deep").otherwise(F.col("state")).alias("state"))
+
+
+def _first_repeat() -> Column:
+    """Number of pages up to and with the first that occurs for the second time: on a walk all repeats follow the first."""
+    return F.size(F.array_distinct("path")) + 1
 
 
 def canonical_problems(pages: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -121,7 +121,7 @@ def canonical_problems(pages: DataFrame, max_hops: int | None = None) -> DataFra
     )
 
 
-def canonical_status(pages: DataFrame, max_hops: int = 5) -> DataFrame:
+def canonical_status(pages: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Per page the outcome of its canonical chain: ok, self, loop, broken_target or too_deep."""
     walks = canonical_walks(pages, max_hops).select(F.col("start").alias("key"), "path", "state")
     base = pages.select("url", U.strip_slash(F.col("url")).alias("key"), U.strip_slash(F.trim("canonical")).alias("_c"))
@@ -133,12 +133,12 @@ def canonical_status(pages: DataFrame, max_hops: int = 5) -> DataFrame:
     return base.join(walks, "key", "left").select("url", state.alias("status"), F.coalesce(F.size("path"), F.lit(1)).alias("length"))
 
 
-def canonical_bad_target(pages: DataFrame) -> DataFrame:
-    """Canonicals that point to a page which is kept out of the index or returns an error."""
+def canonical_bad_target(pages: DataFrame, crawled: DataFrame | None = None) -> DataFrame:
+    """Canonicals that point to a page, of ``crawled``, which is kept out of the index or returns an error."""
     meta = F.contains(F.lower("robots_meta"), F.lit("noindex"))
     noindex = meta | F.col("robots_noindex") | F.contains(F.lower("x_robots_tag"), F.lit("noindex"))
     targets = (
-        pages.groupBy(U.match_key(F.col("url")).alias("target"))
+        (pages if crawled is None else crawled).groupBy(U.match_key(F.col("url")).alias("target"))
         .agg(F.bool_or(noindex).alias("noindex"), F.max("status_code").alias("status"))
         .where("noindex or status >= 400")
     )
@@ -228,13 +228,12 @@ def pagination_breaks(pages: DataFrame) -> DataFrame:
 
 
 def orphan_pages(pages: DataFrame) -> DataFrame:
-    """Pages no crawled page links to; error pages and the page with most links are left out."""
+    """Pages no crawled page links to; error pages and the page with most links of each site are left out."""
     linked = link_rows(pages).select(U.strip_slash(F.col("dst")).alias("key")).distinct()
-    root = (
-        pages.orderBy(F.desc(F.size("links")), "url").select(U.strip_slash(F.col("url")).alias("key")).limit(1)
-    )
+    first = F.min(F.struct((-F.size("links")).alias("n"), F.col("url").alias("u")))
+    root = pages.groupBy("site").agg(first.alias("_f")).select(U.strip_slash(F.col("_f.u")).alias("key"))
     rows = pages.where("not is_error").select(U.strip_slash(F.col("url")).alias("key"))
-    alone = rows.join(linked, "key", "left_anti").join(F.broadcast(root), "key", "left_anti")
+    alone = rows.join(linked, "key", "left_anti").join(root, "key", "left_anti")
     return alone.select(F.col("key").alias("url"))
 
 
@@ -286,23 +285,25 @@ def robots_blocked(pages: DataFrame, rules: DataFrame, sitemap: DataFrame | None
 
 # --- duplicates -------------------------------------------------------------------------------------------------------
 
-def duplicate_titles(pages: DataFrame) -> DataFrame:
-    """Pages that share their title with another one: ``key``, ``url``, ``n_rows``."""
-    keyed = pages.where("not is_error").select("url", F.lower(F.trim("title")).alias("key"))
-    return with_group_size(keyed, "key", F.col("url")).where("n_rows is not null")
+def _shared(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
+    return with_group_size(keyed, "key", F.col("url"), by=by).where("n_rows is not null").select("key", "url", "n_rows")
+
+
+def duplicate_titles(pages: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:
+    """Pages that share their title with another one within ``by`` (the crawl of a site): ``key``, ``url``, ``n_rows``."""
+    return _shared(pages.where("not is_error").select("url", *by, F.lower(F.trim("title")).alias("key")), by)
 
 
-def duplicate_descriptions(pages: DataFrame) -> DataFrame:
-    keyed = pages.where("not is_error").select("url", F.lower(F.trim("meta_description")).alias("key"))
-    return with_group_size(keyed, "key", F.col("url")).where("n_rows is not null")
+def duplicate_descriptions(pages: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:
+    return _shared(pages.where("not is_error").select("url", *by, F.lower(F.trim("meta_description")).alias("key")), by)
 
 
-def duplicate_content(pages: DataFrame, min_words: int = 50) -> DataFrame:
+def duplicate_content(pages: DataFrame, min_words: int = 50, by: Sequence[str] = ("site",)) -> DataFrame:
     """Pages with the same body text, byte for byte."""
     body = TX.strip(F.col("body_text"))
     hashed = pages.where("not is_error").where(TX.word_count(F.col("body_text")) >= min_words).select(
-        "url", F.md5(body.cast("binary")).alias("key"))
-    return with_group_size(hashed, "key", F.col("url")).where("n_rows is not null")
+        "url", *by, F.md5(body.cast("binary")).alias("key"))
+    return _shared(hashed, by)
 
 
 def cross_issue_union(*parts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.functions import urls as U
-from rankloom.operators.skew import MAX_HOT_KEYS, MAX_SALTS, salted_join
+from rankloom.operators.skew import salted_join
 from rankloom.session import cut_lineage
 
 EDGES_PER_PART = 1_000_000
@@ -40,17 +40,16 @@ def build_graph(urls: DataFrame, links: DataFrame) -> LinkGraph:
     known = cut_lineage(known)
     out = known.groupBy("src").agg(F.count(F.lit(1)).alias("out_count"))
     wide = (
-        out.where(F.col("out_count") > EDGES_PER_PART).orderBy(F.desc("out_count"), "src").limit(MAX_HOT_KEYS)
-        .select("src", F.least(F.ceil(F.col("out_count") / EDGES_PER_PART).cast("int"), F.lit(MAX_SALTS)).alias("parts"))
+        out.where(F.col("out_count") > EDGES_PER_PART).select("src", F.ceil(F.col("out_count") / EDGES_PER_PART).cast("int").alias("parts"))
     )
-    edges = known.join(F.broadcast(wide), "src", "left").select(
+    edges = known.join(wide, "src", "left").select(
         "src", "dst", "n_links", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
     )
     ins = known.groupBy("dst").agg(F.sum("n_links").alias("in_count"))
     nodes = (
         names.join(ins.withColumnRenamed("dst", "url"), "url", "left")
         .join(out.withColumnRenamed("src", "url"), "url", "left")
-        .join(F.broadcast(wide.withColumnRenamed("src", "url")), "url", "left")
+        .join(wide.withColumnRenamed("src", "url"), "url", "left")
         .select(
             "url", U.silo(F.col("url")).alias("silo"), F.coalesce("in_count", F.lit(0)).alias("in_count"),
             F.coalesce("out_count", F.lit(0)).alias("out_count"), F.coalesce("parts", F.lit(1)).alias("parts"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom import lookups as L
@@ -61,21 +63,26 @@ def duplicate_key(column: str) -> Column:
     return F.lower(F.trim(column))
 
 
-def detect_issues(pages: DataFrame) -> DataFrame:
-    """Light labels plus the duplicate-title and duplicate-meta labels."""
+def detect_issues(pages: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:
+    """Light labels plus the labels for titles and descriptions found twice within ``by`` (the crawl of a site).
+
+    Duplicates are found on keys alone, so the wide rows are joined once, by URL.
+    """
     key_columns = {
         "_title_key": F.when(F.col("is_error"), "").otherwise(duplicate_key("title")),
         "_meta_key": F.when(F.col("is_error"), "").otherwise(duplicate_key("meta_description")),
     }
-    keyed = light_issues(pages).withColumns(key_columns)
-    keys = pages.select(*[c.alias(name) for name, c in key_columns.items()])
-    by_meta = with_group_size(keyed, "_meta_key", F.col("url"), source=keys).withColumnRenamed("n_rows", "_n_meta")
-    both = with_group_size(by_meta, "_title_key", F.col("url"), source=keys).withColumnRenamed("n_rows", "_n_title")
-    found = labels(
-        F.when(F.col("_n_meta").isNotNull(), "Duplicate Meta Description"),
-        F.when(F.col("_n_title").isNotNull(), "Duplicate Title"),
-    )
-    return both.withColumn("issues", F.array_union("issues", found)).drop("_title_key", "_meta_key", "_n_meta", "_n_title")
+    keys = pages.select("url", *by, *[c.alias(name) for name, c in key_columns.items()])
+    flags = None
+    for name, label in (("_meta_key", "Duplicate Meta Description"), ("_title_key", "Duplicate Title")):
+        hit = with_group_size(keys.where(F.col(name) != ""), name, F.col("url"), by=by).where("n_rows is not null")
+        rows = hit.select("url", F.lit(label).alias("label"))
+        flags = rows if flags is None else flags.unionByName(rows)
+    found = flags.groupBy("url").agg(F.array_sort(F.collect_set("label")).alias("_found"))
+    both = light_issues(pages).join(found, "url", "left")
+    extra = F.coalesce("_found", F.array().cast("array<string>"))
+    return both.withColumn("issues", F.array_union("issues", extra)).drop("_found")
+
 
 
 def priority_label(issues: Column) -> Column:

@@ -60,22 +60,33 @@ def indexability_rules() -> list[Rule]:
         Rule("x_robots_nofollow", c, "HIGH", has(header, "nofollow")),
         Rule("x_robots_none", c, "CRITICAL", has(header, "none")),
         Rule("redirect_status", c, "HIGH", status.isin(301, 302, 303, 307, 308)),
-        Rule("page_not_found", c, "CRITICAL", status == 404),
-        Rule("page_gone", c, "HIGH", status == 410),
-        Rule("server_error", c, "CRITICAL", status >= 500),
         Rule("soft_404", c, "HIGH", soft),
         Rule("empty_200_page", c, "HIGH", (status == 200) & ~soft & (n < 20) & (F.size("h1") == 0) & (title == "")),
         Rule("redirect_single_hop", c, "MEDIUM", F.col("redirect_hops") == 1),
         Rule("redirect_chain", c, "HIGH", F.col("redirect_hops") >= 2),
         Rule("sitemap_noindex_conflict", c, "CRITICAL", F.col("_listed") & noindex),
-        Rule("sitemap_error_page", c, "CRITICAL", F.col("_listed") & (status >= 400)),
         Rule("orphan_page", c, "HIGH", F.col("_listed") & ~F.col("_linked")),
     ]
 
 
+def error_rules() -> list[Rule]:
+    """Rules for pages that answered with an error; all others are for loaded pages."""
+    status, c = F.col("status_code"), "indexability"
+    return [
+        Rule("page_not_found", c, "CRITICAL", status == 404),
+        Rule("page_gone", c, "HIGH", status == 410),
+        Rule("server_error", c, "CRITICAL", status >= 500),
+        Rule("sitemap_error_page", c, "CRITICAL", F.col("_listed")),
+    ]
+
+
+def main_keyword() -> Column:
+    return F.lower(F.coalesce(F.get("keywords", F.lit(0)), F.lit("")))
+
+
 def on_page_rules() -> list[Rule]:
     title, meta = F.trim("title"), F.trim("meta_description")
-    kw = F.lower(F.coalesce(F.get("keywords", F.lit(0)), F.lit("")))
+    kw = main_keyword()
     n_title, n_meta, n1, n2 = F.length(title), F.length(meta), F.size("h1"), F.size("h2")
     path = F.lower(U.path(F.col("url")))
     slug, joined = F.replace(F.replace(kw, F.lit(" "), F.lit("-")), F.lit("_"), F.lit("-")), F.replace(kw, F.lit(" "), F.lit(""))
@@ -104,7 +115,7 @@ def on_page_rules() -> list[Rule]:
         Rule("missing_h2", c, "LOW", n2 == 0),
         Rule("broken_heading_hierarchy", c, "MEDIUM", (F.size("h3") > 0) & (n2 == 0)),
         Rule("keyword_absent_from_url", c, "MEDIUM", (kw != "") & ~F.contains(path, slug) & ~F.contains(path, joined)),
-        Rule("keyword_stuffing_body", c, "HIGH", TX.density_containing(kw, F.col("body_text")) > 4),
+        Rule("keyword_stuffing_body", c, "HIGH", F.col("_stuffed")),
         Rule("no_content", c, "CRITICAL", n == 0),
         Rule("thin_content", c, F.when(n < 100, "HIGH").otherwise("MEDIUM"), n.between(1, 299)),
         Rule("generic_anchor_text", c, "MEDIUM", generic > 3),
@@ -207,19 +218,20 @@ def with_context(pages: DataFrame, sitemap: DataFrame, robots: DataFrame, vitals
     Every lookup is reduced to one row per URL before it is joined.
     """
     key = U.match_key(F.col("url"))
+    stuffed = F.coalesce(TX.density_containing(main_keyword(), F.col("body_text")) > 4, F.lit(False))
     base = PI.with_anchor_quality(pages).withColumns(
-        {"_key": key, "_words": TX.word_count(F.col("body_text")), "_t": F.lower(F.trim("title")), "_m": F.lower(F.trim("meta_description"))})
+        {"_key": key, "_words": TX.word_count(F.col("body_text")), "_stuffed": stuffed, "_t": F.lower(F.trim("title")), "_m": F.lower(F.trim("meta_description"))}).drop("body_text")  # the text does not go through the joins
     listed = sitemap.select(U.match_key(F.col("url")).alias("_key")).distinct().withColumn("_listed", F.lit(True))
     linked = CP.link_rows(pages).select(U.match_key(F.col("dst")).alias("_key")).distinct().withColumn("_linked", F.lit(True))
     blocked = CP.robots_blocked(pages, robots).select(U.match_key(F.col("url")).alias("_key")).distinct().withColumn("_blocked", F.lit(True))
     speed = vitals.groupBy(U.match_key(F.col("url")).alias("_key")).agg(
-        F.max("lcp_s").alias("_lcp_s"), F.max("cls").alias("_cls"), F.max("inp_s").alias("_inp_s")).withColumn("_measured", F.lit(True))
+        F.max("lcp_s").alias("_lcp_s"), F.max("cls").alias("_cls"), F.max("inp_s").alias("_inp_s")).withColumn("_measured", F.coalesce("_lcp_s", "_cls", "_inp_s").isNotNull())
     flags = listed.join(linked, "_key", "full_outer").join(blocked, "_key", "full_outer").join(speed, "_key", "full_outer")
     out = base.join(flags, "_key", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_listed", "_linked", "_blocked", "_measured")})
-    keys = pages.select(F.lower(F.trim("title")).alias("_t"), F.lower(F.trim("meta_description")).alias("_m"))
-    out = with_group_size(out, "_t", F.col("url"), source=keys).withColumnRenamed("n_rows", "_same_title")
-    return with_group_size(out, "_m", F.col("url"), source=keys).withColumnRenamed("n_rows", "_same_meta")
+    keys = pages.select("site", F.lower(F.trim("title")).alias("_t"), F.lower(F.trim("meta_description")).alias("_m"))
+    out = with_group_size(out, "_t", F.col("url"), source=keys, by=["site"]).withColumnRenamed("n_rows", "_same_title")
+    return with_group_size(out, "_m", F.col("url"), source=keys, by=["site"]).withColumnRenamed("n_rows", "_same_meta")
 
 
 def _fired(rows: DataFrame, rules: dict[str, list[Rule]]) -> DataFrame:
@@ -233,21 +245,21 @@ def _labelled(rows: DataFrame, kind: str, cluster: str, severity: str | Column)
     return rows.select("url", F.lit(kind).alias("type"), F.lit(cluster).alias("cluster"), sev.alias("severity"))
 
 
-def joined_page_issues(pages: DataFrame) -> DataFrame:
-    """Page issues that come from comparing pages."""
+def joined_page_issues(pages: DataFrame, crawled: DataFrame) -> DataFrame:
+    """Issues of the loaded ``pages`` that come from comparing pages; canonical and link targets are looked up in all ``crawled`` pages."""
     lower = pages.withColumns({"_u": U.match_key(F.col("url")), "canonical": U.match_key(F.col("canonical"))})
     own = lower.select("url", F.col("_u").alias("start"))
-    walks = CP.canonical_walks(lower.drop("url").withColumnRenamed("_u", "url"), max_hops=7).where("state = 'loop' or size(path) > 2")
+    walks = CP.canonical_walks(lower.drop("url").withColumnRenamed("_u", "url")).where("state = 'loop' or size(path) > 2")
     chained = own.join(walks, "start")
     loop = F.col("state") == "loop"
     canon = chained.select("url", F.when(loop, "canonical_loop").otherwise("canonical_chain").alias("type"), F.lit("technical").alias("cluster"),
                            F.when(loop, "CRITICAL").otherwise("HIGH").alias("severity"))
-    bad = CP.canonical_bad_target(pages).select("url", "type", F.lit("indexability").alias("cluster"), F.lit("CRITICAL").alias("severity"))
+    bad = CP.canonical_bad_target(pages, crawled).select("url", "type", F.lit("indexability").alias("cluster"), F.lit("CRITICAL").alias("severity"))
     langs = _labelled(CP.hreflang_not_returned(pages).withColumnRenamed("src", "url"), "hreflang_missing_reciprocal", "technical", "HIGH")
     back = CP.keyed_pages(pages, "pagination_prev").select(U.match_key(F.col("key")).alias("_n"), U.match_key(F.col("pagination_prev")).alias("_b"))
     ahead = pages.select("url", U.match_key(F.col("url")).alias("_u"), U.match_key(F.col("pagination_next")).alias("_n")).where("_n <> ''")
     pag = _labelled(salted_join(ahead, back, ["_n"], F.col("url")).where("_b <> '' and _b <> _u"), "pagination_non_reciprocal", "technical", "MEDIUM")
-    targets = CP.bad_targets_by_page(CP.link_rows(pages), pages, shown=1).withColumnRenamed("src", "url")
+    targets = CP.bad_targets_by_page(CP.link_rows(pages), crawled, shown=1).withColumnRenamed("src", "url")
     dead = _labelled(targets.where("kind = 'broken'"), "broken_internal_link", "technical", "HIGH")
     hops = _labelled(targets.where("kind = 'redirect'"), "internal_link_redirect_chain", "technical", "MEDIUM")
     anchors = F.transform("link_objects", lambda o: F.lower(F.trim(F.coalesce(o["text"], F.lit("")))))
@@ -257,20 +269,26 @@ def joined_page_issues(pages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [canon, bad, langs, pag, dead, hops, used])
 
 
-def joined_site_issues(pages: DataFrame) -> DataFrame:
+def joined_site_issues(pages: DataFrame, crawled: DataFrame) -> DataFrame:
     away = CP.hreflang_not_canonical(pages).withColumnRenamed("src", "url")
-    dead = CP.widely_linked_dead(CP.link_rows(pages), pages)
+    dead = CP.widely_linked_dead(CP.link_rows(pages), crawled)
     return _labelled(away, "hreflang_non_canonical_target", "technical", "HIGH").unionByName(
         _labelled(dead, "widely_linked_dead_page", "technical", "CRITICAL"))
 
 
 def rule_audit(pages: DataFrame, sitemap: DataFrame, robots: DataFrame, vitals: DataFrame) -> DataFrame:
-    """All issues of the loaded pages: ``scope`` (page or site), ``url, type, cluster, severity, explanation, fix``."""
+    """All issues: ``scope`` (page or site), ``url, type, cluster, severity, explanation, fix``.
+
+    Loaded pages are judged by all rules but those for error pages, and their links and canonicals against every crawled page.
+    """
     real = pages.where("not is_error")
     context = with_context(real, sitemap, robots, vitals)
     fired = _fired(context, {"page": page_rules(), "site": site_rules()})
-    page = joined_page_issues(real).withColumn("scope", F.lit("page"))
-    site = joined_site_issues(real).withColumn("scope", F.lit("site"))
+    listed = sitemap.select(U.match_key(F.col("url")).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    errors = pages.where("is_error").select("url", "status_code", U.match_key(F.col("url")).alias("_key")).join(listed, "_key", "left")
+    fired = fired.unionByName(_fired(errors.withColumn("_listed", F.coalesce("_hit", F.lit(False))), {"page": error_rules()}))
+    page = joined_page_issues(real, pages).withColumn("scope", F.lit("page"))
+    site = joined_site_issues(real, pages).withColumn("scope", F.lit("site"))
     fixes = F.create_map(*[F.lit(x) for pair in FIXES.items() for x in pair])
     return fired.unionByName(page).unionByName(site).select(
         "scope", "url", "type", "cluster", "severity", F.replace("type", F.lit("_"), F.lit(" ")).alias("explanation"),

@@ -199,7 +199,8 @@ def web_vital_status(vitals: DataFrame) -> DataFrame:
     bands = {"lcp_s": (2.5, 4.0), "cls": (0.1, 0.25), "inp_s": (0.2, 0.5)}
     worst = F.greatest(*[F.when(F.col(c) > poor, 2).when(F.col(c) > good, 1).otherwise(0) for c, (good, poor) in bands.items()])
     over = F.filter(F.array(*[F.when(F.col(c) > good, c) for c, (good, _) in bands.items()]), lambda x: x.isNotNull())
-    return vitals.select("*", F.when(worst == 2, "poor").when(worst == 1, "needs_improvement").otherwise("good").alias("status"), over.alias("exceeded"))
+    measured = vitals.where("coalesce(lcp_s, cls, inp_s) is not null")
+    return measured.select("*", F.when(worst == 2, "poor").when(worst == 1, "needs_improvement").otherwise("good").alias("status"), over.alias("exceeded"))
 
 
 def web_vital_proxies(pages: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def audit_summary(pages: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def roadmap(counts: DataFrame, cross: DataFrame) -> DataFrame:
-    """Actions in four buckets by severity; of two actions that begin alike in one bucket the first stays.
+    """Actions in four buckets by severity; an action that occurs twice in one bucket is listed once.
 
     ``cross`` has ``type, severity, pages`` for the checks that compare pages.
     """
@@ -283,7 +284,6 @@ def roadmap(counts: DataFrame, cross: DataFrame) -> DataFrame:
         cross.select(F.lit("cross").alias("layer"), "type", "severity", "pages"))
     rank = F.create_map(*[F.lit(x) for pair in L.SEVERITY_RANK.items() for x in pair])
     text = F.concat(F.col("pages").cast("string"), F.lit(" pages: "), F.regexp_replace("type", "[_:]", " "))
-    rows = rows.select((F.element_at(rank, F.col("severity")) + 1).alias("priority"), text.alias("issue"), "pages", F.element_at(layers, F.col("layer")).alias("_l"))
-    key = F.lower(F.trim(F.substring("issue", 1, 38)))
-    first = Window.partitionBy("priority", key).orderBy("_l", "issue")
+    rows = rows.select((F.element_at(rank, F.col("severity")) + 1).alias("priority"), text.alias("issue"), "type", "pages", F.element_at(layers, F.col("layer")).alias("_l"))
+    first = Window.partitionBy("priority", "type").orderBy("_l", "issue")
     return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("priority", "issue", "pages")

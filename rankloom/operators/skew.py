@@ -6,26 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key is hot from this many rows on; at most this many hot keys are ever broadcast.
+# A key is hot from this many rows on.
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 4096
-MAX_SALTS = 512
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with many rows and the number of parts to split each into.
+    """All keys with more than ``hot_rows`` rows and the number of parts to split each into.
 
-    The result has at most ``MAX_HOT_KEYS`` rows, so it can be broadcast whatever the input size; a
-    key that does not make the list holds less than 1/MAX_HOT_KEYS of the rows.
+    There is at most one such key per ``hot_rows`` rows; Spark broadcasts the list while it is small and shuffles it beyond.
     """
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows"))
-    parts = F.least(F.ceil(F.col("_key_rows") / hot_rows).cast("int"), F.lit(MAX_SALTS))
-    return (
-        counted.where(F.col("_key_rows") > hot_rows)
-        .orderBy(F.desc("_key_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, parts.alias("_parts"))
-    )
+    return counted.where(F.col("_key_rows") > hot_rows).select(*keys, F.ceil(F.col("_key_rows") / hot_rows).cast("int").alias("_parts"))
 
 
 def salted_join(
@@ -43,7 +34,7 @@ def salted_join(
     key are copied once per part. Other keys are joined as usual.
     """
     keys = list(keys)
-    hot = F.broadcast(hot if hot is not None else hot_keys(rows, keys, hot_rows))
+    hot = hot if hot is not None else hot_keys(rows, keys, hot_rows)
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     salted_rows = (
         rows.join(hot, keys, "left")
@@ -58,25 +49,21 @@ def salted_join(
     return salted_rows.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
 
 
-def shared_values(rows: DataFrame, key: str) -> DataFrame:
-    """Non-empty values of ``key`` found on two rows or more, with their row count."""
-    counted = rows.where(F.col(key) != "").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+def shared_values(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Non-empty values of the first of ``keys`` (within the others) found on two rows or more, with their row count."""
+    counted = rows.where(F.col(keys[0]) != "").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return counted.where("n_rows > 1")
 
 
 def with_group_size(
-    rows: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS, source: DataFrame | None = None
+    rows: DataFrame, key: str, spread: Column, hot_rows: int = HOT_ROWS, source: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``n_rows``, the number of rows that share the row's value of ``key`` (null if unshared).
+    """Add ``n_rows``, the number of rows that share the row's value of ``key`` within the columns ``by`` (null if unshared).
 
     Counts are aggregated before they are joined back; a value held by very many rows (known from the
     counts) is spread over several tasks. ``source`` may give a cheaper table to count the values in.
     """
-    shared = shared_values(source if source is not None else rows, key)
-    hot = (
-        shared.where(F.col("n_rows") > hot_rows)
-        .orderBy(F.desc("n_rows"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.least(F.ceil(F.col("n_rows") / hot_rows).cast("int"), F.lit(MAX_SALTS)).alias("_parts"))
-    )
-    return salted_join(rows, shared, [key], spread, how="left", hot=hot)
+    keys = [key, *by]
+    shared = shared_values(source if source is not None else rows, keys)
+    hot = shared.where(F.col("n_rows") > hot_rows).select(*keys, F.ceil(F.col("n_rows") / hot_rows).cast("int").alias("_parts"))
+    return salted_join(rows, shared, keys, spread, how="left", hot=hot)

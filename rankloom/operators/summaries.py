@@ -126,25 +126,25 @@ def intent_distribution(keywords: DataFrame, by: list[str] | None = None) -> Dat
 
 
 def cannibalised_keywords(pages: DataFrame, k: int | None = 20, shown: int = 6) -> DataFrame:
-    """Keywords used by two or more pages of one crawl, worst first, each with a few of its pages.
+    """Keywords used by two or more pages of one site, worst first, each with a few of its pages: ``site, keyword, ...``.
 
     Pages per keyword are counted after distinct (keyword, url) pairs are formed; the sample is taken as the
     smallest URLs by rank, so a keyword on every page never gathers all of them.
     """
     pairs = (
-        pages.where("not is_error and url <> ''").select("url", F.explode("keywords").alias("kw"))
-        .where(F.length("kw") > 3).select(F.lower("kw").alias("keyword"), "url").distinct()
+        pages.where("not is_error and url <> ''").select("site", "url", F.explode("keywords").alias("kw"))
+        .where(F.length("kw") > 3).select("site", F.lower("kw").alias("keyword"), "url").distinct()
     )
-    counts = pairs.groupBy("keyword").agg(F.count(F.lit(1)).alias("page_count")).where("page_count >= 2")
-    worst = counts.orderBy(F.desc("page_count"), "keyword").limit(k) if k else counts
+    counts = pairs.groupBy("site", "keyword").agg(F.count(F.lit(1)).alias("page_count")).where("page_count >= 2")
+    worst = counts.orderBy(F.desc("page_count"), "site", "keyword").limit(k) if k else counts
     from pyspark.sql import Window
 
-    order = Window.partitionBy("keyword").orderBy("url")
-    kept = pairs.join(F.broadcast(worst.select("keyword")) if k else worst.select("keyword"), "keyword", "left_semi")
+    order = Window.partitionBy("site", "keyword").orderBy("url")
+    kept = pairs.join(F.broadcast(worst.select("site", "keyword")) if k else worst.select("site", "keyword"), ["site", "keyword"], "left_semi")
     first = kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= shown)
-    lists = first.groupBy("keyword").agg(F.array_sort(F.collect_list("url")).alias("pages"))
+    lists = first.groupBy("site", "keyword").agg(F.array_sort(F.collect_list("url")).alias("pages"))
     risk = F.when(F.col("page_count") >= 4, "High").otherwise("Medium")
-    return worst.join(lists, "keyword").select("keyword", "page_count", risk.alias("risk_level"), "pages")
+    return worst.join(lists, ["site", "keyword"]).select("site", "keyword", "page_count", risk.alias("risk_level"), "pages")
 
 
 def search_analytics_summary(rows: DataFrame) -> DataFrame:

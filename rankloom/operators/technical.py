@@ -339,7 +339,7 @@ def audit_pages(pages: DataFrame, now: Column | None = None, parts: list[str] |
         audits["freshness"] = freshness_audit(now)
     keep = [n for n in audits if parts is None or n in SCORED or n in LISTED or n in parts]
     out = with_word_count(pages).select(
-        "url", "status_code", "is_error", indexability().alias("indexability"), *[audits[n].alias(f"a_{n}") for n in keep]
+        *[c for c in ("site",) if c in pages.columns], "url", "status_code", "is_error", indexability().alias("indexability"), *[audits[n].alias(f"a_{n}") for n in keep]
     )
     out = out.withColumn("tech_score", tech_score({n: F.col(f"a_{n}") for n in SCORED}))
     out = out.withColumn("tech_grade", letter_grade(F.col("tech_score")))

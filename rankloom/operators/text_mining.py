@@ -11,6 +11,10 @@ from rankloom.functions import text as TX
 from rankloom.functions.scores import ctr_tier, expected_ctr
 
 
+# The words at the start of a body in which a keyword counts as prominent: part of the score's definition.
+HEAD_WORDS = 100
+
+
 def tokens(text: Column) -> Column:
     """Latin words of three letters or more, lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})"), F.lit(1))
@@ -31,21 +35,26 @@ def term_counts(docs: DataFrame, text: Column, key: str = "url") -> DataFrame:
     return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(docs: DataFrame, text: Column, key: str = "url", features: int = 5000, excluded: Sequence[str] = ()) -> DataFrame:
-    """Weight of each vocabulary term in each document, scaled to unit length per document.
+def _with_idf(counts: DataFrame, n_docs: int, features: int | None) -> DataFrame:
+    """Join the inverse document frequency of each term to the counts."""
+    vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    if features is not None:
+        vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(features)
+    idf = F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
+    weights = vocabulary.select("term", idf.alias("idf"))
+    return counts.join(weights if features is None else F.broadcast(weights), "term")
+
+
+def tfidf(docs: DataFrame, text: Column, key: str = "url", features: int | None = None, excluded: Sequence[str] = ()) -> DataFrame:
+    """Weight of each term in each document, scaled to unit length per document.
 
-    The vocabulary is the ``features`` most frequent terms of the corpus, so the table joined to the term counts has
-    a fixed size bound and is broadcast; a term found in every document needs no shuffle by term.
+    ``features`` keeps the most frequent terms of the corpus only; such a vocabulary has a fixed size bound and is broadcast.
+    Without it all terms count, and documents and vocabulary are joined by term, the terms of very many documents split.
     """
     counts = term_counts(docs, text, key)
     counts = counts.where(~F.col("term").isin(list(excluded))) if excluded else counts
     n_docs = docs.count()
-    vocabulary = (
-        counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("total"), "term").limit(features)
-    )
-    idf = F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
-    weighted = counts.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term")
+    weighted = _with_idf(counts, n_docs, features)
     weighted = weighted.select(key, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
@@ -56,7 +65,7 @@ def _top(rows: DataFrame, key: str, order: Sequence[Column], k: int, rank: str =
     return numbered.where(F.col(rank) <= k)
 
 
-def tfidf_keywords(docs: DataFrame, text: Column, key: str = "url", k: int = 10, features: int = 5000,
+def tfidf_keywords(docs: DataFrame, text: Column, key: str = "url", k: int = 10, features: int | None = None,
                    excluded: Sequence[str] = (), stopwords: Sequence[str] = L.TERM_STOPWORDS) -> DataFrame:
     """Most distinctive terms per document: of the best ``2k`` those that are no stop words, at most ``k``."""
     weights = tfidf(docs, text, key, features, excluded).withColumn("weight", F.round("weight", 9))
@@ -119,10 +128,16 @@ def keyword_importance(pages: DataFrame, k: int = 10, suggestions: DataFrame | N
     texts = usable.select(
         "url", TX.squeeze(F.concat_ws(" \u0001 ", "title", F.array_join("h1", " "))).alias("_top"),
         TX.squeeze(F.concat_ws(" \u0001 ", F.array_join("h2", " "), F.array_join("h3", " "))).alias("_sub"),
-        body.alias("_body"), F.array_join(F.slice(tokens(F.col("body_text")), 1, 100), " ").alias("_head"),
+        body.alias("_body"), F.array_join(F.slice(tokens(F.col("body_text")), 1, HEAD_WORDS), " ").alias("_head"),
         F.greatest(F.regexp_count(body, F.lit("[a-z]{3,}")), F.lit(1)).alias("_n"),
     )
-    rows = terms.join(texts, "url")
+    # at most k terms per page: they meet the page's text once, and the rows leave without it
+    lists = terms.groupBy("url").agg(F.collect_list(F.struct("keyword", "freq")).alias("_terms"))
+    looked_up = F.transform("_terms", lambda t: F.struct(
+        t["keyword"].alias("keyword"), t["freq"].alias("freq"), TX.in_text(t["keyword"], F.col("_top")).alias("_in_top"),
+        TX.in_text(t["keyword"], F.col("_sub")).alias("_in_sub"), TX.in_text(t["keyword"], F.col("_head")).alias("prominent"),
+        F.round(100.0 * F.regexp_count("_body", TX.whole_word(t["keyword"])) / F.col("_n"), 2).alias("density")))
+    rows = texts.join(lists, "url").select("url", F.inline(looked_up))
     if suggestions is not None:
         rows = rows.join(suggestions, "url", "left")
         pattern = TX.whole_word(F.col("keyword"))
@@ -133,9 +148,8 @@ def keyword_importance(pages: DataFrame, k: int = 10, suggestions: DataFrame | N
         rows = rows.join(positions, ["url", "keyword"], "left")
     else:
         rows = rows.withColumn("position", F.lit(None).cast("int"))
-    kw = F.col("keyword")
     points = (
-        F.when(TX.in_text(kw, F.col("_top")), 3).otherwise(0) + F.when(TX.in_text(kw, F.col("_sub")), 2).otherwise(0)
+        F.when(F.col("_in_top"), 3).otherwise(0) + F.when(F.col("_in_sub"), 2).otherwise(0)
         + F.when(F.col("freq") > 5, 2).otherwise(0) + F.when(hit, 3).otherwise(0)
     )
     rows = rows.withColumn("score", points)
@@ -144,31 +158,25 @@ def keyword_importance(pages: DataFrame, k: int = 10, suggestions: DataFrame | N
     return rows.select(
         "url", "keyword", "freq", "score",
         F.when(score >= 6, "HIGH").when(score >= 3, "MEDIUM").otherwise("LOW").alias("importance"),
-        F.round(100.0 * F.regexp_count("_body", TX.whole_word(kw)) / F.col("_n"), 2).alias("density"),
-        TX.in_text(kw, F.col("_head")).alias("prominent"), F.col("position").alias("serp_position"),
+        "density", "prominent", F.col("position").alias("serp_position"),
         F.when(F.col("position").isNotNull(), expected_ctr(F.col("position"), intent)).alias("expected_ctr"),
         F.when(F.col("position").isNotNull(), ctr_tier(F.col("position"))).alias("ctr_tier"),
     )
 
 
-def site_similarity(docs: DataFrame, text: Column, target: str, features: int = 3000, excluded: Sequence[str] = ()) -> DataFrame:
+def site_similarity(docs: DataFrame, text: Column, target: str, features: int | None = None, excluded: Sequence[str] = ()) -> DataFrame:
     """Cosine similarity in percent between the text of the target site and of every other site.
 
-    The vector of the target has at most ``features`` entries and is broadcast to those of the other sites.
+    With ``features`` only the most frequent terms count, and the vector of the target is small enough to be broadcast.
     """
     counts = docs.select("site", F.explode(tokens(text)).alias("term")).groupBy("site", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = counts.where(~F.col("term").isin(list(excluded))) if excluded else counts
     n_sites = docs.select("site").distinct().count()
-    vocabulary = (
-        counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("total"), "term").limit(features)
-    )
-    idf = F.log((1.0 + F.lit(n_sites)) / (1.0 + F.col("df"))) + 1.0
-    vectors = counts.join(F.broadcast(vocabulary.select("term", idf.alias("idf"))), "term").select(
+    vectors = _with_idf(counts, n_sites, features).select(
         "site", "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     own = vectors.where(F.col("site") == target).select("term", F.col("w").alias("tw"))
     own_norm = own.agg(F.sqrt(F.sum(F.col("tw") * F.col("tw")))).head()[0] or 1.0
-    joined = vectors.where(F.col("site") != target).join(F.broadcast(own), "term", "left")
+    joined = vectors.where(F.col("site") != target).join(own if features is None else F.broadcast(own), "term", "left")
     sums = joined.groupBy("site").agg(
         F.sum(F.col("w") * F.coalesce("tw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return sums.select("site", F.round(100.0 * F.col("dot") / (F.col("norm") * F.lit(own_norm)), 1).alias("similarity"))

@@ -83,7 +83,7 @@ def _anchors(base: Column) -> Column:
     """Anchors with a usable reference: ``href`` (absolute), ``text``."""
     usable = F.filter(
         _tags("a"), lambda e: F.map_contains_key(e["attrs"], F.lit("href")) & ~F.rlike(F.trim(_attr(e, "href")), F.lit(_SKIP)))
-    return F.transform(usable, lambda e: F.struct(resolve(base, _attr(e, "href")).alias("href"), F.substring(e["text"], 1, 100).alias("text")))
+    return F.transform(usable, lambda e: F.struct(resolve(base, _attr(e, "href")).alias("href"), e["text"].alias("text")))
 
 
 def link_columns() -> dict[str, Column]:
@@ -99,7 +99,7 @@ def link_columns() -> dict[str, Column]:
     in_order = F.array_sort(F.transform(unique, lambda a: F.struct(a["pos"].alias("pos"), a["href"].alias("href"), a["text"].alias("text"))))
     first = F.transform(in_order, lambda a: F.struct(a["href"].alias("href"), a["text"].alias("text")))
     outside = F.transform(F.filter(web, lambda a: U.bare_host(a["href"]) != own), lambda a: a["href"])
-    return {"link_objects": first, "external_links": F.slice(outside, 1, 50)}
+    return {"link_objects": first, "external_links": outside}
 
 
 def image_columns() -> dict[str, Column]:
@@ -112,7 +112,7 @@ def image_columns() -> dict[str, Column]:
 
     def listed(name: str) -> Column:
         values = F.transform("_imgs", lambda e: F.trim(_attr(e, name)))
-        return F.slice(F.filter(values, lambda v: v != ""), 1, 20)
+        return F.filter(values, lambda v: v != "")
 
     def share(part: Column) -> Column:
         return F.when(total > 0, F.round(100.0 * part / F.greatest(total, F.lit(1)), 1)).otherwise(0.0)
@@ -171,8 +171,7 @@ def heading_columns() -> dict[str, Column]:
 
     out = {tag: texts(tag) for tag in ("h1", "h2", "h3")}
     out["heading_sequence"] = F.transform(
-        F.slice(headings, 1, 30),
-        lambda e: F.struct(F.substring(e["tag"], 2, 1).cast("int").alias("level"), F.substring(e["text"], 1, 120).alias("text")))
+        headings, lambda e: F.struct(F.substring(e["tag"], 2, 1).cast("int").alias("level"), e["text"].alias("text")))
     return out
 
 
@@ -204,7 +203,7 @@ def mixed_content(url: Column, html: Column, full: bool = False) -> Column:
                                      lambda s: F.regexp_extract_all(s, F.lit(r"(http://[^\s,]+)"), F.lit(1))))
         found = F.concat(found, sets, F.regexp_extract_all(html, F.lit(MIXED_CSS), F.lit(1)))
     unique = F.array_sort(F.array_distinct(found))
-    return F.when(F.startswith(url, F.lit("https://")), unique if full else F.slice(unique, 1, 20)).otherwise(
+    return F.when(F.startswith(url, F.lit("https://")), unique).otherwise(
         F.array().cast("array<string>"))
 
 

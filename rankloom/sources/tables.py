@@ -7,15 +7,6 @@ from pyspark.sql import DataFrame
 from rankloom.session import scratch_path
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows that come from fewer files than cores over all cores; larger inputs are left alone.
-
-    Rows are placed by a hash of ``keys``, so that a task that runs again gets the same rows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later readers prune its columns and share the work."""
     path = scratch_path(df.sparkSession, name)

@@ -7,15 +7,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rankloom.operators.page_issues import light_issues
 from rankloom.sources.page_facts import extract_pages
-from rankloom.sources.tables import kept
+from rankloom.streaming.keyed_table import add_version, newest_rows, read_table
 
-BUCKETS = 64
 STATUS_KEY = ["project_id", "url", "issue_type"]
 
 
 def crawl_progress(arrivals: DataFrame) -> DataFrame:
-    """Pages crawled, errors and time of the last page per job (``job_id, is_error, arrived_at``)."""
+    """Pages crawled, errors and time of the last page per job (``job_id, is_error, arrived_at``).
+
+    ``known``, if there is such a column, is the number of addresses found so far; it gives the pages still queued.
+    """
+    queued = {"queued": F.greatest(F.max("known") - F.count(F.lit(1)), F.lit(0))} if "known" in arrivals.columns else {}
+    elapsed = F.round(F.max("arrived_at").cast("double") - F.min("arrived_at").cast("double"), 3)
     return arrivals.groupBy("job_id").agg(
+        elapsed.alias("elapsed_s"), *[c.alias(n) for n, c in queued.items()],
         F.count(F.lit(1)).alias("crawled"), F.count_if(F.col("is_error")).alias("errors"),
         F.min("arrived_at").alias("started_at"), F.max("arrived_at").alias("last_at"))
 
@@ -25,41 +30,27 @@ def ingest(raw: DataFrame) -> DataFrame:
     return light_issues(extract_pages(raw))
 
 
+_NEWEST = ("updated_at", "status")
+
+
 def latest_status(rows: DataFrame) -> DataFrame:
     """Newest status per project, page and issue type."""
-    fields = [c for c in rows.columns if c not in STATUS_KEY]
-    newest = F.max_by(F.struct(*fields), F.struct("updated_at", "status"))
-    return rows.groupBy(*STATUS_KEY).agg(newest.alias("s")).select(*STATUS_KEY, "s.*")
-
+    return newest_rows(rows, STATUS_KEY, F.struct(*_NEWEST))
 
-def upsert_status(batch: DataFrame, path: str) -> None:
-    """Merge a batch into the status table at ``path``; only the buckets the batch touches are rewritten.
 
-    Merging a batch twice gives the same table.
-    """
-    spark = batch.sparkSession
-    bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("project_id", "url"), F.lit(BUCKETS)).cast("int"))
-    touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most BUCKETS values
-    if not touched:
-        return
-    try:
-        current = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        bucketed = bucketed.unionByName(current.select(*bucketed.columns))
-    except Exception as exc:  # first batch: the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-    merged = kept(latest_status(bucketed), "status-merge")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def upsert_status(batch: DataFrame, path: str, epoch: int) -> None:
+    """Add a batch to the status table at ``path``; other rows are not rewritten. Adding a batch twice gives the same table."""
+    add_version(batch, path, epoch, STATUS_KEY, F.struct(*_NEWEST))
 
 
 def start_status_upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: upsert_status(batch, path)).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(lambda batch, epoch: upsert_status(batch, path, epoch)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start())
 
 
 def statuses(spark: SparkSession, path: str, project_id=None) -> DataFrame:
-    rows = spark.read.parquet(path).drop("bucket")
+    rows = read_table(spark, path, STATUS_KEY, F.struct(*_NEWEST))
     return rows.where(F.col("project_id") == project_id) if project_id is not None else rows
 
 

@@ -1,0 +1,44 @@
+"""A table of the newest row per key that micro-batches add to without rewriting what is there.
+
+Each batch writes its own rows as one version (``kind=delta/epoch=n``); writing a batch again replaces that version only. Every so many
+batches the newest rows of all versions become a new base (``kind=base/epoch=n``); readers take the last base and the versions behind it.
+Older versions are superseded and may be removed by the owner of the folder at any time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def newest_rows(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """The row with the largest ``order`` of each key."""
+    fields = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("s")).select(*keys, "s.*")
+
+
+def read_table(spark: SparkSession, path: str, keys: Sequence[str], order: Column, before: int | None = None) -> DataFrame | None:
+    """The newest row of each key, from the versions before a batch if given; None if there is no version yet."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("epoch") < before)
+    base = rows.where("kind = 'base'").agg(F.max("epoch")).head()[0]
+    if base is not None:
+        rows = rows.where(F.when(F.col("kind") == "base", F.col("epoch") == base).otherwise(F.col("epoch") > base))
+    return newest_rows(rows.drop("kind", "epoch"), keys, order)
+
+
+def add_version(rows: DataFrame, path: str, epoch: int, keys: Sequence[str], order: Column, compact_every: int = 20) -> None:
+    """Write the rows of a batch; doing so twice gives the same table."""
+    spark = rows.sparkSession
+    newest_rows(rows, keys, order).write.mode("overwrite").parquet(f"{path}/kind=delta/epoch={epoch}")
+    if epoch and epoch % compact_every == 0:
+        read_table(spark, path, keys, order, epoch + 1).write.mode("overwrite").parquet(f"{path}/kind=base/epoch={epoch}")

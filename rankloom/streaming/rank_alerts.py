@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from rankloom.operators.ranks import with_previous_position
+from rankloom.streaming.keyed_table import add_version, read_table
 
-_ALERT = "domain string, keyword string, checked_at timestamp, old_position int, new_position int, delta int"
-_STATE = "position int, checked_at timestamp"
+KEYS = ["domain", "keyword"]
 
 
-def rank_drop_alerts(checks: DataFrame, threshold: int = 5, watermark: str = "1 day") -> DataFrame:
-    """Alerts for checks worse than the last known position of their domain and keyword by the threshold or more.
+def alerts_of_batch(checks: DataFrame, last: DataFrame | None, threshold: int) -> DataFrame:
+    """Alerts of a batch of known checks, given the last known check of each key from earlier batches.
 
-    ``checks`` is a stream of ``domain, keyword, position, checked_at``. The state of a key is its last known position and
-    when that was; an unknown position leaves it, and a check older than it is ignored. The rows of a key arrive in
-    bounded batches and are never gathered.
+    The rows of a key are compared in the order of time and id by Spark's sort, so their number and arrival do not matter.
     """
+    if last is not None:
+        since = last.select(*KEYS, F.struct("checked_at", "check_id").alias("_since"))
+        fresh = checks.join(since, KEYS, "left").where("_since is null or struct(checked_at, check_id) > _since").drop("_since")
+        touched = last.join(fresh.select(*KEYS).distinct(), KEYS, "left_semi")
+        checks = fresh.withColumn("_new", F.lit(True)).unionByName(touched.select(*fresh.columns).withColumn("_new", F.lit(False)))
+    else:
+        checks = checks.withColumn("_new", F.lit(True))
+    delta = F.col("position") - F.col("previous")
+    rows = with_previous_position(checks).withColumn("delta", delta).where(F.col("_new") & (delta >= threshold))
+    return rows.select(*KEYS, "checked_at", F.col("previous").alias("old_position"), F.col("position").alias("new_position"), "delta")
+
+
+def start_rank_drop_alerts(checks: DataFrame, alerts: str, state: str, checkpoint: str, threshold: int = 5) -> StreamingQuery:
+    """Write alerts for checks worse than the last known position of their domain and keyword by the threshold or more.
+
+    ``checks`` is a stream of ``domain, keyword, position, checked_at, check_id``. The last known check of each key is a keyed table at
+    ``state``; an unknown position leaves it, and a check older than it is ignored. A batch that runs again writes the same.
+    """
+    order = F.struct("checked_at", "check_id")
+
+    def compare(batch: DataFrame, epoch: int) -> None:
+        known = batch.where("position is not null").select(*KEYS, F.col("position").cast("int").alias("position"), "checked_at", "check_id")
+        last = read_table(batch.sparkSession, state, KEYS, order, epoch)
+        alerts_of_batch(known, last, threshold).write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
+        changed = known if last is None else known.unionByName(last.join(known.select(*KEYS).distinct(), KEYS, "left_semi"))
+        add_version(changed, state, epoch, KEYS, order)
 
-    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        position, seen = state.get if state.exists else (None, None)
-        for batch in batches:
-            alerts = []
-            known = batch[batch["position"].notna()].sort_values("checked_at")
-            for value, at in zip(known["position"], known["checked_at"]):
-                if seen is not None and at < pd.Timestamp(seen):
-                    continue
-                if position is not None and value - position >= threshold:
-                    alerts.append((*key, at, int(position), int(value), int(value - position)))
-                position, seen = int(value), at.to_pydatetime()
-            yield pd.DataFrame(alerts, columns=["domain", "keyword", "checked_at", "old_position", "new_position", "delta"])
-        if position is not None:
-            state.update((position, seen))
-
-    keyed = checks.select("domain", "keyword", F.col("position").cast("int").alias("position"), "checked_at").withWatermark("checked_at", watermark)
-    return keyed.groupBy("domain", "keyword").applyInPandasWithState(compare, _ALERT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return checks.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def weekly_digest(checks: DataFrame, span: str = "7 days", watermark: str = "1 day") -> DataFrame:
@@ -45,7 +52,8 @@ def weekly_digest(checks: DataFrame, span: str = "7 days", watermark: str = "1 d
     Works on a stream (closed weeks are emitted) and on a table.
     """
     rows = checks.withWatermark("checked_at", watermark) if checks.isStreaming else checks
-    last = rows.groupBy(F.window("checked_at", span), "domain", "keyword").agg(F.max_by("position", "checked_at").alias("position"))
+    order = F.struct("checked_at", "check_id") if "check_id" in rows.columns else F.struct("checked_at")
+    last = rows.groupBy(F.window("checked_at", span), "domain", "keyword").agg(F.max_by("position", order).alias("position"))
     p = F.coalesce("position", F.lit(1000))
     weeks = last.groupBy(F.window(F.window_time("window"), span).alias("week"), "domain")
     counted = weeks.agg(

@@ -1,6 +1,7 @@
 """Streams give what the batch operators give."""
 
 import datetime as dt
+import random
 
 from factory import values
 
@@ -23,12 +24,26 @@ def test_alerts_keep_the_last_known_position_and_skip_late_rows(spark, tmp_path)
         frame = spark.createDataFrame(part, SCHEMA)
         frame.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        rows = CF.run_to_table(RA.rank_drop_alerts(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+        RA.start_rank_drop_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out"))
     assert values(rows, "keyword", "old_position", "new_position") == [("k", 3, 9), ("k", 9, 16)]
     in_order = spark.createDataFrame([r for r in first + second if r[4] != 5], SCHEMA)
     assert values(RK.rank_drops(in_order), "keyword", "old_position", "new_position") == [("k", 3, 9), ("k", 9, 16)]
 
 
+def test_alerts_do_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(2)
+    checks = [("d", "k", rng.choice([None, *range(1, 60)]), _day(1) + dt.timedelta(minutes=i), i) for i in range(200)]
+    want = values(RK.rank_drops(spark.createDataFrame(checks, SCHEMA)), "checked_at", "old_position", "new_position")
+    source = str(tmp_path / "in")
+    for part in (checks[:90], checks[90:]):
+        rng.shuffle(part)
+        spark.createDataFrame(part, SCHEMA).repartition(5).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        RA.start_rank_drop_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    assert values(spark.read.parquet(str(tmp_path / "out")), "checked_at", "old_position", "new_position") == want and len(want) > 20
+
+
 def test_digest_of_a_table_counts_the_last_check_of_the_week(spark):
     rows = [("d", "a", 30, _day(1), 1), ("d", "a", 4, _day(2), 2), ("d", "b", 12, _day(1), 3), ("d", "c", None, _day(1), 4)]
     out = RA.weekly_digest(spark.createDataFrame(rows, SCHEMA))
@@ -41,8 +56,8 @@ def test_status_upsert_is_repeatable(spark, tmp_path):
     schema = "project_id long, url string, issue_type string, status string, updated_at timestamp"
     one = spark.createDataFrame([(1, "u", "t", "open", _day(1)), (2, "v", "t", "open", _day(1))], schema)
     two = spark.createDataFrame([(1, "u", "t", "fixed", _day(2)), (1, "u", "s", "open", _day(2)), (2, "v", "t", "old", _day(1) - dt.timedelta(days=3))], schema)
-    for batch in (one, two, two):
-        CF.upsert_status(batch, path)
+    for epoch, batch in ((0, one), (1, two), (1, two), (20, two)):
+        CF.upsert_status(batch, path, epoch)
     assert values(CF.statuses(spark, path), "project_id", "issue_type", "status") == [(1, "s", "open"), (1, "t", "fixed"), (2, "t", "open")]
     assert values(CF.latest_status(one.unionByName(two)), "project_id", "issue_type", "status") == values(CF.statuses(spark, path), "project_id", "issue_type", "status")
 
