@@ -108,7 +108,7 @@ def _(spark, sf):
     return BM.action_list(scores(spark, sf), target)
 
 
-@query("cmp_12_benchmark_job", P, f"WITH {ALL} select site, technical, on_page, content, keywords, 'crawl' as source from ss where technical is not null")
+@query("cmp_12_benchmark_job", P, f"WITH {ALL} select site, technical, on_page, content, eeat, ctr, keywords, page_speed, 'crawl' as source from ss where technical is not null")
 def _(spark, sf):
     from rankloom.plans.competitor_benchmark import run_benchmark
 
@@ -117,7 +117,7 @@ def _(spark, sf):
     flat = flat.join(perf, "url").withColumn("perf_score", F.when(F.col("_x"), None).otherwise(F.col("perf_score"))).drop("_x")
     target = fx_pages(spark, sf).agg(F.min("site")).head()[0]
     result = run_benchmark(scored_pages(spark, sf), flat, target, YEAR, authority(spark, sf))
-    return result["scores"].where("source = 'crawl'").select("site", "technical", "on_page", "content", "keywords", "source")
+    return result["scores"].where("source = 'crawl'").select("site", *L.DIMENSION_WEIGHTS, "source")
 
 
 # --- composed jobs ----------------------------------------------------------------------------------------------------
@@ -165,3 +165,57 @@ def _(spark, sf):
     from rankloom.plans.link_report import link_report
 
     return link_report(labelled(spark, sf))["totals"]
+
+
+@query("snk_02_competitor_errors", P, "select site, url, status_code, title as note from fx_pages where is_error")
+def _(spark, sf):
+    return _competitor_tables(spark, sf)["errors"]
+
+
+@query("snk_02_competitor_gaps", P, """WITH p AS (select distinct site, lower(k) as keyword from (select site, unnest(keywords) as k from fx_pages) t where lower(k) <> ''), tt AS (select min(site) as t from fx_pages), n AS (select count(distinct site) as n from p, tt where site <> t),
+ g AS (select keyword, count(*) filter (site <> t) as competitor_count, bool_or(site = t) as own from p, tt where length(keyword) > 3 group by 1)
+ select keyword, competitor_count, round(least(competitor_count / cast(greatest(n, 1) as double) * 70 + least(10 * len(list_filter(regexp_split_to_array(keyword, '\\s+'), lambda w: w <> '')), 30), 100), 1) as opportunity_score from g, n
+ where not own and competitor_count >= (case when n >= 2 then 2 else 1 end) order by 2 desc, 3 desc, 1 limit 100""")
+def _(spark, sf):
+    return _competitor_tables(spark, sf)["keyword_gaps"].select("keyword", "competitor_count", "opportunity_score")
+
+
+def _competitor_tables(spark, sf):
+    from rankloom.plans.competitor_benchmark import run_benchmark
+    from rankloom.sinks.reports import competitor_tables
+
+    target = fx_pages(spark, sf).agg(F.min("site")).head()[0]
+    result = run_benchmark(scored_pages(spark, sf), SPEED.flatten_reports(speed_reports(spark, sf)), target, YEAR, authority(spark, sf))
+    return competitor_tables(result, speed(spark, sf), scored_pages(spark, sf))
+
+
+# --- end to end -------------------------------------------------------------------------------------------------------
+
+_TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+_TITLE = f"replace(replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+@query("e2e_01_raw_pages_to_labels", (), f"""WITH p AS (select url, regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1) as site, {_TITLE} as t, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) as h from pages),
+ l AS (select site, case when length(t) = 0 then 'Missing Title' when length(t) > 60 then 'Title Too Long' when length(t) < 30 and regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) not in ('', '/') then 'Title Too Short' end as label from p
+ UNION ALL select site, 'Missing Meta Description' from p UNION ALL select site, case when h = '' then 'Missing H1' end from p UNION ALL select site, 'Missing H2' from p UNION ALL select site, 'Missing Canonical' from p
+ UNION ALL select site, 'Duplicate Title' from (select site, count(*) over (partition by site, lower(t)) as n from p where t <> '') x where n > 1)
+ select site, label, count(*) as pages from l where label is not null group by 1, 2""")
+def _(spark, sf):
+    from rankloom.catalog.source_queries import facts
+    from rankloom.operators.page_issues import detect_issues
+
+    labelled_pages = detect_issues(facts(spark, sf))
+    return labelled_pages.select("site", F.explode("issues").alias("label")).groupBy("site", "label").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("e2e_02_raw_pages_to_rule_audit")
+def _(spark, sf):
+    """Raw pages to facts to the rule audit, with the crawled addresses as sitemap and no robots rules or measurements."""
+    from rankloom.catalog.source_queries import facts
+    from rankloom.operators import rule_audit as RULES
+
+    pages = facts(spark, sf)
+    none = spark.createDataFrame([], "site string, pos int, path string")
+    vitals = spark.createDataFrame([], "url string, lcp_s double, cls double, inp_s double")
+    issues = RULES.rule_audit(pages, pages.select("url"), none, vitals)
+    return issues.groupBy("scope", "type", "cluster", "severity").agg(F.count(F.lit(1)).alias("pages"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rankloom.catalog.fixtures import fx_pages, table
 from rankloom.catalog.page_queries import DEPTH, DUP_SQL, INDEX_SQL, LETTER, P, RANKING_CTE, TECH_SCORE, WC, _MM, _TT, _len_status
-from rankloom.catalog.rank_queries import R
+from rankloom.catalog.rank_queries import R, checks
 from rankloom.catalog.registry import query
 from rankloom.catalog.site_queries import LABELS_CTE, labelled
+from rankloom.operators import ranks as RK
 from rankloom.session import scratch_path
 from rankloom.sinks import reports as RP
 from rankloom.streaming import crawl_feed as CF, rank_alerts as RA
@@ -49,6 +50,13 @@ def _(spark, sf):
     return digest.withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
 
 
+@query("str_02_digest_examples", R, """WITH l AS (select domain, keyword, position from fx_rank_checks qualify row_number() over (partition by domain, keyword order by checked_at desc, check_id desc) = 1),
+ b AS (select *, case when coalesce(position, 1000) <= 10 then 'top_10' when coalesce(position, 1000) <= 30 then 'top_30' else 'rest' end as band from l)
+ select domain, band, cast(row_number() over (partition by domain, band order by coalesce(position, 1000), keyword) as int) as rank, keyword, position from b qualify rank <= 5""")
+def _(spark, sf):
+    return RA.digest_examples(RK.latest_positions(checks(spark, sf)))
+
+
 @query("str_03_issue_status_upsert", (), """WITH s AS (select o_custkey % 50 as project_id, concat('u', cast(o_orderkey % 40 as varchar)) as url, o_orderpriority as issue_type, o_orderstatus as status, o_orderdate as updated_at from orders)
  select project_id, url, issue_type, max(updated_at) as updated_at, max_by(status, (updated_at, status)) as status from s group by 1, 2, 3""")
 def _(spark, sf):

@@ -1,13 +1,17 @@
 """Internal link graph: build, PageRank, crawl depth, silos and fix-first priority.
 
+A graph may hold the crawls of many sites. Roots, ranks, depths and extremes are those of each site by itself.
+
 The edge table keeps, per edge, the part of its source (``part``): a source with very many out-links is
-split into several parts, so that no task has to handle all of them.
+split into several parts, so that no task has to handle all of them. Edges are kept partitioned and sorted by source and part, so that a
+round of PageRank or of the depth search moves the values of the pages and not the edges.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.functions import urls as U
@@ -15,12 +19,16 @@ from rankloom.operators.skew import salted_join
 from rankloom.session import cut_lineage
 
 EDGES_PER_PART = 1_000_000
+SMALL_SITES = 100_000  # so many rows of numbers are broadcast, more are joined
 
 
 @dataclass
 class LinkGraph:
-    nodes: DataFrame  # url, silo, in_count, out_count, parts
-    edges: DataFrame  # src, dst, n_links, part
+    nodes: DataFrame  # url, site, silo, in_count, out_count, parts
+    edges: DataFrame  # src, dst, n_links, part; kept by the executors, lost parts are made again from the checkpoint
+
+    def release(self) -> None:
+        self.edges.unpersist()
 
 
 def build_graph(urls: DataFrame, links: DataFrame) -> LinkGraph:
@@ -51,17 +59,28 @@ def build_graph(urls: DataFrame, links: DataFrame) -> LinkGraph:
         .join(out.withColumnRenamed("src", "url"), "url", "left")
         .join(wide.withColumnRenamed("src", "url"), "url", "left")
         .select(
-            "url", U.silo(F.col("url")).alias("silo"), F.coalesce("in_count", F.lit(0)).alias("in_count"),
+            "url", U.host(F.col("url")).alias("site"), U.silo(F.col("url")).alias("silo"), F.coalesce("in_count", F.lit(0)).alias("in_count"),
             F.coalesce("out_count", F.lit(0)).alias("out_count"), F.coalesce("parts", F.lit(1)).alias("parts"),
         )
     )
-    return LinkGraph(cut_lineage(nodes), cut_lineage(edges.repartition("src", "part")))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(edges).repartition(parts, "src", "part").sortWithinPartitions("src", "part")
+    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    placed.count()  # once kept, their partitioning and order are known to the plans of the rounds
+    return LinkGraph(cut_lineage(nodes), placed)
+
 
+def roots_of(graph: LinkGraph) -> DataFrame:
+    """The page of each site with most distinct out-links (``url``); ties go to the first URL."""
+    best = F.min(F.struct((-F.col("out_count")).alias("n"), "url")).alias("best")
+    return graph.nodes.groupBy("site").agg(best).select("best.url")
 
-def root_of(graph: LinkGraph) -> str | None:
-    """The page with most distinct out-links; ties go to the first URL."""
-    best = graph.nodes.orderBy(F.desc("out_count"), "url").select("url").head()
-    return best["url"] if best else None
+
+def _with_site(rows: DataFrame, stats: DataFrame, n_sites: int) -> DataFrame:
+    """Join the row of its site to every page; the pages of a large site are spread."""
+    if n_sites <= SMALL_SITES:
+        return rows.join(F.broadcast(stats), "site")
+    return salted_join(rows, stats, ["site"], F.col("url"))
 
 
 def _push(values: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,48 +90,51 @@ def _push(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(graph: LinkGraph, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
-    """PageRank of every page (``url``, ``pagerank``), summing to one.
+    """PageRank of every page (``url``, ``pagerank``), summing to one on each site.
 
-    Each round is one join with the edges and one sum; the ranks are checkpointed, and the rank held by pages
-    without out-links and the change of the round come back as two numbers.
+    Each round is one join with the edges and one sum; the ranks are checkpointed. The rank held by the pages of a site without out-links
+    comes back as one row per site, the change of the round (of the site that moved most) as one number.
     """
-    n = graph.nodes.count()
-    if n == 0:
+    sizes = cut_lineage(graph.nodes.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("out_count") == 0).alias("_dead")))
+    n_sites = sizes.count()
+    if n_sites == 0:
         return graph.nodes.select("url", F.lit(0.0).alias("pagerank"))
-    ranks = graph.nodes.select("url", "parts", "out_count", F.lit(1.0 / n).alias("rank"))
-    stuck = graph.nodes.where("out_count = 0").count() / n
+    stats = sizes.select("site", "n", (F.col("_dead") / F.col("n")).alias("stuck"))
+    ranks = cut_lineage(_with_site(graph.nodes.select("url", "site", "parts", "out_count"), sizes, n_sites).select(
+        "url", "site", "parts", "out_count", (F.lit(1.0) / F.col("n")).alias("rank")))
     for _ in range(rounds):
         shares = ranks.where("out_count > 0").select("url", "parts", (F.col("rank") / F.col("out_count")).alias("share"))
         gained = _push(shares, graph.edges).groupBy(F.col("dst").alias("url")).agg(F.sum("share").alias("gain"))
-        new = F.lit((1.0 - damping) / n + damping * stuck / n) + damping * F.coalesce("gain", F.lit(0.0))
-        moved = cut_lineage(
-            ranks.join(gained, "url", "left").select(
-                "url", "parts", "out_count", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")
-            )
-        )
-        change, stuck = moved.agg(
-            F.sum("change"), F.sum(F.when(F.col("out_count") == 0, F.col("rank")).otherwise(0.0))
-        ).head()
+        new = (1.0 - damping + damping * F.col("stuck")) / F.col("n") + damping * F.coalesce("gain", F.lit(0.0))
+        moved = cut_lineage(_with_site(ranks.join(gained, "url", "left"), stats, n_sites).select(
+            "url", "site", "parts", "out_count", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        held = F.sum(F.when(F.col("out_count") == 0, F.col("rank")).otherwise(0.0))
+        found = moved.groupBy("site").agg(F.count(F.lit(1)).alias("n"), held.alias("stuck"), F.sum("change").alias("change"))
+        if n_sites <= SMALL_SITES:  # so few rows come back to the driver and save a job a round
+            rows = found.collect()
+            change = max(r["change"] for r in rows)
+            stats = found.sparkSession.createDataFrame([r[:3] for r in rows], "site string, n long, stuck double")
+        else:
+            found = cut_lineage(found)
+            change, stats = found.agg(F.max("change")).head()[0], found.drop("change")
         ranks = moved.drop("change")
         if change < tolerance:
             break
-    total = ranks.agg(F.sum("rank")).head()[0] or 1.0
-    return ranks.select("url", (F.col("rank") / total).alias("pagerank"))
+    totals = ranks.groupBy("site").agg(F.sum("rank").alias("total"))
+    return _with_site(ranks, totals, n_sites).select("url", (F.col("rank") / F.col("total")).alias("pagerank"))
 
 
-def crawl_depth(graph: LinkGraph, root: str | None = None) -> DataFrame:
-    """Clicks from the root (``url``, ``depth``); -1 where no path leads to the page."""
-    root = root if root is not None else root_of(graph)
-    frontier = graph.nodes.where(F.col("url") == root).select("url", "parts")
+def crawl_depth(graph: LinkGraph, roots: DataFrame | None = None) -> DataFrame:
+    """Clicks from the root of its site (``url``, ``depth``); -1 where no path leads to the page."""
+    roots = roots_of(graph) if roots is None else roots
+    frontier = cut_lineage(graph.nodes.join(roots.select("url").distinct(), "url").select("url", "parts"))
     reached = frontier.select("url", F.lit(0).alias("depth"))
     level = 0
-    while True:
+    while not frontier.isEmpty():
         level += 1
         found = _push(frontier, graph.edges).select(F.col("dst").alias("url")).distinct()
         fresh = found.join(reached, "url", "left_anti")
         frontier = cut_lineage(graph.nodes.join(fresh, "url").select("url", "parts"))
-        if frontier.isEmpty():
-            break
         reached = reached.unionByName(frontier.select("url", F.lit(level).alias("depth")))
         if level % 5 == 0:
             reached = cut_lineage(reached)
@@ -137,10 +159,10 @@ def depth_summary(depths: DataFrame) -> DataFrame:
     )
 
 
-def orphans(graph: LinkGraph, depths: DataFrame, root: str | None = None) -> DataFrame:
-    """Pages without inbound links, the root excepted."""
-    root = root if root is not None else root_of(graph)
-    alone = graph.nodes.where((F.col("in_count") == 0) & (F.col("url") != F.lit(root)))
+def orphans(graph: LinkGraph, depths: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Pages without inbound links, the roots excepted."""
+    roots = roots_of(graph) if roots is None else roots
+    alone = graph.nodes.where("in_count = 0").join(roots.select("url"), "url", "left_anti")
     return alone.join(depths, "url").select("url", "silo", "depth", F.col("out_count").alias("out_links"))
 
 
@@ -175,23 +197,25 @@ def top_pages(graph: LinkGraph, ranks: DataFrame, depths: DataFrame, n: int = 20
 
 
 def priority_scores(graph: LinkGraph, ranks: DataFrame, depths: DataFrame, issue_counts: DataFrame) -> DataFrame:
-    """Fix-first score: mean of shallowness, scaled rank and share of issues.
+    """Fix-first score: mean of shallowness, scaled rank and share of issues, each against the extremes of its site.
 
-    ``issue_counts`` has ``url`` (node form) and ``issue_count``. The extremes are three numbers fetched first.
+    ``issue_counts`` has ``url`` (node form) and ``issue_count``.
     """
     rows = (
-        graph.nodes.select("url", "in_count").join(ranks, "url").join(depths, "url")
+        graph.nodes.select("url", "site", "in_count").join(ranks, "url").join(depths, "url")
         .join(issue_counts, "url", "left")
         .withColumn("issue_count", F.coalesce("issue_count", F.lit(0)))
     )
     rows = cut_lineage(rows)
-    deepest, low, high, most = rows.agg(
-        F.max(F.when(F.col("depth") >= 0, F.col("depth"))), F.min("pagerank"), F.max("pagerank"), F.max("issue_count")
-    ).head()
-    shallow = F.when(F.col("depth") < 0, 0.0).otherwise(1.0 - F.col("depth") / F.lit(deepest or 1))
-    scaled = (F.col("pagerank") - F.lit(low or 0.0)) / F.lit(((high or 0.0) - (low or 0.0)) or 1.0)
-    share = F.col("issue_count") / F.lit(most or 1)
-    return rows.withColumn("priority_score", F.round((shallow + scaled + share) / 3.0, 4))
+    extremes = cut_lineage(rows.groupBy("site").agg(
+        F.max(F.when(F.col("depth") >= 0, F.col("depth"))).alias("_deepest"), F.min("pagerank").alias("_low"), F.max("pagerank").alias("_high"),
+        F.max("issue_count").alias("_most")))
+    rows = _with_site(rows, extremes, extremes.count())
+    nonzero = lambda c: F.when(c != 0, c).otherwise(1)
+    shallow = F.when(F.col("depth") < 0, 0.0).otherwise(1.0 - F.col("depth") / nonzero(F.coalesce("_deepest", F.lit(1))))
+    scaled = (F.col("pagerank") - F.col("_low")) / nonzero(F.col("_high") - F.col("_low"))
+    share = F.col("issue_count") / nonzero(F.col("_most"))
+    return rows.withColumn("priority_score", F.round((shallow + scaled + share) / 3.0, 4)).drop("site", "_deepest", "_low", "_high", "_most")
 
 
 def needs_attention(scored: DataFrame, issues: DataFrame, n: int = 20, shown: int = 5) -> DataFrame:

@@ -27,5 +27,5 @@ def run_benchmark(pages: DataFrame, reports: DataFrame, target: str, year: int,
     text = text if text is not None else TM.page_text()
     return {
         "scores": scores, "matrix": BM.dimension_matrix(scores), "actions": BM.action_list(scores, target),
-        "keyword_gap": KS.competitor_gap(keywords, target), "similarity": TM.site_similarity(pages, text, target),
+        "keyword_gap": KS.competitor_gap(keywords, target, k=None), "similarity": TM.site_similarity(pages, text, target),
         "cannibalised": SU.cannibalised_keywords(pages.where(F.col("site") == target)), "intents": SU.intent_distribution(keywords, ["site"])}
