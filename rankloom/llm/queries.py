@@ -72,7 +72,42 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", F.round("score", 6).alias("score"))
 
 
-@query("op7_secret_scan")
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _found(ord_: int, pattern: str, least: int, group: int = 0) -> str:
+    kind, p = secret_scan.KINDS[ord_], _quoted(pattern)
+    return (f"SELECT doc_id, {ord_} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS q, "
+            f"regexp_split_to_array(t, {p}) AS g FROM d")
+
+
+_RUN = "[A-Za-z0-9+/_=-]{20,}"
+_W = secret_scan.WINDOW
+_CHARS = f"string_split(substr(f, i::BIGINT, {_W}), '')"
+_ENTROPY = (f"log2({_W}) - list_min(list_transform(range(1, length(f) - {_W - 2}), lambda i: list_sum(list_transform(list_distinct({_CHARS}), "
+            f"lambda c: len(list_filter({_CHARS}, lambda y: y = c)) * log2(len(list_filter({_CHARS}, lambda y: y = c))))))) / {_W}.0")
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(f, {_quoted(p)}) THEN {bits}" for _, p, bits in secret_scan.CLASSES) + " END"
+_FILLER = "len(list_filter(range(1, length(f) - 6), lambda i: substr(f, i::BIGINT, 8) = repeat(substr(f, i::BIGINT, 1), 8))) > 0"
+_ALLOWED = " OR ".join([*(f"regexp_matches(f, {_quoted(p)})" for p in secret_scan.ALLOWED if chr(92) + "1" not in p), _FILLER])
+SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({_found(0, secret_scan.ASSIGN, 6, 1)}
+  UNION ALL {_found(1, secret_scan.ACCESS, 20)} UNION ALL {_found(2, secret_scan.HEX, 24)} UNION ALL {_found(3, _RUN, _W)}),
+u AS (SELECT doc_id, ord, kind, least, m, q, g, unnest(range(1, len(m) + 1)) AS k FROM r),
+s AS (SELECT doc_id, ord, kind, least, length(q[k]) AS n, m[k] AS f, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS a FROM u),
+b AS (SELECT doc_id, ord, kind, a, a + length(f) AS z FROM s WHERE ord < 3 AND n >= least),
+e AS (SELECT doc_id, ord, kind, a, a + length(f) AS z FROM s WHERE ord = 3 AND regexp_matches(f, '[0-9]|[a-z][A-Z]') AND NOT ({_ALLOWED})
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.a < s.a + length(s.f) AND s.a < b.z) AND {_ENTROPY} >= {_CLASS}),
+x AS (SELECT * FROM b UNION ALL SELECT * FROM e),
+y AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+  string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, ord) AS spans FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN y USING (doc_id)
+"""
+
+
+@query("op7_secret_scan", SECRETS_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secret_spans", lambda s: s["kind"] != "entropy")
