@@ -249,7 +249,8 @@ def violations(spark, sf):
         (CP.hreflang_not_returned(pages), "hreflang_reciprocity"), (CP.broken_links(CP.link_rows(pages), pages), "links_status")]
     out = None
     for rows, name in parts:
-        named = rows.select(F.lit(name).alias("check"))
+        page = next(c for c in ("url", "source", "src") if c in rows.columns)
+        named = rows.select(F.lit(name).alias("check"), F.col(page).alias("url"))
         out = named if out is None else out.unionByName(named)
     return out
 
@@ -260,6 +261,14 @@ CHECKS = f"""{SITEMAP}, s AS (select distinct rtrim(url, '/') as k from sm), c A
  UNION ALL select 'hreflang_reciprocity', count(*) from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src) UNION ALL select 'links_status', count(*) from li join pk on pk.k = li.d where st >= 400)"""
 
 
+@query("aud_05_consistency_samples", P, f"""WITH {CHECKS}, e AS (select 'canonical_noindex' as "check", rtrim(url, '/') as url from fx_pages where not is_error and rtrim(canonical, '/') <> '' and rtrim(canonical, '/') <> rtrim(url, '/') and (robots_noindex or contains(lower(robots_meta), 'noindex') or contains(lower(x_robots_tag), 'noindex'))
+ UNION ALL select 'sitemap_indexability', k from s join c using (k) where ni or er UNION ALL select 'hreflang_reciprocity', src from tg where src <> dst and dst in (select k from pk) and not exists (select 1 from tg b where b.src = tg.dst and b.dst = tg.src)
+ UNION ALL select 'links_status', url from (select url, rtrim(unnest(links), '/') as d from fx_pages) x join (select rtrim(url, '/') as k2, min(status_code) as st from fx_pages group by 1) y on k2 = d where st >= 400)
+ select "check", cast(row_number() over (partition by "check" order by url) as int) as rank, url from (select distinct * from e) z qualify rank <= 20""")
+def _(spark, sf):
+    return SA.consistency_samples(violations(spark, sf))
+
+
 @query("aud_05_consistency", P, f"""WITH {CHECKS}
  select "check", violations, case when violations > 0 then 'issues_found' else 'ok' end as status from v""")
 def _(spark, sf):

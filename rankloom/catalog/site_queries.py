@@ -316,10 +316,11 @@ def _status(field):
     return f"case {whens} else 'OK' end"
 
 
-@query("flt_07_field_rows", P, f"""WITH {LABELS_CTE} select url, 'Title' as field, title as current, {_status('Title')} as status from lp UNION ALL select url, 'Meta Description', meta_description, {_status('Meta Description')} from lp
- UNION ALL select url, 'H1', coalesce(h1[1], ''), {_status('H1')} from lp UNION ALL select url, 'H2', array_to_string(h2[1:2], ' | '), {_status('H2')} from lp UNION ALL select url, 'Canonical', canonical, {_status('Canonical')} from lp UNION ALL select url, 'URL', url, 'OK' from lp""")
+@query("flt_07_field_rows", P, f"""WITH {LABELS_CTE}, fr AS (select url, 'Title' as field, title as current, {_status('Title')} as status from lp UNION ALL select url, 'Meta Description', meta_description, {_status('Meta Description')} from lp
+ UNION ALL select url, 'H1', coalesce(h1[1], ''), {_status('H1')} from lp UNION ALL select url, 'H2', array_to_string(h2[1:2], ' | '), {_status('H2')} from lp UNION ALL select url, 'Canonical', canonical, {_status('Canonical')} from lp UNION ALL select url, 'URL', url, 'OK' from lp)
+ select *, case when status = 'OK' then '' when status = 'Missing' and field in ('Title', 'Meta Description', 'H1') then 'High' when field = 'H2' or (field = 'Meta Description' and status like 'Too%') then 'Low' else 'Medium' end as impact from fr""")
 def _(spark, sf):
-    return VW.field_rows(labelled(spark, sf)).select("url", "field", "current", "status")
+    return VW.field_rows(labelled(spark, sf)).select("url", "field", "current", "status", "impact")
 
 
 @query("flt_08_optimisation_rows", P, f"""WITH {LABELS_CTE}, f AS (select url, 'Title' as field, {_status('Title')} as status, title as v from lp UNION ALL

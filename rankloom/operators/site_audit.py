@@ -226,6 +226,12 @@ def consistency(counts_by_check: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("violations") > 0, "issues_found").otherwise("ok"))
 
 
+def consistency_samples(violations: DataFrame, shown: int = 20) -> DataFrame:
+    """The first pages, by URL, of each check (``check, url``): ``check, rank, url``."""
+    order = Window.partitionBy("check").orderBy("url")
+    return violations.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shown).select("check", "rank", "url")
+
+
 def final_score(counts: DataFrame) -> DataFrame:
     """Site score: mean of the capped clusters, at most 90 while there is a critical issue."""
     scores = cluster_scores(counts).agg(

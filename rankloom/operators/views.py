@@ -113,18 +113,18 @@ LABEL_FIELDS = {
 }
 # Advice per field and status: why it matters and what to do.
 FIELD_ADVICE = {
-    ("Title", "Missing"): ("Results show a guessed headline", "Write a title"),
-    ("Title", "Too Long"): ("The headline is cut off", "Shorten to 60 characters"),
-    ("Title", "Too Short"): ("The topic stays unclear", "Extend to 30 characters or more"),
-    ("Meta Description", "Missing"): ("The snippet is picked at random", "Write a description"),
-    ("Meta Description", "Duplicate"): ("Results cannot be told apart", "Write one description per page"),
-    ("Meta Description", "Too Long"): ("The snippet is cut off", "Shorten to 160 characters"),
-    ("Meta Description", "Too Short"): ("Snippet space is left unused", "Extend to 120 characters or more"),
-    ("H1", "Missing"): ("The topic heading is absent", "Add one H1"),
-    ("H1", "Multiple"): ("Several headings compete", "Keep one H1"),
-    ("H2", "Missing"): ("The text has no sections", "Add H2 headings"),
-    ("Canonical", "Missing"): ("URL variants split the signals", "Name the page itself"),
-    ("Canonical", "Mismatch"): ("The page counts as a copy", "Check the canonical target"),
+    ("Title", "Missing"): ("Results show a guessed headline", "Write a title", "Blue running shoes for wide feet | Shop", "High"),
+    ("Title", "Too Long"): ("The headline is cut off", "Shorten to 60 characters", "Blue running shoes for wide feet | Shop", "Medium"),
+    ("Title", "Too Short"): ("The topic stays unclear", "Extend to 30 characters or more", "Shoes becomes Blue running shoes for wide feet", "Medium"),
+    ("Meta Description", "Missing"): ("The snippet is picked at random", "Write a description", "Two sentences on what the page offers and for whom", "High"),
+    ("Meta Description", "Duplicate"): ("Results cannot be told apart", "Write one description per page", "Name the product or place of the page", "Medium"),
+    ("Meta Description", "Too Long"): ("The snippet is cut off", "Shorten to 160 characters", "Keep the offer, drop the list of brands", "Low"),
+    ("Meta Description", "Too Short"): ("Snippet space is left unused", "Extend to 120 characters or more", "Add the price, the place or the next step", "Low"),
+    ("H1", "Missing"): ("The topic heading is absent", "Add one H1", "Blue running shoes", "High"),
+    ("H1", "Multiple"): ("Several headings compete", "Keep one H1", "Turn the second heading into an H2", "Medium"),
+    ("H2", "Missing"): ("The text has no sections", "Add H2 headings", "Sizes, Materials, Delivery", "Low"),
+    ("Canonical", "Missing"): ("URL variants split the signals", "Name the page itself", "The address of the page without parameters", "Medium"),
+    ("Canonical", "Mismatch"): ("The page counts as a copy", "Check the canonical target", "The address of the page unless it is a copy", "Medium"),
 }
 
 
@@ -134,8 +134,9 @@ def _first(column: str, otherwise: str = "") -> Column:
 
 def _advice() -> Column:
     """Map from ``field/status`` to its advice."""
-    pairs = [x for (f, s), (why, fix) in FIELD_ADVICE.items()
-             for x in (F.lit(f"{f}/{s}"), F.struct(F.lit(why).alias("why"), F.lit(fix).alias("fix")))]
+    names = ("why", "fix", "example", "impact")
+    pairs = [x for (f, s), texts in FIELD_ADVICE.items()
+             for x in (F.lit(f"{f}/{s}"), F.struct(*[F.lit(t).alias(n) for n, t in zip(names, texts)]))]
     return F.create_map(*pairs)
 
 
@@ -156,7 +157,7 @@ def field_rows(pages: DataFrame) -> DataFrame:
         *[F.struct(F.lit(f).alias("field"), v.alias("current"), status(f).alias("status")) for f, v in values.items()])
     rows = pages.select("url", F.explode(entries).alias("e")).select("url", "e.*")
     advice = F.try_element_at(_advice(), F.concat_ws("/", "field", "status"))
-    return rows.select("*", F.coalesce(advice["why"], F.lit("")).alias("why"), F.coalesce(advice["fix"], F.lit("")).alias("fix"))
+    return rows.select("*", *[F.coalesce(advice[n], F.lit("")).alias(n) for n in ("why", "fix", "example", "impact")])
 
 
 def optimisation_rows(pages: DataFrame) -> DataFrame:

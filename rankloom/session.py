@@ -26,8 +26,8 @@ def build_session(app_name: str = "rankloom", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints: the session's ``spark.checkpoint.dir``.
 
-    A local session without one (tests) gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so that is refused.
+    Only a local session without one gets a temporary folder; on a cluster a machine-local
+    folder would be lost with its machine, so that is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
