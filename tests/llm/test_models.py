@@ -37,12 +37,12 @@ def brute_scores(rows, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("bucket_words", [2_500_000, 3000])
-def test_backoff_scores_equal_brute_force(spark, bucket_words):
+@pytest.mark.parametrize("bucket_words,frequent", [(2_500_000, 100_000), (3000, 50), (3000, 1)])
+def test_backoff_scores_equal_brute_force(spark, bucket_words, frequent):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(9001, None), (9002, ""), (9003, "lonely"), (9004, "the " * 5000), (9005, "the the unheard-of the")]
     want = brute_scores(rows)
-    got = backoff_scores.backoff_scores(spark.createDataFrame(rows, DOCS), bucket_words=bucket_words).collect()
+    got = backoff_scores.backoff_scores(spark.createDataFrame(rows, DOCS), bucket_words=bucket_words, frequent=frequent).collect()
     assert len(got) == len(want)
     for r in got:
         n, s = want[r["doc_id"]]
