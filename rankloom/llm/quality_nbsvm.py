@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.batches import picked, slices, texts_of, words_of
+from rankloom.llm.decontaminate import bounded
 from rankloom.llm.labelled import MAX_LABELLED, fold, known_labels, labelled_sample
 
 BITS = 18
@@ -165,7 +166,7 @@ def fit(sample: pd.DataFrame, ratio: np.ndarray, cost: float = 1.0) -> Scorer:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", skip_fold: tuple[int, int] = (3, 1), max_rows: int = MAX_LABELLED) -> Scorer:
     """Learn from labelled documents outside the fold that is left out."""
     known = known_labels(labels, label).where(fold("doc_id", skip_fold[0]) != skip_fold[1])
-    ratio = log_count_ratios(picked(docs, doc_id="doc_id", text="text").join(known, "doc_id").select("text", "label"))
+    ratio = log_count_ratios(picked(docs, doc_id="doc_id", text="text").join(bounded(known, known.count()), "doc_id").select("text", "label"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
