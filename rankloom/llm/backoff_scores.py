@@ -13,7 +13,7 @@ The first word follows a start mark. A document's score is the mean logarithm ov
    columns, sorted by the first word. The bucket is a hash of the first word; frequent first words of very many pairs
    are spread by the second word too, their totals being known from step 1. Pairs are counted per bucket and joined to the rows there.
 3. Pairs of no other document go on to the bucket of their word and are joined to the word counts, unless the word is a frequent one.
-4. Sums per bucket and document are added up by Spark.
+4. The sums of a bucket go, as rows of arrays too, to the bucket of their documents and are added up there.
 
 The number of buckets grows with the number of words, so that a bucket's size does not. A pair has one row per document at most.
 
@@ -50,6 +50,7 @@ SLICE_DOCS = 30_000  # documents of a slice, which are numbered by small integer
 # a word is three small integers, of which two are zero or nearly so for frequent words; a document is its place in ``docs``
 ENTRY = "w0 array<smallint>, w1 array<smallint>, w2 array<smallint>, doc array<smallint>, m array<int>, own array<int>, docs array<long>"
 PAIRS = f"bucket int, c0 array<smallint>, c1 array<smallint>, c2 array<smallint>, own_first array<int>, {ENTRY}"
+SUMS = "bucket int, docs array<long>, sums array<double>, words array<long>"
 LEFT = f"bucket int, {ENTRY}, sum_docs array<long>, sums array<double>, words array<long>"
 
 
@@ -227,8 +228,8 @@ def word_terms(n: np.ndarray, m: np.ndarray, own: np.ndarray, total: int, alpha:
     return m * (np.log(alpha) + np.log(np.maximum(n - own, 1)) - np.log(total))
 
 
-def word_join(blocks: pa.Table, counts: pa.Table, total: int, alpha: float) -> pa.Table:
-    """Join the pairs left over to the counts of their words; sums per document of the bucket."""
+def word_join(blocks: pa.Table, counts: pa.Table, buckets: int, total: int, alpha: float) -> pa.Table:
+    """Join the pairs left over to the counts of their words; sums per document of the bucket, one row for each bucket of documents."""
     word = joined48(*[column(blocks, f"w{k}") for k in range(3)]).astype(np.int64)
     m, own, doc = column(blocks, "m"), column(blocks, "own"), documents(blocks)
     names, n = counts.column("word").to_numpy(), counts.column("n").to_numpy()
@@ -237,6 +238,16 @@ def word_join(blocks: pa.Table, counts: pa.Table, total: int, alpha: float) -> p
     value = word_terms(n[at], m, own, total, alpha) if len(word) else np.zeros(0)
     ids, sums, words = per_document(np.concatenate([doc, column(blocks, "sum_docs")]), np.concatenate([value, column(blocks, "sums")]),
                                     np.concatenate([m, column(blocks, "words")]))
+    bucket = bucket_of(ids.view(np.uint64), 0, buckets)
+    order = np.argsort(bucket, kind="stable")
+    used, at = np.unique(bucket[order], return_index=True)
+    cuts = np.append(at, len(order))
+    return pa.table({"bucket": pa.array(used, pa.int32()), "docs": lists(ids[order], cuts), "sums": lists(sums[order], cuts), "words": lists(words[order], cuts)})
+
+
+def add_up(blocks: pa.Table) -> pa.Table:
+    """The sums of each document of a bucket."""
+    ids, sums, words = per_document(column(blocks, "docs"), column(blocks, "sums"), column(blocks, "words"))
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "log_score": pa.array(sums, pa.float64()), "n_words": pa.array(words, pa.int64())})
 
 
@@ -255,8 +266,8 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, bucket_words: int = BU
         return pd.Series(bucket_of(word.to_numpy(np.int64).view(np.uint64), 0, buckets).astype(np.int32))
 
     keyed = counts.withColumn("bucket", F.pandas_udf(bucket, "int")("word"))
-    sums = left.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(
-        lambda a, b: word_join(a, b, total, alpha), "doc_id long, log_score double, n_words long")
+    parts = left.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInArrow(lambda a, b: word_join(a, b, buckets, total, alpha), SUMS)
+    sums = parts.groupBy("bucket").applyInArrow(add_up, "doc_id long, log_score double, n_words long")
     zero = texts.select("doc_id", F.lit(0.0).alias("log_score"), F.lit(0).cast("long").alias("n_words")).where(F.col("doc_id").isNotNull())
     rows = sums.where(F.col("doc_id") != NO_ID).unionByName(zero).groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
     return rows.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("score"))
