@@ -30,7 +30,7 @@ from rankloom.llm.simhash_groups import stored
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 BUCKET_ROWS = 200_000
 # White space that a cut at single spaces would tokenise otherwise: a space inside or at the end of a run of white space.
 ODD_SPACE = re.compile(r"\s \s|\s $")

@@ -29,6 +29,7 @@ from rankloom.llm.batches import numbered, picked, slices, texts_of
 from rankloom.session import scratch_path
 
 BITS = 64
+FEW = 1000
 SQUARE = 1024
 
 
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, text_key, fp``: fingerprint and a hash of the text for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             fp = text_fingerprints(texts_of(part, "text"), shingle, seed)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(fp)], names=["doc_id", "text_key", "fp"])
 
@@ -180,12 +181,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                           tile_rows: int = 2048) -> DataFrame:
     """``doc_id, text_key, fp, component_id`` for each row of ``docs``."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    roots = star_rounds(similar_prints(distinct, radius, tile_rows)).withColumnRenamed("node", "fp")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "distinct-prints")
+    roots = star_rounds(similar_prints(distinct.select("fp"), radius, tile_rows)).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     named = linked.groupBy("root").agg(F.min("first_id").alias("group_id")).join(linked.select("fp", "root"), "root").select("fp", "group_id")
-    ids = distinct.join(named, "fp", "left").select("fp", F.coalesce("group_id", "first_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "text_key", "fp", "component_id")
+    ids = stored(distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("group_id", "first_id").alias("component_id")), "group-names")
+    # fingerprints with more than a thousandth of the rows, fewer than a thousand of them, are looked up without moving their rows
+    total = ids.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("rows") > max(1, total // FEW)
+    common = prints.join(F.broadcast(ids.where(often).select("fp", F.col("component_id").alias("_name"), F.lit(True).alias("_often"))), "fp", "left")
+    columns = ["doc_id", "text_key", "fp"]
+    rest = common.where("_often is null").select(*columns).join(ids.where(~often).select("fp", "component_id"), "fp")
+    return common.where("_often").select(*columns, F.col("_name").alias("component_id")).unionByName(rest.select(*columns, "component_id"))
 
 
 def hex_print(column: str) -> Column:
