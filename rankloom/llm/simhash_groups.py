@@ -181,8 +181,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                           tile_rows: int = 2048) -> DataFrame:
     """``doc_id, text_key, fp, component_id`` for each row of ``docs``."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "distinct-prints")
-    roots = star_rounds(similar_prints(distinct.select("fp"), radius, tile_rows)).withColumnRenamed("node", "fp")
+    distinct = stored_distinct(prints)
+    return named_groups(prints, similar_prints(distinct.select("fp"), radius, tile_rows), distinct)
+
+
+def stored_distinct(prints: DataFrame) -> DataFrame:
+    return stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "distinct-prints")
+
+
+def named_groups(prints: DataFrame, links: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text_key, fp, component_id`` of ``prints`` whose ``fp`` are tied by ``links`` (a, b)."""
+    distinct = stored_distinct(prints) if distinct is None else distinct
+    roots = star_rounds(links).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
     named = linked.groupBy("root").agg(F.min("first_id").alias("group_id")).join(linked.select("fp", "root"), "root").select("fp", "group_id")
     ids = stored(distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("group_id", "first_id").alias("component_id")), "group-names")
@@ -201,7 +211,11 @@ def hex_print(column: str) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """One row of each group stays, with all its columns: that of the smallest id; of rows alike in id and text, one."""
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
+    return first_of_groups(docs, near_duplicate_groups(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when each of ``groups`` keeps one."""
     null_id = F.lit(-(2**63))
     # a group is known by its smallest id; groups without any id are known by their fingerprint
     best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
