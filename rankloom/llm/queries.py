@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import backoff_scores, decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
+from rankloom.llm import backoff_scores, conversation_trie, decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
 from rankloom.llm.labelled import fold
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     winners = simhash_groups.stored(host_consensus.winning_paths(pages), "host-paths")
     return host_consensus.main_texts(pages, winners, winners.count())
+
+
+# crc32 by its shift register, one byte of the id's digits after the other
+_CRC = ("xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), "
+        "lambda r, b: list_reduce(list_concat([xor(r, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))")
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+    {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS m FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(m ORDER BY k) AS own, {_CRC} % 9 AS h FROM t GROUP BY conv_id),
+p AS (SELECT o.conv_id, list_concat(coalesce(f.own[1:o.h], []), o.own[o.h + 1:]) AS path FROM o LEFT JOIN o AS f ON f.conv_id = o.conv_id - o.conv_id % 5),
+x AS (SELECT conv_id, d, path[1:d] AS path, d = len(path) AS last FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM p)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM x GROUP BY path, d),
+c AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+w AS (SELECT n.path, n.d, (c.d IS NULL)::BIGINT AS leaf, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.path[n.d].t) END AS saved
+  FROM n LEFT JOIN c ON c.d = n.d AND c.path = n.path),
+s AS (SELECT path[1:k] AS path, k AS d, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT path, leaf, saved, unnest(range(0, d + 1)) AS k FROM w) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.path = n.path LEFT JOIN c ON c.d = n.d AND c.path = n.path LEFT JOIN n AS u ON u.d = n.d - 1 AND u.path = n.path[1:n.d - 1]
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
