@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import backoff_scores, conversation_trie, decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, toxicity_zstd
+from rankloom.llm import backoff_scores, conversation_trie, decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, token_alignment, toxicity_zstd
 from rankloom.llm.labelled import fold
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +190,9 @@ FROM n JOIN s ON s.d = n.d AND s.path = n.path LEFT JOIN c ON c.d = n.d AND c.pa
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
