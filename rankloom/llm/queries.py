@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import backoff_scores, conversation_trie, decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, token_alignment, toxicity_zstd
+from rankloom.llm import backoff_scores, conversation_trie, decontaminate, host_consensus, language_crf, pack_two_fit, quality_nbsvm, quality_rules, secret_scan, simhash_groups, suffix_dedup, token_alignment, toxicity_zstd
 from rankloom.llm.labelled import fold
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -196,3 +196,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = token_alignment.align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_suffix_array_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
