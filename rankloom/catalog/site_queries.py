@@ -35,15 +35,15 @@ WALK = """cn AS (select rtrim(url, '/') as src, min(rtrim(trim(canonical), '/'))
 
 
 @query("jon_04_canonical_chains_and_loops", P, f"""WITH RECURSIVE {WALK}, d AS (select start, state, case when state = 'left' then path[1:len(path) - 1] else path end as path from w where state <> 'open')
- select case when state = 'loop' then 'canonical_loop' else 'canonical_chain' end as type, case when state = 'loop' then 'CRITICAL' else 'HIGH' end as severity, start as url, cast(len(path) - 1 as int) as hops, array_to_string(path, ' ') as path
+ select case when state = 'loop' then 'canonical_loop' else 'canonical_chain' end as type, case when state = 'loop' then 'CRITICAL' else 'HIGH' end as severity, start as url, cast(len(path) - 1 as int) as hops, array_to_string(path[1:65], ' ') as path
  from d where state = 'loop' or len(path) > 2""")
 def _(spark, sf):
-    return CP.canonical_problems(fx_pages(spark, sf)).withColumn("path", F.array_join("path", " "))
+    return CP.canonical_problems(fx_pages(spark, sf)).drop("is_head").withColumn("path", F.array_join("path", " "))
 
 
-@query("jon_05_canonical_status", P, f"""WITH RECURSIVE {WALK}, d AS (select start, state, path, row_number() over (partition by start order by hops desc) as rn from w)
- select p.url, case when d.state = 'loop' then 'loop' when d.state = 'left' then 'broken_target' when d.state = 'open' then 'too_deep' when d.state = 'end' then 'ok'
- when rtrim(trim(p.canonical), '/') = rtrim(p.url, '/') then 'self' else 'ok' end as status, cast(coalesce(len(d.path), 1) as int) as length from fx_pages p left join d on d.start = rtrim(p.url, '/') and d.rn = 1""")
+@query("jon_05_canonical_status", P, f"""WITH RECURSIVE {WALK}, d AS (select start, state, len(path) - 1 as n from w where state <> 'open'), e AS (select start, state, n, n - (state = 'loop')::int >= 5 as deep from d)
+ select p.url, case when deep then 'too_deep' when e.state = 'loop' then 'loop' when e.state = 'left' then 'broken_target' when e.state = 'end' then 'ok'
+ when rtrim(trim(p.canonical), '/') = rtrim(p.url, '/') then 'self' else 'ok' end as status, cast(case when deep then 6 else coalesce(n, 0) + 1 end as int) as length from fx_pages p left join e on e.start = rtrim(p.url, '/')""")
 def _(spark, sf):
     return CP.canonical_status(fx_pages(spark, sf))
 

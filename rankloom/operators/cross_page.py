@@ -69,96 +69,115 @@ def canonical_targets(pages: DataFrame) -> DataFrame:
     )
 
 
-def canonical_walks(pages: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Follow the canonical of every page that names another one.
+def _ahead(walks: DataFrame, table: DataFrame) -> DataFrame:
+    """``walks`` with the state of the page each has reached, in columns with an underscore; null where that page goes nowhere."""
+    reached = table.select(F.col("start").alias("target"), *[F.col(c).alias(f"_{c}") for c in ("target", "hops", "least", "state")])
+    return salted_join(walks, reached.withColumnRenamed("_target", "_next"), ["target"], F.col("start"), "left")
 
-    Result: ``start``, ``path`` (pages walked), ``state``: ``end`` (last page names itself or none), ``left`` (target
-    not crawled), ``loop`` (target already on the path) or ``too_deep`` (not known after ``max_hops`` steps).
-    Each round appends to an open path the path of its last page, so paths double and a chain of n pages takes about log2(n) rounds.
+
+def _follow(walks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pointer doubling on ``start, target, hops, least, state`` until no walk is open, and the open pointers of each round.
+
+    ``least`` is the smallest page behind the start. A start that finds itself there lies on a loop, whose smallest page it is (its
+    state says ``head``); who has such a page behind itself or reaches a loop is on the way into one.
+    """
+    rounds = []
+    while not (open_ := walks.where("state = 'open'")).isEmpty():
+        rounds.append(open_.select("start", "target"))
+        met = _ahead(open_, walks)
+        state = F.when(F.col("_state").isin("head", "loop"), "loop").otherwise(F.coalesce("_state", F.lit("end")))
+        met = met.select("start", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+                         F.least("least", "_least").alias("least"), state.alias("state"))
+        met = met.withColumn("state", F.when((F.col("state") == "open") & (F.col("least") == F.col("start")), "head").otherwise(F.col("state")))
+        walks = cut_lineage(walks.where("state <> 'open'").unionByName(met))
+        heads = walks.where("state = 'head'").select(F.col("start").alias("least"), F.lit(True).alias("_on"))
+        if not heads.isEmpty():
+            found = salted_join(walks.where("state = 'open'"), heads, ["least"], F.col("start"), "left")
+            found = found.withColumn("state", F.when(F.col("_on"), "loop").otherwise("open")).select(*walks.columns)
+            walks = cut_lineage(walks.where("state <> 'open'").unionByName(found))
+    return walks, rounds
+
+
+def _loop_hops(steps: DataFrame, loops: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """``start, hops``: pages met before the first one is met again, for each walk into a loop."""
+    on = loops.where("state = 'head'").select("start", F.col("start").alias("head"))
+    # the pointers of the rounds lead from the smallest page of each loop over all its pages
+    for table in rounds:
+        more = on.join(table, "start").select(F.col("target").alias("start"), "head")
+        on = cut_lineage(on.unionByName(more).distinct())
+    length = on.groupBy("head").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    members = cut_lineage(on.join(length, "head").select("start", "length"))
+    tails = steps.join(loops.select("start"), "start", "left_semi").join(members, "start", "left_anti")
+    entered = members.select(F.col("start").alias("nxt"), F.lit("end").alias("_in"))
+    tails = salted_join(tails, entered, ["nxt"], F.col("start"), "left")
+    tails, _ = _follow(cut_lineage(tails.select("start", F.col("nxt").alias("target"), F.lit(1).alias("hops"), F.col("nxt").alias("least"), F.coalesce("_in", F.lit("open")).alias("state"))))
+    ahead = members.select(F.col("start").alias("target"), "length")
+    return members.select("start", F.col("length").alias("hops")).unionByName(
+        salted_join(tails, ahead, ["target"], F.col("start")).select("start", (F.col("hops") + F.col("length")).alias("hops")))
+
+
+def canonical_walks(pages: DataFrame) -> DataFrame:
+    """Follow the canonical of every page that names another one: ``start, last, hops, state, is_head``.
+
+    ``state``: ``end`` (``last`` names itself or none), ``left`` (``last`` is not crawled) or ``loop`` (``hops`` are the pages met before one is met
+    again); ``is_head`` marks the smallest page of a loop. Each round doubles the steps of an open walk, so n pages take about log2(n) rounds,
+    and a walk is one row of fixed size whatever its length.
     """
     known = pages.where("url <> ''").select(U.strip_slash(F.col("url")).alias("nxt")).distinct().withColumn("_known", F.lit(True))
-    steps = canonical_targets(pages)
-    first = salted_join(steps, known, ["nxt"], F.col("src"), "left")
+    steps = cut_lineage(salted_join(canonical_targets(pages), known, ["nxt"], F.col("src"), "left").withColumnRenamed("src", "start"))
     state = F.when(F.col("_known").isNull(), "left").otherwise("open")
-    walks = cut_lineage(first.select(F.col("src").alias("start"), F.array("src", "nxt").alias("path"), state.alias("state")))
-    # the place of the first repeated page; a walk is cut behind it
-    repeat = F.size(F.array_distinct("path"))
-    while not walks.where("state = 'open'").isEmpty():
-        ahead = walks.select(F.col("start").alias("cur"), F.col("path").alias("_more"), F.col("state").alias("_then"))
-        open_ = walks.where("state = 'open'").withColumn("cur", F.element_at("path", -1))
-        met = salted_join(open_, ahead, ["cur"], F.col("start"), "left").select(
-            "start", F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.concat("path", F.slice("_more", 2, F.size("_more")))).alias("path"),
-            F.coalesce("_then", F.lit("end")).alias("state"))
-        looped = repeat < F.size("path")
-        met = met.select("start", F.when(looped, F.slice("path", 1, _first_repeat())).otherwise(F.col("path")).alias("path"),
-                         F.when(looped, "loop").otherwise(F.col("state")).alias("state"))
-        walks = cut_lineage(walks.where("state <> 'open'").unionByName(met))
-    if max_hops is None:
-        return walks
-    deep = F.size("path") - F.when(F.col("state") == "loop", 2).otherwise(1) > max_hops - 1
-    return walks.select("start", F.when(deep, F.slice("path", 1, max_hops + 1)).otherwise(F.col("path")).alias("path"),
-                        F.when(deep, "too_deep").otherwise(F.col("state")).alias("state"))
-
-
-def _first_repeat() -> Column:
-    """Number of pages up to and with the first that occurs for the second time: on a walk all repeats follow the first."""
-    return F.size(F.array_distinct("path")) + 1
-
-
-def canonical_problems(pages: DataFrame, max_hops: int | None = None) -> DataFrame:
+    walks, rounds = _follow(steps.select("start", F.col("nxt").alias("target"), F.lit(1).alias("hops"), F.col("nxt").alias("least"), state.alias("state")))
+    loops = walks.where("state in ('head', 'loop')")
+    rows = walks.where("state not in ('head', 'loop')").select("start", F.col("target").alias("last"), "hops", "state", F.lit(False).alias("is_head"))
+    if loops.isEmpty():
+        return rows
+    turned = _loop_hops(steps, loops, rounds)
+    return rows.unionByName(loops.join(turned.withColumnRenamed("hops", "_hops"), "start").select(
+        "start", F.col("target").alias("last"), F.col("_hops").alias("hops"), F.lit("loop").alias("state"), (F.col("state") == "head").alias("is_head")))
+
+
+def canonical_paths(pages: DataFrame, shown: int) -> DataFrame:
+    """``start, path``: each page that names another one and the next pages on its walk, ``shown`` or a few more steps, at most twice as many."""
+    paths = canonical_targets(pages).select(F.col("src").alias("start"), F.array("src", "nxt").alias("path"))
+    steps = 1
+    while steps < shown:
+        ahead = paths.select(F.col("start").alias("cur"), F.slice("path", 2, steps).alias("_more"))
+        rows = salted_join(paths.withColumn("cur", F.element_at("path", -1)), ahead, ["cur"], F.col("start"), "left")
+        paths = cut_lineage(rows.select("start", F.concat("path", F.coalesce("_more", F.array().cast("array<string>"))).alias("path")))
+        steps *= 2
+    return paths
+
+
+def canonical_problems(pages: DataFrame, shown: int = 64) -> DataFrame:
     """Canonical loops and chains of two hops or more, one row per start page.
 
-    A walk that leaves the crawled pages is cut before the unknown page.
+    A walk that leaves the crawled pages ends before the unknown page. ``hops`` counts the whole walk, ``path`` lists its first ``shown`` hops.
+    ``is_head`` marks one page of each loop.
     """
-    walks = canonical_walks(pages, max_hops)
-    crawled = F.when(F.col("state") == "left", F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))
-    rows = walks.select("start", crawled.alias("path"), "state")
+    walks = canonical_walks(pages).withColumn("hops", F.col("hops") - (F.col("state") == "left").cast("int"))
     loop = F.col("state") == "loop"
-    return rows.where(loop | (F.size("path") > 2)).select(
+    rows = walks.where(loop | (F.col("hops") > 1)).join(canonical_paths(pages, shown), "start")
+    return rows.select(
         F.when(loop, "canonical_loop").otherwise("canonical_chain").alias("type"),
         F.when(loop, "CRITICAL").otherwise("HIGH").alias("severity"),
-        F.col("start").alias("url"), "path", (F.size("path") - 1).alias("hops"),
+        F.col("start").alias("url"), F.slice("path", 1, F.least(F.col("hops"), F.lit(shown)) + 1).alias("path"), "hops", "is_head",
     )
 
 
-def canonical_status(pages: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Per page the outcome of its canonical chain: ok, self, loop, broken_target or too_deep."""
-    walks = canonical_walks(pages, max_hops).select(F.col("start").alias("key"), "path", "state")
+def canonical_status(pages: DataFrame, max_hops: int = 5) -> DataFrame:
+    """Per page the outcome of its canonical chain: ok, self, loop, broken_target, or too_deep if it is not known after ``max_hops`` pages.
+
+    ``length`` counts the pages looked at.
+    """
+    walks = canonical_walks(pages).select(F.col("start").alias("key"), "hops", "state")
+    deep = F.col("hops") - (F.col("state") == "loop").cast("int") >= max_hops
     base = pages.select("url", U.strip_slash(F.col("url")).alias("key"), U.strip_slash(F.trim("canonical")).alias("_c"))
     state = (
-        F.when(F.col("state") == "loop", "loop").when(F.col("state") == "left", "broken_target")
-        .when(F.col("state") == "too_deep", "too_deep").when(F.col("state") == "end", "ok")
-        .when(F.col("_c") == F.col("key"), "self").otherwise("ok")
-    )
-    return base.join(walks, "key", "left").select("url", state.alias("status"), F.coalesce(F.size("path"), F.lit(1)).alias("length"))
-
-
-def canonical_bad_target(pages: DataFrame, crawled: DataFrame | None = None) -> DataFrame:
-    """Canonicals that point to a page, of ``crawled``, which is kept out of the index or returns an error."""
-    meta = F.contains(F.lower("robots_meta"), F.lit("noindex"))
-    noindex = meta | F.col("robots_noindex") | F.contains(F.lower("x_robots_tag"), F.lit("noindex"))
-    targets = (
-        (pages if crawled is None else crawled).groupBy(U.match_key(F.col("url")).alias("target"))
-        .agg(F.bool_or(noindex).alias("noindex"), F.max("status_code").alias("status"))
-        .where("noindex or status >= 400")
+        F.when(deep, "too_deep").when(F.col("state") == "loop", "loop").when(F.col("state") == "left", "broken_target")
+        .when(F.col("state") == "end", "ok").when(F.col("_c") == F.col("key"), "self").otherwise("ok")
     )
-    rows = pages.select("url", U.match_key(F.col("canonical")).alias("target")).where(
-        (F.col("target") != "") & (F.col("target") != U.match_key(F.col("url")))
-    )
-    hit = salted_join(rows, targets, ["target"], F.col("url"))
-    kinds = F.filter(
-        F.array(F.when(F.col("noindex"), "canonical_to_noindex"), F.when(F.col("status") >= 400, "canonical_to_error_page")),
-        lambda k: k.isNotNull(),
-    )
-    return hit.select("url", "target", F.explode(kinds).alias("type"))
-
-
-def canonical_and_noindex(pages: DataFrame) -> DataFrame:
-    """Pages that name another page as canonical and are kept out of the index."""
-    canonical, url = U.strip_slash(F.col("canonical")), U.strip_slash(F.col("url"))
-    noindex = F.col("robots_noindex") | F.contains(F.lower("robots_meta"), F.lit("noindex")) | F.contains(
-        F.lower("x_robots_tag"), F.lit("noindex"))
-    return pages.where((canonical != "") & (canonical != url) & noindex).select(url.alias("url"), canonical.alias("canonical"))
+    length = F.when(deep, F.lit(max_hops)).otherwise(F.coalesce("hops", F.lit(0))) + 1
+    return base.join(walks, "key", "left").select("url", state.alias("status"), length.alias("length"))
 
 
 # --- hreflang ---------------------------------------------------------------------------------------------------------

@@ -249,7 +249,7 @@ def joined_page_issues(pages: DataFrame, crawled: DataFrame) -> DataFrame:
     """Issues of the loaded ``pages`` that come from comparing pages; canonical and link targets are looked up in all ``crawled`` pages."""
     lower = pages.withColumns({"_u": U.match_key(F.col("url")), "canonical": U.match_key(F.col("canonical"))})
     own = lower.select("url", F.col("_u").alias("start"))
-    walks = CP.canonical_walks(lower.drop("url").withColumnRenamed("_u", "url")).where("state = 'loop' or size(path) > 2")
+    walks = CP.canonical_walks(lower.drop("url").withColumnRenamed("_u", "url")).where("state = 'loop' or hops > 1")
     chained = own.join(walks, "start")
     loop = F.col("state") == "loop"
     canon = chained.select("url", F.when(loop, "canonical_loop").otherwise("canonical_chain").alias("type"), F.lit("technical").alias("cluster"),

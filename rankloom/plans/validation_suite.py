@@ -18,7 +18,7 @@ def cross_page_issues(pages: DataFrame, sitemap: DataFrame | None = None) -> Dat
     canonical = CP.canonical_problems(pages)
     # A loop is reported once, for its first page; a chain for the page nothing points to.
     inner = CP.canonical_targets(pages).select(F.col("nxt").alias("url")).distinct()
-    loops = canonical.where("type = 'canonical_loop'").where(F.col("url") == F.array_min(F.slice("path", F.array_position("path", F.element_at("path", -1)).cast("int"), F.size("path"))))
+    loops = canonical.where("is_head")
     chains = canonical.where("type = 'canonical_chain'").join(inner, "url", "left_anti")
     hreflang = CP.hreflang_not_returned(pages).select(
         F.lit("hreflang_missing_reciprocal").alias("type"), F.lit("HIGH").alias("severity"), F.col("src").alias("source"), F.col("dst").alias("target"), F.col("lang").alias("value"))

@@ -2,6 +2,8 @@
 
 from factory import pages, values
 
+import random
+
 from pyspark.sql import functions as F
 
 from rankloom.operators import cross_page as CP, link_graph as GR, page_issues as PI, rule_audit as RA
@@ -62,13 +64,49 @@ def test_body_text_stays_out_of_the_audit_joins(spark):
 
 
 def test_long_canonical_chain_takes_few_rounds(spark, monkeypatch):
-    n, rounds = 400, []
+    n, rounds = 100_000, []
     keep = CP.cut_lineage
     monkeypatch.setattr(CP, "cut_lineage", lambda df: rounds.append(1) or keep(df))
     chain = spark.range(n).select(F.concat(F.lit("https://a.com/"), "id").alias("url"), F.concat(F.lit("https://a.com/"), F.least(F.col("id") + 1, F.lit(n - 1))).alias("canonical"))
     walks = CP.canonical_walks(chain)
-    assert walks.agg(F.max(F.size("path"))).head()[0] == n and walks.where("state <> 'end'").count() == 0
-    assert len(rounds) <= 11
+    assert walks.agg(F.max("hops")).head()[0] == n - 1 and walks.where("state <> 'end'").count() == 0
+    assert len(rounds) <= 18 and "path" not in walks.columns
+
+
+def test_canonical_walks_against_a_plain_walk(spark):
+    rng = random.Random(4)
+    for n in (1, 7, 60):
+        name = lambda i: f"https://a.com/p{i:02}"
+        nxt = {i: rng.choice([*range(n + 3), i]) for i in range(n)}
+        if n == 60:  # loops of 1 to 13 pages with tails, a chain that leaves
+            nxt = {i: (i // 15 * 15 if i % 15 == 12 else 900 if i == 59 else i + 1) for i in range(n)}
+            nxt[13] = nxt[14] = 3
+        rows = spark.createDataFrame([(name(i), name(j)) for i, j in nxt.items()], "url string, canonical string")
+        want = {}
+        for i in range(n):
+            path = [i]
+            while True:
+                cur = path[-1]
+                if cur not in nxt:
+                    state = "left"
+                elif nxt[cur] == cur:
+                    state = "end"
+                elif nxt[cur] in path:
+                    path.append(nxt[cur])
+                    state = "loop"
+                else:
+                    path.append(nxt[cur])
+                    continue
+                break
+            if len(path) > 1:
+                want[name(i)] = (state, len(path) - 1, [name(k) for k in path])
+        got = {r["start"]: r for r in CP.canonical_walks(rows).collect()}
+        assert {k: (r["state"], r["hops"]) for k, r in got.items()} == {k: v[:2] for k, v in want.items()}
+        heads = {min(p[p.index(p[-1]):]) for s, _, p in want.values() if s == "loop"}
+        assert {k for k, r in got.items() if r["is_head"]} == heads
+        for r in CP.canonical_problems(rows).collect():
+            state, hops, path = want[r["url"]]
+            assert r["path"] == (path[:-1] if state == "left" else path) and r["hops"] == len(r["path"]) - 1
 
 
 def test_lists_are_whole(spark):
