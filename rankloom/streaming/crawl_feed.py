@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankloom.operators.page_issues import light_issues
+from rankloom.session import scratch_path
 from rankloom.sources.page_facts import extract_pages
-from rankloom.streaming.keyed_table import add_version, newest_rows, read_table
 
 STATUS_KEY = ["project_id", "url", "issue_type"]
 
@@ -30,17 +30,15 @@ def ingest(raw: DataFrame) -> DataFrame:
     return light_issues(extract_pages(raw))
 
 
-_NEWEST = ("updated_at", "status")
-
-
 def latest_status(rows: DataFrame) -> DataFrame:
-    """Newest status per project, page and issue type."""
-    return newest_rows(rows, STATUS_KEY, F.struct(*_NEWEST))
+    """Newest status per project, page and issue type; of equal times the larger status."""
+    newest = F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", "status"))
+    return rows.groupBy(*STATUS_KEY).agg(newest.alias("s")).select(*STATUS_KEY, "s.*")
 
 
 def upsert_status(batch: DataFrame, path: str, epoch: int) -> None:
-    """Add a batch to the status table at ``path``; other rows are not rewritten. Adding a batch twice gives the same table."""
-    add_version(batch, path, epoch, STATUS_KEY, F.struct(*_NEWEST))
+    """Append a batch to the status table at ``path`` as its own partition; a batch that runs again writes the same partition."""
+    latest_status(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
 def start_status_upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -50,10 +48,19 @@ def start_status_upsert(stream: DataFrame, path: str, checkpoint: str) -> Stream
 
 
 def statuses(spark: SparkSession, path: str, project_id=None) -> DataFrame:
-    rows = read_table(spark, path, STATUS_KEY, F.struct(*_NEWEST))
+    """The newest row of each key over all batches."""
+    rows = latest_status(spark.read.parquet(path))
     return rows.where(F.col("project_id") == project_id) if project_id is not None else rows
 
 
+def compact_statuses(spark: SparkSession, path: str) -> None:
+    """Replace the batches written so far by their newest rows, in the partition of the last batch. Not while a stream writes to the table."""
+    last = spark.read.parquet(path).agg(F.max("epoch")).first()[0]
+    copy = scratch_path(spark, "statuses")
+    statuses(spark, path).withColumn("epoch", F.lit(last)).write.parquet(copy)
+    spark.read.parquet(copy).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("epoch").parquet(path)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available and return its output.
 

@@ -2,48 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from collections.abc import Iterator
 
-from rankloom.operators.ranks import with_previous_position
-from rankloom.streaming.keyed_table import add_version, read_table
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 KEYS = ["domain", "keyword"]
+ALERT_ROWS = "domain string, keyword string, checked_at timestamp, old_position int, new_position int, delta int"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # the store that timers need
 
 
-def alerts_of_batch(checks: DataFrame, last: DataFrame | None, threshold: int) -> DataFrame:
-    """Alerts of a batch of known checks, given the last known check of each key from earlier batches.
+class RankDrops(StatefulProcessor):
+    """Per domain and keyword the last known check; a check that is worse by the threshold or more gives an alert.
 
-    The rows of a key are compared in the order of time and id by Spark's sort, so their number and arrival do not matter.
-    """
-    if last is not None:
-        since = last.select(*KEYS, F.struct("checked_at", "check_id").alias("_since"))
-        fresh = checks.join(since, KEYS, "left").where("_since is null or struct(checked_at, check_id) > _since").drop("_since")
-        touched = last.join(fresh.select(*KEYS).distinct(), KEYS, "left_semi")
-        checks = fresh.withColumn("_new", F.lit(True)).unionByName(touched.select(*fresh.columns).withColumn("_new", F.lit(False)))
-    else:
-        checks = checks.withColumn("_new", F.lit(True))
-    delta = F.col("position") - F.col("previous")
-    rows = with_previous_position(checks).withColumn("delta", delta).where(F.col("_new") & (delta >= threshold))
-    return rows.select(*KEYS, "checked_at", F.col("previous").alias("old_position"), F.col("position").alias("new_position"), "delta")
-
-
-def start_rank_drop_alerts(checks: DataFrame, alerts: str, state: str, checkpoint: str, threshold: int = 5) -> StreamingQuery:
-    """Write alerts for checks worse than the last known position of their domain and keyword by the threshold or more.
-
-    ``checks`` is a stream of ``domain, keyword, position, checked_at, check_id``. The last known check of each key is a keyed table at
-    ``state``; an unknown position leaves it, and a check older than it is ignored. A batch that runs again writes the same.
+    The checks of a batch are compared in the order of time and id, however they arrive; those not after the last known one are ignored.
+    A key that has had no check for ``forget_days`` of event time loses its state.
     """
-    order = F.struct("checked_at", "check_id")
 
-    def compare(batch: DataFrame, epoch: int) -> None:
-        known = batch.where("position is not null").select(*KEYS, F.col("position").cast("int").alias("position"), "checked_at", "check_id")
-        last = read_table(batch.sparkSession, state, KEYS, order, epoch)
-        alerts_of_batch(known, last, threshold).write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
-        changed = known if last is None else known.unionByName(last.join(known.select(*KEYS).distinct(), KEYS, "left_semi"))
-        add_version(changed, state, epoch, KEYS, order)
-
-    return checks.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, threshold: int, forget_days: int) -> None:
+        self.threshold, self.forget_ms = threshold, forget_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "micros long, check_id long, position int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        parts = [(r["micros"].to_numpy(np.int64), r["check_id"].to_numpy(np.int64), r["position"].to_numpy(np.int32)) for r in rows]
+        micros, ids, position = (np.concatenate(c) for c in zip(*parts))
+        known = self.last.get() if self.last.exists() else None
+        if known is not None:
+            fresh = (micros > known[0]) | ((micros == known[0]) & (ids > known[1]))
+            micros, ids, position = micros[fresh], ids[fresh], position[fresh]
+        if not len(micros):
+            return
+        order = np.lexsort((ids, micros))
+        micros, ids, position = micros[order], ids[order], position[order]
+        before = np.r_[known[2] if known is not None else position[0], position[:-1]].astype(np.int32)
+        self.last.update((int(micros[-1]), int(ids[-1]), int(position[-1])))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(micros[-1]) // 1000 + self.forget_ms)
+        worse = position - before >= self.threshold
+        if worse.any():
+            yield pd.DataFrame({"domain": key[0], "keyword": key[1], "checked_at": pd.to_datetime(micros[worse], unit="us"), "old_position": before[worse],
+                                "new_position": position[worse], "delta": (position - before)[worse]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def rank_drop_alerts(checks: DataFrame, threshold: int = 5, lateness: str = "30 days", forget_days: int = 400) -> DataFrame:
+    """Stream of alerts over a stream of checks ``domain, keyword, position, checked_at, check_id``; unknown positions change nothing.
+
+    Rows without a domain, keyword, time or id are left out. Checks older than ``lateness`` before the newest one may be dropped by Spark.
+    A batch holds twenty bytes a check of its busiest key in memory; the source's batch limits bound that.
+    """
+    rows = checks.where(" and ".join(f"{c} is not null" for c in (*KEYS, "position", "checked_at", "check_id"))).withWatermark("checked_at", lateness)
+    narrow = rows.select(*KEYS, F.col("position").cast("int").alias("position"), F.unix_micros("checked_at").alias("micros"), F.col("check_id").cast("long").alias("check_id"), "checked_at")
+    return narrow.groupBy(*KEYS).transformWithStateInPandas(RankDrops(threshold, forget_days), ALERT_ROWS, "Append", "EventTime")
+
+
+def start_rank_drop_alerts(checks: DataFrame, alerts: str, checkpoint: str, **options: object) -> StreamingQuery:
+    """Append the alerts over what is available to the table at ``alerts``; the state of the keys is Spark's own, in the checkpoint folder."""
+    spark = checks.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (rank_drop_alerts(checks, **options).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start(alerts))
+    finally:
+        spark.conf.set(PROVIDER, before)  # the query has its own copy of the settings
 
 
 def weekly_digest(checks: DataFrame, span: str = "7 days", watermark: str = "1 day") -> DataFrame:

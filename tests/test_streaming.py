@@ -24,7 +24,7 @@ def test_alerts_keep_the_last_known_position_and_skip_late_rows(spark, tmp_path)
         frame = spark.createDataFrame(part, SCHEMA)
         frame.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        RA.start_rank_drop_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+        RA.start_rank_drop_alerts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert values(rows, "keyword", "old_position", "new_position") == [("k", 3, 9), ("k", 9, 16)]
     in_order = spark.createDataFrame([r for r in first + second if r[4] != 5], SCHEMA)
@@ -40,10 +40,29 @@ def test_alerts_do_not_depend_on_batches(spark, tmp_path):
         rng.shuffle(part)
         spark.createDataFrame(part, SCHEMA).repartition(5).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        RA.start_rank_drop_alerts(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+        RA.start_rank_drop_alerts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert values(spark.read.parquet(str(tmp_path / "out")), "checked_at", "old_position", "new_position") == want and len(want) > 20
 
 
+def test_alerts_in_small_arrow_batches_and_state_that_expires(spark, tmp_path):
+    rng = random.Random(7)
+    checks = [("d", f"k{i % 3}", rng.randrange(1, 60), _day(1) + dt.timedelta(minutes=i), i) for i in range(240)]
+    gone = [("d", "old", 1, _day(1), 900), ("d", "new", 1, dt.datetime(2024, 6, 1), 901)]
+    back = [("d", "old", 50, dt.datetime(2024, 6, 2), 902), ("d", "new", 50, dt.datetime(2024, 6, 3), 903)]
+    want = values(RK.rank_drops(spark.createDataFrame(checks, SCHEMA)), "keyword", "old_position", "new_position")
+    source, size = str(tmp_path / "in"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        for part in (checks[:100], checks[100:], gone, back):
+            spark.createDataFrame(part, SCHEMA).repartition(3).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(SCHEMA).parquet(source)
+            RA.start_rank_drop_alerts(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lateness="1 day", forget_days=30).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = values(spark.read.parquet(str(tmp_path / "out")), "keyword", "old_position", "new_position")
+    assert got == sorted([*want, ("new", 1, 50)])  # the state of "old" had expired
+
+
 def test_digest_of_a_table_counts_the_last_check_of_the_week(spark):
     rows = [("d", "a", 30, _day(1), 1), ("d", "a", 4, _day(2), 2), ("d", "b", 12, _day(1), 3), ("d", "c", None, _day(1), 4)]
     out = RA.weekly_digest(spark.createDataFrame(rows, SCHEMA))
@@ -58,6 +77,10 @@ def test_status_upsert_is_repeatable(spark, tmp_path):
     two = spark.createDataFrame([(1, "u", "t", "fixed", _day(2)), (1, "u", "s", "open", _day(2)), (2, "v", "t", "old", _day(1) - dt.timedelta(days=3))], schema)
     for epoch, batch in ((0, one), (1, two), (1, two), (20, two)):
         CF.upsert_status(batch, path, epoch)
+    want = values(CF.statuses(spark, path), "project_id", "url", "issue_type", "status")
+    CF.compact_statuses(spark, path)
+    assert [r.epoch for r in spark.read.parquet(path).select("epoch").distinct().collect()] == [20]
+    assert values(CF.statuses(spark, path), "project_id", "url", "issue_type", "status") == want
     assert values(CF.statuses(spark, path), "project_id", "issue_type", "status") == [(1, "s", "open"), (1, "t", "fixed"), (2, "t", "open")]
     assert values(CF.latest_status(one.unionByName(two)), "project_id", "issue_type", "status") == values(CF.statuses(spark, path), "project_id", "issue_type", "status")
 
