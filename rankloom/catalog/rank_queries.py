@@ -27,10 +27,9 @@ def intent():
     return F.when(e == "view", "commercial").when(e == "purchase", "transactional").when(e == "click", "navigational").otherwise("informational")
 
 
-@query("win_01_ctr_curve", R, f"WITH {CURVE}, l AS (select *, ctr - lag(ctr) over (order by p) as d from cv) select l.p as position, ctr as ctr_pct, round(ctr / 100, 4) as ctr_frac, round(d, 1) as delta_vs_prev, tier, count(c.check_id) as checks from l left join fx_rank_checks c on c.position = l.p group by 1, 2, 3, 4, 5")
+@query("win_01_ctr_curve", R, f"WITH {CURVE}, l AS (select *, ctr - lag(ctr) over (order by p) as d from cv) select domain, keyword, check_id, position, ctr as ctr_pct, round(ctr / 100, 4) as ctr_frac, round(d, 1) as delta_vs_prev, tier from fx_rank_checks c join l on c.position = l.p")
 def _(spark, sf):
-    counts = checks(spark, sf).groupBy("position").agg(F.count(F.lit(1)).alias("checks"))
-    return RK.ctr_curve(spark).join(counts, "position", "left").withColumn("checks", F.coalesce("checks", F.lit(0)))
+    return checks(spark, sf).select("domain", "keyword", "check_id", "position").join(F.broadcast(RK.ctr_curve(spark)), "position")
 
 
 @query("win_02_latest_positions", R, "select domain, keyword, position, checked_at, check_id from fx_rank_checks qualify row_number() over (partition by domain, keyword order by checked_at desc, check_id desc) = 1")
@@ -57,9 +56,9 @@ def cwv(spark, sf):
 
 
 @query("win_04_cwv_history", (), f"""WITH h AS (select concat('https://site', user_id % 10, '.example.com/') as url, case when event_type in ('view', 'click') then 'mobile' else 'desktop' end as strategy, least(value, 100) as perf_score, ts, event_id from events where ts >= timestamp '{NOW}' - interval 20 day)
- select url, strategy, event_id as check_id, perf_score, round(avg(perf_score) over (partition by url, strategy order by ts, event_id rows between 2 preceding and current row), 2) as perf_mean from h where strategy = 'mobile'""")
+ select url, strategy, event_id as check_id, perf_score, round(avg(perf_score) over (partition by url, strategy order by ts, event_id rows between 2 preceding and current row), 2) as perf_mean from h""")
 def _(spark, sf):
-    out = RK.cwv_history(cwv(spark, sf), None, "mobile", F.lit(NOW).cast("timestamp"), 20)
+    out = RK.cwv_history(cwv(spark, sf), None, None, F.lit(NOW).cast("timestamp"), 20)
     return out.select("url", "strategy", "check_id", "perf_score", "perf_mean")
 
 

@@ -80,16 +80,16 @@ def _squeeze(x):
 IMPORTANCE = f"""{WT}, tx AS (select url, keywords, {_squeeze('title')} as t, {_squeeze("array_to_string(h1, ' ')")} as a, {_squeeze("array_to_string(h2, ' ')")} as b, {_squeeze("array_to_string(h3, ' ')")} as c, {_squeeze('body_text')} as body,
  array_to_string(regexp_extract_all(lower(body_text), '[a-z]{{3,}}')[1:100], ' ') as head, length(url) % 30 + 1 as pos from fx_pages),
  j AS (select wt.url, wt.keyword, wt.freq, case when {_in('t')} or {_in('a')} then 3 else 0 end + case when {_in('b')} or {_in('c')} then 2 else 0 end + case when freq > 5 then 2 else 0 end
-  + case when len(list_filter(keywords, lambda k: {_in("concat(k, ' online')")})) > 0 then 3 else 0 end as score, {_in('head')} as prominent, case when keyword = keywords[1] then pos end as serp_position from wt join tx using (url))"""
+  + case when len(list_filter(keywords, lambda k: {_in("concat(k, ' online')")})) > 0 then 3 else 0 end as score, {_in('head')} as prominent, round(100.0 * len(regexp_extract_all(concat(' ', replace(body, ' ', '  '), ' '), concat('[^\\p{{L}}\\p{{N}}_]', replace(keyword, ' ', '  '), '[^\\p{{L}}\\p{{N}}_]'))) / greatest(len(regexp_extract_all(body, '[a-z]{{3,}}')), 1), 2) as density, case when keyword = keywords[1] then pos end as serp_position from wt join tx using (url))"""
 _CTR_VALUES = ", ".join(f"({p}, {c}, '{t}')" for p, c, t in L.CTR_CURVE)
 
 
-@query("txt_05_keyword_importance", P, f"""WITH {IMPORTANCE}, cv AS (select * from (values {_CTR_VALUES}) v(p, ctr, tier)) select url, keyword, freq, cast(score as int) as score, case when score >= 6 then 'HIGH' when score >= 3 then 'MEDIUM' else 'LOW' end as importance, prominent,
+@query("txt_05_keyword_importance", P, f"""WITH {IMPORTANCE}, cv AS (select * from (values {_CTR_VALUES}) v(p, ctr, tier)) select url, keyword, freq, cast(score as int) as score, case when score >= 6 then 'HIGH' when score >= 3 then 'MEDIUM' else 'LOW' end as importance, prominent, density,
  cast(serp_position as int) as serp_position, case when serp_position is not null then round(coalesce(cast(ctr as double) / 100, 0.002), 4) end as expected_ctr, case when serp_position is not null then coalesce(tier, 'below') end as ctr_tier from j left join cv on cv.p = j.serp_position""")
 def _(spark, sf):
     pages = fx_pages(spark, sf)
     out = TM.keyword_importance(pages, suggestions=suggestions(pages), positions=positions(pages))
-    return out.select("url", "keyword", "freq", "score", "importance", "prominent", "serp_position", "expected_ctr", "ctr_tier")
+    return out.select("url", "keyword", "freq", "score", "importance", "prominent", "density", "serp_position", "expected_ctr", "ctr_tier")
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------------

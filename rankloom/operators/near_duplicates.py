@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankloom.functions.text import hamming, similarity, token_hash
+from rankloom.functions.text import hamming, similarity
 from rankloom.operators.skew import salted_join
 
 BUCKET_ROWS = 20_000
+VOTES = 100_000
 
 
 def fingerprints(docs: DataFrame, text: Column, key: str = "url") -> DataFrame:
     """Fingerprint per document (``key``, ``fp``): the sign of the vote of all its tokens for each bit.
 
-    The votes are summed where the tokens are formed, so what is shuffled is one row per document and not its
-    tokens. Documents without a token have no fingerprint.
+    Tokens are voted on inside their row (Arrow function, no shuffle): the first 64 bits of a token's md5 are taken once per batch.
+    Documents without a token have no fingerprint. Each row is a document of its own.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})"), F.lit(1))
-    hashed = docs.select(key, F.explode(words).alias("_t")).select(key, token_hash(F.col("_t")).alias("_h"))
-    votes = hashed.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(F.getbit("_h", F.lit(i)).cast("int")).alias(f"_b{i}") for i in range(64)]
-    )
-    fp = F.lit(0).cast("bigint")
-    for i in range(64):
-        bit = 1 << i if i < 63 else -(1 << 63)
-        fp = fp.bitwiseOR(F.when(2 * F.col(f"_b{i}") > F.col("_n"), F.lit(bit)).otherwise(F.lit(0)).cast("bigint"))
-    return votes.select(key, fp.alias("fp")).where("fp <> 0")
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pc.list_value_length(batch.column("words")).to_numpy()
+            found = batch.column("words").flatten().dictionary_encode()
+            digests = b"".join([md5(w.encode(), usedforsecurity=False).digest()[:8] for w in found.dictionary.to_pylist()])
+            bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+            index, out, at = found.indices.to_numpy(), np.zeros(len(counts), np.int64), 0
+            for i, n in enumerate(counts.tolist()):
+                if n:
+                    ones = np.zeros(64, np.int64)
+                    for k in range(at, at + n, VOTES):  # a long text some tokens at a time
+                        ones += bits[index[k:min(k + VOTES, at + n)]].sum(axis=0, dtype=np.int64)
+                    out[i] = np.packbits(2 * ones > n).view(">i8")[0]
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out)], names=[key, "fp"])
+
+    rows = docs.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    return rows.mapInArrow(vote, docs.select(key).schema.add("fp", "long")).where("fp <> 0")
 
 
 def groups(prints: DataFrame, key: str = "url") -> DataFrame:

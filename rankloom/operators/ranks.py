@@ -52,14 +52,30 @@ def history_since(checks: DataFrame, now: Column, days: int) -> DataFrame:
     return checks.where(F.col("checked_at") >= since).orderBy("domain", "keyword", "checked_at", "check_id")
 
 
-def cwv_history(rows: DataFrame, url: str | None, strategy: str | None, now: Column, days: int, span: int = 3) -> DataFrame:
-    """Page-speed series of a URL and strategy with a running mean of the performance score."""
+def cwv_history(rows: DataFrame, url: str | None, strategy: str | None, now: Column, days: int, span: int = 3, unit: str = "day") -> DataFrame:
+    """Page-speed series of a URL and strategy, or of all, with a running mean of the performance score.
+
+    The rows of a series are handled per time slice, so that a series with very many rows is spread over many tasks; the
+    last ``span - 1`` rows before a slice are carried into it.
+    """
     since = now - F.make_dt_interval(F.lit(days))
     out = rows.where(F.col("created_at") >= since)
     out = out.where(F.col("url") == url) if url else out
     out = out.where(F.col("strategy") == strategy) if strategy else out
-    frame = Window.partitionBy("url", "strategy").orderBy("created_at", "check_id").rowsBetween(1 - span, 0)
-    return out.withColumn("perf_mean", F.round(F.avg("perf_score").over(frame), 2))
+    keys, order = ["url", "strategy"], ["created_at", "check_id"]
+    sliced = out.withColumns({"_slice": F.date_trunc(unit, "created_at"), "_carried": F.lit(False)})
+    both = sliced
+    if span > 1:
+        newest = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
+        tail = sliced.select(*keys, "_slice", *order, "perf_score", F.row_number().over(newest).alias("_r")).where(F.col("_r") < span)
+        tails = tail.groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list(F.struct(*order, "perf_score"))).alias("_tail"))
+        before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1 - span, -1)  # so many slices hold enough rows
+        met = F.flatten(F.collect_list("_tail").over(before))
+        carried = tails.select(*keys, "_slice", met.alias("_met")).select(
+            *keys, "_slice", F.inline(F.slice("_met", F.greatest(F.size("_met") - span + 2, F.lit(1)), span - 1)))
+        both = sliced.unionByName(carried.withColumn("_carried", F.lit(True)), allowMissingColumns=True)
+    frame = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(1 - span, 0)
+    return both.withColumn("perf_mean", F.round(F.avg("perf_score").over(frame), 2)).where(~F.col("_carried")).drop("_slice", "_carried")
 
 
 def with_previous_position(checks: DataFrame, unit: str = "day") -> DataFrame:

@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rankloom import lookups as L
 from rankloom.functions import text as TX
 from rankloom.functions.scores import ctr_tier, expected_ctr
+from rankloom.operators.skew import HOT_ROWS, salted_join
+from rankloom.sources.tables import kept
 
 
+# So many terms at most are looked up without moving the rows of their documents.
+FREQUENT_TERMS = 100_000
 # The words at the start of a body in which a keyword counts as prominent: part of the score's definition.
 HEAD_WORDS = 100
 
@@ -30,31 +34,73 @@ def page_text() -> Column:
     return F.concat_ws(" ", "title", "title", "title", h1, h1, "meta_description", h2, "body_text")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def counted(words: Column) -> Column:
+    """Distinct words of an array and their numbers (``term, n``), in order of the words: run lengths of the sorted array."""
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: (i <= F.size(s)) & ((i == 1) | (F.get(s, i - 1) != F.get(s, i - 2))))
+        return _bound(begins, lambda b: F.transform(b, lambda i, k: F.struct(
+            F.get(s, i - 1).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s) + 1) - i).cast("long").alias("n"))))
+
+    return _bound(F.sort_array(words), runs)
+
+
+def most_frequent(counts: Column, k: int) -> Column:
+    """The ``k`` cells ``term, n`` with the largest numbers, by term where these are equal."""
+    ranked = F.slice(F.sort_array(F.transform(counts, lambda c: F.struct((-c["n"]).alias("m"), c["term"].alias("term")))), 1, k)
+    return F.transform(ranked, lambda c: F.struct(c["term"].alias("term"), (-c["m"]).alias("n")))
+
+
+def _ranked_rows(rows: DataFrame, key: str, cells: Column, term: str, n: str) -> DataFrame:
+    """A row for each cell with its rank from 1."""
+    return rows.select(key, F.posexplode(cells).alias("_p", "_c")).select(
+        key, (F.col("_p") + 1).alias("rank"), F.col("_c.term").alias(term), F.col("_c.n").alias(n))
+
+
 def term_counts(docs: DataFrame, text: Column, key: str = "url") -> DataFrame:
-    """Occurrences per document and term."""
-    return docs.select(key, F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Occurrences per document and term, counted inside the row: each row is a document of its own."""
+    return docs.select(key, F.explode(counted(tokens(text))).alias("c")).select(key, F.col("c.term").alias("term"), F.col("c.n").alias("tf"))
 
 
-def _with_idf(counts: DataFrame, n_docs: int, features: int | None) -> DataFrame:
-    """Join the inverse document frequency of each term to the counts."""
+def _weights(counts: DataFrame, n_docs: int, features: int | None) -> DataFrame:
+    """``term, df, idf`` of all terms, or of the most frequent ones."""
     vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     if features is not None:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(features)
     idf = F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0
-    weights = vocabulary.select("term", idf.alias("idf"))
-    return counts.join(weights if features is None else F.broadcast(weights), "term")
+    return vocabulary.select("term", "df", idf.alias("idf"))
+
+
+def _with_weights(counts: DataFrame, weights: DataFrame, features: int | None, spread: str) -> DataFrame:
+    """Join ``weights`` (by term, with ``df``) to stored counts.
+
+    Terms of at least a ``FREQUENT_TERMS``-th of all rows, which are no more than that, are broadcast, so that most rows stay where
+    they are; the rows of the others are joined by term, split where a term has over a million.
+    """
+    if features is not None:
+        return counts.join(F.broadcast(weights.drop("df")), "term")
+    weights = kept(weights, "term-weights")
+    rows = weights.agg(F.sum("df")).head()[0] or 0
+    often = F.col("df") * FREQUENT_TERMS >= F.lit(rows)
+    hot = weights.where(~often & (F.col("df") > HOT_ROWS)).select("term", F.ceil(F.col("df") / HOT_ROWS).cast("int").alias("_parts"))
+    common = F.broadcast(weights.where(often).drop("df"))
+    rare = salted_join(counts.join(common.select("term"), "term", "left_anti"), weights.where(~often).drop("df"), ["term"], F.col(spread), hot=hot)
+    return counts.join(common, "term").unionByName(rare)
 
 
 def tfidf(docs: DataFrame, text: Column, key: str = "url", features: int | None = None, excluded: Sequence[str] = ()) -> DataFrame:
     """Weight of each term in each document, scaled to unit length per document.
 
     ``features`` keeps the most frequent terms of the corpus only; such a vocabulary has a fixed size bound and is broadcast.
-    Without it all terms count, and documents and vocabulary are joined by term, the terms of very many documents split.
+    Without it all terms count; those of many documents are broadcast, the others joined by term.
     """
     counts = term_counts(docs, text, key)
-    counts = counts.where(~F.col("term").isin(list(excluded))) if excluded else counts
-    n_docs = docs.count()
-    weighted = _with_idf(counts, n_docs, features)
+    counts = kept(counts.where(~F.col("term").isin(list(excluded))) if excluded else counts, "term-counts")
+    weighted = _with_weights(counts, _weights(counts, docs.count(), features), features, key)
     weighted = weighted.select(key, "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return weighted.select(key, "term", (F.col("w") / length).alias("weight"))
@@ -77,11 +123,7 @@ def tfidf_keywords(docs: DataFrame, text: Column, key: str = "url", k: int = 10,
 def frequent_keywords(docs: DataFrame, text: Column, key: str = "url", k: int = 10,
                       stopwords: Sequence[str] = L.TERM_STOPWORDS) -> DataFrame:
     """Most common terms per document that are no stop words."""
-    counts = (
-        docs.select(key, F.explode(without(tokens(text), stopwords)).alias("term"))
-        .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    return _top(counts, key, [F.desc("tf"), F.col("term")], k)
+    return _ranked_rows(docs, key, most_frequent(counted(without(tokens(text), stopwords)), k), "term", "tf")
 
 
 def _grams(words: Column, n: int) -> Column:
@@ -93,27 +135,26 @@ def _grams(words: Column, n: int) -> Column:
 
 def phrases(docs: DataFrame, text: Column, key: str = "url", k: int = 10) -> DataFrame:
     """Phrases of two and three words: of the ``2k`` most common those seen twice or of three words, at most ``k``."""
-    words = docs.select(key, without(tokens(text), L.PHRASE_STOPWORDS).alias("_w"))
-    grams = words.select(key, F.explode(F.concat(_grams(F.col("_w"), 2), _grams(F.col("_w"), 3))).alias("phrase"))
-    counts = grams.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("n"))
-    best = _top(counts, key, [F.desc("n"), F.col("phrase")], 2 * k, "_r")
-    kept = best.where((F.col("n") >= 2) | (F.size(F.split("phrase", " ")) == 3))
-    return _top(kept, key, [F.col("_r")], k).select(key, "rank", "phrase", "n")
+    grams = _bound(without(tokens(text), L.PHRASE_STOPWORDS), lambda w: F.concat(_grams(w, 2), _grams(w, 3)))
+    best = most_frequent(counted(grams), 2 * k)
+    chosen = F.filter(best, lambda c: (c["n"] >= 2) | (F.size(F.split(c["term"], " ")) == 3))
+    return _ranked_rows(docs, key, F.slice(chosen, 1, k), "phrase", "n")
 
 
 def weighted_terms(pages: DataFrame, k: int = 10) -> DataFrame:
     """Words and word pairs of a page by weighted frequency; pairs seen twice replace their words."""
     h1 = F.array_join("h1", " ")
     text = F.concat_ws(" ", "title", "title", "title", h1, h1, "body_text")
-    words = pages.select("url", without(tokens(text), L.FIELD_STOPWORDS).alias("_w"))
-    singles = words.select("url", F.explode("_w").alias("keyword")).groupBy("url", "keyword").agg(F.count(F.lit(1)).alias("freq"))
-    pairs = (
-        words.select("url", F.explode(_grams(F.col("_w"), 2)).alias("keyword")).groupBy("url", "keyword")
-        .agg(F.count(F.lit(1)).alias("freq")).where("freq >= 2")
-    )
-    used = pairs.select("url", F.explode(F.split("keyword", " ")).alias("keyword")).distinct()
-    both = singles.join(used, ["url", "keyword"], "left_anti").unionByName(pairs)
-    return _top(both, "url", [F.desc("freq"), F.col("keyword")], k)
+    words = without(tokens(text), L.FIELD_STOPWORDS)
+    counts = pages.select("url", _bound(words, lambda w: F.struct(
+        counted(w).alias("singles"), F.filter(counted(_grams(w, 2)), lambda c: c["n"] >= 2).alias("pairs"))).alias("_c"))
+    singles, pairs = F.col("_c.singles"), F.col("_c.pairs")
+    used = F.array_distinct(F.flatten(F.transform(pairs, lambda c: F.split(c["term"], " "))))
+    # words of a pair stand right before their own cell in the sorted array
+    marks = F.transform(used, lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("n")))
+    rest = _bound(F.sort_array(F.concat(marks, singles)), lambda a: F.filter(
+        a, lambda c, i: (c["n"] > 0) & ((i == 0) | (F.get(a, i - 1)["term"] != c["term"]))))
+    return _ranked_rows(counts, "url", most_frequent(F.concat(rest, pairs), k), "keyword", "freq")
 
 
 def keyword_importance(pages: DataFrame, k: int = 10, suggestions: DataFrame | None = None,
@@ -169,14 +210,14 @@ def site_similarity(docs: DataFrame, text: Column, target: str, features: int |
 
     With ``features`` only the most frequent terms count, and the vector of the target is small enough to be broadcast.
     """
-    counts = docs.select("site", F.explode(tokens(text)).alias("term")).groupBy("site", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = counts.where(~F.col("term").isin(list(excluded))) if excluded else counts
+    counts = term_counts(docs, text, "site").groupBy("site", "term").agg(F.sum("tf").alias("tf"))
+    counts = kept(counts.where(~F.col("term").isin(list(excluded))) if excluded else counts, "site-terms")
     n_sites = docs.select("site").distinct().count()
-    vectors = _with_idf(counts, n_sites, features).select(
-        "site", "term", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w"))
-    own = vectors.where(F.col("site") == target).select("term", F.col("w").alias("tw"))
-    own_norm = own.agg(F.sqrt(F.sum(F.col("tw") * F.col("tw")))).head()[0] or 1.0
-    joined = vectors.where(F.col("site") != target).join(own if features is None else F.broadcast(own), "term", "left")
+    strength = lambda tf: (1.0 + F.log(tf.cast("double"))) * F.col("idf")
+    own = counts.where(F.col("site") == target).select("term", F.col("tf").alias("_own"))
+    weights = kept(_weights(counts, n_sites, features).join(own, "term", "left").withColumn("tw", strength(F.col("_own"))).drop("_own"), "own-weights")
+    own_norm = weights.agg(F.sqrt(F.sum(F.col("tw") * F.col("tw")))).head()[0] or 1.0
+    joined = _with_weights(counts.where(F.col("site") != target), weights, features, "site").withColumn("w", strength(F.col("tf")))
     sums = joined.groupBy("site").agg(
         F.sum(F.col("w") * F.coalesce("tw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return sums.select("site", F.round(100.0 * F.col("dot") / (F.col("norm") * F.lit(own_norm)), 1).alias("similarity"))
