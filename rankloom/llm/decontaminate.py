@@ -9,7 +9,8 @@ loses nothing. Document hashes above the largest sketch value cannot match and a
 document are not probed. Candidates are verified on the shingles themselves.
 
 Only built-in functions are used. Defined results: null and empty texts have no shingle and match nothing; a text of one to
-four words is one shingle of all its words; equal items are found each; rows alike in id and text are reported once; items
+four words is one shingle of all its words, and an item of that kind is found wherever its words follow each other, as documents are probed
+for shingles of as many words too; equal items are found each; rows alike in id and text are reported once; items
 without an id are left out.
 """
 
@@ -41,6 +42,16 @@ def shingle_texts(words: str, width: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(shingle_starts(words, width), lambda i: F.array_join(F.slice(F.col(words), i + 1, width), " ")))
 
 
+def with_short_shingles(words: Column, widths: list[int], make) -> Column:
+    """Shingles of the common width and those of the widths of short items; ``make(words, start, width)`` gives one."""
+    starts = lambda w, k: F.when(F.size(w) < k, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))))
+    common = lambda w: F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))))
+    one = lambda w, k: lambda i: make(w, i, k)
+    # the word array is bound once by a one-element transform, so that it is split once per text and not once per word
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(
+        F.transform(common(w), one(w, SHINGLE)), *[F.transform(starts(w, k), one(w, k)) for k in widths])))
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side whose counted rows are within the limit; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
@@ -84,10 +95,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """``item_id, doc_id, text_key, n_shared, n_shingles, containment`` for each item that a document contains."""
     shingles = stored(item_shingles(items, item_col, item_text_col, threshold), "item-shingles")
     sketches = item_sketches(shingles, threshold)
+    width = F.size(F.split("shingle", " "))
+    widths = [r[0] for r in shingles.where(width < SHINGLE).select(width).distinct().collect()]  # four values at most
     top = sketches.agg(F.max("h"), F.count("*")).first()
     texts = picked(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
     probes = (
-        texts.select("doc_id", "text_key", shingle_hashes_of_text("text").alias("hashes"))
+        texts.select("doc_id", "text_key", shingle_hashes_of_text("text", widths).alias("hashes"))
         .select("doc_id", "text_key", F.size("hashes").alias("n"), F.explode(F.filter("hashes", lambda h: h <= F.lit(top[0] or 0))).alias("h"))
     )
     hits = (
@@ -101,7 +114,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         texts.join(bounded(wanted, n_wanted), "text_key")
         .groupBy("text_key").agg(F.first("text").alias("text"), F.first("items").alias("items"))
         .withColumn("words", word_array("text"))
-        .select("text_key", "items", F.explode(shingle_texts("words")).alias("shingle"))
+        .select("text_key", "items", F.explode(F.array_distinct(with_short_shingles(
+            F.col("words"), widths, lambda w, i, k: F.array_join(F.slice(w, i + 1, k), " ")))).alias("shingle"))
         .join(bounded(shingles.select("item_id", "shingle", "n_shingles", "n_needed"), shingles.count()), "shingle")
         .where(F.array_contains("items", F.col("item_id")))
         .groupBy("text_key", "item_id", "n_shingles", "n_needed").agg(F.count_distinct("shingle").alias("n_shared"))
@@ -112,12 +126,10 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def shingle_hashes_of_text(text: str) -> Column:
-    """Shingle hashes straight from a text column."""
-    # the word array is bound once by a one-element transform, so that it is split once per text and not once per word
-    return F.flatten(F.transform(F.array(word_array(text)), lambda w: F.transform(
-        F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0)))),
-        lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))))
+def shingle_hashes_of_text(text: str, widths: list[int] | None = None) -> Column:
+    """Shingle hashes straight from a text column, those of short widths included."""
+    no_word = F.lit(None).cast("string")
+    return with_short_shingles(word_array(text), widths or [], lambda w, i, k: F.xxhash64(*[F.get(w, i + j) if j < k else no_word for j in range(SHINGLE)]))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options: object) -> DataFrame:

@@ -15,6 +15,12 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
+def sampled(wanted: int, rows: int, *keys: str, seed: int) -> Column:
+    """Whether a row is in a sample of about ``wanted`` of ``rows`` rows, by a 64-bit threshold on a hash of its keys."""
+    limit = 2**63 - 1 if wanted >= rows else wanted * 2**64 // rows - 2**63
+    return F.xxhash64(*keys, F.lit(seed)) <= F.lit(limit)
+
+
 def known_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, label``, one row for each id; the larger label of an id that has several."""
     rows = picked(labels, doc_id=id_col, label=label).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
@@ -32,6 +38,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     if skip_fold:
         rows = rows.where(fold("doc_id", skip_fold[0]) != skip_fold[1])
     total = rows.count()
-    share = min(1.0, max_rows / max(1, total))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * max_rows)
+    chosen = rows.where(sampled(max_rows, total, "doc_id", seed=7)).limit(2 * max_rows)
     return picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen), "doc_id")

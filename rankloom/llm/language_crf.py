@@ -21,11 +21,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.batches import picked, slices, texts_of
-from rankloom.llm.labelled import fold
+from rankloom.llm.labelled import fold, sampled
 
 UND = "und"
 RUN = 24
@@ -294,9 +294,9 @@ def fit_languages(docs: DataFrame, skip_fold: tuple[int, int] = (4, 2), max_docs
     if not languages:
         return LanguageModel([], lexicon_of(pd.DataFrame({"word": [], "label": [], "n": []}), 1), np.zeros((0, 0)), np.zeros((0, 0)))
     each = max(50, max_docs // len(languages))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(1_000_000 * min(1.0, each / n)))) for k, n in sizes.items()])
+    share = F.coalesce(*[F.when(F.col("lang") == k, sampled(each, n, "doc_id", seed=3)) for k, n in sizes.items()])
     label = F.coalesce(*[F.when(F.col("lang") == k, F.lit(i)) for i, k in enumerate(languages)])
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share).select("doc_id", "text", label.alias("label"))
+    sample = known.where(share).select("doc_id", "text", label.alias("label"))
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -313,8 +313,11 @@ def fit_languages(docs: DataFrame, skip_fold: tuple[int, int] = (4, 2), max_docs
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary())))], names=["doc_id", "at", "label", "words"])
 
     rows = sample.mapInArrow(runs, "doc_id long, at long, label int, words array<binary>")
-    by_hash = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at")
-    chosen = rows.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= max_runs).select("doc_id", "at", "label", "words").toPandas()
+    # runs with small hashes, rather more than wanted; the smallest are picked from them
+    numbers = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    few = F.coalesce(*[F.when(F.col("label") == k, sampled(2 * max_runs, n, "doc_id", "at", seed=5)) for k, n in numbers.items()], F.lit(False))
+    chosen = rows.where(few).select("doc_id", "at", "label", "words", F.xxhash64("doc_id", "at", F.lit(5)).alias("h")).toPandas()
+    chosen = chosen.sort_values(["h", "doc_id", "at"]).groupby("label", sort=False).head(max_runs).drop(columns="h")
     counts = rows.select("label", F.explode("words").alias("word")).groupBy("word", "label").agg(F.count("*").alias("n"))
     counts = counts.where("n > 2").orderBy(F.desc("n"), "word", "label").limit(max_lexicon).toPandas()
     chosen = chosen.sort_values(["doc_id", "at"], ignore_index=True)

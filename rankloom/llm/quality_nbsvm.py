@@ -34,7 +34,7 @@ _LOWER, _UPPER, _DIGIT = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[A-Z]+")
 
 
 def shape_of(word: bytes) -> bytes:
-    return _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))[:12]
+    return _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))
 
 
 def indicators(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,8 @@ WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{
 i AS (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM benchmark),
 dw AS (SELECT doc_id, string_split(t, ' ') AS w FROM d WHERE t <> ''),
 iw AS (SELECT item_id, string_split(t, ' ') AS w FROM i WHERE t <> ''),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM dw)),
+ds AS (SELECT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM dw)
+  UNION SELECT doc_id, array_to_string(w[k:k + q - 1], ' ') AS s FROM (SELECT doc_id, w, q, unnest(range(1, len(w) - q + 2)) AS k FROM dw, (SELECT DISTINCT len(w) AS q FROM iw WHERE len(w) < 5) WHERE len(w) >= q)),
 si AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM iw)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY item_id),
 m AS (SELECT item_id, doc_id, count(*) AS n_shared FROM si JOIN ds USING (s) GROUP BY item_id, doc_id)
@@ -88,8 +89,9 @@ _CHARS = f"string_split(substr(f, i::BIGINT, {_W}), '')"
 _ENTROPY = (f"log2({_W}) - list_min(list_transform(range(1, length(f) - {_W - 2}), lambda i: list_sum(list_transform(list_distinct({_CHARS}), "
             f"lambda c: len(list_filter({_CHARS}, lambda y: y = c)) * log2(len(list_filter({_CHARS}, lambda y: y = c))))))) / {_W}.0")
 _CLASS = "CASE " + " ".join(f"WHEN regexp_matches(f, {_quoted(p)}) THEN {bits}" for _, p, bits in secret_scan.CLASSES) + " END"
-_FILLER = "len(list_filter(range(1, length(f) - 6), lambda i: substr(f, i::BIGINT, 8) = repeat(substr(f, i::BIGINT, 1), 8))) > 0"
-_ALLOWED = " OR ".join([*(f"regexp_matches(f, {_quoted(p)})" for p in secret_scan.ALLOWED if chr(92) + "1" not in p), _FILLER])
+_ALLOWED = " OR ".join(f"regexp_matches(f, {_quoted(p)})" for p in secret_scan.ALLOWED)
+_CUT = _quoted(secret_scan.CUT)
+_LEN = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
 SECRETS_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 r AS ({_found(0, secret_scan.ASSIGN, 6, 1)}
@@ -97,8 +99,14 @@ r AS ({_found(0, secret_scan.ASSIGN, 6, 1)}
 u AS (SELECT doc_id, ord, kind, least, m, q, g, unnest(range(1, len(m) + 1)) AS k FROM r),
 s AS (SELECT doc_id, ord, kind, least, length(q[k]) AS n, m[k] AS f, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS a FROM u),
 b AS (SELECT doc_id, ord, kind, a, a + length(f) AS z FROM s WHERE ord < 3 AND n >= least),
-e AS (SELECT doc_id, ord, kind, a, a + length(f) AS z FROM s WHERE ord = 3 AND regexp_matches(f, '[0-9]|[a-z][A-Z]') AND NOT ({_ALLOWED})
-  AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = s.doc_id AND b.a < s.a + length(s.f) AND s.a < b.z) AND {_ENTROPY} >= {_CLASS}),
+n AS (SELECT doc_id, a, a + length(f) AS z, f, row_number() OVER () AS run FROM s WHERE ord = 3),
+c AS (SELECT run, b.a AS x, b.z AS y FROM n JOIN b ON b.doc_id = n.doc_id AND b.a < n.z AND n.a < b.z
+  UNION ALL SELECT run, q0, q0 + length(m[k]) FROM (SELECT run, m, k, (a + {_LEN.format('g[1:k]')} + {_LEN.format('m[1:k - 1]')})::BIGINT AS q0 FROM (
+    SELECT run, a, regexp_extract_all(f, {_CUT}) AS m, regexp_split_to_array(f, {_CUT}) AS g, unnest(range(1, len(regexp_extract_all(f, {_CUT})) + 1)) AS k FROM n))
+  UNION ALL SELECT run, z, z FROM n),
+w AS (SELECT run, greatest(n.a, coalesce(max(y) OVER (PARTITION BY run ORDER BY x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n.a)) AS a, x AS z, n.a AS base, n.f AS whole, doc_id FROM c JOIN n USING (run)),
+v AS (SELECT doc_id, a, z, substr(whole, a - base + 1, z - a) AS f FROM w WHERE z - a >= {_W}),
+e AS (SELECT doc_id, 3 AS ord, 'entropy' AS kind, a, z FROM v WHERE regexp_matches(f, '[0-9]|[a-z][A-Z]') AND NOT ({_ALLOWED}) AND {_ENTROPY} >= {_CLASS}),
 x AS (SELECT * FROM b UNION ALL SELECT * FROM e),
 y AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
   string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, ord) AS spans FROM x GROUP BY doc_id)

@@ -6,8 +6,9 @@ Kinds and spans (code points, end exclusive):
   short are dropped after matching.
 - ``entropy``: a maximal run of at least 20 characters of ``[A-Za-z0-9+/_=-]`` with a digit or an upper-case letter after a lower-case one,
   in which some window of 20 characters has an entropy of at least the threshold of its character class. The window moves one
-  character at a time and the entropy follows from the counts of the character that leaves and the one that enters. Runs on
-  the allow-list and runs that overlap a span of another kind are suppressed.
+  character at a time and the entropy follows from the counts of the character that leaves and the one that enters. Spans of another
+  kind, rulers (a character eight times or more) and words of the allow-list are cut out of a run and each part of 20 characters or more that is
+  left is judged by itself; parts that are an allowed whole (a UUID, a date, a path of plain words) are suppressed.
 
 Only built-in functions are used and nothing is shuffled. Defined results: null and empty texts have no span; every row keeps its row.
 """
@@ -29,16 +30,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 MARK = "[SECRET]"
 
 WINDOW = 20
+PART = r"[0-9]|[a-z][A-Z]"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{20,}"
 # Character classes, the first that fits counts, with the least entropy (bits a character) of a window. Digits alone cannot reach theirs.
 CLASSES = [("digits", r"^[0-9]+$", 9.9), ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.05), ("upper", r"^[0-9A-Z]+$", 3.45), ("any", r"^", 3.65)]
+RULERS = "|".join(f"{c if c.isalnum() else chr(92) + c}{{8,}}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+CUT = rf"(?i:example|sample|placeholder|dummy|changeme|redacted|lorem)|{RULERS}"
 ALLOWED = [
-    r"(?i)example|sample|placeholder|dummy|changeme|redacted|lorem",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
     r"^(?i:sha(?:1|256|384|512))-",  # integrity values of public files
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*$",  # dates
     r"^(?:/?[a-z]+[0-9]{0,4}[/_-])+[a-z]*[0-9]{0,4}/?$",  # paths and slugs of plain words
-    r"(.)\1{7}",  # fillers
 ]
 
 
@@ -97,15 +99,32 @@ def allowed(run: Column) -> Column:
     return out
 
 
+def parts_of(run: Column, base: Column) -> Column:
+    """What is left of a run, in parts of a window's length or more, when spans of other kinds, rulers and allowed words are cut out."""
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    words = F.transform(spans_of(run["found"], "entropy", CUT, 1), lambda w: F.struct((run["start"] + w["start"]).alias("start"), (run["start"] + w["end"]).alias("end")))
+    end = F.struct(run["end"].alias("start"), run["end"].alias("end"))
+    cuts = F.array_sort(F.concat(F.transform(touching, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), words, F.array(end)))
+
+    def step(state: Column, cut: Column) -> Column:
+        part = F.struct(state["at"].alias("start"), F.lit(KINDS.index("entropy")).alias("ord"), F.lit("entropy").alias("kind"), cut["start"].alias("end"),
+                        F.substring(run["found"], state["at"] - run["start"] + 1, cut["start"] - state["at"]).alias("found"))
+        return F.struct(F.greatest(state["at"], cut["end"]).alias("at"),
+                        F.when(cut["start"] - state["at"] >= WINDOW, F.concat(state["parts"], F.array(part))).otherwise(state["parts"]).alias("parts"))
+
+    nothing = F.slice(F.array(run), 1, 0)
+    left = F.aggregate(cuts, F.struct(run["start"].alias("at"), nothing.alias("parts")), step, lambda s: s["parts"])
+    return F.when((F.size(touching) == 0) & ~run["found"].rlike(CUT), F.array(run)).otherwise(left)
+
+
 def secret_spans(docs: DataFrame, text_col: str = "text", column: str = "secret_spans") -> DataFrame:
     """Add ``column`` (or replace it): the spans of each text, ``array<struct<start, ord, kind, end, found>>`` by start and kind."""
     inner = numbered(docs)
     text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit(""))
     base = F.concat(spans_of(text, "assign", ASSIGN, 6, 1), spans_of(text, "access", ACCESS, 20), spans_of(text, "hex", HEX, 24))
     out = inner.withColumn("_base", base)
-    free = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    runs = F.filter(spans_of(text, "entropy", CANDIDATE, WINDOW),
-                    lambda r: free(r) & ~allowed(r["found"]) & (window_entropy(r["found"]) >= threshold_of(r["found"])))
+    parts = F.flatten(F.transform(spans_of(text, "entropy", CANDIDATE, WINDOW), lambda r: parts_of(r, F.col("_base"))))
+    runs = F.filter(parts, lambda r: r["found"].rlike(PART) & ~allowed(r["found"]) & (window_entropy(r["found"]) >= threshold_of(r["found"])))
     found = out.withColumn("_spans", F.array_sort(F.concat("_base", runs))).drop("_base")
     kept = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c != column]
     return found.select(*[c for c, _ in kept], "_spans").toDF(*[c for _, c in kept], column)

@@ -89,9 +89,12 @@ def shingles(text, width=5):
 
 def contained(docs, items, threshold=0.8):
     out = set()
+    widths = {len(plain_words(item)) for _, item in items} & {1, 2, 3, 4}
     for item_id, item in items:
         own = shingles(item)
         for doc_id, text in docs:
-            if own and len(own & shingles(text)) >= threshold * len(own) - 1e-9:
+            words = plain_words(text)
+            found = shingles(text) | {" ".join(words[i:i + k]) for k in widths for i in range(len(words) - k + 1)}
+            if own and len(own & found) >= threshold * len(own) - 1e-9:
                 out.add((item_id, doc_id))
     return out

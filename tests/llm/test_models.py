@@ -10,7 +10,7 @@ import pytest
 from brute import WORD
 
 from rankloom.llm import backoff_scores, language_crf, quality_nbsvm, queries, toxicity_zstd
-from rankloom.llm.labelled import labelled_sample
+from rankloom.llm.labelled import labelled_sample, sampled
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string"
@@ -152,3 +152,20 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     labels = spark.createDataFrame(pd.DataFrame({"doc_id": range(4000), "quality": 1}))
     rows = labelled_sample(docs, labels, "quality", 500, (3, 1)).collect()
     assert 300 < len(rows) <= 1000 and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in rows)
+
+
+def test_long_words_with_different_tails_are_different_indicators():
+    a, b = ("http://example.org/" + "a-1" * 10 + x for x in ("-b/c", "_9"))
+    assert set(quality_nbsvm.indicators([a])[1]) != set(quality_nbsvm.indicators([b])[1])
+    assert quality_nbsvm.shape_of(a.encode()) != quality_nbsvm.shape_of(b.encode())
+
+
+@pytest.mark.parametrize("rows", [10, 10**6, 10**10, 10**13])
+def test_samples_keep_their_size_for_any_number_of_rows(spark, rows):
+    n = 200_000
+    share = 2000 / n  # a sample as for ``rows`` rows, drawn from n of them
+    ids = spark.range(n)
+    wanted = max(1, int(rows * share))
+    got = ids.where(sampled(wanted, rows, "id", seed=3)).count()
+    assert abs(got - n * wanted / rows) <= 0.1 * n * wanted / rows + 5
+    assert ids.where(sampled(rows, rows, "id", seed=3)).count() == n

@@ -83,3 +83,11 @@ def test_contaminated_documents_go(spark, corpus):
     bad = {d for _, d in contained(corpus, [(r["item_id"], r["text"]) for r in items.collect()])}
     assert got.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(d) for d, _ in corpus if d not in bad)
+
+
+def test_short_items_are_found_inside_long_texts(spark):
+    long_ = "well " * 300 + "The answer, is FOUR indeed " + "so " * 300
+    docs = spark.createDataFrame([(1, long_), (2, "the answer is five"), (3, "answer is four"), (4, None), (5, "four"), (6, "forty four")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "the answer is four"), (11, "Four"), (12, ""), (13, "well well well well well well")], "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"]) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(10, 1), (11, 1), (11, 3), (11, 5), (11, 6), (13, 1)}

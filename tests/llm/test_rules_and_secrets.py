@@ -81,7 +81,8 @@ def test_base_spans_equal_their_definition(spark):
 def test_entropy_spans(spark):
     got = spans(spark, SECRETS)
     assert got[5]["spans"] == "entropy:4:44"
-    for i in (6, 7, 8, 9, 10):
+    assert got[6]["spans"] == "hex:0:25,entropy:95:119"  # what stands beside an allowed word is judged by itself
+    for i in (7, 8, 9, 10):
         assert "entropy" not in got[i]["spans"]
 
 
@@ -92,6 +93,21 @@ def test_entropy_equals_its_definition(spark):
         assert abs(r["h"] - window_entropy(r["run"])) < 1e-9
 
 
+def test_keys_beside_other_spans_rulers_and_allowed_words(spark):
+    rng = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choice(chars) for _ in range(40))
+    keys = [key() for _ in range(6)]
+    texts = [f"a {keys[0]} b", f"AKIA{'Q7' * 9}/{keys[1]}", f"{'=' * 12}{keys[2]}", f"{keys[3]}example{key()}", f"{'0f' * 16}-{keys[4]}", f"{keys[5]}-lorem"]
+    rows = secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    clean = {r["doc_id"]: r["text"] for r in rows}
+    assert all(k not in clean[i] and k[:30] not in clean[i] for i, k in enumerate(keys))
+    assert clean[0] == f"a {secret_scan.MARK} b" and clean[2] == "=" * 12 + secret_scan.MARK
+    whole = ["123e4567-e89b-12d3-a456-426614174000", "=" * 40, "docs/some-long-path/of-plain-words", "example" * 5]
+    found = secret_scan.secret_spans(spark.createDataFrame([(t,) for t in whole], "text string"))
+    assert all(r["secret_spans"] == [] for r in found.collect())
+
+
 def test_query_digest(spark):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op7_secret_scan"](spark, SMALL).collect()}
     for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
@@ -105,7 +121,7 @@ def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, _spans string, n_chars long")
     rows = {r["doc_id"]: r for r in secret_scan.redact(docs, length_col="n_chars").collect()}
     for i, t in enumerate(SECRETS):
-        own = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t)] + ([(4, 44)] if i == 5 else [])
+        own = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t)] + {5: [(4, 44)], 6: [(95, 119)]}.get(i, [])
         want, at = [], 0
         for a, b in sorted(own):
             if a >= at:
