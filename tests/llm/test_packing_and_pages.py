@@ -1,5 +1,7 @@
 """Packing and page extraction against exact round trips."""
 
+import time
+import tracemalloc
 import re
 import zlib
 from collections import Counter
@@ -132,3 +134,24 @@ def test_query_equals_the_article_element(spark):
         article = re.search("<article>(.*)</article>", rows[r["page_id"]], re.S)[1]
         plain = re.sub("<[^>]+>", "", re.sub("<br>|</?p>|</?h1>", " ", article))
         assert r["text"] == " ".join(html.unescape(plain).split()) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='x-1'>" * 50_000 + "deep", "<a href='x" * 50_000, '<p class="y>' * 50_001 + "end", "<span>" * 50_000 + "</b>" * 50_000, "<script>" * 50_000, "<a>t" * 50_000,
+    "<!-- " * 50_000, "<p>one " * 50_000], ids=str.split("deep quotes odd-quotes unmatched scripts links comments paragraphs"))
+def test_long_broken_pages_take_time_and_memory_by_length(page):
+    began = time.process_time()
+    host_consensus.extract(page, [])
+    assert time.process_time() - began < 5
+    tracemalloc.start()
+    host_consensus.extract(page, [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
+def test_an_article_in_two_parts_is_whole():
+    page = "<body><div class='menu'>m</div><section><div class='part a1'><p>first half of it</p></div><div class='ad'>x</div><div class='rest'><p>second half</p></div></section></body>"
+    paths = ["/body/section/div.a#.part", "/body/section/div.rest"]
+    assert host_consensus.extract(page, paths)[0] == "first half of it second half"
+    assert host_consensus.extract(page, paths[::-1])[0] == "first half of it second half"
