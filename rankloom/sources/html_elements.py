@@ -14,6 +14,7 @@ from pyspark.sql import functions as F, types as T
 _WANTED = {"title", "meta", "link", "script", "a", "img", "iframe", "video", "audio", "source", "nav", "li"} | {f"h{i}" for i in range(1, 7)}
 _HIDDEN = {"script", "style", "nav", "footer", "header", "noscript", "iframe", "svg"}
 _WITH_TEXT = {"title", "a", "li", "script"} | {f"h{i}" for i in range(1, 7)}
+_HEADINGS = tuple(f"h{i}" for i in range(1, 7))
 _VOID = {"meta", "link", "img", "source", "br", "hr", "input", "area", "base", "col", "embed", "track", "wbr"}
 
 ELEMENTS = T.StructType(
@@ -43,7 +44,8 @@ class _Elements(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[list] = []
-        self.open: list[int] = []  # wanted elements that collect text
+        self.open: dict[str, list[int]] = {}  # wanted elements that collect text, by tag
+        self.pieces: list[str] = []  # all text; an element's own text is a range of it
         self.hidden: list[str] = []
         self.navs: list[str] = []
         self.items = 0
@@ -61,9 +63,12 @@ class _Elements(HTMLParser):
         if tag in _HIDDEN:
             self.hidden.append(tag)
         if tag in _WANTED:
-            self.found.append([tag, values, [], self.navs[-1] if self.navs else None, self.item])
             if tag in _WITH_TEXT:
-                self.open.append(len(self.found) - 1)
+                # none of these holds another of its kind, so an unclosed one ends here
+                for other in _HEADINGS if tag in _HEADINGS else (tag,):
+                    self._close(other)
+                self.open.setdefault(tag, []).append(len(self.found))
+            self.found.append([tag, values, (len(self.pieces), None), self.navs[-1] if self.navs else None, self.item])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -71,10 +76,9 @@ class _Elements(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.found[self.open[i]][0] == tag:
-                del self.open[i]
-                return
+        if self.open.get(tag):
+            element = self.found[self.open[tag].pop()]
+            element[2] = (element[2][0], len(self.pieces))
 
     def handle_endtag(self, tag: str) -> None:
         self._close(tag)
@@ -88,8 +92,7 @@ class _Elements(HTMLParser):
                 pass
 
     def handle_data(self, data: str) -> None:
-        for i in self.open:
-            self.found[i][2].append(data)
+        self.pieces.append(data)
         if not self.hidden:
             self.texts.append(data)
 
@@ -98,8 +101,9 @@ def _read(html: str | None) -> dict:
     parser = _Elements()
     parser.feed(html or "")
     parser.close()
+    own = lambda x: parser.pieces[x[0]:x[1]]
     rows = [
-        {"tag": t, "attrs": a, "text": "".join(x) if t == "script" else "".join(p.strip() for p in x), "nav": n, "item": i}
+        {"tag": t, "attrs": a, "text": "" if t not in _WITH_TEXT else "".join(own(x)) if t == "script" else "".join(p.strip() for p in own(x)), "nav": n, "item": i}
         for t, a, x, n, i in parser.found
     ]
     return {"elements": rows, "text": " ".join(" ".join(parser.texts).split())}

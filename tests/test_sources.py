@@ -72,3 +72,16 @@ def test_stored_pages_round_trip(spark, tmp_path):
     ST.write_job(p, str(tmp_path / "jobs"), "j2")
     row = ST.read_job(spark, str(tmp_path / "jobs"), "j1").head()
     assert (row.url, row.h2, row.issues, row.response_headers["x-frame-options"]) == ("https://a.com/", ["x"], ["Missing H2"], "DENY")
+
+
+def test_unclosed_elements_are_read_once():
+    import time
+
+    from rankloom.sources.html_elements import _read
+
+    for page in ("<a href='/x'>text " * 20_000, "<h2>text " * 20_000, "<li>text " * 20_000, "<title>text " * 20_000):
+        began = time.process_time()
+        found = _read(page)
+        assert time.process_time() - began < 2
+        assert len(found["elements"]) == 20_000 or page.startswith("<title")
+        assert sum(len(e["text"]) for e in found["elements"]) <= 2 * len(page)
