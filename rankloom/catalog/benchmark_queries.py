@@ -160,7 +160,7 @@ def _(spark, sf):
 
 
 @query("gra_10_link_report", P, """WITH l AS (select lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) as s, lower(rtrim(regexp_replace(unnest(links), '[?#].*$', ''), '/')) as d from fx_pages where not is_error), n AS (select distinct lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) as u from fx_pages)
- select (select count(*) from n) as total_pages, (select count(*) from l where s <> d and d in (select u from n)) as total_internal_links""")
+ select split_part(u, '/', 3) as site, count(distinct u) as total_pages, count(l.s) as total_internal_links from n left join l on l.d = n.u and l.s <> l.d group by 1""")
 def _(spark, sf):
     from rankloom.plans.link_report import link_report
 

@@ -96,13 +96,13 @@ def _(spark, sf):
     return depths(spark, sf)
 
 
-@query("gra_04_depth_distribution", V, f"WITH RECURSIVE {EDGES}, {OUT}, {ROOT}, {BFS} select case when depth < 0 then 'unreachable' else concat('depth_', depth) end as label, depth, count(*) as pages from dep group by depth")
+@query("gra_04_depth_distribution", V, f"WITH RECURSIVE {EDGES}, {OUT}, {ROOT}, {BFS} select split_part(url, '/', 3) as site, case when depth < 0 then 'unreachable' else concat('depth_', depth) end as label, depth, count(*) as pages from dep group by 1, depth")
 def _(spark, sf):
     return GR.depth_distribution(depths(spark, sf))
 
 
-@query("gra_04_depth_summary", V, f"""WITH RECURSIVE {EDGES}, {OUT}, {ROOT}, {BFS} select greatest(max(depth), 0) as max_depth, count(*) filter (depth >= 0) as reachable,
- count(*) filter (depth < 0) as unreachable, count(*) as total from dep""")
+@query("gra_04_depth_summary", V, f"""WITH RECURSIVE {EDGES}, {OUT}, {ROOT}, {BFS} select split_part(url, '/', 3) as site, greatest(max(depth), 0) as max_depth, count(*) filter (depth >= 0) as reachable,
+ count(*) filter (depth < 0) as unreachable, count(*) as total from dep group by 1""")
 def _(spark, sf):
     return GR.depth_summary(depths(spark, sf))
 
@@ -114,20 +114,20 @@ def _(spark, sf):
 
 
 @query("gra_06_silos", V, f"""WITH RECURSIVE {EDGES}, {OUT}, {PR}, i AS (select dst, sum(n) as n from e group by dst),
- s AS (select split_part(f.url, '/', 4) as silo, count(*) as page_count, sum(pagerank) as p, cast(sum(coalesce(i.n, 0)) as bigint) as total_in_links from fin f left join i on i.dst = f.url group by 1),
- x AS (select split_part(src, '/', 4) as silo, cast(sum(n) as bigint) as n from e where split_part(src, '/', 4) <> split_part(dst, '/', 4) group by 1)
- select s.silo, page_count, round(p, 4) as total_pagerank, total_in_links, coalesce(x.n, 0) as cross_silo_links from s left join x using (silo)""")
+ s AS (select split_part(f.url, '/', 3) as site, split_part(f.url, '/', 4) as silo, count(*) as page_count, sum(pagerank) as p, cast(sum(coalesce(i.n, 0)) as bigint) as total_in_links from fin f left join i on i.dst = f.url group by 1, 2),
+ x AS (select split_part(src, '/', 3) as site, split_part(src, '/', 4) as silo, cast(sum(n) as bigint) as n from e where (split_part(src, '/', 3), split_part(src, '/', 4)) <> (split_part(dst, '/', 3), split_part(dst, '/', 4)) group by 1, 2)
+ select s.site, s.silo, page_count, round(p, 4) as total_pagerank, total_in_links, coalesce(x.n, 0) as cross_silo_links from s left join x using (site, silo)""")
 def _(spark, sf):
     out = GR.silo_report(graph(spark, sf), ranks(spark, sf))
-    return out.select("silo", "page_count", F.round("total_pagerank", 4).alias("total_pagerank"), "total_in_links", "cross_silo_links")
+    return out.select("site", "silo", "page_count", F.round("total_pagerank", 4).alias("total_pagerank"), "total_in_links", "cross_silo_links")
 
 
 @query("gra_07_top_pages", V, f"""WITH RECURSIVE {EDGES}, {OUT}, {ROOT}, {BFS}, {PR}, i AS (select dst, sum(n) as n from e group by dst)
- select f.url, round(f.pagerank, 4) as pagerank, cast(coalesce(i.n, 0) as bigint) as in_links, coalesce(o.n, 0) as out_links, d.depth from fin f join dep d using (url)
- left join i on i.dst = f.url left join o on o.src = f.url order by round(f.pagerank, 9) desc, f.url limit 20""")
+ select split_part(f.url, '/', 3) as site, f.url, round(f.pagerank, 4) as pagerank, cast(coalesce(i.n, 0) as bigint) as in_links, coalesce(o.n, 0) as out_links, d.depth from fin f join dep d using (url)
+ left join i on i.dst = f.url left join o on o.src = f.url qualify row_number() over (partition by split_part(f.url, '/', 3) order by round(f.pagerank, 9) desc, f.url) <= 20""")
 def _(spark, sf):
     out = GR.top_pages(graph(spark, sf), ranks(spark, sf).withColumn("pagerank", F.round("pagerank", 9)), depths(spark, sf))
-    return out.select("url", F.round("pagerank", 4).alias("pagerank"), "in_links", "out_links", "depth")
+    return out.select("site", "url", F.round("pagerank", 4).alias("pagerank"), "in_links", "out_links", "depth")
 
 
 PRIO = f"""{EDGES}, {OUT}, {ROOT}, {BFS}, {PR}, {ISS}, j AS (select f.url, f.pagerank, d.depth, coalesce(iss.n, 0) as issue_count from fin f join dep d using (url) left join iss using (url)),
@@ -143,11 +143,11 @@ def _(spark, sf):
 
 @query("gra_09_needs_attention", V, f"""WITH RECURSIVE {PRIO}, kinds AS (select l.src as url, case when t.status_code >= 400 then 'broken' else 'redirect' end as kind, count(*) as n from fx_links l join fx_link_nodes t on t.url = l.dst
  where t.status_code >= 400 or t.redirect_hops > 1 group by 1, 2), ll AS (select url, string_agg(concat(kind, ' ', n), ', ' order by concat(kind, ' ', n)) as issues from kinds group by url)
- select p.url, round(score, 2) as priority_score, depth as crawl_depth, issue_count, coalesce(issues, '') as issues from p left join ll using (url) order by round(score, 4) desc, p.url limit 20""")
+ select split_part(p.url, '/', 3) as site, cast(row_number() over (partition by split_part(p.url, '/', 3) order by round(score, 4) desc, p.url) as int) as rank, p.url, round(score, 2) as priority_score, depth as crawl_depth, issue_count, coalesce(issues, '') as issues from p left join ll using (url) qualify rank <= 20""")
 def _(spark, sf):
     scored = GR.priority_scores(graph(spark, sf), ranks(spark, sf), depths(spark, sf), issue_counts(spark, sf))
     out = GR.needs_attention(scored, issue_lists(spark, sf))
-    return out.select("url", F.round("priority_score", 2).alias("priority_score"), "crawl_depth", "issue_count", F.array_join("issues", ", ").alias("issues"))
+    return out.select("site", "rank", "url", F.round("priority_score", 2).alias("priority_score"), "crawl_depth", "issue_count", F.array_join("issues", ", ").alias("issues"))
 
 
 @query("jon_01_broken_links", V, """select 'broken_internal_link' as type, case when t.status_code >= 500 then 'CRITICAL' else 'HIGH' end as severity, l.src as source, l.dst as target, t.status_code as status

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions import urls as U
 from rankloom.operators.skew import salted_join
@@ -144,14 +144,14 @@ def crawl_depth(graph: LinkGraph, roots: DataFrame | None = None) -> DataFrame:
 
 
 def depth_distribution(depths: DataFrame) -> DataFrame:
-    return depths.groupBy("depth").agg(F.count(F.lit(1)).alias("pages")).select(
-        F.when(F.col("depth") < 0, "unreachable").otherwise(F.concat(F.lit("depth_"), "depth")).alias("label"),
-        "depth", "pages",
-    )
+    """Pages of each depth on each site."""
+    return depths.groupBy(U.host(F.col("url")).alias("site"), "depth").agg(F.count(F.lit(1)).alias("pages")).select(
+        "site", F.when(F.col("depth") < 0, "unreachable").otherwise(F.concat(F.lit("depth_"), "depth")).alias("label"), "depth", "pages")
 
 
 def depth_summary(depths: DataFrame) -> DataFrame:
-    return depths.agg(
+    """One row per site."""
+    return depths.groupBy(U.host(F.col("url")).alias("site")).agg(
         F.greatest(F.max("depth"), F.lit(0)).alias("max_depth"),
         F.count_if(F.col("depth") >= 0).alias("reachable"),
         F.count_if(F.col("depth") < 0).alias("unreachable"),
@@ -159,6 +159,17 @@ def depth_summary(depths: DataFrame) -> DataFrame:
     )
 
 
+def top_of_sites(rows: DataFrame, order: list[Column], n: int, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows (``site``, ``url``, ...) of each site with their ``rank``.
+
+    Ranked in two steps, so that no task orders all pages of a large site: within parts of a site, then what is left of them.
+    """
+    part = F.pmod(F.xxhash64("url"), F.lit(parts))
+    inner = rows.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy("site", "_part").orderBy(*order)))
+    best = inner.where(F.col("rank") <= n).drop("_part")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(*order))).where(F.col("rank") <= n)
+
+
 def orphans(graph: LinkGraph, depths: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Pages without inbound links, the roots excepted."""
     roots = roots_of(graph) if roots is None else roots
@@ -167,31 +178,29 @@ def orphans(graph: LinkGraph, depths: DataFrame, roots: DataFrame | None = None)
 
 
 def silo_report(graph: LinkGraph, ranks: DataFrame) -> DataFrame:
-    """Pages, rank, inbound links and outbound links to other silos, per first path segment.
+    """Pages, rank, inbound links and outbound links to other silos, per site and first path segment.
 
-    The silo follows from the URL, so the edges need no join to find the silos of their ends.
+    Site and silo follow from the URL, so the edges need no join to find those of their ends.
     """
-    per_silo = graph.nodes.join(ranks, "url").groupBy("silo").agg(
+    per_silo = graph.nodes.join(ranks, "url").groupBy("site", "silo").agg(
         F.count(F.lit(1)).alias("page_count"),
         F.sum("pagerank").alias("_rank"),
         F.sum("in_count").alias("total_in_links"),
     )
-    src_silo, dst_silo = U.silo(F.col("src")), U.silo(F.col("dst"))
-    crossing = (
-        graph.edges.where(src_silo != dst_silo).groupBy(src_silo.alias("silo"))
-        .agg(F.sum("n_links").alias("cross_silo_links"))
-    )
-    return per_silo.join(crossing, "silo", "left").select(
-        "silo", "page_count", F.round("_rank", 6).alias("total_pagerank"),
+    src, dst = (F.struct(U.host(F.col(c)).alias("site"), U.silo(F.col(c)).alias("silo")) for c in ("src", "dst"))
+    crossing = graph.edges.where(src != dst).groupBy(src.alias("s")).agg(F.sum("n_links").alias("cross_silo_links")).select("s.*", "cross_silo_links")
+    return per_silo.join(crossing, ["site", "silo"], "left").select(
+        "site", "silo", "page_count", F.round("_rank", 6).alias("total_pagerank"),
         F.round(F.col("_rank") / F.col("page_count"), 6).alias("avg_pagerank"), "total_in_links",
         F.coalesce("cross_silo_links", F.lit(0)).alias("cross_silo_links"),
     )
 
 
 def top_pages(graph: LinkGraph, ranks: DataFrame, depths: DataFrame, n: int = 20) -> DataFrame:
+    """The pages of the highest rank of each site."""
     joined = graph.nodes.join(ranks, "url").join(depths, "url")
-    return joined.orderBy(F.desc("pagerank"), "url").limit(n).select(
-        "url", F.round("pagerank", 6).alias("pagerank"), F.col("in_count").alias("in_links"),
+    return top_of_sites(joined, [F.desc("pagerank"), F.col("url")], n).select(
+        "site", "rank", "url", F.round("pagerank", 6).alias("pagerank"), F.col("in_count").alias("in_links"),
         F.col("out_count").alias("out_links"), "depth", "silo",
     )
 
@@ -215,15 +224,15 @@ def priority_scores(graph: LinkGraph, ranks: DataFrame, depths: DataFrame, issue
     shallow = F.when(F.col("depth") < 0, 0.0).otherwise(1.0 - F.col("depth") / nonzero(F.coalesce("_deepest", F.lit(1))))
     scaled = (F.col("pagerank") - F.col("_low")) / nonzero(F.col("_high") - F.col("_low"))
     share = F.col("issue_count") / nonzero(F.col("_most"))
-    return rows.withColumn("priority_score", F.round((shallow + scaled + share) / 3.0, 4)).drop("site", "_deepest", "_low", "_high", "_most")
+    return rows.withColumn("priority_score", F.round((shallow + scaled + share) / 3.0, 4)).drop("_deepest", "_low", "_high", "_most")
 
 
 def needs_attention(scored: DataFrame, issues: DataFrame, n: int = 20, shown: int = 5) -> DataFrame:
-    """The ``n`` pages to fix first, each with a few of its issues (``url`` in node form, ``issues``)."""
-    top = scored.orderBy(F.desc("priority_score"), "url").limit(n)
-    lists = issues.join(F.broadcast(top.select("url")), "url", "left_semi")
+    """The ``n`` pages of each site to fix first, each with a few of its issues (``url`` in node form, ``issues``)."""
+    top = cut_lineage(top_of_sites(scored, [F.desc("priority_score"), F.col("url")], n))
+    lists = issues.join(top.select("url"), "url", "left_semi")
     return top.join(lists, "url", "left").select(
-        "url", "priority_score", F.col("depth").alias("crawl_depth"), F.round("pagerank", 6).alias("pagerank"),
+        "site", "rank", "url", "priority_score", F.col("depth").alias("crawl_depth"), F.round("pagerank", 6).alias("pagerank"),
         "issue_count", F.slice(F.coalesce("issues", F.array().cast("array<string>")), 1, shown).alias("issues"),
         F.col("in_count").alias("in_links"),
     )

@@ -15,9 +15,9 @@ def link_report(pages: DataFrame) -> dict[str, DataFrame]:
     depths, ranks = GR.crawl_depth(graph, roots), GR.pagerank(graph)
     lists = pages.groupBy(U.node_key(F.col("url")).alias("url")).agg(F.max("issues").alias("issues"))
     scored = GR.priority_scores(graph, ranks, depths, lists.select("url", F.size("issues").alias("issue_count")))
-    totals = graph.nodes.agg(F.count(F.lit(1)).alias("total_pages"), F.sum("in_count").alias("total_internal_links"))
+    totals = graph.nodes.groupBy("site").agg(F.count(F.lit(1)).alias("total_pages"), F.sum("in_count").alias("total_internal_links"))
     return {
         "totals": totals, "nodes": graph.nodes.drop("parts"), "edges": graph.edges.drop("part"), "pagerank": ranks, "depth": depths,
         "depth_distribution": GR.depth_distribution(depths), "orphans": GR.orphans(graph, depths, roots), "silos": GR.silo_report(graph, ranks),
-        "top_pages": GR.top_pages(graph, ranks, depths), "priority": scored.select("url", "priority_score"),
+        "top_pages": GR.top_pages(graph, ranks, depths), "depth_summary": GR.depth_summary(depths), "priority": scored.select("site", "url", "priority_score"),
         "needs_attention": GR.needs_attention(scored, lists), "image_loading": SU.image_loading_summary(pages), "breadcrumbs": SU.breadcrumb_summary(pages)}

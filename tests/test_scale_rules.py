@@ -32,6 +32,23 @@ def test_sites_are_judged_by_themselves(spark):
     graph.release()
 
 
+def test_link_reports_are_those_of_each_site(spark):
+    rows = _two_sites(spark)
+    graph = GR.build_graph(rows.select("url"), CP.link_rows(rows))
+    depth, ranks = GR.crawl_depth(graph), GR.pagerank(graph)
+    hosts = [h[8:] for h in (A, B)]
+    assert values(GR.depth_summary(depth), "site", "max_depth", "reachable", "unreachable", "total") == [(h, 2, 3, 1, 4) for h in hosts]
+    assert values(GR.depth_distribution(depth), "site", "label", "pages") == sorted((h, k, 1) for h in hosts for k in ("depth_0", "depth_1", "depth_2", "unreachable"))
+    silos = values(GR.silo_report(graph, ranks), "site", "silo", "page_count", "cross_silo_links")
+    assert [r[1:] for r in silos if r[0] == hosts[0]] == [r[1:] for r in silos if r[0] == hosts[1]] and len(silos) == 8
+    top = values(GR.top_pages(graph, ranks, depth, n=2), "site", "rank")
+    assert top == [(h, r) for h in hosts for r in (1, 2)]
+    scored = GR.priority_scores(graph, ranks, depth, rows.select(F.lit(A + "/1").alias("url"), F.lit(3).alias("issue_count")).distinct())
+    lists = scored.select("url", F.array(F.lit("x")).alias("issues"))
+    assert values(GR.needs_attention(scored, lists, n=3), "site", "rank") == [(h, r) for h in hosts for r in (1, 2, 3)]
+    graph.release()
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
