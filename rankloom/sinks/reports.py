@@ -70,7 +70,7 @@ def snapshot(pages: DataFrame, project: Column, crawled_at: Column, shown: int =
 
 
 def append_snapshot(pages: DataFrame, folder: str, project: Column, crawled_at: Column) -> None:
-    """Add a snapshot to the history, partitioned by project."""
-    totals, worst = snapshot(pages, project, crawled_at)
-    totals.write.mode("append").partitionBy("project_id").parquet(f"{folder.rstrip('/')}/totals")
-    worst.write.mode("append").partitionBy("project_id").parquet(f"{folder.rstrip('/')}/pages")
+    """Add a snapshot to the history, a partition per project and time of crawl; a job that runs again replaces its own snapshot only."""
+    for name, rows in zip(("totals", "pages"), snapshot(pages, project, crawled_at)):
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "crawled_at")
+        writer.parquet(f"{folder.rstrip('/')}/{name}")

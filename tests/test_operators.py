@@ -166,3 +166,15 @@ def test_keyword_importance(spark):
     p = pages(spark, {"title": "coffee mug", "h1": ["coffee mug"], "h2": ["coffee mug care"], "body_text": "coffee mug " * 8 + "other words here"})
     row = {r.keyword: r for r in TM.keyword_importance(p).collect()}["coffee mug"]
     assert row.importance == "HIGH" and row.score == 7 and row.prominent
+
+
+def test_a_snapshot_that_is_written_again_replaces_itself(spark, tmp_path):
+    from rankloom.sinks import reports as RP
+
+    rows = pages(spark, {"url": "https://a.com/"}, {"url": "https://a.com/x"}).withColumns({"score": F.lit(50), "issues": F.array(F.lit("t")), "priority": F.lit("Low")})
+    first, second = (F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp") for d in (1, 2))
+    for project, when in (("p", first), ("p", second), ("q", first), ("p", second), ("p", first)):
+        RP.append_snapshot(rows, str(tmp_path), F.lit(project), when)
+    totals, worst = (spark.read.parquet(str(tmp_path / n)) for n in ("totals", "pages"))
+    assert totals.count() == 3 and worst.count() == 6
+    assert sorted((r.project_id, r.crawled_at.day, r.page_count) for r in totals.collect()) == [("p", 1, 2), ("p", 2, 2), ("q", 1, 2)]
