@@ -188,13 +188,10 @@ def joined_ids(ends: DataFrame) -> DataFrame:
 def looked_up(rows: DataFrame, lookup: DataFrame, key: str, rows_per_key: str, total: int) -> DataFrame:
     """Left join of ``rows`` with ``lookup`` on ``key``; keys with over a thousandth of the rows, under a thousand of them, are broadcast."""
     often = F.col(rows_per_key) > max(1, total // FEW)
-    columns = [c for c in lookup.columns if c not in (key, rows_per_key)]
-    common = F.broadcast(lookup.where(often).select(key, *[F.col(c).alias(f"{c}_often") for c in columns]))
-    seldom = lookup.where(~often).drop(rows_per_key)
-    # rows of a frequent key find nothing in the second join: their key is set to null there
-    marked = rows.join(common, key, "left").withColumn("_key", F.when(F.col(f"{columns[0]}_often").isNull(), F.col(key)))
-    return marked.join(seldom.withColumnRenamed(key, "_key"), "_key", "left").select(
-        *rows.columns, *[F.coalesce(f"{c}_often", c).alias(c) for c in columns])
+    columns = [*rows.columns, *[c for c in lookup.columns if c not in (key, rows_per_key)]]
+    common = lookup.where(often).drop(rows_per_key)
+    seldom = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(lookup.where(~often).drop(rows_per_key), key, "left")
+    return rows.join(F.broadcast(common), key).select(*columns).unionByName(seldom.select(*columns))
 
 
 def conversation_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
