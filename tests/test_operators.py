@@ -178,3 +178,39 @@ def test_a_snapshot_that_is_written_again_replaces_itself(spark, tmp_path):
     totals, worst = (spark.read.parquet(str(tmp_path / n)) for n in ("totals", "pages"))
     assert totals.count() == 3 and worst.count() == 6
     assert sorted((r.project_id, r.crawled_at.day, r.page_count) for r in totals.collect()) == [("p", 1, 2), ("p", 2, 2), ("q", 1, 2)]
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_and_phrases_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([("u", "Good tea and good tea with very good tea"), ("v", ""), ("w", None)], "url string, text string")
+    for found in (TM.phrases(docs, F.col("text")), TM.frequent_keywords(docs, F.col("text")), TM.term_counts(docs, F.col("text")), ND.fingerprints(docs, F.col("text"))):
+        assert "Exchange" not in _executed(found)
+    assert values(TM.frequent_keywords(docs, F.col("text"), k=1), "url", "term", "tf", "rank") == [("u", "good", 3, 1)]
+
+
+def test_frequent_and_rare_terms_meet_their_weights(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), f"common word{'abcdefghij'[i % 10]} only{'klmnopqrst'[i % 10]}{'uvwxyzabcd'[i // 10]}") for i in range(60)], "url string, text string")
+    want = values(TM.tfidf(docs, F.col("text")).withColumn("weight", F.round("weight", 9)), "url", "term", "weight")
+    for frequent, hot in ((1, 1_000_000), (3, 5), (10**6, 2)):
+        monkeypatch.setattr(TM, "FREQUENT_TERMS", frequent)
+        monkeypatch.setattr(TM, "HOT_ROWS", hot)
+        assert values(TM.tfidf(docs, F.col("text")).withColumn("weight", F.round("weight", 9)), "url", "term", "weight") == want
+
+
+def test_running_mean_of_one_hot_series_is_dealt_by_slices(spark):
+    rows = spark.range(3000).select(
+        F.lit("u").alias("url"), F.when(F.col("id") % 10 == 0, "desktop").otherwise("mobile").alias("strategy"), (F.col("id") * 7 % 101).cast("double").alias("perf_score"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600).alias("created_at"), F.col("id").alias("check_id"))
+    now = F.timestamp_seconds(F.lit(1_700_000_000 + 3000 * 3600))
+    for span in (1, 3, 40):
+        got = {r["check_id"]: r["perf_mean"] for r in RK.cwv_history(rows, None, None, now, 200, span).collect()}
+        for strategy, ids in (("desktop", range(0, 3000, 10)), ("mobile", [i for i in range(3000) if i % 10])):
+            scores = [i * 7 % 101 for i in ids]
+            for k, i in enumerate(ids):
+                own = scores[max(0, k - span + 1):k + 1]
+                assert abs(got[i] - sum(own) / len(own)) < 0.006, strategy
+    out = RK.cwv_history(rows, None, None, now, 200)
+    assert out.columns == rows.columns + ["perf_mean"] and "_slice" in _executed(out)
