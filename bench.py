@@ -47,6 +47,16 @@ def prepare(spark, sf_dir: str) -> None:
         table(spark, sf_dir)
 
 
+def build(spark, sf_dir: str, name: str):
+    """The query as registered; the extraction of page facts is timed on the raw pages and not on the table kept of it."""
+    if name == "src_02k_body_text":
+        from rankloom.catalog.source_queries import raw_pages
+        from rankloom.sources.page_facts import extract_pages
+
+        return extract_pages(raw_pages(spark, sf_dir))
+    return catalog.QUERIES[name](spark, sf_dir)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -62,10 +72,11 @@ def main() -> None:
         if only and name not in only:
             continue
         started = time.perf_counter()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        build(spark, sf_dir, name).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "prepared": "pages, page facts, speed reports, links",
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 
