@@ -3,19 +3,22 @@
 A byte goes when a string of ``length`` bytes that covers it also starts in a document with a smaller id. All strings of that length in the whole
 corpus are looked at, none are stored one by one:
 
-1. **Anchors.** Each string is dealt by its anchor, the ``GRAM`` bytes in it with the smallest hash (the leftmost of equals). The anchor depends on
-   the string alone, so equal strings get the same bucket; neighbouring strings mostly share an anchor and travel together as
-   one context of ``length`` bytes and a few more, about four times the text before compression. Of equal contexts in a slice of
-   documents only those of the smallest id travel; the others are repeats already.
-2. **Suffix array of a bucket.** The suffixes that start at the strings of a bucket are sorted to ``SHALLOW`` bytes by multikey quicksort, eight
+1. **Slices.** Texts are written once as compressed slices of a few megabytes, which later passes read.
+2. **Anchors.** Each string is dealt by its anchor, the ``GRAM`` bytes in it with the smallest hash (the leftmost of equals). The anchor depends on
+   the string alone, so equal strings have equal anchors. Of each slice the hashes of its anchors go to their bucket, as short sorted codes,
+   and a bit for each comes back: does another document have that anchor? Where none has, no string with it occurs twice.
+3. **Contexts.** Neighbouring strings mostly share an anchor and travel together as one context of ``length`` bytes and a few more. Only
+   contexts with a shared anchor travel; of equal contexts in a slice those of the smallest id, the others are repeats already.
+4. **Suffix array of a bucket.** The suffixes that start at the strings of a bucket are sorted to ``SHALLOW`` bytes by multikey quicksort, eight
    bytes to a key; groups that are still together are ordered by blind tries, built level by level for all groups at once: the members skip to the
    first byte where any of them differs and branch on it. Groups together at ``length`` bytes are equal strings; the smallest id in it keeps them.
-3. **Buckets that are too large** (an anchor with very many contexts) are dealt again, string by string, by a hash of the whole string, so that
-   only equal strings must meet, and of these one a slice and document.
-4. Repeats are merged per document and cut out.
+   A bucket that would be too large (anchors with very many contexts) is dealt string by string instead, by a hash of the whole string, so
+   that only equal strings must meet, and of these one a slice and document.
+5. Repeats go back to their slice and are cut out there.
 
 Defined results: null and empty texts have no bytes and the hash of nothing; texts shorter than ``length`` stay; rows without an id neither lose bytes
-nor make others lose any; rows of one id do not repeat each other; an empty table gives an empty result; long texts are handled whole.
+nor make others lose any; rows of one id do not repeat each other; an empty table gives an empty result; long texts are handled whole, in one
+task each, which takes about sixty bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -32,27 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.batches import picked, slices
-from rankloom.llm.decontaminate import bounded
 from rankloom.llm.simhash_groups import stored
 
 LENGTH = 50
 GRAM = 16
 SHALLOW = 16
 PART_BYTES = 8 << 20
-CONTEXT_SHARE = 4  # bytes of contexts a byte of text, about
-LARGE = 8  # times the intended size of a bucket
+LARGE_BYTES = 64 << 20  # of contexts; larger buckets are dealt string by string
+SLICE_BYTES = 2 << 20
+CODE_BITS = 28
 CHUNK = 1 << 20
 MIX = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-BLOCK = "part int, sub int, raw long, text binary, n binary, anchor binary, owner binary, start binary, docs binary, keys binary"
-SPAN = "doc_id long, text_key long, lo long, hi long"
-KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7, *[pa.int64()] * 4]
-NAMES = [c.split()[0] for c in f"{BLOCK}, {SPAN}".split(", ")]
-
-
-def as_rows(**columns: pa.Array) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(size, t)) for k, t in zip(NAMES, KINDS)], names=NAMES)
+BLOCK = {"part": pa.int32(), "sub": pa.int32(), **{k: pa.binary() for k in ("text", "n", "anchor", "owner", "start", "docs", "slices", "numbers")}}
+BLOCK_ROWS = ", ".join(f"{k} {'int' if pa.types.is_int32(t) else 'binary'}" for k, t in BLOCK.items())
+SPANS = ("slice", "number", "lo", "hi")
 
 
 def words_at(raw: bytes, order: str) -> np.ndarray:
@@ -75,8 +71,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:len(values) - rest], values[rest:]) if rest else values
 
 
-def contexts(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``first, n, anchor, hash`` of each context: strings ``first .. first + n - 1`` share the anchor at ``anchor``. Texts end at ``ends``."""
+def contexts(raw: bytes, ends: np.ndarray, length: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``first, n, anchor, hash`` of each context: strings ``first .. first + n - 1`` share the anchor at ``anchor``. Texts end at ``ends``; some may be left out."""
     none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     if len(raw) < length:
         return none
@@ -87,6 +83,8 @@ def contexts(raw: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.
     begins = np.r_[0, ends[:-1]]
     step = np.zeros(len(raw) + 1, np.int32)  # strings that lie in one text start between its begin and length - 1 before its end
     long_ = ends - begins >= length
+    if known is not None:
+        long_ &= known
     np.add.at(step, begins[long_], 1)
     np.add.at(step, ends[long_] - length + 1, -1)
     inside = np.flatnonzero(np.cumsum(step[:len(least)]))
@@ -101,97 +99,176 @@ def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def blocks(part: np.ndarray, sub: np.ndarray, cells: list[bytes], n: np.ndarray, anchor: np.ndarray, owner: np.ndarray, start: np.ndarray,
-           docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
-    """One row per bucket: its contexts with the strings in each, the anchor's place, the document (by number in ``docs``) and the place there."""
-    if not len(part):
-        return None
+def packed(values: np.ndarray | bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(values.tobytes() if isinstance(values, np.ndarray) else values)
+
+
+def unpacked(cell: bytes, kind: object) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
+
+
+def text_slices(docs: DataFrame) -> DataFrame:
+    """``slice, ids, sizes, raw`` from ``doc_id, text``: the texts of a slice end to end, compressed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "text", SLICE_BYTES):
+            texts = [(t or "").encode() for t in piece.column("text").to_pylist()]
+            sizes = np.array([len(t) for t in texts], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([packed(sizes)], pa.binary()),
+                                              pa.array([packed(b"".join(texts), 6)], pa.binary())], names=["ids", "sizes", "raw"])
+
+    return docs.mapInArrow(run, "ids array<long>, sizes binary, raw binary").select(F.monotonically_increasing_id().alias("slice"), "*")
+
+
+class Slice:
+    """The contexts of a slice; ``repeat`` marks those that equal one of a smaller id in the slice."""
+
+    def __init__(self, row: dict, length: int) -> None:
+        self.id, self.ids = row["slice"], row["ids"]
+        self.raw, self.sizes = unpacked(row["raw"], np.uint8).tobytes(), unpacked(row["sizes"], np.int32).astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.known = np.array([i is not None for i in self.ids], bool)
+        self.docs = np.array([0 if i is None else i for i in self.ids], np.int64)
+        self.first, self.n, self.anchor, self.hashes = contexts(self.raw, self.ends, length, self.known)
+        self.owner = np.searchsorted(self.ends, self.first, "right")
+        self.start = self.first - (self.ends - self.sizes)[self.owner]
+        self.cells = [self.raw[a:b] for a, b in zip(self.first.tolist(), (self.first + self.n + length - 1).tolist())]
+        kind = pd.factorize(np.array([*self.cells, None], object)[:-1])[0]
+        own = self.docs[self.owner]
+        least = np.full(len(kind), np.iinfo(np.int64).max)
+        np.minimum.at(least, kind, own)
+        self.repeat = own > least[kind] if len(kind) else np.empty(0, bool)
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+
+
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other, so that one slice at a time is unpacked."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def anchor_codes(part: Slice, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per bucket the distinct anchors of a slice by a short code: ``part, codes, how many contexts, in several documents``."""
+    sent = np.flatnonzero(~part.repeat)
+    key = part_of(part.hashes[sent], parts) << CODE_BITS | (part.hashes[sent] >> np.uint64(64 - CODE_BITS)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], part.docs[part.owner[sent]][order]
+    begins = runs(key)
+    if not len(begins):
+        return
+    several = np.minimum.reduceat(doc, begins) < np.maximum.reduceat(doc, begins)
+    number, key = np.diff(np.r_[begins, len(doc)]), key[begins]
+    cuts = [*runs(key >> CODE_BITS).tolist(), len(key)]
+    for x, y in zip(cuts, cuts[1:]):
+        yield int(key[x] >> CODE_BITS), key[x:y] & (1 << CODE_BITS) - 1, number[x:y], several[x:y]
+
+
+def sent_anchors(cut: DataFrame, parts: int, length: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            rows = [(p, row["slice"], packed(np.diff(codes, prepend=0).astype(np.uint32)), packed(np.minimum(number, 2**31 - 1).astype(np.int32)), np.packbits(several).tobytes())
+                    for p, codes, number, several in anchor_codes(Slice(row, length), parts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                                                 names=["part", "slice", "codes", "number", "several"])
+
+    return cut.mapInArrow(run, "part int, slice long, codes binary, number binary, several binary")
+
+
+def shared_anchors(sent: DataFrame, length: int, large: int) -> DataFrame:
+    """``slice, part, mask, subs``: a bit for each anchor that the slice sent, and how many ways the bucket is to be dealt string by string (0: not)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        codes = [np.cumsum(unpacked(c, np.uint32).astype(np.int64)) for c in group["codes"]]
+        number = np.concatenate([unpacked(c, np.int32) for c in group["number"]]).astype(np.int64)
+        several = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8))[:len(k)] for c, k in zip(group["several"], codes)])
+        _, at, slices_ = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        shared = (slices_[at] > 1) | (np.bincount(at, weights=several)[at] > 0)
+        size = int(number[shared].sum()) * (length + 16)
+        bounds = np.cumsum([0, *map(len, codes)])
+        masks = [np.packbits(shared[x:y]).tobytes() for x, y in zip(bounds, bounds[1:])]
+        subs = 0 if size <= large else -(-size * 16 // large)
+        return pd.DataFrame({"slice": group["slice"], "part": group["part"], "mask": masks, "subs": np.int32(subs)})
+
+    return sent.groupBy("part").applyInPandas(run, "slice long, part int, mask binary, subs int")
+
+
+def blocks(part: np.ndarray, sub: np.ndarray, cells: list[bytes], n: np.ndarray, anchor: np.ndarray, owner: np.ndarray, start: np.ndarray, source: Slice) -> pa.RecordBatch:
+    """One row per bucket: its contexts with the strings in each, the anchor's place, the document (by number) and the place there."""
     order = np.lexsort((sub, part))
-    part, sub = part[order], sub[order]
-    bounds = [*np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (sub[1:] != sub[:-1])]).tolist(), len(order)]
-    pack = zstandard.ZstdCompressor(level=1)
-    rows: dict[str, list] = {k: [] for k in NAMES[:10]}
-    for x, y in zip(bounds, bounds[1:]):
+    key = part[order] * (int(sub.max()) + 1) + sub[order] if len(order) else order
+    cuts = [*runs(key).tolist(), len(order)]
+    rows: dict[str, list] = {k: [] for k in BLOCK}
+    for x, y in zip(cuts, cuts[1:]):
         at = order[x:y]
-        text = b"".join([cells[i] for i in at.tolist()])
         own, number = np.unique(owner[at], return_inverse=True)
-        for k, v in zip(NAMES[:10], (int(part[x]), int(sub[x]), len(text), pack.compress(text), n[at].astype(np.uint8).tobytes(), anchor[at].astype(np.uint8).tobytes(),
-                                     number.astype(np.int32).tobytes(), start[at].astype(np.int32).tobytes(), docs[own].tobytes(), keys[own].tobytes())):
+        cell = (int(part[at[0]]), int(sub[at[0]]), packed(b"".join([cells[i] for i in at.tolist()])), packed(n[at].astype(np.uint8)), packed(anchor[at].astype(np.uint8)),
+                packed(number.astype(np.int32)), packed(start[at].astype(np.int32)), packed(source.docs[own]), packed(np.full(len(own), source.id)), packed(own.astype(np.int32)))
+        for k, v in zip(BLOCK, cell):
             rows[k].append(v)
-    return as_rows(**{k: pa.array(v, t) for (k, v), t in zip(rows.items(), KINDS)})
+    return pa.RecordBatch.from_arrays([pa.array(v, BLOCK[k]) for k, v in rows.items()], names=list(BLOCK))
 
 
-def spans_of(doc: np.ndarray, key: np.ndarray, place: np.ndarray, width: np.ndarray) -> pd.DataFrame:
+def sent_contexts(cut: DataFrame, parts: int, length: int) -> DataFrame:
+    """Blocks of the contexts with shared anchors. ``cut``: slices with ``masks``, an array of ``part, mask, subs``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for row in rows_of(batches):
+            source = Slice(row, length)
+            masks = {m["part"]: m for m in row["masks"]}
+            shared, subs = [], np.zeros(parts, np.int64)
+            for p, codes, _, _ in anchor_codes(source, parts):
+                subs[p] = masks[p]["subs"]
+                shared.append(codes[np.unpackbits(np.frombuffer(masks[p]["mask"], np.uint8))[:len(codes)] > 0] | p << CODE_BITS)
+            key = part_of(source.hashes, parts) << CODE_BITS | (source.hashes >> np.uint64(64 - CODE_BITS)).astype(np.int64)
+            sent = np.flatnonzero(~source.repeat & np.isin(key, np.concatenate(shared) if shared else key[:0]))
+            part = key >> CODE_BITS
+            whole, apart = sent[subs[part[sent]] == 0], sent[subs[part[sent]] > 0]
+            if len(whole):
+                yield blocks(part[whole], np.zeros(len(whole), np.int64), [source.cells[i] for i in whole.tolist()], source.n[whole],
+                             source.anchor[whole] - source.first[whole], source.owner[whole], source.start[whole], source)
+            if len(apart):
+                which = np.repeat(apart, source.n[apart])
+                step = np.arange(len(which)) - np.repeat(np.cumsum(source.n[apart]) - source.n[apart], source.n[apart])
+                cells = [source.raw[x:x + length] for x in (source.first[which] + step).tolist()]
+                sub = np.array([1 + xxhash.xxh64_intdigest(c, 11) % int(k) for c, k in zip(cells, subs[part[which]])], np.int64)
+                yield blocks(part[which], sub, cells, np.ones(len(which), np.int64), source.anchor[which] - source.first[which] - step, source.owner[which],
+                             source.start[which] + step, source)
+
+    return cut.mapInArrow(run, BLOCK_ROWS)
+
+
+def spans_of(slice_: np.ndarray, number: np.ndarray, place: np.ndarray, width: np.ndarray) -> pd.DataFrame:
     """Spans ``place .. place + width`` in order of document and place, those that touch as one."""
     end = place + width
-    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] > end[:-1]) | (place[1:] < place[:-1])][:len(doc)]
+    fresh = np.r_[True, (slice_[1:] != slice_[:-1]) | (number[1:] != number[:-1]) | (place[1:] > end[:-1]) | (place[1:] < place[:-1])][:len(place)]
     first = np.flatnonzero(fresh)
     last = np.maximum.reduceat(end, first) if len(first) else end
-    return pd.DataFrame({"doc_id": doc[first], "text_key": key[first], "lo": place[first], "hi": last})
-
-
-def sent_contexts(docs: DataFrame, parts: int, length: int) -> DataFrame:
-    """Blocks for the buckets, and the spans that repeat an earlier document of the same slice. ``docs``: ``doc_id, text_key, text``."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", 4 << 20):
-            texts = [t.encode() for t in piece.column("text").to_pylist()]
-            ids, keys = (piece.column(k).to_numpy() for k in ("doc_id", "text_key"))
-            raw, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
-            first, n, anchor, hashes = contexts(raw, ends, length)
-            if not len(first):
-                continue
-            owner = np.searchsorted(ends, first, "right")
-            cells = [raw[a:b] for a, b in zip(first.tolist(), (first + n + length - 1).tolist())]
-            kind = pd.factorize(np.array([*cells, None], object)[:-1])[0]
-            least = np.full(kind.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, kind, ids[owner])
-            start = first - np.r_[0, ends[:-1]][owner]
-            repeat = ids[owner] > least[kind]
-            done = spans_of(ids[owner[repeat]], keys[owner[repeat]], start[repeat], n[repeat] + length - 1)
-            if len(done):
-                yield as_rows(**{c: pa.array(done[c]) for c in done})
-            sent = np.flatnonzero(~repeat)
-            yield blocks(part_of(hashes[sent], parts), np.zeros(len(sent), np.int64), [cells[i] for i in sent.tolist()], n[sent], anchor[sent] - first[sent],
-                         owner[sent], start[sent], ids, keys)
-
-    return docs.mapInArrow(run, f"{BLOCK}, {SPAN}")
+    return pd.DataFrame({"slice": slice_[first], "number": number[first], "lo": place[first], "hi": last})
 
 
 class Bucket:
     """The contexts of several blocks, one after the other."""
 
-    def __init__(self, rows: dict[str, list], length: int) -> None:
-        unpack = zstandard.ZstdDecompressor()
-        self.raw = b"".join([unpack.decompress(t) for t in rows["text"]])
-        read = lambda k, t: np.frombuffer(b"".join(rows[k]), t).astype(np.int64)
+    def __init__(self, rows: pd.DataFrame, length: int) -> None:
+        read = lambda k, t: np.concatenate([unpacked(c, t) for c in rows[k]]).astype(np.int64)
+        self.raw = b"".join([unpacked(c, np.uint8).tobytes() for c in rows["text"]])
         self.n, self.anchor, self.place = read("n", np.uint8), read("anchor", np.uint8), read("start", np.int32)
-        docs, keys = read("docs", np.int64), read("keys", np.int64)
-        before = np.cumsum([0, *[len(d) // 8 for d in rows["docs"]]])[:-1]
-        owner = read("owner", np.int32) + np.repeat(before, [len(o) // 4 for o in rows["owner"]])
-        self.doc, self.key = docs[owner], keys[owner]
+        owners = [unpacked(c, np.int32) for c in rows["owner"]]
+        docs = [unpacked(c, np.int64) for c in rows["docs"]]
+        before = np.cumsum([0, *map(len, docs)])[:-1]
+        owner = np.concatenate(owners).astype(np.int64) + np.repeat(before, [len(o) for o in owners])
+        self.doc, self.slice, self.number = np.concatenate(docs)[owner], read("slices", np.int64)[owner], read("numbers", np.int32)[owner]
         self.first = np.cumsum(self.n + length - 1) - (self.n + length - 1)
 
 
-def windows_apart(large: DataFrame, length: int) -> DataFrame:
-    """Blocks of large buckets dealt again: each string by itself, by a hash of its bytes. ``large`` has the number of buckets as ``subs``."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                bucket = Bucket({k: [row[k]] for k in NAMES[3:10]}, length)
-                which = np.repeat(np.arange(len(bucket.n)), bucket.n)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(bucket.n) - bucket.n, bucket.n)
-                cells = [bucket.raw[s:s + length] for s in (bucket.first[which] + step).tolist()]
-                sub = np.array([1 + xxhash.xxh64_intdigest(c, 11) % row["subs"] for c in cells], np.int64)
-                yield blocks(np.full(len(which), row["part"]), sub, cells, np.ones(len(which)), bucket.anchor[which] - step, which, bucket.place[which] + step,
-                             bucket.doc, bucket.key)
-
-    return large.mapInArrow(run, f"{BLOCK}, {SPAN}").select(*NAMES[:10])
-
-
 def regrouped(order: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort the members of each group by ``key`` and cut groups where it changes. Groups are numbered in order."""
     if not len(order):
@@ -275,53 +352,54 @@ def repeats_in(bucket: Bucket, length: int) -> Iterator[pd.DataFrame]:
         hit = np.flatnonzero(repeat)
         if len(hit):
             place = bucket.place[which[hit]] + step[hit]
-            yield spans_of(doc[hit], bucket.key[which[hit]], place, np.full(len(hit), length))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, part_bytes: int = PART_BYTES, large: int = LARGE) -> DataFrame:
-    """``doc_id, text_key, lo, hi``: spans (bytes, overlapping ones included) of ``docs`` (``doc_id, text_key, text``) that repeat earlier documents."""
-    docs = docs.where("doc_id is not null and text is not null")
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(8, math.ceil(size / part_bytes))
-    sent = stored(sent_contexts(docs, parts, length), "contexts")
-    dealt = sent.where("part is not null").select(*NAMES[:10])
-    limit = large * part_bytes * CONTEXT_SHARE
-    heavy = dealt.groupBy("part").agg(F.sum("raw").alias("raw")).where(F.col("raw") > limit)
-    heavy = stored(heavy.select("part", F.ceil(F.col("raw") * 16 / limit).cast("int").alias("subs")), "large-buckets")
-    some = bounded(heavy, heavy.count())
-    again = windows_apart(dealt.join(some, "part"), length)
+            yield spans_of(bucket.slice[which[hit]], bucket.number[which[hit]], place, np.full(len(hit), length))
+
+
+def repeated_spans(cut: DataFrame, parts: int, length: int, large: int) -> DataFrame:
+    """``slice, spans``: document (by number) and bytes of spans that repeat documents of smaller ids, but for repeats within a slice."""
+    masks = shared_anchors(sent_anchors(cut, parts, length), length, large)
+    gathered = masks.groupBy("slice").agg(F.collect_list(F.struct("part", "mask", "subs")).alias("masks"))  # a bit for each anchor of a slice
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = list(repeats_in(Bucket({k: group[k].tolist() for k in NAMES[3:10]}, length), length))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("doc_id", "text_key", "lo", "hi")})
+        rows = [(int(k), packed(own[list(SPANS[1:])].to_numpy(np.int64).astype(np.int32).T.copy()))
+                for found in repeats_in(Bucket(group, length), length) for k, own in found.sort_values(["slice", "number", "lo"]).groupby("slice")]
+        return pd.DataFrame(rows, columns=["slice", "spans"])
 
-    buckets = dealt.join(some, "part", "left_anti").unionByName(again)
-    return sent.where("part is null").select("doc_id", "text_key", "lo", "hi").unionByName(buckets.groupBy("part", "sub").applyInPandas(run, SPAN))
+    sent = sent_contexts(cut.join(gathered, "slice"), parts, length)
+    return sent.groupBy("part", "sub").applyInPandas(run, "slice long, spans binary")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, **options: int) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False,
+                    part_bytes: int = PART_BYTES, large: int = LARGE_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row and, if wanted, ``kept`` (bytes)."""
-    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    spans = repeated_spans(rows, length, **options)
-    gathered = spans.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # of one text
-    both = rows.join(gathered, ["doc_id", "text_key"], "left").select("doc_id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text", 4 << 20):
+    rows = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cut = stored(text_slices(rows), "text-slices")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    spans = repeated_spans(cut, max(8, math.ceil(size / part_bytes)), length, large)
+
+    gathered = spans.groupBy("slice").agg(F.collect_list("spans").alias("spans"))  # of one slice
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            source = Slice(row, length)
+            own = spans_of(np.zeros(int(source.repeat.sum()), np.int64), source.owner[source.repeat], source.start[source.repeat], source.n[source.repeat] + length - 1)
+            all_ = np.concatenate([own[list(SPANS[1:])].to_numpy(np.int64), *(unpacked(c, np.int32).reshape(3, -1).T for c in row["spans"] or [])])
+            all_ = all_[np.lexsort((all_[:, 1], all_[:, 0]))]
+            bounds = np.searchsorted(all_[:, 0], np.arange(len(source.ids) + 1))
             out: list[tuple] = []
-            for text, lows, highs in zip(*(piece.column(k).to_pylist() for k in ("text", "lo", "hi"))):
-                raw = (text or "").encode()
-                kept, at, spans = [], 0, 0
-                for lo, hi in zip(lows or [], highs or []):
-                    if lo > at or not spans:
+            for k, (end, size_) in enumerate(zip(source.ends.tolist(), source.sizes.tolist())):
+                raw = source.raw[end - size_:end]
+                kept, at, count = [], 0, 0
+                for _, lo, hi in all_[bounds[k]:bounds[k + 1]].tolist():
+                    if lo > at or not count:
                         kept.append(raw[at:lo])
-                        spans += 1
+                        count += 1
                     at = max(at, hi)
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                out.append((len(raw), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest(), rest if keep_text else None))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((source.ids[k], len(raw), len(raw) - len(rest), count, hashlib.sha256(rest).hexdigest(), rest if keep_text else None))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = cut.join(gathered, "slice", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return found if keep_text else found.drop("kept")

@@ -55,7 +55,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"part_bytes": 2000, "large": 1}], ids=["buckets", "large buckets dealt again"])
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 2000, "large": 1000}], ids=["buckets", "large buckets dealt again"])
 def test_equals_plain_version(spark, options):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
