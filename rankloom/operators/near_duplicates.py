@@ -79,14 +79,15 @@ def candidate_pairs(distinct: DataFrame, distance: int = 3) -> DataFrame:
 
     Candidates meet in a join on (mask, masked bits); a pair that agrees on several masks is kept only for the
     first of them, which spares a second shuffle to remove repeats. A crowded bucket is split: its left rows are dealt to
-    parts of at most ``BUCKET_ROWS`` rows and its right rows copied to each.
+    parts of at most ``BUCKET_ROWS`` rows and its right rows copied to each. Both sides are shuffled: each fingerprint stands
+    in them once per mask, which is more than the driver can hold.
     """
     masks = block_masks(distance)
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
     keyed = distinct.select("fp", F.explode(bands).alias("k")).select("fp", "k.band", "k.bits")
     left = keyed.select(F.col("fp").alias("fp_a"), "band", "bits")
     right = keyed.select(F.col("fp").alias("fp_b"), "band", "bits")
-    pairs = salted_join(left, right, ["band", "bits"], F.col("fp_a"), hot_rows=BUCKET_ROWS).where("fp_a < fp_b")
+    pairs = salted_join(left, right, ["band", "bits"], F.col("fp_a"), hot_rows=BUCKET_ROWS, shuffled=True).where("fp_a < fp_b")
     agree = F.array(*[F.col("fp_a").bitwiseXOR(F.col("fp_b")).bitwiseAND(F.lit(m)) == 0 for m in masks])
     return pairs.where(F.array_position(agree, F.lit(True)) == F.col("band") + 1).select("fp_a", "fp_b")
 

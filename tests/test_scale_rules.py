@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rankloom.operators import cross_page as CP, link_graph as GR, page_issues as PI, rule_audit as RA
+from rankloom.operators import cross_page as CP, link_graph as GR, near_duplicates as ND, page_issues as PI, rule_audit as RA
 from rankloom.sources.page_facts import extract_pages
 
 A, B = "https://a.com", "https://b.com"
@@ -161,3 +161,15 @@ def test_rules_on_error_pages_and_odd_addresses_fire(spark):
         "x_robots_none", "page_not_found", "page_gone", "server_error", "soft_404", "empty_200_page", "canonical_to_error_page", "sitemap_error_page",
         "title_keyword_stuffing", "no_content", "low_anchor_quality_score", "deep_crawl_depth", "pagination_non_reciprocal", "url_excessive_parameters",
         "url_mixed_case", "url_double_slash", "url_underscores", "broken_internal_link", "widely_linked_dead_page"} - found == set()
+
+
+def test_candidate_join_is_shuffled_though_its_estimate_is_small(spark):
+    prints = spark.range(200).select(F.col("id").alias("url"), F.xxhash64("id").alias("fp"))
+    distinct = ND.groups(prints).select("fp").localCheckpoint()
+    pairs = ND.candidate_pairs(distinct)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_salt" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    masks = [m % (1 << 64) for m in ND.block_masks(3)]
+    fps = sorted(r["fp"] for r in distinct.collect())
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if any((a ^ b) % (1 << 64) & m == 0 for m in masks)]
