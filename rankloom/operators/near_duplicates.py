@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import md5
 from itertools import combinations
 
@@ -16,20 +16,34 @@ from rankloom.operators.skew import salted_join
 
 BUCKET_ROWS = 20_000
 VOTES = 100_000
+SLICE_WORDS = 200_000
+
+
+def word_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches cut to about ``SLICE_WORDS`` entries of their lists ``words``; one longer list is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("words")).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + SLICE_WORDS, "right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def fingerprints(docs: DataFrame, text: Column, key: str = "url") -> DataFrame:
     """Fingerprint per document (``key``, ``fp``): the sign of the vote of all its tokens for each bit.
 
-    Tokens are voted on inside their row (Arrow function, no shuffle): the first 64 bits of a token's md5 are taken once per batch.
+    Tokens are voted on inside their row (Arrow function, no shuffle): the first 64 bits of a token's md5 are taken once per slice of
+    a batch, of ``SLICE_WORDS`` tokens or one longer text, so that memory does not grow with the batch.
     Documents without a token have no fingerprint. Each row is a document of its own.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})"), F.lit(1))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = pc.list_value_length(batch.column("words")).to_numpy()
-            found = batch.column("words").flatten().dictionary_encode()
+        for part in word_slices(batches):
+            counts = pc.list_value_length(part.column("words")).to_numpy()
+            found = part.column("words").flatten().dictionary_encode()
             digests = b"".join([md5(w.encode(), usedforsecurity=False).digest()[:8] for w in found.dictionary.to_pylist()])
             bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
             index, out, at = found.indices.to_numpy(), np.zeros(len(counts), np.int64), 0
@@ -40,7 +54,7 @@ def fingerprints(docs: DataFrame, text: Column, key: str = "url") -> DataFrame:
                         ones += bits[index[k:min(k + VOTES, at + n)]].sum(axis=0, dtype=np.int64)
                     out[i] = np.packbits(2 * ones > n).view(">i8")[0]
                 at += n
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out)], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(out)], names=[key, "fp"])
 
     rows = docs.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
     return rows.mapInArrow(vote, docs.select(key).schema.add("fp", "long")).where("fp <> 0")

@@ -4,6 +4,8 @@ from factory import pages, values
 
 import random
 
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from rankloom.operators import cross_page as CP, link_graph as GR, near_duplicates as ND, page_issues as PI, rule_audit as RA
@@ -173,3 +175,12 @@ def test_candidate_join_is_shuffled_though_its_estimate_is_small(spark):
     masks = [m % (1 << 64) for m in ND.block_masks(3)]
     fps = sorted(r["fp"] for r in distinct.collect())
     assert sorted(map(tuple, pairs.collect())) == [(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if any((a ^ b) % (1 << 64) & m == 0 for m in masks)]
+
+
+def test_votes_are_taken_on_bounded_slices(spark, monkeypatch):
+    monkeypatch.setattr(ND, "SLICE_WORDS", 10)
+    lists = [["aa"] * n for n in (4, 0, 6, 3, 25, 7, 3, 1)]
+    batch = pa.RecordBatch.from_pydict({"words": pa.array(lists, pa.list_(pa.string()))})
+    parts = [part.column("words").to_pylist() for part in ND.word_slices([batch])]
+    assert [len(x) for part in parts for x in part] == [len(x) for x in lists]
+    assert all(len(part) == 1 or sum(map(len, part)) <= 10 for part in parts) and len(parts) == 5
