@@ -1,9 +1,10 @@
 """Raw pages, structured data, sitemaps, page-speed reports, stored pages."""
 
+import pandas as pd
 from factory import pages, values
 from pyspark.sql import functions as F
 
-from rankloom.sources import page_facts as PF, page_speed as SP, sitemaps as SM, stored_pages as ST, structured_data as SD
+from rankloom.sources import html_elements as HE, page_facts as PF, page_speed as SP, sitemaps as SM, stored_pages as ST, structured_data as SD
 from rankloom.sources.result_pages import organic_results
 
 HTML = """<!DOCTYPE html><html><head><title> A &amp; B </title><META NAME="Description" CONTENT="desc"><link rel="canonical" href="/x">
@@ -85,3 +86,11 @@ def test_unclosed_elements_are_read_once():
         assert time.process_time() - began < 2
         assert len(found["elements"]) == 20_000 or page.startswith("<title")
         assert sum(len(e["text"]) for e in found["elements"]) <= 2 * len(page)
+
+
+def test_elements_are_given_back_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(HE, "SLICE_CHARS", 100)
+    html = pd.Series(["<p>one</p>"] * 25 + [None, "<h1>" + "x" * 500 + "</h1>", "", "<h1>last</h1>"])
+    parts = list(HE.html_elements.func(iter([html])))
+    assert [t for part in parts for t in part["text"]] == ["one"] * 25 + ["", "x" * 500, "", "last"]
+    assert max(map(len, parts)) <= 12 and len(parts) >= 5
