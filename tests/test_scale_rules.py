@@ -4,10 +4,12 @@ from factory import pages, values
 
 import random
 
+import duckdb
 import pyarrow as pa
 
 from pyspark.sql import functions as F
 
+from rankloom.catalog import fixtures
 from rankloom.operators import cross_page as CP, link_graph as GR, near_duplicates as ND, page_issues as PI, rule_audit as RA
 from rankloom.sources.page_facts import extract_pages
 
@@ -184,3 +186,23 @@ def test_votes_are_taken_on_bounded_slices(spark, monkeypatch):
     parts = [part.column("words").to_pylist() for part in ND.word_slices([batch])]
     assert [len(x) for part in parts for x in part] == [len(x) for x in lists]
     assert all(len(part) == 1 or sum(map(len, part)) <= 10 for part in parts) and len(parts) == 5
+
+
+def test_pages_without_a_partner_do_not_meet_in_one_task(spark, tmp_path):
+    ids = [*range(-14, 40), 3, 12, 12, 50, None]
+    rows = [(k, f"https://s{i % 3}.com/{k}#x", f"<title>T {k}</title><h1>H</h1><nav>n</nav><p>Text  of {i}</p>") for i, k in enumerate(ids)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    base = fixtures.view(spark, str(tmp_path), "page_base")
+    text = fixtures.ctes("page_base").replace("from pages", "from read_parquet('%s/pages.parquet/*.parquet')" % tmp_path).replace(
+        "join pages", "join read_parquet('%s/pages.parquet/*.parquet')" % tmp_path)
+    wanted = duckdb.sql(text + " select * from page_base")
+    found = base.select(*wanted.columns).collect()
+    assert sorted(str(tuple(r)) for r in found) == sorted(map(str, wanted.fetchall())) and len(found) > len(ids)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fixtures.view(spark, str(tmp_path), "page_base")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    outer = [line for line in plan.splitlines() if "SortMergeJoin" in line and "LeftOuter" in line]
+    assert len(outer) == 3 and not any("CASE" in line for line in outer)
