@@ -206,3 +206,12 @@ def test_pages_without_a_partner_do_not_meet_in_one_task(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     outer = [line for line in plan.splitlines() if "SortMergeJoin" in line and "LeftOuter" in line]
     assert len(outer) == 3 and not any("CASE" in line for line in outer)
+
+
+def test_texts_are_hashed_once_for_duplicate_content(spark):
+    text = " ".join(["word"] * 60)
+    rows = spark.createDataFrame([("u1", "s", f" {text}", False), ("u2", "s", text, False), ("u3", "t", text, False), ("u4", "s", text + "x", False), ("u5", "s", text, True)],
+                                 "url string, site string, body_text string, is_error boolean")
+    found = CP.duplicate_content(rows)
+    assert sorted((r.url, r.n_rows) for r in found.collect()) == [("u1", 2), ("u2", 2)]
+    assert "md5(" not in found._jdf.queryExecution().optimizedPlan().toString()
