@@ -58,10 +58,15 @@ def text_fingerprints(texts: list[str], shingle: int = 4, seed: int = 42) -> np.
         starts = [0, *ends]
         hashes += [digest(joined[a:b - 1], seed) for a, b in zip(starts, ends[shingle - 1:])]
         counts[i] = len(words) - shingle + 1
-    out = np.zeros(len(texts), np.uint64)
+    return majorities(np.array(hashes, np.uint64), counts)
+
+
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive runs of ``counts`` hashes, as signed 64-bit integers; zero for a run without hashes."""
+    out = np.zeros(len(counts), np.uint64)
     filled = np.flatnonzero(counts)
     if len(filled):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         first = np.cumsum(counts[filled]) - counts[filled]
         ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
         majority = (2 * ones > counts[filled][:, None]).astype(np.uint8)
