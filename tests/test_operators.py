@@ -214,3 +214,14 @@ def test_running_mean_of_one_hot_series_is_dealt_by_slices(spark):
                 assert abs(got[i] - sum(own) / len(own)) < 0.006, strategy
     out = RK.cwv_history(rows, None, None, now, 200)
     assert out.columns == rows.columns + ["perf_mean"] and "_slice" in _executed(out)
+
+
+def test_words_are_cut_and_counted_without_patterns(spark):
+    texts = [None, "", " ", "a", " a b  c\n", "a　b c᠎d​e\u0085f", "\x1ca\x1fb c\x0bd", "é \U0001f600 q "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    counted = rows.select("t", TX.words(F.col("t")).alias("w"), TX.word_count(F.col("t")).alias("n"), F.regexp_count("t", F.lit(TX.SPACE.replace("[", "[^", 1))).alias("want"))
+    got = counted.collect()
+    assert [r.n for r in got] == [r.want for r in got] == [None, 0, 0, 1, 3, 4, 3, 3]
+    assert [r.w for r in got][4:6] == [["a", "b", "c"], ["a", "b", "c᠎d​e", "f"]]
+    plan = counted.select("w", "n")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "regexp" not in plan and "lambda" not in plan
