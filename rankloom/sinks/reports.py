@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.functions.scores import letter_grade
 from rankloom.operators import summaries as SU, technical as TE
+from rankloom.plans.tables import Tables
 
 
 def page_report(pages: DataFrame) -> DataFrame:
@@ -41,15 +44,16 @@ def technical_tables(pages: DataFrame) -> dict[str, DataFrame]:
     return {"technical": technical_report(audits), "summary": SU.technical_summary(audits)}
 
 
-def competitor_tables(benchmark: dict[str, DataFrame], speed: DataFrame, pages: DataFrame, gaps: int = 100) -> dict[str, DataFrame]:
+def competitor_tables(benchmark: Mapping[str, DataFrame], speed: DataFrame, pages: DataFrame, gaps: int = 100) -> Tables:
     """Score comparison, keyword gaps, page speed, action plan and crawl errors."""
-    gap_rows = benchmark["keyword_gap"].orderBy(F.desc("competitor_count"), F.desc("opportunity_score"), "keyword").limit(gaps)
-    return {
-        "scores": benchmark["scores"], "keyword_gaps": gap_rows, "page_speed": speed, "actions": benchmark["actions"],
-        "errors": pages.where("is_error").select("site", "url", "status_code", F.col("title").alias("note"))}
+    first = [F.desc("competitor_count"), F.desc("opportunity_score"), "keyword"]
+    return Tables({
+        "scores": lambda: benchmark["scores"], "keyword_gaps": lambda: benchmark["keyword_gap"].orderBy(*first).limit(gaps), "page_speed": lambda: speed,
+        "actions": lambda: benchmark["actions"],
+        "errors": lambda: pages.where("is_error").select("site", "url", "status_code", F.col("title").alias("note"))})
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
+def write_tables(tables: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> None:
     for name, rows in tables.items():
         writer = rows.write.mode("overwrite")
         if kind == "csv":

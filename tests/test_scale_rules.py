@@ -215,3 +215,25 @@ def test_texts_are_hashed_once_for_duplicate_content(spark):
     found = CP.duplicate_content(rows)
     assert sorted((r.url, r.n_rows) for r in found.collect()) == [("u1", 2), ("u2", 2)]
     assert "md5(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_of_reports_are_built_when_asked_for(spark, monkeypatch):
+    from rankloom.operators import benchmark as BM
+    from rankloom.plans.competitor_benchmark import run_benchmark
+    from rankloom.plans.link_report import link_report
+    from rankloom.sinks.reports import competitor_tables
+
+    def late(*_, **__):
+        raise AssertionError("not asked for")
+
+    rows = _two_sites(spark).withColumn("issues", F.array(F.lit("x")))
+    with monkeypatch.context() as m:
+        for part in ("pagerank", "crawl_depth"):
+            m.setattr(GR, part, late)
+        m.setattr(BM, "site_scores", late)
+        report = link_report(rows)
+        assert sorted((r.total_pages, r.total_internal_links) for r in report["totals"].collect()) == [(4, 2), (4, 2)]
+        none = spark.createDataFrame([], "url string, seo_score double, perf_score double, lcp_ms double, cls double, audits map<string,struct<score:double,numericValue:double>>")
+        tables = competitor_tables(run_benchmark(rows, none, "a.com", 2026), none, rows)
+        assert tables["errors"].count() == rows.where("is_error").count() and list(tables) == ["scores", "keyword_gaps", "page_speed", "actions", "errors"]
+    assert report["depth"].count() == 8 and report["depth"] is report["depth"] and {"needs_attention", "silos", "pagerank"} < set(report)
