@@ -35,16 +35,16 @@ def _run(spark, stream, name, mode="append"):
 @query("str_01_rank_drop_alerts", R, """WITH p AS (select *, last_value(position ignore nulls) over (partition by domain, keyword order by checked_at, check_id rows between unbounded preceding and 1 preceding) as prev from fx_rank_checks)
  select domain, keyword, checked_at, prev as old_position, position as new_position, position - prev as delta from p where position - prev >= 5""")
 def _(spark, sf):
-    # the checks in time order in several files, one to a batch
-    checks_, folder, out = checks(spark, sf), scratch_path(spark, "rank-checks"), scratch_path(spark, "rank-alerts")
+    # the checks arrive in four spans of days, each of which is one batch however many files it has: what comes after a later check would be ignored
+    checks_, folder, out, checkpoint = checks(spark, sf), scratch_path(spark, "rank-checks"), scratch_path(spark, "rank-alerts"), scratch_path(spark, "rank-alerts-checkpoint")
     day = F.to_date("checked_at")
     first, last = checks_.agg(F.min(day), F.max(day)).first()
     span = F.lit(((last - first).days if first else 0) // 4 + 1)
     for part in range(4):
         checks_.where(F.floor(F.datediff(day, F.lit(first)) / span) == part).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(checks_.schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    stream = stream.withColumn("checked_at", F.col("checked_at").cast("timestamp"))
-    RA.start_rank_drop_alerts(stream, out, scratch_path(spark, "rank-alerts-checkpoint"), lateness="3650 days").awaitTermination()
+        stream = spark.readStream.schema(checks_.schema).parquet(folder)
+        stream = stream.withColumn("checked_at", F.col("checked_at").cast("timestamp"))
+        RA.start_rank_drop_alerts(stream, out, checkpoint, lateness="3650 days").awaitTermination()
     return spark.read.parquet(out).withColumn("checked_at", F.col("checked_at").cast("timestamp_ntz"))
 
 

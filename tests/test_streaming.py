@@ -94,3 +94,19 @@ def test_ingest_and_progress(spark, tmp_path):
     assert "Title Too Short" not in labels["https://a.com/"] and "Missing Title" in labels["https://a.com/p"]
     arrivals = spark.createDataFrame([("j", False, _day(1)), ("j", True, _day(2))], "job_id string, is_error boolean, arrived_at timestamp")
     assert values(CF.crawl_progress(arrivals), "job_id", "crawled", "errors") == [("j", 2, 1)]
+
+
+def test_checks_in_many_files_give_the_alerts_of_their_order(spark, tmp_path):
+    """Of a table in many files each span of days is one batch; no check is met after a later one of its key."""
+    from rankloom import catalog
+    from rankloom.catalog import rank_queries
+
+    catalog.load()
+    rng = random.Random(3)
+    rows = [(i, i % 7, float(rng.randrange(70)), _day(1) + dt.timedelta(minutes=37 * i), "view") for i in range(1000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double, ts timestamp_ntz, event_type string")
+    events.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["str_01_rank_drop_alerts"](spark, str(tmp_path))
+    want = RK.rank_drops(rank_queries.checks(spark, str(tmp_path)))
+    columns = ("domain", "keyword", "checked_at", "old_position", "new_position")
+    assert values(got, *columns) == values(want, *columns) and got.count() > 100
