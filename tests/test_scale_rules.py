@@ -237,3 +237,23 @@ def test_tables_of_reports_are_built_when_asked_for(spark, monkeypatch):
         tables = competitor_tables(run_benchmark(rows, none, "a.com", 2026), none, rows)
         assert tables["errors"].count() == rows.where("is_error").count() and list(tables) == ["scores", "keyword_gaps", "page_speed", "actions", "errors"]
     assert report["depth"].count() == 8 and report["depth"] is report["depth"] and {"needs_attention", "silos", "pagerank"} < set(report)
+
+
+def page_table(folder, spark, ids):
+    rows = [(k, f"https://s{i % 3}.com/{i}", f"<title>T {i}</title><h1>H</h1><p>Text  of {i} {'and more ' * 40}</p>") for i, k in enumerate(ids)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(folder / "pages.parquet"))
+    return str(folder)
+
+
+def test_pages_without_a_number_do_not_meet_in_one_task(spark, tmp_path):
+    sf = page_table(tmp_path, spark, [*range(40), *[None] * 360])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = fixtures.view(spark, sf, "page_base").groupBy(F.spark_partition_id()).agg(F.count_if(F.col("k").isNull()).alias("n")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in rows) == 360 and max(r.n for r in rows) < 100
