@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog import fixtures
+from rankloom.catalog import fixtures, source_queries
 from rankloom.operators import cross_page as CP, link_graph as GR, near_duplicates as ND, page_issues as PI, rule_audit as RA
 from rankloom.sources.page_facts import extract_pages
 
@@ -257,3 +257,13 @@ def test_pages_without_a_number_do_not_meet_in_one_task(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(r.n for r in rows) == 360 and max(r.n for r in rows) < 100
+
+
+def test_speed_reports_do_not_deal_the_texts_of_pages(spark, tmp_path):
+    sf = page_table(tmp_path, spark, range(-150, 150))
+    reports = source_queries._speed_reports(spark, sf)
+    assert reports.count() == 300 and "body_text#" not in reports._jdf.queryExecution().optimizedPlan().toString()
+    text = fixtures.ctes("fx_pages").replace("pages p\n", "read_parquet('X') p\n").replace("join pages", "join read_parquet('X')").replace("'X'", f"'{sf}/pages.parquet/*.parquet'")
+    wanted = duckdb.sql(text + " select url, meta_description from fx_pages").fetchall()
+    found = fixtures.view(spark, sf, "fx_pages").select("url", "meta_description").collect()
+    assert sorted(map(tuple, found)) == sorted(wanted) and max(len(m) for _, m in wanted) > 180
