@@ -10,7 +10,7 @@ from rankloom.catalog.page_queries import P, TECH_SCORE, WC, WS, _sql_list
 from rankloom.catalog.registry import once, query
 from rankloom.catalog.site_queries import LABELS_CTE, SITEMAP, WALK, labelled, sitemap
 from rankloom.catalog.source_queries import speed_reports
-from rankloom.operators import benchmark as BM
+from rankloom.operators import benchmark as BM, page_issues as PI
 from rankloom.sources import page_speed as SPEED
 
 YEAR = 2026
@@ -63,13 +63,17 @@ _LC, _CL = "round(response_time_ms * cast(2 as double), 1)", "((k % 5) / cast(10
 Q["page_speed"] = f"""select site, round(avg(case when k % 3 <> 0 then round(cast(k % 100 as double), 1) else greatest(0, least(100, 50 + (case when k % 10 = 0 then 0 when {_LC} < 2500 then 20 when {_LC} < 4000 then 5 else -20 end) + (case when {_CL} < 0.1 then 10 when {_CL} < 0.25 then 0 else -10 end))) end), 1) as page_speed from fx_pages group by site"""
 Q["technical"] = f"select site, round(avg(s), 1) as technical from (select site, {TECH_SCORE} as s from ok) t group by site"
 
+# Each score builds only the tables it reads; that of the best page needs labels, which are found on keys, but not the kept table of whole pages.
 for _name, _dim, _build in [
-    ("cmp_01_on_page", "on_page", lambda p, s, a: BM.on_page_scores(p)), ("cmp_02_content", "content", lambda p, s, a: BM.content_scores(p)),
-    ("cmp_03_trust", "eeat", lambda p, s, a: BM.trust_scores(p, a)), ("cmp_04_ctr", "ctr", lambda p, s, a: BM.ctr_scores(p, YEAR)),
-    ("cmp_05_keywords", "keywords", lambda p, s, a: BM.keyword_scores(p)), ("cmp_06_page_speed", "page_speed", lambda p, s, a: BM.speed_scores(s)),
-    ("cmp_07_technical", "technical", lambda p, s, a: BM.technical_scores(p)),
+    ("cmp_01_on_page", "on_page", lambda spark, sf: BM.on_page_scores(PI.detect_issues(fx_pages(spark, sf)))),
+    ("cmp_02_content", "content", lambda spark, sf: BM.content_scores(scored_pages(spark, sf))),
+    ("cmp_03_trust", "eeat", lambda spark, sf: BM.trust_scores(scored_pages(spark, sf), authority(spark, sf))),
+    ("cmp_04_ctr", "ctr", lambda spark, sf: BM.ctr_scores(scored_pages(spark, sf), YEAR)),
+    ("cmp_05_keywords", "keywords", lambda spark, sf: BM.keyword_scores(scored_pages(spark, sf))),
+    ("cmp_06_page_speed", "page_speed", lambda spark, sf: BM.speed_scores(speed(spark, sf))),
+    ("cmp_07_technical", "technical", lambda spark, sf: BM.technical_scores(scored_pages(spark, sf))),
 ]:
-    query(_name, P, f"WITH {OK} {Q[_dim]}")(lambda spark, sf, b=_build: b(scored_pages(spark, sf), speed(spark, sf), authority(spark, sf)))
+    query(_name, P, f"WITH {OK} {Q[_dim]}")(_build)
 
 
 _SEO = "(round(100 * ((k % 50) / cast(50 as double)), 1))"

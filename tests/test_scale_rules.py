@@ -9,7 +9,8 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog import fixtures, source_queries
+from rankloom import catalog
+from rankloom.catalog import fixtures, registry, source_queries
 from rankloom.operators import cross_page as CP, link_graph as GR, near_duplicates as ND, page_issues as PI, rule_audit as RA
 from rankloom.sources.page_facts import extract_pages
 
@@ -267,3 +268,14 @@ def test_speed_reports_do_not_deal_the_texts_of_pages(spark, tmp_path):
     wanted = duckdb.sql(text + " select url, meta_description from fx_pages").fetchall()
     found = fixtures.view(spark, sf, "fx_pages").select("url", "meta_description").collect()
     assert sorted(map(tuple, found)) == sorted(wanted) and max(len(m) for _, m in wanted) > 180
+
+
+def test_on_page_scores_build_no_table_they_do_not_read(spark, tmp_path):
+    sf = page_table(tmp_path, spark, range(120))
+    catalog.load()
+    scores = catalog.QUERIES["cmp_01_on_page"](spark, sf)
+    assert not [name for _, folder, name in registry._KEPT if folder == sf]
+    assert "body_text#" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    sql = catalog.ORACLES["cmp_01_on_page"].replace("pages p\n", "read_parquet('X') p\n").replace("join pages", "join read_parquet('X')")
+    wanted = duckdb.sql(sql.replace("'X'", f"'{sf}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, scores.select("site", "on_page").collect())) == sorted(wanted) and len(wanted) == 3
