@@ -3,6 +3,7 @@
 from factory import pages, values
 
 import random
+import re
 
 import duckdb
 import pyarrow as pa
@@ -279,3 +280,26 @@ def test_on_page_scores_build_no_table_they_do_not_read(spark, tmp_path):
     sql = catalog.ORACLES["cmp_01_on_page"].replace("pages p\n", "read_parquet('X') p\n").replace("join pages", "join read_parquet('X')")
     wanted = duckdb.sql(sql.replace("'X'", f"'{sf}/pages.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, scores.select("site", "on_page").collect())) == sorted(wanted) and len(wanted) == 3
+
+
+def same_as_sql(spark, sf, name):
+    """Rows of a query whose joins are all shuffled, held against its SQL."""
+    catalog.load()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = catalog.QUERIES[name](spark, sf)
+        sql = re.sub(r"\b(from|join) pages\b", f"\\1 read_parquet('{sf}/pages.parquet/*.parquet')", catalog.ORACLES[name])
+        wanted = duckdb.sql(sql)
+        found = df.select(*[f"`{c}`" for c in wanted.columns]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = wanted.fetchall()
+    assert rows and sorted(str(tuple(r)) for r in found) == sorted(map(str, rows))
+
+
+def test_blocking_resources_of_pages_without_a_number(spark, tmp_path):
+    same_as_sql(spark, page_table(tmp_path, spark, [*range(40), *[None] * 60]), "src_07_render_blocking")
