@@ -303,3 +303,7 @@ def same_as_sql(spark, sf, name):
 
 def test_blocking_resources_of_pages_without_a_number(spark, tmp_path):
     same_as_sql(spark, page_table(tmp_path, spark, [*range(40), *[None] * 60]), "src_07_render_blocking")
+
+
+def test_canonical_chains_of_pages_without_a_number(spark, tmp_path):
+    same_as_sql(spark, page_table(tmp_path, spark, [*range(40), *[None] * 60]), "jon_04_canonical_chains_and_loops")
