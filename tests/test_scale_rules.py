@@ -307,3 +307,7 @@ def test_blocking_resources_of_pages_without_a_number(spark, tmp_path):
 
 def test_canonical_chains_of_pages_without_a_number(spark, tmp_path):
     same_as_sql(spark, page_table(tmp_path, spark, [*range(40), *[None] * 60]), "jon_04_canonical_chains_and_loops")
+
+
+def test_consistency_of_pages_without_a_number(spark, tmp_path):
+    same_as_sql(spark, page_table(tmp_path, spark, [*range(40), *[None] * 60]), "aud_05_consistency")
