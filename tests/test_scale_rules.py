@@ -326,3 +326,21 @@ def test_consistency_deals_no_page_facts_but_addresses(spark, tmp_path):
     sf = page_table(tmp_path, spark, [*range(40), *[None] * 60])
     same_as_sql(spark, sf, "aud_05_consistency")
     assert not [folder for _, folder in fixtures._SHARED if folder == sf]
+
+
+def test_pages_without_number_and_address_do_not_meet_in_one_task(spark, tmp_path):
+    lost = spark.range(0, 360, 1, 6).selectExpr("cast(null as long) as page_id", "cast(null as string) as url", "'<p>Copy</p>' as html")
+    some = spark.range(40).selectExpr("id as page_id", "concat('https://s.com/', id) as url", "'<title>T</title><p>Text</p>' as html")
+    lost.union(some).write.parquet(str(tmp_path / "pages.parquet"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = [source_queries._speed_reports(spark, str(tmp_path)), fixtures.view(spark, str(tmp_path), "page_base").where("k is null")]
+        rows = [df.groupBy(F.spark_partition_id().alias("part")).count().collect() for df in found]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [sum(r["count"] for r in part) for part in rows] == [400, 360] and all(max(r["count"] for r in part) < 120 for part in rows)
+    same_as_sql(spark, str(tmp_path), "src_07_render_blocking")
