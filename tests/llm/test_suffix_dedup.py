@@ -99,3 +99,46 @@ def test_each_string_is_in_one_context():
     got = [s for f, k in zip(first.tolist(), n.tolist()) for s in range(f, f + k)]
     assert got == [s for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()) for s in range(a, b - 49)]
     assert ((anchor >= first + n - 1) & (anchor + 16 <= first + 50)).all()
+
+
+def bucket_of(rows):
+    """All contexts of some texts in one bucket."""
+    raw = [t.encode() for _, t in rows]
+    source = SD.Slice({"slice": 0, "ids": [d for d, _ in rows], "sizes": SD.packed(np.array(list(map(len, raw)), np.int32)), "raw": SD.packed(b"".join(raw))}, 50)
+    own, zero = np.arange(len(source.first)), np.zeros(len(source.first), np.int64)
+    sent = SD.blocks(zero, zero, source.cells(own), source.n, source.anchor - source.first, source.owner, source.start, source)
+    return SD.Bucket(sent.to_pandas(), 50), source
+
+
+def test_copies_are_repeats_without_a_sort(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(3)]
+    rows = [(10 * k + i, t) for k in range(4) for i, t in enumerate(texts)]
+    sorted_, sort = [], SD.equal_strings
+    monkeypatch.setattr(SD, "equal_strings", lambda raw, starts, *a, **b: sorted_.append(len(starts)) or sort(raw, starts, *a, **b))
+    spans = [s for found in SD.repeats_in(bucket_of(rows)[0], 50) for s in found.itertuples()]
+    assert not sum(sorted_)
+    assert {s.number for s in spans} == set(range(3, 12)) and {(s.number, p) for s in spans for p in range(s.lo, s.hi)} == {(k, p) for k in range(3, 12) for p in range(3000)}
+
+
+def test_repeats_in_a_slice_do_not_depend_on_the_order_of_equal_anchors(monkeypatch):
+    rows = [(i, t) for i, t in planted() if i is not None and t]
+    want = bucket_of(rows)[1].repeat
+    monkeypatch.setattr(SD, "HELD", 3)
+    assert want.any() and bucket_of(rows)[1].repeat.tolist() == want.tolist()
+
+
+def test_a_slice_sends_a_bucket_one_row_for_many_texts(spark):
+    """Rows that travel are slices times buckets: a few megabytes are one slice."""
+    docs = spark.range(50, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("some words and number "), F.col("id")), 4000).alias("text"))
+    cut = SD.text_slices(docs)
+    assert cut.count() == 1
+    sent = SD.sent_anchors(cut, 4, 50).collect()
+    assert len(sent) == len({(r["slice"], r["part"]) for r in sent}) <= 4
+
+
+@pytest.mark.parametrize("length", [30, 50, 90])
+def test_anchors_of_other_lengths(spark, length):
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(SD.without_repeats(docs, length=length)) == plain_removal(rows, length)
