@@ -20,11 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.batches import numbered, picked
-from rankloom.llm.simhash_groups import stored
+from rankloom.llm.simhash_groups import bounded, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BROADCAST_ROWS = 500_000
 
 
 def word_array(text: str) -> Column:
@@ -52,11 +51,6 @@ def with_short_shingles(words: Column, widths: list[int], make) -> Column:
         F.transform(common(w), one(w, SHINGLE)), *[F.transform(starts(w, k), one(w, k)) for k in widths])))
 
 
-def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose counted rows are within the limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``item_id, shingle, h, n_shingles, n_needed, rank``: rank orders the shingles of an item by hash."""
     words = picked(items, item_id=id_col, text=text_col).where(F.col("item_id").isNotNull()).select("item_id", word_array("text").alias("words"))

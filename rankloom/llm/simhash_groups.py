@@ -31,6 +31,12 @@ from rankloom.session import scratch_path
 BITS = 64
 FEW = 1000
 SQUARE = 1024
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side whose counted rows are within the limit; beyond it Spark shuffles."""
+    return F.broadcast(df) if rows <= limit else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -184,7 +190,7 @@ def star_rounds(links: DataFrame, name: str = "stars") -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4,
                           tile_rows: int = 2048) -> DataFrame:
-    """``doc_id, text_key, fp, component_id`` for each row of ``docs``."""
+    """``doc_id, text_key, fp, root, component_id`` for each row of ``docs``; ``root`` is the fingerprint that stands for the group."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = stored_distinct(prints)
     return named_groups(prints, similar_prints(distinct.select("fp"), radius, tile_rows), distinct)
@@ -195,19 +201,19 @@ def stored_distinct(prints: DataFrame) -> DataFrame:
 
 
 def named_groups(prints: DataFrame, links: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
-    """``doc_id, text_key, fp, component_id`` of ``prints`` whose ``fp`` are tied by ``links`` (a, b)."""
+    """``doc_id, text_key, fp, root, component_id`` of ``prints`` whose ``fp`` are tied by ``links`` (a, b)."""
     distinct = stored_distinct(prints) if distinct is None else distinct
     roots = star_rounds(links).withColumnRenamed("node", "fp")
     linked = distinct.join(roots, "fp")
-    named = linked.groupBy("root").agg(F.min("first_id").alias("group_id")).join(linked.select("fp", "root"), "root").select("fp", "group_id")
-    ids = stored(distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("group_id", "first_id").alias("component_id")), "group-names")
+    named = linked.groupBy("root").agg(F.min("first_id").alias("group_id")).join(linked.select("fp", "root"), "root").select("fp", "root", "group_id")
+    ids = stored(distinct.join(named, "fp", "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), F.coalesce("group_id", "first_id").alias("component_id")), "group-names")
     # fingerprints with more than a thousandth of the rows, fewer than a thousand of them, are looked up without moving their rows
     total = ids.agg(F.sum("rows")).first()[0] or 0
     often = F.col("rows") > max(1, total // FEW)
-    common = prints.join(F.broadcast(ids.where(often).select("fp", F.col("component_id").alias("_name"), F.lit(True).alias("_often"))), "fp", "left")
+    common = prints.join(F.broadcast(ids.where(often).select("fp", F.col("root").alias("_root"), F.col("component_id").alias("_name"), F.lit(True).alias("_often"))), "fp", "left")
     columns = ["doc_id", "text_key", "fp"]
-    rest = common.where("_often is null").select(*columns).join(ids.where(~often).select("fp", "component_id"), "fp")
-    return common.where("_often").select(*columns, F.col("_name").alias("component_id")).unionByName(rest.select(*columns, "component_id"))
+    rest = common.where("_often is null").select(*columns).join(ids.where(~often).select("fp", "root", "component_id"), "fp")
+    return common.where("_often").select(*columns, F.col("_root").alias("root"), F.col("_name").alias("component_id")).unionByName(rest.select(*columns, "root", "component_id"))
 
 
 def hex_print(column: str) -> Column:
@@ -220,14 +226,28 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when each of ``groups`` keeps one."""
+    """The rows of ``docs`` that stay when each of ``groups`` keeps one.
+
+    A group is known by its ``root``, so that groups without an id, or with one smallest id by chance, keep a row each. The rows that stay or those that go, whichever
+    are fewer, are looked up; texts are dealt only where these are too many to be sent to all tasks.
+    """
     null_id = F.lit(-(2**63))
-    # a group is known by its smallest id; groups without any id are known by their fingerprint
-    best = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("own")).agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
-    chosen = best.select(F.coalesce("best.doc_id", null_id).alias("_k1"), F.col("best.text_key").alias("_k2")).distinct()
+    key = {"_k1": F.coalesce("doc_id", null_id), "_k2": F.col("text_key")}
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
+    chosen = best.select("best.doc_id", "best.text_key").select(*[c.alias(k) for k, c in key.items()]).distinct().withColumn("_stays", F.lit(True))
+    alike = groups.groupBy(*[c.alias(k) for k, c in key.items()]).agg(F.count("*").alias("_rows"))
+    fates = stored(alike.join(chosen, list(key), "left").withColumn("_stays", F.coalesce("_stays", F.lit(False))), "fates")
+    going, staying, repeated = (int(x or 0) for x in fates.agg(*[F.sum(F.when(c, 1)) for c in (~F.col("_stays"), F.col("_stays"), F.col("_stays") & (F.col("_rows") > 1))]).first())
     inner = numbered(docs)
     own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     keyed = inner.withColumns({"_k1": F.coalesce(F.col(own_id).cast("long"), null_id), "_k2": F.xxhash64(own_text)})
-    alike = Window.partitionBy("_k1", "_k2").orderBy(F.lit(1))
-    return keyed.join(chosen, ["_k1", "_k2"]).withColumn("_n", F.row_number().over(alike)).where("_n = 1").select(*inner.columns).toDF(*docs.columns)
+    if going + repeated <= staying:
+        listed, how, once = fates.where(~F.col("_stays") | (F.col("_rows") > 1)), "left", F.col("_rows").isNull()
+    else:
+        listed, how, once = fates.where("_stays"), "inner", F.col("_rows") == 1
+    found = keyed.join(bounded(listed, min(going + repeated, staying)), list(key), how)
+    kept = found.where(once).select(*inner.columns)
+    if repeated:
+        one = Window.partitionBy(*key).orderBy(F.lit(1))
+        kept = kept.union(found.where("_stays and _rows > 1").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*inner.columns))
+    return kept.toDF(*docs.columns)
